@@ -12,11 +12,10 @@ cut into pieces that tasks can hold, without losing a match:
 2. Anchors met once are dropped by a bitmap of fixed size (false hits only cost time).
 3. Contexts that are equal as a whole belong to their smallest document; the rest of them are
    covered. What stays open is the first holder of a context whose anchor has other contexts too.
-4. Those contexts are dealt by anchor hash. Each task builds the transform of a shard of contexts at a
-   time and merges the shards' transforms by refining their interleave, symbol column by symbol
-   column, exactly ``length`` times: then suffixes are in order by their first ``length`` bytes, and
-   rows whose common prefix reaches ``length`` form the repeated intervals. No suffix of the merged set is
-   compared or sorted again.
+4. Those contexts are dealt by anchor hash. There every context is a shard with a transform of its own, and the
+   shards' transforms are merged by refining their interleave, symbol by symbol, ``length`` times: then
+   suffixes are in order by their first ``length`` bytes, and rows whose common prefix reaches
+   ``length`` form the repeated intervals. No suffix of the merged set is compared or sorted again.
 
 Batches pre-aggregate: of equal contexts in a batch only the smallest document's is sent on, so a
 passage in a third of all documents costs one row for each batch.
@@ -37,7 +36,7 @@ from .session import buckets_for, written
 
 LENGTH, GRAM = 50, 22
 _BITS = 26
-_SHARD = 1 << 14  # contexts in a shard
+_CHUNK = 1 << 12  # contexts in a merge; more only where one anchor has more
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -54,22 +53,27 @@ class Anchors:
             self.pos = self.row = self.lo = self.hi = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        start = np.arange(n - k + 1)
-        grams = tx.span_hash(self.prefix, start, start + k)
+        _, down = tx.powers(n + 1)
+        grams = (self.prefix[k:] - self.prefix[: n - k + 1]) * down[: n - k + 1]
+        grams ^= grams >> np.uint64(29)
+        grams *= tx.WORD_CODE[5]
+        grams ^= grams >> np.uint64(32)
         low = np.uint64((1 << max(22, int(n).bit_length())) - 1)
-        best, span = (grams & ~low) | start.astype(np.uint64), 1
+        best, span = (grams & ~low) | np.arange(n - k + 1, dtype=np.uint64), 1
         while span * 2 <= w:
             best = np.minimum(best[:-span], best[span:])
             span *= 2
         best = np.minimum(best[: n - length + 1], best[w - span : w - span + n - length + 1])
-        row = np.searchsorted(offsets, np.arange(n - length + 1), "right") - 1
-        inside = np.arange(length, n + 1) <= offsets[row + 1]
+        sizes = np.diff(offsets)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        inside = np.flatnonzero(np.repeat(offsets[1:] - length, sizes)[: n - length + 1] >= np.arange(n - length + 1))
         at = (best[inside] & low).astype(np.int64)
-        self.pos = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-        self.row = np.searchsorted(offsets, self.pos, "right") - 1
+        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        self.pos = at[edge]
+        self.row = row[self.pos]
         self.hash = grams[self.pos]
-        self.lo = np.maximum(self.pos - (length - k), offsets[self.row])
-        self.hi = np.minimum(self.pos + length, offsets[self.row + 1])
+        self.lo = inside[edge]
+        self.hi = inside[np.concatenate([edge[1:], [len(at)]]) - 1] + length if len(at) else at
 
     def choose(self, keep: np.ndarray) -> None:
         self.pos, self.row, self.hash, self.lo, self.hi = (x[keep] for x in (self.pos, self.row, self.hash, self.lo, self.hi))
@@ -135,87 +139,72 @@ def _by_document(doc: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> list[
 # -- Burrows-Wheeler transforms of many short strings ------------------------------------------------
 
 
-def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bwt symbols, string of each row, offset of each row) of one shard.
+def shard_bwts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The transforms of shards of one string each, one after the other.
 
-    Symbols are byte + 1; 0 ends a string, and equal ends stand in the order of their strings.
+    (symbol, row of the preceding suffix, string, offset) of each row. Symbols are byte + 1 and 0 before the
+    first; the row of an end stands first in its shard.
     """
-    size = max(map(len, strings)) + 1
-    n = sum(map(len, strings)) + len(strings)
     lens = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
-    at = np.concatenate([[0], np.cumsum(lens)])
-    flat = np.zeros(n + size, np.uint16)
+    n, at = int(lens.sum()), np.cumsum(lens)
     joined = np.frombuffer(b"".join(strings), np.uint8)
     text = np.ones(n, bool)
-    text[at[1:] - 1] = False
-    flat[:n][text] = joined.astype(np.uint16) + 1
+    text[at - 1] = False
+    flat = np.zeros(n + 8, np.uint8 if not len(joined) or joined.max() < 255 else np.uint16)
+    flat[:n][text] = joined + flat.dtype.type(1)
     string = np.repeat(np.arange(len(strings)), lens)
-    offset = np.arange(n) - at[string]
-    left = lens[string] - offset
-    width = 8  # suffixes are ranked by doubling the compared prefix
-    key = np.zeros(n, np.uint64)
-    for j in range(7):
-        key = key << np.uint64(9) | np.where(j < left, flat[j : n + j], 0).astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    width = 7
-    while width < size:
-        further = np.where(width < left, rank[np.minimum(np.arange(n) + width, n - 1)] + 1, 0)
-        rank = np.unique(rank * (n + 2) + further, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    order = np.lexsort((string, rank))
-    before = np.where(offset == 0, 0, flat[np.maximum(np.arange(n) - 1, 0)])
-    return before[order].astype(np.uint16), string[order], offset[order]
-
-
-def merge_bwts(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave the rows of ``shards`` (their transforms), in order by the first ``depth`` symbols.
-
-    Returns (shard of each merged row, whether the row begins a new block of equal ``depth``-symbol
-    prefixes). In round h the interleave, right for h - 1 symbols, is read once: every row's
-    symbol sends its shard to the next free place of that symbol, which makes it right for h. A row that
-    begins a block in round h differs from the row before within its first h symbols, which is the
-    common prefix. A string's end is alike only to itself: its rows are blocks of their own.
+    wide = flat.astype(np.uint64)
+    key = string.astype(np.uint64) << np.uint64(45)
+    for j in range(5):
+        key |= wide[j : n + j] << np.uint64(9 * (4 - j))
+    order = np.argsort(key)
+    ranked = key[order]
+    alike = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+    tied = np.flatnonzero(alike[:-1] | alike[1:])
+    if len(tied):  # suffixes of one string that share five symbols
+        begin = at - lens
+        place = order[tied].tolist()
+        place.sort(key=lambda i: (string[i], strings[string[i]][i - begin[string[i]] :]))
+        order[tied] = place
+    row = np.empty(n + 1, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    row[-1] = 0
+    offset = order - (at - lens)[string[order]]
+    symbol = np.where(offset == 0, 0, flat[order - 1]).astype(flat.dtype)
+    return symbol, row[order - 1], string[order], offset
+
+
+def merge_bwts(symbols: np.ndarray, back: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of rows of the merged transform that agree in their first ``depth`` symbols.
+
+    Returns (row, block) of blocks with two rows and more, in merged order. In each round the interleave,
+    right for h symbols, is read once: every row's symbol sends the row before it in its string to that
+    symbol's next free place, which makes the interleave right for h + 1. Where symbol or block changes, h
+    is the common prefix with the row above. A row alone in its block can't share more, nor can the rows
+    before it in its string, so it leaves the interleave.
     """
-    start = [np.zeros(len(s), np.int64) for s in shards]
-    source = np.concatenate([np.full(len(s), i, np.int32) for i, s in enumerate(shards)])
-    total = len(source)
-    block = np.zeros(total, bool)
-    block[:1] = True
-    del start
-    held = np.concatenate(shards)
-    base = np.concatenate([[0], np.cumsum([len(s) for s in shards])])
+    rows, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for _ in range(depth):
-        # the k-th row of a shard in the interleave is the shard's k-th row
-        by_shard = np.argsort(source, kind="stable")
-        symbol = np.empty(total, np.uint16)
-        symbol[by_shard] = held
-        number = np.cumsum(block)
+        symbol = symbols[rows]
         order = np.argsort(symbol, kind="stable")
-        source = source[order]
-        sorted_symbol, sorted_number = symbol[order], number[order]
-        fresh = np.ones(total, bool)
-        fresh[1:] = (sorted_symbol[1:] != sorted_symbol[:-1]) | (sorted_number[1:] != sorted_number[:-1]) | (sorted_symbol[1:] == 0)
-        if np.array_equal(fresh, block) and fresh.all():
-            break
-        block = fresh
-    del base
-    return source, block
-
-
-def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int, shard: int = _SHARD) -> tuple[np.ndarray, np.ndarray]:
+        order = order[np.count_nonzero(symbol == 0) :]
+        symbol, block, rows = symbol[order], block[order], back[rows[order]]
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        some = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1], dtype=np.int32)[some]
+        rows = rows[some]
+    return rows, block
+
+
+def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of every ``length``-byte window that a string of a smaller owner also holds."""
-    parts = [shard_bwt(strings[i : i + shard]) for i in range(0, len(strings), shard)]
-    source, fresh = merge_bwts([p[0] for p in parts], length)
-    string, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    for i, (_, s, o) in enumerate(parts):
-        at = source == i
-        string[at], offset[at] = s + i * shard, o
-    lens = np.fromiter(map(len, strings), np.int64, len(strings))
-    block = np.cumsum(fresh) - 1
-    least = np.full(block[-1] + 1, np.iinfo(np.int64).max)
-    whole = lens[string] - offset >= length
-    np.minimum.at(least, block[whole], owner[string[whole]])
-    hit = whole & (least[block] < owner[string])
+    symbols, back, string, offset = shard_bwts(strings)
+    rows, block = merge_bwts(symbols, back, length)
+    string, offset = string[rows], offset[rows]
+    least = np.full(int(block[-1]) + 1 if len(block) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, block, owner[string])
+    hit = least[block] < owner[string]
     return string[hit], offset[hit]
 
 
@@ -310,33 +299,41 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     # 3: the contexts of anchors that have several, to the merge of transforms
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, least = [], {}
             for ids, f in anchors(batch, open_bits.value):
-                raw, d, at = f.data.tobytes(), ids[f.row], f.offsets[f.row]
+                raw, at = f.data.tobytes(), f.offsets[f.row]
                 bucket = ((f.hash >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-                rows += zip(bucket.tolist(), d.tolist(), (f.lo - at).tolist(), [raw[i:j] for i, j in zip(f.lo.tolist(), f.hi.tolist(), strict=True)], strict=True)
-            least: dict[bytes, int] = {}
-            for _, d, _, s in rows:
-                if d < least.get(s, 1 << 63):
-                    least[s] = d
-            rows = [x for x in rows if x[1] == least[x[3]]]
+                for x in zip(bucket.tolist(), f.hash.view(np.int64).tolist(), ids[f.row].tolist(), (f.lo - at).tolist(), [raw[i:j] for i, j in zip(f.lo.tolist(), f.hi.tolist(), strict=True)], strict=True):
+                    rows.append(x)
+                    least[x[4]] = min(x[2], least.get(x[4], x[2]))
+            rows = [x for x in rows if x[2] == least[x[4]]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "doc_id", "lo", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "anchor", "doc_id", "lo", "context"])
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["context"].map(len) >= length]
-        part = part[part["doc_id"] == part.groupby("context")["doc_id"].transform("min")]
-        if not len(part):
-            return pd.DataFrame({"bucket": [], "data": []})
-        code, strings = pd.factorize(part["context"])
-        owner = np.empty(len(strings), np.int64)
-        owner[code] = part["doc_id"]
-        string, offset = repeated_windows(list(strings), owner, length)
-        hits = pd.DataFrame({"s": string, "o": offset}).merge(pd.DataFrame({"s": code, "d": part["doc_id"].to_numpy(), "lo": part["lo"].to_numpy()}), on="s")
+        part = part.sort_values(["anchor", "doc_id"], kind="stable")
+        code, strings = pd.factorize(part["context"])  # in order by anchor: one context, one anchor
+        doc, lo, anchor = (part[c].to_numpy(np.int64) for c in ("doc_id", "lo", "anchor"))
+        owner = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(owner, code, doc)
+        of = np.empty(len(strings), np.int64)
+        of[code] = anchor
+        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        found, i = [], 0
+        while i < len(strings):  # whole anchors, about _CHUNK contexts at a time
+            k = np.searchsorted(new, i + _CHUNK, "right") - 1
+            j = int(new[k]) if new[k] > i else int(new[k + 1]) if k + 1 < len(new) else len(strings)
+            j = len(strings) if len(strings) - i <= _CHUNK else j
+            s, o = repeated_windows(list(strings[i:j]), owner[i:j], length)
+            found.append((s + i, o))
+            i = j
+        string, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        first = doc == owner[code]
+        hits = pd.DataFrame({"s": string, "o": offset}).merge(pd.DataFrame({"s": code[first], "d": doc[first], "lo": lo[first]}), on="s")
         a = (hits["lo"] + hits["o"]).to_numpy(np.int64)
         return pd.DataFrame(_by_document(hits["d"].to_numpy(np.int64), a, a + length, n), columns=["bucket", "data"])
 
-    merged = rows.mapInArrow(extract, "bucket int, doc_id long, lo long, context binary").groupBy("bucket").applyInPandas(merge, "bucket int, data binary")
+    merged = rows.mapInArrow(extract, "bucket int, anchor long, doc_id long, lo long, context binary").groupBy("bucket").applyInPandas(merge, "bucket int, data binary")
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
         d, a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["data"]]).T
