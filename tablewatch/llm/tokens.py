@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -22,6 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import text as tx
 from .session import buckets_for, fresh_dir, written
 
 MAGIC = b"TWIDS001"
@@ -29,24 +29,48 @@ _FOOTER = struct.Struct("<qqq8s")
 #: A shard is closed once its frames reach this size.
 SHARD_BYTES = 32 << 20
 DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 64 << 10, 1000, 4096
-_CACHE = 300_000
+_CACHE = 3_000_000
 
 # -- encoding ---------------------------------------------------------------------------------------
 
-# In this range of characters the classes below are those of Unicode.
-_PLAIN = re.compile("[\t\n\r -~\xa0-įı-ɏ‐-‧€]*")
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\xa0"
-_SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE_LEVEL = re.compile(f"{_SUFFIX}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_WORD_LEVEL = re.compile(f"{_SUFFIX}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNUSUAL = range(5)
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character: white space, letter, digit, other.
+
+    Only characters up to U+024F and common punctuation are told apart; the rest is unusual.
+    """
+    table = np.full(256, _UNUSUAL, np.uint8)
+    table[0x21:0x7F] = _OTHER
+    table[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+    table[0x30:0x3A] = _DIGIT
+    table[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)]] = _LETTER
+    out = table[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        byte, second, third = padded[lead], padded[lead + 1], padded[lead + 2]
+        kind = out[lead]
+        latin = byte == 0xC2
+        kind[latin] = np.where(np.isin(second, [0xAA, 0xB5, 0xBA]), _LETTER, np.where((second <= 0xA0) | np.isin(second, [0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]), _UNUSUAL, _OTHER))[latin]
+        kind[(byte == 0xC3) & ((second == 0x97) | (second == 0xB7))] = _OTHER
+        kind[(byte == 0xC4) & (second == 0xB0)] = _UNUSUAL
+        wide = (byte == 0xE2) & (((second == 0x80) & (third >= 0x90) & (third <= 0xA7)) | ((second == 0x82) & (third == 0xAC)))
+        kind[wide] = _OTHER
+        out[lead] = kind
+        out[lead + 1] = kind
+        out[lead[wide] + 2] = kind[wide]
+    return out
 
 
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
-    A tokenizer works on each piece that its pre-tokenizer cuts on its own, so pieces that come again are
-    taken from a cache of bounded size. Texts with characters outside the plain range, or with a
-    special token's string, and tokenizers with another pre-tokenizer, are encoded whole.
+    A tokenizer works on each piece that its pre-tokenizer cuts on its own. So texts of usual characters are
+    cut in bulk, by the pre-tokenizer's rules on byte classes; each piece is encoded when it first comes
+    and kept in a cache of bounded size. Texts with other characters, or with a special token's string, and
+    tokenizers with another pre-tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,38 +80,140 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
-        self.special = [t["content"] for t in spec.get("added_tokens", ())]
-        self.lower, self.pieces = False, None
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", ())]
+        self.kind = None
         if cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer"):
-            self.pieces = _BYTE_LEVEL
-        elif [x.get("type") for x in cut.get("pretokenizers", ())] == ["Split", "ByteLevel"] and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]:
-            self.pieces, self.lower = _WORD_LEVEL, True
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list = [None] * len(texts)
-        cut, missing, whole = [], set(), []
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        for i, t in enumerate(texts):
-            if self.pieces is None or not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
-                whole.append(i)
-            else:
-                found = self.pieces.findall(t.lower() if self.lower else t)
-                missing.update(x for x in set(found) if x not in self.cache)
-                cut.append((i, found))
-        new = list(missing)
-        for at in range(0, len(new), 4096):
-            self.cache.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
-        of = self.cache.__getitem__
-        for i, found in cut:
-            out[i] = b"".join(map(of, found))
-        for i in whole:
-            out[i] = self._ids([texts[i]])[0]
+            self.kind, self.separator = "byte", self.tokenizer.encode("\n", add_special_tokens=False).ids
+        elif [x.get("type") for x in cut.get("pretokenizers", ())] == ["Split", "ByteLevel"] and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix"):
+            self.kind, suffix = "word", spec["model"]["end_of_word_suffix"]
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.edge, self.ids, self.n_ids = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of single pieces, encoded together where their ends can be told."""
+        if self.kind == "word":
+            ids = self._whole([" ".join(texts)])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+        else:
+            ids = self._whole(["\n".join([*texts, ""])])[0]
+            ends = np.flatnonzero(ids == self.separator[0]) + 1
+        if len(ends) != len(texts) or (len(ends) and ends[-1] != len(ids)):
+            return self._whole(texts)
+        parts = np.split(ids, ends[:-1])
+        return parts if self.kind == "word" else [x[:-1] for x in parts]
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        found: list[np.ndarray] = [None] * len(texts)
+        joint = [i for i, t in enumerate(texts) if not t.isspace()]
+        for at in range(0, len(joint), 2048):
+            for i, x in zip(joint[at : at + 2048], self._new([texts[i] for i in joint[at : at + 2048]]), strict=True):
+                found[i] = x
+        alone = [i for i, t in enumerate(texts) if t.isspace()]
+        for i, x in zip(alone, self._whole([texts[i] for i in alone]), strict=True):
+            found[i] = x
+        flat = np.concatenate(found)
+        while self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        edge = self.n_ids + np.cumsum([len(x) for x in found])
+        slots = np.arange(len(self.edge) - 1, len(self.edge) - 1 + len(found))
+        self.edge = np.concatenate([self.edge, edge])
+        self.n_ids += len(flat)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.slots = np.insert(self.keys, at, hashes), np.insert(self.slots, at, slots)
+
+    def _cuts(self, data: np.ndarray, low: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where pieces begin, for texts that are not empty."""
+        n, space = len(data), kind == _SPACE
+        blank = data == 0x20
+        begin = np.zeros(n + 1, bool)
+        begin[offsets] = True
+        cut = begin[:n].copy()
+        same = np.zeros(n, bool)
+        same[1:] = kind[1:] == kind[:-1]
+        cut |= ~same
+        if self.kind == "word":
+            cut |= (kind == _DIGIT)
+        else:
+            after = np.zeros(n, bool)  # a blank goes with what follows it
+            after[1:] = blank[:-1] & ~begin[1:n]
+            cut &= ~(after & ~space) | begin[:n]
+            last = space.copy()  # the last of several white spaces stands apart, unless it ends the text
+            last[:-1] &= ~space[1:]
+            last &= ~begin[1:]
+            cut |= last
+        quote = np.flatnonzero((data == 0x27) & cut)
+        if len(quote):
+            row_end = offsets[np.searchsorted(offsets, quote, "right")]
+            padded = np.concatenate([low, np.zeros(2, np.uint8)])
+            one, two = padded[quote + 1], padded[quote + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & (quote + 1 < row_end)
+            pair = (((one == 0x72) | (one == 0x76)) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C))
+            pair &= quote + 2 < row_end
+            for at, size in ((quote[short], 2), (quote[pair & ~short], 3)):
+                cut[at + 1] = False
+                cut[at[at + size < n] + size] = True
+        return np.flatnonzero(cut)
+
+    def _bulk(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin) of texts that are not empty and have usual characters."""
+        low = data
+        if self.kind == "word":
+            table = np.arange(256, dtype=np.uint8)
+            table[65:91] += 32
+            low = table[data]
+        start = self._cuts(data, low, offsets, kind)
+        end = np.append(start[1:], len(data))
+        if self.kind == "word":
+            said = kind[start] != _SPACE
+            start, end = start[said], end[said]
+        hashes, first, which = np.unique(tx.span_hash(tx.prefix_hash(low), start, end), return_index=True, return_inverse=True)
+        if len(self.keys) > _CACHE:
+            self.clear()
+        at = np.searchsorted(self.keys, hashes)
+        fresh = np.ones(len(hashes), bool)
+        fresh[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != hashes[at < len(self.keys)]
+        if fresh.any():
+            raw, new = low.tobytes(), first[fresh]
+            self._learn(hashes[fresh], [raw[i:j].decode() for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, hashes)
+        slot = self.slots[at][which]
+        size = self.edge[slot + 1] - self.edge[slot]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.edge[slot] - edge[:-1], size) + np.arange(edge[-1])]
+        return ids, edge[np.searchsorted(start, offsets)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text."""
+        n, sizes = len(offsets) - 1, np.diff(offsets)
+        whole = np.full(n, self.kind is None)
+        kind = _classes(data) if self.kind else np.zeros(len(data), np.uint8)
+        odd = np.flatnonzero(kind == _UNUSUAL)
+        whole[np.searchsorted(offsets, odd, "right") - 1] = True
+        raw = data.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
+        out = [b""] * n
+        some = np.flatnonzero(~whole & (sizes > 0))
+        if len(some):
+            keep = np.repeat(~whole, sizes)
+            ids, edge = self._bulk(data[keep] if whole.any() else data, np.concatenate([[0], np.cumsum(sizes[some])]), kind[keep] if whole.any() else kind)
+            packed, edge = ids.astype("<u4").tobytes(), (4 * edge).tolist()
+            for i, a, b in zip(some.tolist(), edge[:-1], edge[1:], strict=True):
+                out[i] = packed[a:b]
+        for i in np.flatnonzero(whole & (sizes > 0)).tolist():
+            out[i] = self._whole([raw[offsets[i] : offsets[i + 1]].decode()])[0].astype("<u4").tobytes()
         return out
 
 
@@ -104,17 +230,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batch: pa.RecordBatch, path: str, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, ids of each row) for runs of rows of about ``size`` characters; null counts as empty."""
-    held, first, n = [], 0, 0
-    for i, t in enumerate(batch.column("text")):
-        held.append(t.as_py() or "")
-        n += len(held[-1])
-        if n >= size:
-            yield first, encoder(path).encode(held)
-            held, first, n = [], i + 1, 0
-    if held:
-        yield first, encoder(path).encode(held)
+def encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, ids of each row) for runs of rows; null counts as empty."""
+    for first, _, data, offsets in tx.slices(batch.column("text")):
+        yield first, encoder(path).encode(data, offsets)
 
 
 # -- files ------------------------------------------------------------------------------------------
