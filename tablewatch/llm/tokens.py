@@ -97,8 +97,8 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of single pieces, encoded together where their ends can be told."""
+    def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single pieces and how many each has; encoded together where their ends can be told."""
         if self.kind == "word":
             ids = self._whole([" ".join(texts)])[0]
             ends = np.flatnonzero(self.last[ids]) + 1
@@ -106,26 +106,24 @@ class Encoder:
             ids = self._whole(["\n".join([*texts, ""])])[0]
             ends = np.flatnonzero(ids == self.separator[0]) + 1
         if len(ends) != len(texts) or (len(ends) and ends[-1] != len(ids)):
-            return self._whole(texts)
-        parts = np.split(ids, ends[:-1])
-        return parts if self.kind == "word" else [x[:-1] for x in parts]
+            parts = self._whole(texts)
+            return np.concatenate(parts), np.array([len(x) for x in parts])
+        size = np.diff(ends, prepend=0)
+        return (ids, size) if self.kind == "word" else (ids[ids != self.separator[0]], size - 1)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found: list[np.ndarray] = [None] * len(texts)
-        joint = [i for i, t in enumerate(texts) if not t.isspace()]
-        for at in range(0, len(joint), 2048):
-            for i, x in zip(joint[at : at + 2048], self._new([texts[i] for i in joint[at : at + 2048]]), strict=True):
-                found[i] = x
-        alone = [i for i, t in enumerate(texts) if t.isspace()]
-        for i, x in zip(alone, self._whole([texts[i] for i in alone]), strict=True):
-            found[i] = x
-        flat = np.concatenate(found)
+        blank = np.fromiter(map(str.isspace, texts), bool, len(texts))
+        order = np.argsort(blank, kind="stable")  # white space is encoded piece by piece
+        texts, joint = [texts[i] for i in order.tolist()], int(np.count_nonzero(~blank))
+        found = [self._new(texts[at : min(at + 2048, joint)]) for at in range(0, joint, 2048)]
+        found += [(x, np.array([len(x)])) for x in self._whole(texts[joint:])]
+        flat, size = (np.concatenate(x) for x in zip(*found, strict=True))
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        edge = self.n_ids + np.cumsum([len(x) for x in found])
-        slots = np.arange(len(self.edge) - 1, len(self.edge) - 1 + len(found))
-        self.edge = np.concatenate([self.edge, edge])
+        slots = np.empty(len(order), np.int64)
+        slots[order] = np.arange(len(self.edge) - 1, len(self.edge) - 1 + len(order))
+        self.edge = np.concatenate([self.edge, self.n_ids + np.cumsum(size)])
         self.n_ids += len(flat)
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.slots = np.insert(self.keys, at, hashes), np.insert(self.slots, at, slots)
