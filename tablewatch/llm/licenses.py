@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .session import written
+
 BANDS, WIDTH, PERCENT = 16, 5, 80
 #: Templates are carried in the plan; more than these are refused.
 TEMPLATES = 500
@@ -38,8 +40,12 @@ def _shingles(words: str, width: int) -> Column:
     return F.slice(hashed, F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(0)))
 
 
+def _seeded(shingles: Column, band: int) -> Column:
+    return F.transform(shingles, lambda h: F.xxhash64(h, F.lit(band)))
+
+
 def _minima(shingles: Column, bands: int) -> Column:
-    return F.array(*[F.array_min(F.transform(shingles, lambda h, b=b: F.xxhash64(h, F.lit(b)))) for b in range(bands)])
+    return F.array(*[F.array_min(_seeded(shingles, b)) for b in range(bands)])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
@@ -65,8 +71,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, widt
         return docs.limit(0).select(F.col("doc_id").cast("long"), F.lit("").alias("license"), *[F.lit(0).alias(c) for c in ("n_shingles", "n_matched", "first_word")])
     deciding = sorted({r.shingles[i] for r in rows for i, h in enumerate(r.hashed) if any(h[b] == r.minima[b] for b in range(bands))})
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
+    # exploding an array of one keeps the optimiser from copying the words into each use of them
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words_of(F.col("text").cast("string")))).alias("words"))
     held = text.select("doc_id", _shingles("words", width).alias("all")).where(F.arrays_overlap("all", F.array(*[F.lit(x) for x in deciding])))
+    held = written(held, "license-shingles")  # few documents; computed once, and not anew inside expressions
     found = []
     for size in sorted({r.n_words for r in rows}):
         step = max(1, size // 4)

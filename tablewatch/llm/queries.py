@@ -102,8 +102,8 @@ FROM c WHERE 100 * n >= 80 * n_shingles GROUP BY doc_id, license, n_shingles
 
 _OP4 = """
 WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)], (a, b) -> a + b) AS score
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)], lambda a, b: a + b) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
