@@ -1 +1,45 @@
+"""Column functions: names, keys, verdicts and rendered values."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def type_compatible(value: Column, kind: str, options: list[str] | None = None) -> Column:
+    """Whether a text can stand for a value of ``kind``; a row reference accepts anything."""
+    if kind == "int":
+        return value.rlike(r"^-?(0|[1-9][0-9]*)$")
+    if kind == "uint":
+        return value.rlike(r"^(0|[1-9][0-9]*)$")
+    if kind == "guid":
+        return value.rlike(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
+    if kind == "enum":
+        return value.isin(*(options or []))
+    if kind == "row_reference":
+        return F.lit(True)
+    raise ValueError(f"unknown kind: {kind}")
+
+
+def instance_key(class_name: Column, path: Column) -> Column:
+    leaf = F.element_at(F.split(F.regexp_replace(path, r"UEDPIE_[0-9]+_", ""), r"\."), -1)
+    return F.concat(class_name, F.lit(":"), leaf)
+
+
+def max_abs_delta(*pairs: tuple[Column, Column]) -> Column:
+    deltas = [F.abs(a - b) for a, b in pairs]
+    return deltas[0] if len(deltas) == 1 else F.greatest(*deltas)
+
+
+def framing_verdict(projectable: Column, inside: Column, margin: Column, requested: Column) -> Column:
+    """The first problem of a framing: not projectable, outside, partial, margin too small; else ok."""
+    return F.when(~projectable, "unprojectable").when(inside == 0, "outside").when(inside < 1, "partial").when(margin < requested, "margin_too_small").otherwise("ok")
+
+
+def parse_edit(text: Column, kind: str) -> Column:
+    """A typed value, or why there is none."""
+    value = text.try_cast(kind)
+    return F.struct(value.alias("value"), F.when(text.isNull(), "missing").when(value.isNull(), "not_parseable").otherwise("ok").alias("status"))
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from . import audit, changes
+
+_MODULES = [audit, changes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

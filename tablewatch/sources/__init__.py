@@ -1 +1,48 @@
+"""Reading and writing: versioned documents, file listings, incremental catalogs, quarantine, runs."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def scan_inspections(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
+    """JSON documents of one version; others are an error. Absent lists are empty; partial documents stay."""
+    docs = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    right = F.when(F.col("schema_version") == version, True).otherwise(F.raise_error(F.lit(f"schema_version must be {version}")).cast("boolean"))
+    lists = {f.name: F.coalesce(F.col(f.name), F.array()) for f in docs.schema if f.dataType.typeName() == "array"}
+    return docs.where(right).withColumns(lists) if lists else docs.where(right)
+
+
+def scan_snapshots(current: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Snapshots of both versions; those without a producer can only be read."""
+    both = current.unionByName(legacy, allowMissingColumns=True)
+    return both.withColumn("classification", F.when(F.col("producer").isNull(), "legacy_read_only").otherwise("current"))
+
+
+def discover_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, modificationTime, length) of matching files below ``path``; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "modificationTime", "length").orderBy("path")
+
+
+def incremental_catalog(previous: DataFrame, current: DataFrame, key: str, signature: list[str]) -> DataFrame:
+    """``current`` with hit: the same signature is in ``previous``. What was deleted is absent."""
+    before = previous.select(F.col(key).alias("_key"), F.struct(*signature).alias("_signature"))
+    return current.join(before, current[key] == F.col("_key"), "left").withColumn("hit", F.col("_signature").eqNullSafe(F.struct(*signature))).drop("_key", "_signature")
+
+
+def quarantine_split(df: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
+    """(documents that parse, with ``parsed``; those that don't)."""
+    parsed = df.withColumn("parsed", F.try_parse_json(document))
+    return parsed.where("parsed is not null"), parsed.where("parsed is null").drop("parsed")
+
+
+def write_run(df: DataFrame, path: str, run_id: str) -> str:
+    """Write a run once; a run that exists is never overwritten, and one that fails leaves nothing in place."""
+    target = f"{path}/run_id={run_id}"
+    df.write.mode("errorifexists").parquet(target)
+    return target
+
+
+def artifact_hash(content: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(content.cast("binary"), 256))

@@ -1 +1,89 @@
+"""Sequence-checked streams: the batch twin as windows, the stream as keyed state."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+OUTCOME = "feed long, arrival long, seq long, outcome string, gap long"
+
+
+def observation_state(batches: DataFrame) -> DataFrame:
+    """``batches(feed, arrival, seq)`` with outcome and gap, in order of arrival within each feed.
+
+    A batch is accepted if its sequence is above all accepted before; else it is a duplicate of the last or regressing.
+    gap counts the sequences that an accepted batch leaves out. Only a rejected batch can be below the
+    highest, so the highest of all before is that of the accepted.
+    """
+    w = Window.partitionBy("feed").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max("seq").over(w)
+    rows = batches.select("feed", "arrival", "seq", last.alias("last"))
+    outcome = F.when(F.col("last").isNull() | (F.col("seq") > F.col("last")), "accepted").when(F.col("seq") == F.col("last"), "duplicate_sequence").otherwise("regressing_sequence")
+    gap = F.when(F.col("last").isNotNull() & (F.col("seq") > F.col("last")), F.col("seq") - F.col("last") - 1).otherwise(0)
+    return rows.select("feed", "arrival", "seq", outcome.alias("outcome"), gap.alias("gap"))
+
+
+def observe_stream(batches: DataFrame) -> DataFrame:
+    """The same over a stream: the last accepted sequence of each feed is its state."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("arrival")
+        out = []
+        for arrival, seq in zip(rows["arrival"].tolist(), rows["seq"].tolist(), strict=True):
+            if last is None or seq > last:
+                out.append((key[0], arrival, seq, "accepted", 0 if last is None else seq - last - 1))
+                last = seq
+            else:
+                out.append((key[0], arrival, seq, "duplicate_sequence" if seq == last else "regressing_sequence", 0))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["feed", "arrival", "seq", "outcome", "gap"])
+
+    return batches.groupBy("feed").applyInPandasWithState(step, OUTCOME, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def packet_validation(packets: DataFrame, maximum_records: int = 16_384) -> DataFrame:
+    """``packets(version, n_records, n_bytes, value)`` with the reason why one is malformed, or null."""
+    value = F.col("value")
+    return packets.withColumn(
+        "malformed",
+        F.when(F.col("version") != 1, "version")
+        .when((F.col("n_records") < 0) | (F.col("n_records") > maximum_records), "record_count")
+        .when(F.col("n_bytes") != F.col("n_records") * 48, "length")
+        .when(value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), "not_finite"),
+    )
+
+
+def latest_state(events: DataFrame, key: str, seq: str, *values: str) -> DataFrame:
+    """The last values of each key; works on streams in update mode too."""
+    return events.groupBy(key).agg(F.max_by(F.struct(seq, *values), seq).alias("last")).select(key, "last.*")
+
+
+def coalesce_updates(events: DataFrame, delivery: str, key: str, seq: str, value: str) -> DataFrame:
+    """Within a delivery only the last value of each key, and how many it replaces."""
+    return events.groupBy(delivery, key).agg(F.max_by(value, seq).alias(value), (F.count("*") - 1).alias("replaced"))
+
+
+def keep_latest(events: DataFrame, key: str, seq: str, n: int) -> DataFrame:
+    """A bounded buffer for each key: its last ``n``, and how many were dropped for them."""
+    w = Window.partitionBy(key).orderBy(F.desc(seq))
+    total = F.count("*").over(Window.partitionBy(key))
+    return events.select("*", F.row_number().over(w).alias("_n"), F.greatest(total - n, F.lit(0)).alias("dropped")).where(F.col("_n") <= n).drop("_n")
+
+
+def consecutive_rejects(events: DataFrame, key: str, seq: str, rejected: str) -> DataFrame:
+    """(key, longest): the longest run of rejects without an accept between."""
+    w = Window.partitionBy(key).orderBy(seq)
+    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, rejected).orderBy(seq))
+    runs = events.select(key, rejected, island.alias("island")).groupBy(key, rejected, "island").agg(F.count("*").alias("n"))
+    return runs.groupBy(key).agg(F.coalesce(F.max(F.when(F.col(rejected), F.col("n"))), F.lit(0)).alias("longest"))
+
+
+def stream_metrics(events: DataFrame, key: str, seq: str, counter: str) -> DataFrame:
+    """Packets, bytes (96 and 48 a record) and growth of a counter that may restart."""
+    before = F.max(counter).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.select(key, F.greatest(F.lit(0), F.col(counter) - F.coalesce(before, F.lit(0))).alias("grown"))
+    return rows.groupBy(key).agg(F.count("*").alias("packets"), (F.count("*") * 144).alias("bytes"), F.sum("grown").alias("replacements"))
