@@ -29,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .session import buckets_for, written
+from .session import buckets_for, texts, written
 
 LENGTH, GRAM = 50, 22
 _BITS = 26
+_HELD = 1 << 18
 _CHUNK = 1 << 12  # contexts in a merge; more only where one anchor has more
 
 
@@ -46,15 +48,16 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 class Anchors:
     """Of a slice of texts: row, position, k-gram hash and context bounds of every anchor."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, k: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, k: int, bits: np.ndarray | None = None):
         n, w = len(data), length - k + 1
-        self.data, self.offsets, self.prefix = data, offsets, tx.prefix_hash(data)
+        prefix = tx.prefix_hash(data)
+        self.data, self.offsets = data, offsets
         if n < length:
             self.pos = self.row = self.lo = self.hi = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self.context = np.zeros(0, np.uint64)
             return
         _, down = tx.powers(n + 1)
-        grams = (self.prefix[k:] - self.prefix[: n - k + 1]) * down[: n - k + 1]
+        grams = (prefix[k:] - prefix[: n - k + 1]) * down[: n - k + 1]
         grams ^= grams >> np.uint64(29)
         grams *= tx.WORD_CODE[5]
         grams ^= grams >> np.uint64(32)
@@ -75,12 +78,11 @@ class Anchors:
         self.lo = inside[edge]
         self.hi = inside[np.concatenate([edge[1:], [len(at)]]) - 1] + length if len(at) else at
 
-    def choose(self, keep: np.ndarray) -> None:
-        self.pos, self.row, self.hash, self.lo, self.hi = (x[keep] for x in (self.pos, self.row, self.hash, self.lo, self.hi))
-
-    def contexts(self) -> np.ndarray:
+        if bits is not None:
+            keep = _bit(bits, self.hash)
+            self.pos, self.row, self.hash, self.lo, self.hi = (x[keep] for x in (self.pos, self.row, self.hash, self.lo, self.hi))
         clip = ((self.pos - self.lo) << 32 | (self.hi - self.pos)).astype(np.uint64)
-        return tx.mix(tx.span_hash(self.prefix, self.lo, self.hi) + clip * tx.WORD_CODE[3])
+        self.context = tx.mix(tx.span_hash(prefix, self.lo, self.hi) + clip * tx.WORD_CODE[3])
 
 
 def _bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -218,16 +220,23 @@ def _rows(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """(doc_id, runs binary): sorted disjoint int64 pairs of byte ranges that repeat a smaller document."""
     sc, n = docs.sparkSession.sparkContext, buckets_for(docs)
-    rows = _rows(docs)
+    rows = texts(_rows(docs))
 
-    def anchors(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, Anchors]]:
-        ids = _ids(batch)
-        for a, b, data, offsets in tx.slices(batch.column("text")):
-            found = Anchors(data, offsets, length, k)
-            if bits is not None:
-                found.choose(_bit(bits, found.hash))
-            if len(found.pos):
-                yield ids[a:b], found
+    def anchors(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[list[tuple[np.ndarray, Anchors]]]:
+        """Anchors of a few slices of text at a time, so that what a task holds doesn't follow the batch."""
+        held, n = [], 0
+        for batch in batches:
+            ids = _ids(batch)
+            for a, b, data, offsets in tx.slices(batch.column("text")):
+                found = Anchors(data, offsets, length, k, bits)
+                if len(found.pos):
+                    held.append((ids[a:b], found))
+                    n += len(found.pos)
+                if n >= _HELD or len(held) >= 16:
+                    yield held
+                    held, n = [], 0
+        if held:
+            yield held
 
     def packed(kind: int, buckets: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(buckets), pa.int32()), pa.array([b for b, _ in buckets], pa.int32()), pa.array([x for _, x in buckets], pa.binary())], ["kind", "bucket", "data"])
@@ -239,46 +248,50 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
 
     schema = "kind int, bucket int, data binary"
 
-    # 1: each anchor hash once for each document, at most twice for each batch
+    # 1: the top 40 bits of each anchor hash, once for each document and at most twice for each run of slices
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [(f.hash, ids[f.row]) for ids, f in anchors(batch)]
-            if seen:
-                h, d = (np.concatenate(x) for x in zip(*seen, strict=True))
-                order = np.lexsort((d, h))
-                h, d = h[order], d[order]
-                same = h[1:] == h[:-1]
-                one = np.concatenate([[True], ~same | (d[1:] != d[:-1])])
-                h = h[one]
-                again = np.concatenate([[False, False], (h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])])[: len(h)]
-                yield dealt(0, h[~again])
+        for held in anchors(batches):
+            h, d = (np.concatenate(x) for x in zip(*((f.hash >> np.uint64(24), ids[f.row]) for ids, f in held), strict=True))
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])]
+            again = np.zeros(len(h), bool)
+            again[2:] = (h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])
+            h = h[~again]
+            order, edge = _deal(h << np.uint64(24), n)
+            raw = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :5])
+            yield packed(0, [(i, raw[edge[i] : edge[i + 1]].tobytes()) for i in range(n) if edge[i] < edge[i + 1]])
 
     def twice(part: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in part["data"]])
+        raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in part["data"]])
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        h = wide.view(np.uint64)[:, 0]
         h.sort()
-        return _packed_bits(h[1:][h[1:] == h[:-1]])
+        return _packed_bits(h[1:][h[1:] == h[:-1]] << np.uint64(24))
 
     repeated = sc.broadcast(_bitmap(rows.mapInArrow(count, schema).groupBy("bucket").applyInPandas(twice, "bits binary")))
 
-    # 2: covered at once where the batch has a smaller document with the same context; else sent on
+    # 2: covered at once where a smaller document nearby has the same context (kind 1); else sent on (kind 2)
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [(f.hash, f.contexts(), ids[f.row], f.pos - f.offsets[f.row], f.lo - f.offsets[f.row], f.hi - f.offsets[f.row]) for ids, f in anchors(batch, repeated.value)]
-            if parts:
-                h, c, d, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((d, c, h))
-                h, c, d, pos, lo, hi = (x[order] for x in (h, c, d, pos, lo, hi))
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-                least = d[new][np.cumsum(new) - 1]
-                done = (d > least) & (hi - lo >= length)
-                yield packed(1, _by_document(d[done], lo[done], hi[done], n))
-                rest = d == least
-                yield dealt(2, h[rest], c[rest].view(np.int64), d[rest], lo[rest] << 32 | (hi - lo)[rest])
-
-    settled = written(rows.mapInArrow(settle, schema), "settled")
+        for held in anchors(batches, repeated.value):
+            parts = [(f.hash, f.context, ids[f.row], f.pos - f.offsets[f.row], f.lo - f.offsets[f.row], f.hi - f.offsets[f.row]) for ids, f in held]
+            h, c, d, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((d, c, h))
+            h, c, d, pos, lo, hi = (x[order] for x in (h, c, d, pos, lo, hi))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            least = d[new][np.cumsum(new) - 1]
+            done = d > least
+            yield packed(1, _by_document(d[done], lo[done], hi[done], n))
+            rest = ~done
+            yield dealt(2, h[rest], c[rest].view(np.int64), d[rest], lo[rest] << 32 | (hi - lo)[rest])
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        """Bits of the anchors that stay open, and what is covered now."""
+        """Bits of the anchors that stay open, and what is covered: found here, or nearby before."""
+        rows = [(None, b, x) for b, x in part.loc[part["kind"] == 1, ["bucket", "data"]].itertuples(index=False)]
+        part = part[part["kind"] == 2]
+        if not len(part):
+            return pd.DataFrame(rows, columns=["bits", "bucket", "data"])
         h, c, d, at = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in part["data"]]).T
         order = np.lexsort((d, c, h))
         h, c, d, at = (x[order] for x in (h, c, d, at))
@@ -286,32 +299,41 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
         new = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         least = d[new][np.cumsum(new) - 1]
         lo, hi = at >> 32, (at >> 32) + (at & 0xFFFFFFFF)
-        done = (d > least) & (hi - lo >= length)
+        done = d > least
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new) > 1
-        rows = [(None, *x) for x in _by_document(d[done], lo[done], hi[done], n)]
+        rows += [(None, *x) for x in _by_document(d[done], lo[done], hi[done], n)]
         rows.append((_packed_bits(h[several[group]].view(np.uint64))["bits"][0], None, None))
         return pd.DataFrame(rows, columns=["bits", "bucket", "data"])
 
-    compared = written(settled.where("kind = 2").groupBy("bucket").applyInPandas(compare, "bits binary, bucket int, data binary"), "compared")
+    compared = written(rows.mapInArrow(settle, schema).groupBy("bucket").applyInPandas(compare, "bits binary, bucket int, data binary"), "compared")
     open_bits = sc.broadcast(_bitmap(compared.where("bits is not null").select("bits")))
 
     # 3: the contexts of anchors that have several, to the merge of transforms
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        press = zstandard.ZstdCompressor(level=1)
+        for held in anchors(batches, open_bits.value):
             rows, least = [], {}
-            for ids, f in anchors(batch, open_bits.value):
+            for ids, f in held:
                 raw, at = f.data.tobytes(), f.offsets[f.row]
-                bucket = ((f.hash >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-                for x in zip(bucket.tolist(), f.hash.view(np.int64).tolist(), ids[f.row].tolist(), (f.lo - at).tolist(), [raw[i:j] for i, j in zip(f.lo.tolist(), f.hi.tolist(), strict=True)], strict=True):
+                for x in zip(f.hash.tolist(), ids[f.row].tolist(), (f.lo - at).tolist(), [raw[i:j] for i, j in zip(f.lo.tolist(), f.hi.tolist(), strict=True)], strict=True):
                     rows.append(x)
-                    least[x[4]] = min(x[2], least.get(x[4], x[2]))
-            rows = [x for x in rows if x[2] == least[x[4]]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "anchor", "doc_id", "lo", "context"])
+                    least[x[3]] = min(x[1], least.get(x[3], x[1]))
+            rows = sorted(x for x in rows if x[1] == least[x[3]])
+            h, d, lo, s = zip(*rows, strict=True)
+            table = np.stack([np.array(h, np.uint64).view(np.int64), np.array(d), np.array(lo), np.fromiter(map(len, s), np.int64, len(s))])
+            _, edge = _deal(table[0].view(np.uint64), n)
+            yield packed(3, [(i, press.compress(np.int64(b - a).tobytes() + table[:, a:b].tobytes() + b"".join(s[a:b]))) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if a < b])
+
+    def unpacked(data: bytes) -> pd.DataFrame:
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        m = int(np.frombuffer(raw, np.int64, 1)[0])
+        h, d, lo, size = np.frombuffer(raw, np.int64, 4 * m, 8).reshape(4, m)
+        at = 8 + 32 * m + np.concatenate([[0], np.cumsum(size)])
+        return pd.DataFrame({"anchor": h, "doc_id": d, "lo": lo, "context": [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["anchor", "doc_id"], kind="stable")
+        part = pd.concat([unpacked(x) for x in part["data"]]).sort_values(["anchor", "doc_id"], kind="stable")
         code, strings = pd.factorize(part["context"])  # in order by anchor: one context, one anchor
         doc, lo, anchor = (part[c].to_numpy(np.int64) for c in ("doc_id", "lo", "anchor"))
         owner = np.full(len(strings), np.iinfo(np.int64).max)
@@ -333,7 +355,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
         a = (hits["lo"] + hits["o"]).to_numpy(np.int64)
         return pd.DataFrame(_by_document(hits["d"].to_numpy(np.int64), a, a + length, n), columns=["bucket", "data"])
 
-    merged = rows.mapInArrow(extract, "bucket int, anchor long, doc_id long, lo long, context binary").groupBy("bucket").applyInPandas(merge, "bucket int, data binary")
+    merged = rows.mapInArrow(extract, schema).groupBy("bucket").applyInPandas(merge, "bucket int, data binary")
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
         d, a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["data"]]).T
@@ -345,7 +367,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             out.append((int(d[i]), np.stack(_merge_runs(a[i:j], b[i:j]), axis=1).tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "runs"])
 
-    ranges = settled.where("kind = 1").select("bucket", "data").unionByName(compared.where("data is not null").select("bucket", "data")).unionByName(merged)
+    ranges = compared.where("data is not null").select("bucket", "data").unionByName(merged)
     return ranges.groupBy("bucket").applyInPandas(gather, "doc_id long, runs binary")
 
 
