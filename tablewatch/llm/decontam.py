@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
+from .session import texts
 
 #: A slice of the benchmark holds at most so many bytes of text; longer benchmarks are scanned for slice by slice.
 SLICE_BYTES = 16 << 20
@@ -110,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slice_
     words. Items without words, or with a null item_id, are in no document; repeated items count once
     for each distinct id. A null doc_id is carried along. Further columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     out = "doc_id long, text string, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
     run, words = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
     for items in _slices(benchmark, slice_bytes):
@@ -152,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, drop_s
     """
     order, kinds = docs.columns, dict(docs.dtypes)
     shared = list(_slices(benchmark, SLICE_BYTES))
-    rows = docs
+    rows = texts(docs)
     for items in shared:
         held = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
 

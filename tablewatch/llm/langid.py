@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
+from .session import texts
 
 LONGEST_PIECE, LONGEST_WORD = 12, 40
 #: The sample: about so many documents of each language, spread by a hash of doc_id, and as many languages at most.
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = shared.value.score(batch.column("text").slice(a, b - a), data, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())
+    rows = texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("held_out", held_out())
     return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -245,4 +246,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 langs, scores = shared.value.score(part.column("text"), data, offsets)
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(choose, ", ".join(f"`{c}` {kinds[c]}" for c in order))
+    return texts(docs).mapInArrow(choose, ", ".join(f"`{c}` {kinds[c]}" for c in order))

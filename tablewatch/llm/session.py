@@ -32,6 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, whose rows may be long texts, to be sent to Python in batches of at most 1,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > 1000:
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
@@ -39,4 +47,4 @@ def input_partitions(df: DataFrame) -> int:
 def buckets_for(df: DataFrame) -> int:
     """So many hash buckets that each stays small: they follow the number of input splits."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 2 * input_partitions(df))
+    return max(shuffle, 6 * input_partitions(df))

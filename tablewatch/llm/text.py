@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

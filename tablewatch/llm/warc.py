@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .session import fresh_dir, written
+from .session import fresh_dir, texts, written
 
 VERSION = b"WARC/1.1\r\n"
 #: A file is closed once it reaches this size.
@@ -156,7 +156,7 @@ def write_responses(pages: DataFrame, folder: str | None = None, date: str = "20
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array(out.files, pa.string())], ["path"])
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = texts(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return written(rows.mapInArrow(write, "path string"), "response-files")
 
 
