@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
 from .components import components
-from .session import written
+from .session import texts, written
 
 #: Probability below 1e-5 of missing a pair that lies exactly on a similarity of 0.8.
 COORDINATES, THRESHOLD, BLOCK = 64, 36, 512
@@ -119,8 +119,26 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "sx", "sy").mapInArrow(check, "a long, b long")
 
 
-def _agreeing(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+def _packed(sig: str, coordinates: int) -> list[Column]:
+    """Four bits of each coordinate, sixteen coordinates to a long."""
+    out = []
+    for at in range(0, coordinates, 16):
+        x = F.lit(0).cast("long")
+        for j in range(at, min(at + 16, coordinates)):
+            x = x.bitwiseOR(F.shiftleft(F.get(sig, F.lit(j)).cast("long").bitwiseAND(F.lit(15)), 4 * (j - at)))
+        out.append(x.alias(f"p{at // 16}"))
+    return out
+
+
+def _agreeing(coordinates: int) -> Column:
+    """How many coordinates agree in four bits: at least as many as agree in whole."""
+    differ = F.lit(0)
+    for k in range(-(-coordinates // 16)):
+        x = F.col(f"xp{k}").bitwiseXOR(F.col(f"yp{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    return F.lit(coordinates) - differ
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -135,7 +153,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     doc_ids count as one document (with the union of their links). A null doc_id has no
     component and is kept. Further columns of ``docs`` are not read. An empty table gives no rows.
     """
-    signed = written(signatures(docs, width, coordinates), "signatures")
+    signed = written(signatures(texts(docs), width, coordinates), "signatures")
     linked = signed.where("doc_id is not null and key is not null")
     classes = written(linked.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
 
@@ -149,29 +167,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     postings = written(short.join(lists, "token"), "postings")
     nodes = postings.select(F.col("node").alias("doc_id")).distinct()
     sets = written(shingle_table(docs, nodes, width).dropDuplicates(["doc_id"]), "shingles")
-    sigs = classes.join(nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-    left, right = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-
-    def kept(pairs: DataFrame) -> DataFrame:
-        """Pairs that agree in enough coordinates and are not too different in size."""
-        sides = pairs.join(left, "a").join(right, "b")
-        near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("agree") >= threshold)
-        return sides.withColumn("agree", _agreeing("sig_a", "sig_b")).where(near)
-
-    # first round: the leader that agrees best
-    stars = kept(postings.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+    packs = [f"p{k}" for k in range(-(-coordinates // 16))]
+    probes = written(classes.join(nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "n", *_packed("sig", coordinates)), "probes")
+    side = lambda name, x: probes.select(F.col("node").alias(name), F.col("n").alias(f"{x}n"), *[F.col(p).alias(f"{x}{p}") for p in packs])
+    near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (_agreeing(coordinates) >= threshold)
+
+    # first round: the leader that most lists of a document have in common with it
+    stars = postings.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("met"))
+    stars = stars.groupBy("node").agg(F.max_by("leader", F.struct("met", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
+    stars = stars.join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")
     first = written(_confirm(stars, sets, percent), "links")
     joined = components(first)
 
-    # second round: pairs of one list that are still apart
+    # second round: pairs of one list that are still apart, probed where they meet
     apart = postings.join(joined.select("node", "component"), "node", "left").select("token", "node", "freq", F.coalesce("component", "node").alias("c"))
     split = apart.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    dealt = apart.join(split, "token").withColumn("blocks", F.ceil(F.col("freq") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    x = dealt.select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    y = dealt.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
-    pairs = x.join(y, ["token", "i", "j"]).where("ca <> cb and (i < j or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _confirm(kept(pairs).select("a", "b"), sets, percent)
+    dealt = apart.join(split, "token").withColumn("blocks", F.ceil(F.col("freq") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).join(probes, "node")
+    half = lambda name, x: [F.col("node").alias(name), F.col("c").alias(f"{x}c"), F.col("n").alias(f"{x}n"), *[F.col(p).alias(f"{x}{p}") for p in packs]]
+    x = dealt.select("token", *half("a", "x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    y = dealt.select("token", *half("b", "y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
+    apart_pair = F.col("xc") != F.col("yc")
+    keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("token", "i", "j")]
+    pairs = x.alias("l").join(y.alias("r"), keys + [apart_pair & ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & near])
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = _confirm(pairs, sets, percent)
 
     same_id = linked.join(classes.select("key", "node"), "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     more = same_id.select(F.col("low").alias("a"), F.col("high").alias("b"))
