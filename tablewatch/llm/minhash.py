@@ -10,9 +10,14 @@ fills a place of the prefix, which removes most documents at once. *Skip*: the f
 of the postings are never merged; they are probed in the signatures of the pairs that the short lists
 brought together. Kept pairs are confirmed on the full shingle sets.
 
-Links matter only as far as they join components. So the first round compares each document with one
-leader of its posting lists, and the second takes from each list only pairs that the first left in
-different components. Lists are dealt in blocks of ``block`` documents, so none must fit in one task.
+Links matter only as far as they join components. So the first round compares each document with two
+leaders of its posting lists, and the second takes from each list only pairs that the first left in
+different components, each pair in the first list it shares. A list's leader is the document whose signature is the
+most common in its coordinates: the text that others were copied from, rather than one of the copies. Lists are
+dealt in blocks of ``block`` documents, so none must fit in one task.
+
+Pairs are probed where they meet, in ``PROBE`` coordinates of four bits each, which tell links from pairs a little
+below the similarity better than the posted ones do.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from .session import texts, written
 
 #: Probability below 1e-5 of missing a pair that lies exactly on a similarity of 0.8.
 COORDINATES, THRESHOLD, BLOCK = 64, 36, 512
+PROBE = 256
 _FILTER_BITS = 24
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -82,7 +88,7 @@ def member_bits(ids: DataFrame) -> bytes:
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles binary) of the documents in ``ids``; the text itself is not shuffled."""
+    """(doc_id, n, probe, shingles binary) of the documents in ``ids``; the text itself is not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(member_bits(ids))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +100,12 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             chosen = batch.filter(pa.array(hit.astype(bool)))
             for a, b, data, offsets in tx.slices(chosen.column("text")):
-                sets = [s.tobytes() for s in tx.shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([chosen.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets = list(tx.shingle_sets(data, offsets, width))
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([probe(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([chosen.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n", "probe", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _slot(F.col("doc_id").cast("long")).alias("slot")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(make, "doc_id long, shingles binary").join(ids, "doc_id", "left_semi")
+    return rows.mapInArrow(make, "doc_id long, n long, probe array<long>, shingles binary").join(ids, "doc_id", "left_semi")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -119,26 +126,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "sx", "sy").mapInArrow(check, "a long, b long")
 
 
-def _packed(sig: str, coordinates: int) -> list[Column]:
-    """Four bits of each coordinate, sixteen coordinates to a long."""
-    out = []
-    for at in range(0, coordinates, 16):
-        x = F.lit(0).cast("long")
-        for j in range(at, min(at + 16, coordinates)):
-            x = x.bitwiseOR(F.shiftleft(F.get(sig, F.lit(j)).cast("long").bitwiseAND(F.lit(15)), 4 * (j - at)))
-        out.append(x.alias(f"p{at // 16}"))
-    return out
+def probe(shingles: np.ndarray) -> np.ndarray:
+    """Four bits of each of ``PROBE`` coordinates, sixteen to a long."""
+    nibbles = (signature(shingles, PROBE).view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(-1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
 
 
-def _agreeing(coordinates: int) -> Column:
-    """How many coordinates agree in four bits: at least as many as agree in whole."""
+def _agreeing() -> Column:
+    """In how many coordinates the probes xp and yp agree."""
     differ = F.lit(0)
-    for k in range(-(-coordinates // 16)):
-        x = F.col(f"xp{k}").bitwiseXOR(F.col(f"yp{k}"))
+    for k in range(PROBE // 16):
+        x = F.get("xp", F.lit(k)).bitwiseXOR(F.get("yp", F.lit(k)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(x)
-    return F.lit(coordinates) - differ
+    return F.lit(PROBE) - differ
+
+
+def probe_threshold(percent: int) -> int:
+    """4.6 standard deviations below what a pair on the similarity agrees in; four bits agree by chance in 1 of 16."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(PROBE * p - 4.6 * (PROBE * p * (1 - p)) ** 0.5)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -155,40 +163,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     """
     signed = written(signatures(texts(docs), width, coordinates), "signatures")
     linked = signed.where("doc_id is not null and key is not null")
-    classes = written(linked.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    classes = written(linked.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
 
     # postings under (coordinate, value) pairs that at least two classes hold; the rarest first
     posted = classes.select("node", F.posexplode("sig").alias("j", "v")).select("node", F.shiftleft(F.col("j").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     prefix = coordinates - threshold + 1
     own = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("own")).where(F.size("own") >= threshold)
-    short = own.select("node", F.explode(F.slice("own", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("own")))).alias("p")).select("node", F.col("p.token").alias("token"))
-    lists = short.groupBy("token").agg(F.count("*").alias("freq"), F.min("node").alias("leader")).where("freq > 1")
-    postings = written(short.join(lists, "token"), "postings")
+    own = own.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda sum_, p: sum_ + p["freq"]))
+    short = own.select("node", "weight", F.explode(F.slice("own", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("own")))).alias("p")).select("node", "weight", F.col("p.token").alias("token"))
+    lead = F.max(F.struct("weight", (-F.col("node")).alias("order"), F.col("node").alias("leader")))
+    lists = short.groupBy("token").agg(F.count("*").alias("freq"), lead.alias("lead")).where("freq > 1").select("token", "freq", "lead.leader", F.col("lead.weight").alias("lead_weight"))
+    postings = written(short.select("node", "token").join(lists, "token"), "postings")
     nodes = postings.select(F.col("node").alias("doc_id")).distinct()
     sets = written(shingle_table(docs, nodes, width).dropDuplicates(["doc_id"]), "shingles")
-    packs = [f"p{k}" for k in range(-(-coordinates // 16))]
-    probes = written(classes.join(nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "n", *_packed("sig", coordinates)), "probes")
-    side = lambda name, x: probes.select(F.col("node").alias(name), F.col("n").alias(f"{x}n"), *[F.col(p).alias(f"{x}{p}") for p in packs])
-    near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (_agreeing(coordinates) >= threshold)
-
-    # first round: the leader that most lists of a document have in common with it
-    stars = postings.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("met"))
-    stars = stars.groupBy("node").agg(F.max_by("leader", F.struct("met", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
+    side = lambda name, x: sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"{x}n"), F.col("probe").alias(f"{x}p"))
+    near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (_agreeing() >= probe_threshold(percent))
+
+    # first round: the leader that most lists of a document have in common with it, and the weightiest
+    stars = postings.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("met"), F.max("lead_weight").alias("weight"))
+    stars = stars.groupBy("node").agg(F.max_by("leader", F.struct("met", "weight", "leader")).alias("most"), F.max_by("leader", F.struct("weight", "met", "leader")).alias("top"))
+    stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("most", "top"))).alias("a"))
     stars = stars.join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")
     first = written(_confirm(stars, sets, percent), "links")
     joined = components(first)
 
-    # second round: pairs of one list that are still apart, probed where they meet
+    # second round: pairs of one list that are still apart, probed where they meet, in the first list they share
     apart = postings.join(joined.select("node", "component"), "node", "left").select("token", "node", "freq", F.coalesce("component", "node").alias("c"))
     split = apart.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    dealt = apart.join(split, "token").withColumn("blocks", F.ceil(F.col("freq") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).join(probes, "node")
-    half = lambda name, x: [F.col("node").alias(name), F.col("c").alias(f"{x}c"), F.col("n").alias(f"{x}n"), *[F.col(p).alias(f"{x}{p}") for p in packs]]
+    left = written(apart.join(split, "token").withColumn("code", F.hash("token")), "apart")
+    codes = left.groupBy("node").agg(F.collect_set("code").alias("codes"))
+    known = codes.join(sets.select(F.col("doc_id").alias("node"), "n", "probe"), "node")
+    dealt = left.withColumn("blocks", F.ceil(F.col("freq") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).join(known, "node")
+    half = lambda name, x: ["code", F.col("node").alias(name), F.col("c").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("probe").alias(f"{x}p"), F.col("codes").alias(f"{x}codes")]
     x = dealt.select("token", *half("a", "x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
     y = dealt.select("token", *half("b", "y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
     apart_pair = F.col("xc") != F.col("yc")
+    first_shared = F.array_min(F.array_intersect("xcodes", "ycodes")) == F.col("l.code")
     keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("token", "i", "j")]
-    pairs = x.alias("l").join(y.alias("r"), keys + [apart_pair & ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & near])
+    pairs = x.alias("l").join(y.drop("code").alias("r"), keys + [apart_pair & ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & near & first_shared])
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = _confirm(pairs, sets, percent)
 
