@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, changes
+from . import audit, changes, review
 
-_MODULES = [audit, changes]
+_MODULES = [audit, changes, review]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
