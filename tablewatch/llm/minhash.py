@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
@@ -88,11 +89,15 @@ def member_bits(ids: DataFrame) -> bytes:
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, probe, shingles binary) of the documents in ``ids``; the text itself is not shuffled."""
+    """(doc_id, n, probe, packed binary) of the documents in ``ids``.
+
+    Confirmation needs full shingle sets. They are sent as the text that they come from, compressed: that is
+    a third of the bytes of a set of 64-bit hashes, which don't compress.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(member_bits(ids))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits, press = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             # bitmap_bucket_number counts from 1 for positive slots; slot 0 stands alone
             slot = batch.column("slot").to_numpy()
@@ -101,29 +106,45 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             chosen = batch.filter(pa.array(hit.astype(bool)))
             for a, b, data, offsets in tx.slices(chosen.column("text")):
                 sets = list(tx.shingle_sets(data, offsets, width))
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([probe(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([chosen.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n", "probe", "shingles"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([probe(s) for s in sets], pa.list_(pa.int64())), pa.array([press.compress(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([chosen.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n", "probe", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _slot(F.col("doc_id").cast("long")).alias("slot")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(make, "doc_id long, n long, probe array<long>, shingles binary").join(ids, "doc_id", "left_semi")
+    return rows.mapInArrow(make, "doc_id long, n long, probe array<long>, packed binary").join(ids, "doc_id", "left_semi")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union|."""
 
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * common >= percent * (len(both) - common)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("sx"), batch.column("sy"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * common >= percent * (len(both) - common)
+            keep, at = np.zeros(len(batch), bool), 0
+            a, xs, ys = batch.column("a").to_numpy(), batch.column("xz"), batch.column("yz")
+            while at < len(batch):  # about a slice of text at a time; rows come in order by a, whose text is unpacked once
+                begin, raws, of, size = at, [], [], 0
+                while at < len(batch) and size < tx.SLICE:
+                    if at == begin or a[at] != a[at - 1]:
+                        of_a = len(raws)
+                        raws.append(unpack(xs[at].as_py()))
+                        size += len(raws[-1])
+                    of.append((of_a, len(raws)))
+                    raws.append(unpack(ys[at].as_py()))
+                    size += len(raws[-1])
+                    at += 1
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+                full = list(tx.shingle_sets(np.frombuffer(b"".join(raws), np.uint8), offsets, width))
+                keep[begin:at] = [linked(full[i], full[j]) for i, j in of]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sx")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy")), "b")
-    return sides.select("a", "b", "sx", "sy").mapInArrow(check, "a long, b long")
+    sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("yz")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("xz")), "a")
+    return sides.select("a", "b", "xz", "yz").mapInArrow(check, "a long, b long")
 
 
 def probe(shingles: np.ndarray) -> np.ndarray:
@@ -185,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     stars = stars.groupBy("node").agg(F.max_by("leader", F.struct("met", "weight", "leader")).alias("most"), F.max_by("leader", F.struct("weight", "met", "leader")).alias("top"))
     stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("most", "top"))).alias("a"))
     stars = stars.join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")
-    first = written(_confirm(stars, sets, percent), "links")
+    first = written(_confirm(stars, sets, width, percent), "links")
     joined = components(first)
 
     # second round: pairs of one list that are still apart, probed where they meet, in the first list they share
@@ -203,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("token", "i", "j")]
     pairs = x.alias("l").join(y.drop("code").alias("r"), keys + [apart_pair & ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & near & first_shared])
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _confirm(pairs, sets, percent)
+    second = _confirm(pairs, sets, width, percent)
 
     same_id = linked.join(classes.select("key", "node"), "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     more = same_id.select(F.col("low").alias("a"), F.col("high").alias("b"))

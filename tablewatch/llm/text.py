@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE = 1 << 20
+SLICE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, _SLICE + 64)
+        size = max(n, SLICE + 64)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers = np.full(size, _BASE, np.uint64)
         _inverse = np.full(size, inverse, np.uint64)
@@ -67,7 +67,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) in runs of whole texts of about ``size`` bytes."""
     data, offsets = buffers(column)
     row, n = 0, len(column)
