@@ -3,6 +3,7 @@ import itertools
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -163,3 +164,15 @@ def test_language_id_on_held_out_rows(spark):
     assert np.mean([r.lang == r.lang_pred for r in found]) >= 0.95
     odd = spark.createDataFrame([(1, None), (2, "12 34 !"), (3, "the thing")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()} | {3: "x"} == {1: "und", 2: "und", 3: "x"}
+
+
+def test_pipeline_runs_as_a_whole(spark):
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
+    for _, part in packed.groupby("sequence_id"):
+        part = part.sort_values("offset")
+        assert part["offset"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]]
+        assert part["length"].sum() <= 2048
+    for _, part in packed.groupby("doc_id"):
+        part = part.sort_values("piece")
+        assert part["piece"].tolist() == list(range(len(part)))
+        assert part["start"].tolist() == [2048 * i for i in range(len(part))]
