@@ -12,7 +12,10 @@ cut into pieces that tasks can hold, without losing a match:
 2. Anchors met once are dropped by a bitmap of fixed size (false hits only cost time).
 3. Contexts that are equal as a whole belong to their smallest document; the rest of them are
    covered. What stays open is the first holder of a context whose anchor has other contexts too.
-4. Those contexts are dealt by anchor hash. There every context is a shard with a transform of its own, and the
+   Contexts are dealt by their own hash here, so that an anchor with many is not one task's.
+4. Where an anchor has more than ``_CHUNK`` contexts (the edge of a passage that many documents hold, each after
+   other text), they are cut into their windows, dealt by digest: equal ones meet, whatever their anchor has.
+5. The other contexts are dealt by anchor hash. There every context is a shard with a transform of its own, and the
    shards' transforms are merged by refining their interleave, symbol by symbol, ``length`` times: then
    suffixes are in order by their first ``length`` bytes, and rows whose common prefix reaches
    ``length`` form the repeated intervals. No suffix of the merged set is compared or sorted again.
@@ -38,7 +41,7 @@ from .session import buckets_for, texts, written
 LENGTH, GRAM = 50, 22
 _BITS = 26
 _HELD = 1 << 18
-_CHUNK = 1 << 12  # contexts in a merge; more only where one anchor has more
+_CHUNK = 1 << 12  # contexts in a merge; anchors with more are compared by windows
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -90,18 +93,18 @@ def _bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _packed_bits(hashes: np.ndarray) -> pa.RecordBatch:
-    """Bit numbers of ``hashes``, as 32-bit numbers in one row."""
-    at = np.unique((hashes >> np.uint64(64 - _BITS)).astype(np.uint32))
-    return pd.DataFrame({"bits": [at.tobytes()]})
+def _packed_bits(hashes: np.ndarray) -> bytes:
+    """Bit numbers of ``hashes``, as 32-bit numbers."""
+    return np.unique((hashes >> np.uint64(64 - _BITS)).astype(np.uint32)).tobytes()
 
 
-def _bitmap(df: DataFrame) -> np.ndarray:
-    """A bitmap of 8 MB at most, whatever the input: each row names bits, and the rows are folded in turn."""
-    bits = np.zeros(1 << (_BITS - 3), np.uint8)
+def _bitmaps(df: DataFrame) -> list[np.ndarray]:
+    """For each column a bitmap of 8 MB at most, whatever the input: rows name bits, and are folded in turn."""
+    bits = [np.zeros(1 << (_BITS - 3), np.uint8) for _ in df.columns]
     for row in df.toLocalIterator():
-        at = np.frombuffer(row.bits, np.uint32)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for b, x in zip(bits, row, strict=True):
+            at = np.frombuffer(x, np.uint32)
+            np.bitwise_or.at(b, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits
 
 
@@ -112,6 +115,39 @@ def _deal(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def _dealt(hashes: np.ndarray, columns: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
+    """Rows (bucket, packed rows of hash and columns)."""
+    order, edge = _deal(hashes, n)
+    table = np.stack([hashes.view(np.int64), *columns])[:, order]
+    return [(i, np.ascontiguousarray(table[:, edge[i] : edge[i + 1]].T).tobytes()) for i in range(n) if edge[i] < edge[i + 1]]
+
+
+def _unpacked(parts: pd.Series, width: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, np.int64).reshape(-1, width) for x in parts]).T
+
+
+def _windows(rows: list[tuple[int, int, int, bytes]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(half of the digest, other half, doc_id, start) of all windows of contexts, some ``_HELD`` at a time."""
+    digests, docs, starts = [], [], []
+    for i, (_, d, lo, s) in enumerate(rows, 1):
+        m = len(s) - length + 1
+        digests += [hashlib.blake2b(s[j : j + length], digest_size=16).digest() for j in range(m)]
+        docs += [d] * m
+        starts += range(lo, lo + m)
+        if digests and (len(digests) >= _HELD or i == len(rows)):
+            x, y = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+            yield np.ascontiguousarray(x), y, np.array(docs), np.array(starts)
+            digests, docs, starts = [], [], []
+
+
+def _covered_later(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (x, y, doc), and which rows of it have an equal (x, y) in a smaller document."""
+    order = np.lexsort((d, y, x))
+    x, y, d = x[order], y[order], d[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return order, d > d[new][np.cumsum(new) - 1]
+
+
 def _merge_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges sorted and joined where they touch."""
     if not len(a):
@@ -242,9 +278,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(buckets), pa.int32()), pa.array([b for b, _ in buckets], pa.int32()), pa.array([x for _, x in buckets], pa.binary())], ["kind", "bucket", "data"])
 
     def dealt(kind: int, hashes: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        order, edge = _deal(hashes, n)
-        table = np.stack([hashes.view(np.int64), *columns])[:, order]
-        return packed(kind, [(i, np.ascontiguousarray(table[:, edge[i] : edge[i + 1]].T).tobytes()) for i in range(n) if edge[i] < edge[i + 1]])
+        return packed(kind, _dealt(hashes, columns, n))
 
     schema = "kind int, bucket int, data binary"
 
@@ -268,9 +302,9 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
         wide[:, :5] = raw
         h = wide.view(np.uint64)[:, 0]
         h.sort()
-        return _packed_bits(h[1:][h[1:] == h[:-1]] << np.uint64(24))
+        return pd.DataFrame({"bits": [_packed_bits(h[1:][h[1:] == h[:-1]] << np.uint64(24))]})
 
-    repeated = sc.broadcast(_bitmap(rows.mapInArrow(count, schema).groupBy("bucket").applyInPandas(twice, "bits binary")))
+    repeated = sc.broadcast(_bitmaps(rows.mapInArrow(count, schema).groupBy("bucket").applyInPandas(twice, "bits binary"))[0])
 
     # 2: covered at once where a smaller document nearby has the same context (kind 1); else sent on (kind 2)
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,30 +318,33 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             done = d > least
             yield packed(1, _by_document(d[done], lo[done], hi[done], n))
             rest = ~done
-            yield dealt(2, h[rest], c[rest].view(np.int64), d[rest], lo[rest] << 32 | (hi - lo)[rest])
+            yield dealt(2, c[rest], h[rest].view(np.int64), d[rest], lo[rest] << 32 | (hi - lo)[rest])
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        """Bits of the anchors that stay open, and what is covered: found here, or nearby before."""
-        rows = [(None, b, x) for b, x in part.loc[part["kind"] == 1, ["bucket", "data"]].itertuples(index=False)]
+        """What is covered (kind 1), found here or nearby before, and how many contexts are here of each anchor (kind 2)."""
+        rows = list(part.loc[part["kind"] == 1, ["kind", "bucket", "data"]].itertuples(index=False, name=None))
         part = part[part["kind"] == 2]
-        if not len(part):
-            return pd.DataFrame(rows, columns=["bits", "bucket", "data"])
-        h, c, d, at = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in part["data"]]).T
-        order = np.lexsort((d, c, h))
-        h, c, d, at = (x[order] for x in (h, c, d, at))
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-        least = d[new][np.cumsum(new) - 1]
-        lo, hi = at >> 32, (at >> 32) + (at & 0xFFFFFFFF)
-        done = d > least
-        group = np.cumsum(new_h) - 1
-        several = np.bincount(group, new) > 1
-        rows += [(None, *x) for x in _by_document(d[done], lo[done], hi[done], n)]
-        rows.append((_packed_bits(h[several[group]].view(np.uint64))["bits"][0], None, None))
-        return pd.DataFrame(rows, columns=["bits", "bucket", "data"])
-
-    compared = written(rows.mapInArrow(settle, schema).groupBy("bucket").applyInPandas(compare, "bits binary, bucket int, data binary"), "compared")
-    open_bits = sc.broadcast(_bitmap(compared.where("bits is not null").select("bits")))
+        if len(part):
+            c, h, d, at = _unpacked(part["data"], 4)
+            order, done = _covered_later(c, h, d)
+            c, h, d, at = (x[order] for x in (c, h, d, at))
+            new = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
+            lo, hi = at >> 32, (at >> 32) + (at & 0xFFFFFFFF)
+            rows += [(1, *x) for x in _by_document(d[done], lo[done], hi[done], n)]
+            anchor, met = np.unique(h[new].view(np.uint64), return_counts=True)
+            rows += [(2, *x) for x in _dealt(anchor, [met], n)]
+        return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
+
+    def several(part: pd.DataFrame) -> pd.DataFrame:
+        """Bits of the anchors that stay open, and of those with too many contexts for a merge."""
+        h, met = _unpacked(part["data"], 2)
+        anchor, at = np.unique(h.view(np.uint64), return_inverse=True)
+        met = np.bincount(at, met)
+        return pd.DataFrame({"bits": [_packed_bits(anchor[met > 1])], "many": [_packed_bits(anchor[met > _CHUNK])]})
+
+    compared = written(rows.mapInArrow(settle, schema).groupBy("bucket").applyInPandas(compare, schema), "compared")
+    contexts = compared.where("kind = 2").groupBy("bucket").applyInPandas(several, "bits binary, many binary")
+    open_bits, many_bits = (sc.broadcast(x) for x in _bitmaps(contexts))
 
     # 3: the contexts of anchors that have several, to the merge of transforms
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,6 +357,15 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
                     rows.append(x)
                     least[x[3]] = min(x[1], least.get(x[3], x[1]))
             rows = sorted(x for x in rows if x[1] == least[x[3]])
+            many = _bit(many_bits.value, np.array([x[0] for x in rows], np.uint64)).tolist()
+            for x, y, d, at in _windows([r for r, m in zip(rows, many, strict=True) if m], length):
+                order, done = _covered_later(x, y, d)
+                x, y, d, at = (v[order] for v in (x, y, d, at))
+                yield packed(1, _by_document(d[done], at[done], at[done] + length, n))
+                yield dealt(4, x[~done].view(np.uint64), y[~done], d[~done], at[~done])
+            rows = [r for r, m in zip(rows, many, strict=True) if not m]
+            if not rows:
+                continue
             h, d, lo, s = zip(*rows, strict=True)
             table = np.stack([np.array(h, np.uint64).view(np.int64), np.array(d), np.array(lo), np.fromiter(map(len, s), np.int64, len(s))])
             _, edge = _deal(table[0].view(np.uint64), n)
@@ -333,6 +379,15 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
         return pd.DataFrame({"anchor": h, "doc_id": d, "lo": lo, "context": [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
+        rows = list(part.loc[part["kind"] == 1, ["bucket", "data"]].itertuples(index=False, name=None))
+        if len(windows := part[part["kind"] == 4]):
+            x, y, d, at = _unpacked(windows["data"], 4)
+            order, done = _covered_later(x, y, d)
+            d, at = d[order][done], at[order][done]
+            rows += _by_document(d, at, at + length, n)
+        part = part[part["kind"] == 3]
+        if not len(part):
+            return pd.DataFrame(rows, columns=["bucket", "data"])
         part = pd.concat([unpacked(x) for x in part["data"]]).sort_values(["anchor", "doc_id"], kind="stable")
         code, strings = pd.factorize(part["context"])  # in order by anchor: one context, one anchor
         doc, lo, anchor = (part[c].to_numpy(np.int64) for c in ("doc_id", "lo", "anchor"))
@@ -353,7 +408,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
         first = doc == owner[code]
         hits = pd.DataFrame({"s": string, "o": offset}).merge(pd.DataFrame({"s": code[first], "d": doc[first], "lo": lo[first]}), on="s")
         a = (hits["lo"] + hits["o"]).to_numpy(np.int64)
-        return pd.DataFrame(_by_document(hits["d"].to_numpy(np.int64), a, a + length, n), columns=["bucket", "data"])
+        return pd.DataFrame(rows + _by_document(hits["d"].to_numpy(np.int64), a, a + length, n), columns=["bucket", "data"])
 
     merged = rows.mapInArrow(extract, schema).groupBy("bucket").applyInPandas(merge, "bucket int, data binary")
 
@@ -367,7 +422,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             out.append((int(d[i]), np.stack(_merge_runs(a[i:j], b[i:j]), axis=1).tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "runs"])
 
-    ranges = compared.where("data is not null").select("bucket", "data").unionByName(merged)
+    ranges = compared.where("kind = 1").select("bucket", "data").unionByName(merged)
     return ranges.groupBy("bucket").applyInPandas(gather, "doc_id long, runs binary")
 
 

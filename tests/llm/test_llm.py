@@ -66,6 +66,25 @@ def test_merged_transforms_find_repeated_windows():
     assert found == expected
 
 
+def test_a_passage_after_many_texts_stays_out_of_the_merge(spark, monkeypatch):
+    merged = suffix.repeated_windows
+
+    def bounded(strings, owner, length):
+        assert len(strings) <= 8
+        return merged(strings, owner, length)
+
+    monkeypatch.setattr(suffix, "_CHUNK", 8)
+    monkeypatch.setattr(suffix, "repeated_windows", bounded)
+    passage = " ".join(f"shared{i * i}" for i in range(30))
+    text = [(i, hashlib.sha512(bytes([i])).hexdigest() + passage + hashlib.sha512(bytes([i, 1])).hexdigest()) for i in range(1, 61)]
+    rows = spark.createDataFrame(text, "doc_id long, text string").repartition(7)
+    first, expected = {}, {}
+    for i, t in text:
+        starts = [p for p in range(len(t) - 49) if first.setdefault(t[p : p + 50], i) < i]
+        expected[i] = [(starts[0], starts[-1] + 50)] if starts else []
+    assert {r.doc_id: [(s.a, s.b) for s in r.spans] for r in suffix.repeats(rows).collect()} == expected
+
+
 def test_decontamination_slices_add_up(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "short item"), (3, None), (4, "l m n o p q r s t u")], "item_id long, text string")
     text = [(1, "x A b c d e f g h i j, k y short Item z"), (2, None), (3, "l m n o p q r s t u"), (4, "clean")]
