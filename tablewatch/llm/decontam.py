@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .session import texts
+from .session import texts, written
 
 #: A slice of the benchmark holds at most so many bytes of text; longer benchmarks are scanned for slice by slice.
 SLICE_BYTES = 16 << 20
@@ -98,6 +98,39 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, slice_bytes: int) -> DataFrame:
+    """``docs`` with what all slices of the benchmark together hit: _words, _runs (of words), _items, _spans (of bytes).
+
+    Between slices the rows are written, so that one slice at a time is broadcast.
+    """
+    spark, out = docs.sparkSession, texts(docs)
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_words long, _runs array<struct<a:long,b:long>>, _items array<string>, _spans array<struct<a:long,b:long>>"])
+    run, words = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
+    shared = None
+    for items in _slices(benchmark, slice_bytes):
+        if shared:
+            out = texts(written(out, "scanned"))
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(Windows(items, width))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, data, offsets in tx.slices(batch.column("text")):
+                    part, found = batch.slice(a, b - a), list(shared.value.scan(data, offsets))
+                    n, runs, items, spans = (list(x) for x in zip(*found, strict=True))
+                    if "_runs" in batch.schema.names:  # what earlier slices found
+                        pairs = lambda name: [[(s["a"], s["b"]) for s in x] for x in part.column(name).to_pylist()]
+                        runs = [_union(x + y) for x, y in zip(runs, pairs("_runs"), strict=True)]
+                        spans = [_union(x + y) for x, y in zip(spans, pairs("_spans"), strict=True)]
+                        items = [x | set(y) for x, y in zip(items, part.column("_items").to_pylist(), strict=True)]
+                        part = part.select([c for c in part.schema.names if c not in ("_words", "_runs", "_items", "_spans")])
+                    struct = lambda xs: pa.array([[{"a": i, "b": j} for i, j in x] for x in xs], run)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), struct(runs), pa.array([sorted(x) for x in items], words), struct(spans)], [*part.schema.names, "_words", "_runs", "_items", "_spans"])
+
+        out = out.mapInArrow(scan, kinds)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` and ``benchmark(item_id, text)`` to one row for each row of ``docs``:
     (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text, spans array<struct<a, b>>).
@@ -107,32 +140,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slice_
     a window are hit; spans are the hit runs as UTF-8 byte ranges of the text, ends excluded.
 
     What is broadcast holds at most ``slice_bytes`` of benchmark text; a longer benchmark takes one scan
-    for each slice, chained over the rows, so hits of all slices add up. Null and empty texts have no
+    for each slice, with the rows written between, so hits of all slices add up. Null and empty texts have no
     words. Items without words, or with a null item_id, are in no document; repeated items count once
     for each distinct id. A null doc_id is carried along. Further columns are not read.
     """
-    rows = texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    out = "doc_id long, text string, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
-    run, words = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
-    for items in _slices(benchmark, slice_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, data, offsets in tx.slices(batch.column("text")):
-                    part, rows = batch.slice(a, b - a), list(shared.value.scan(data, offsets))
-                    n, runs, items, spans = (list(x) for x in zip(*rows, strict=True))
-                    if "runs" in batch.schema.names:  # what earlier slices found
-                        pairs = lambda name: [[(s["a"], s["b"]) for s in x] for x in part.column(name).to_pylist()]
-                        runs = [_union(x + y) for x, y in zip(runs, pairs("runs"), strict=True)]
-                        spans = [_union(x + y) for x, y in zip(spans, pairs("spans"), strict=True)]
-                        items = [x | set(y) for x, y in zip(items, part.column("items").to_pylist(), strict=True)]
-                    struct = lambda xs: pa.array([[{"a": i, "b": j} for i, j in x] for x in xs], run)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n, pa.int64()), struct(runs), pa.array([sorted(x) for x in items], words), struct(spans)], ["doc_id", "text", "n_words", "runs", "items", "spans"])
-
-        rows = rows.mapInArrow(scan, out)
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "text", "spans")
+    rows = _scanned(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, width, slice_bytes)
+    hit = F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
+    return rows.select("doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "text", F.col("_spans").alias("spans"))
 
 
 def cut_spans(text: str | None, spans: list) -> str | None:
@@ -149,26 +163,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, drop_s
     """``docs`` with hit spans cut out of ``text``; documents with a ``drop_share`` of their words hit go.
 
     Keeps the columns of ``docs``. Documents without a hit stay as they are. doc_id need not be unique:
-    hits are found and cut row by row.
+    hits are found and cut row by row, on the whole text and for all of the benchmark at once, however
+    many slices it takes.
     """
     order, kinds = docs.columns, dict(docs.dtypes)
-    shared = list(_slices(benchmark, SLICE_BYTES))
-    rows = texts(docs)
-    for items in shared:
-        held = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
 
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = batch.schema.get_field_index("text")
-                for a, b, data, offsets in tx.slices(batch.column("text")):
-                    part, keep, texts = batch.slice(a, b - a), [], []
-                    column = part.column("text")
-                    for k, (n, runs, _, spans) in enumerate(held.value.scan(data, offsets)):
-                        hit = sum(j - i for i, j in runs)
-                        keep.append(not hit or hit < drop_share * n)
-                        texts.append(cut_spans(column[k].as_py(), [{"a": i, "b": j} for i, j in spans]) if hit else column[k].as_py())
-                    columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(part.columns)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
-
-        rows = rows.mapInArrow(clean, ", ".join(f"`{c}` {kinds[c]}" for c in order))
-    return rows
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, keep, cut = batch.schema.get_field_index("text"), [], []
+            for text, n, runs, spans in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("_words", "_runs", "_spans")), strict=True):
+                hit = sum(r["b"] - r["a"] for r in runs)
+                keep.append(not hit or hit < drop_share * n)
+                cut.append(cut_spans(text.as_py(), spans))
+            columns = [pa.array(cut, c.type) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).select(order).filter(pa.array(keep, pa.bool_()))
+
+    return _scanned(docs, benchmark, width, SLICE_BYTES).mapInArrow(clean, ", ".join(f"`{c}` {kinds[c]}" for c in order))

@@ -95,6 +95,17 @@ def test_decontamination_slices_add_up(spark):
     assert {r.doc_id for r in decontam.decontaminate(rows, items).collect()} == {2, 4}
 
 
+def test_documents_are_cut_and_judged_on_all_slices_at_once(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "c x y"), (4, "p q")], "item_id long, text string")
+    text = [(1, "a b c 1 d e f 2 3 4"), (2, "1 2 3 4 5 6 7 a b c x y"), (3, "1 2 3 p a b c q 4 5 6 7"), (4, None), (5, "clean")]
+    rows = spark.createDataFrame(text, "doc_id long, text string").withColumn("more", F.lit(1))
+    for limit in (1 << 20, 5):
+        monkeypatch.setattr(decontam, "SLICE_BYTES", limit)
+        found = decontam.decontaminate(rows, items, width=3)
+        assert found.columns == rows.columns
+        assert {r.doc_id: r.text for r in found.collect()} == {2: "1 2 3 4 5 6 7 ", 3: "1 2 3 p  q 4 5 6 7", 4: None, 5: "clean"}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_bulk_encoding_equals_the_library(name):
     import random
