@@ -50,19 +50,20 @@ def report(edges: DataFrame) -> DataFrame:
 def nested_references(spark, documents: DataFrame, depth: int = 64) -> DataFrame:
     """(source_row, value_path, target_table, target_row): objects with a table and a row, at any depth.
 
-    ``documents(source_row, document)`` hold JSON; a recursive query walks it level by level.
+    ``documents(source_row, document)`` hold JSON, walked level by level as far as any of them goes, at most
+    ``depth`` levels down. The number of rows is not bounded.
     """
-    documents.select("source_row", F.parse_json("document").alias("v")).createOrReplaceTempView("_reference_documents")
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk(source_row, value_path, v, level) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT source_row, CAST('$' AS STRING), v, 0 FROM _reference_documents
-          UNION ALL
-          SELECT w.source_row, w.value_path || CASE WHEN e.key IS NULL THEN '[' || CAST(e.pos AS STRING) || ']' ELSE '.' || e.key END, e.value, w.level + 1
-          FROM walk w, LATERAL variant_explode(w.v) e WHERE w.level < {depth}
-        )
-        SELECT source_row, value_path, try_variant_get(v, '$.table', 'string') AS target_table, try_variant_get(v, '$.row', 'string') AS target_row
-        FROM walk WHERE schema_of_variant(v) LIKE 'OBJECT%' AND try_variant_get(v, '$.row', 'string') IS NOT NULL""")
-    return walk
+    level = documents.select("source_row", F.lit("$").alias("value_path"), F.parse_json("document").alias("v"))
+    found = None
+    for down in range(depth + 1):
+        objects = level.where("schema_of_variant(v) LIKE 'OBJECT%' AND try_variant_get(v, '$.row', 'string') IS NOT NULL")
+        objects = objects.selectExpr("source_row", "value_path", "try_variant_get(v, '$.table', 'string') AS target_table", "try_variant_get(v, '$.row', 'string') AS target_row")
+        found = objects if found is None else found.unionByName(objects)
+        level = spark.sql("""SELECT w.source_row, w.value_path || CASE WHEN e.key IS NULL THEN '[' || CAST(e.pos AS STRING) || ']' ELSE '.' || e.key END AS value_path, e.value AS v
+            FROM {walk} w, LATERAL variant_explode(w.v) e""", walk=level)
+        if down < depth and level.isEmpty():
+            break
+    return found
 
 
 def joined_view(source: DataFrame, edges: DataFrame, target: DataFrame) -> DataFrame:

@@ -47,3 +47,16 @@ def test_fold_rows(spark):
     base = spark.createDataFrame([("t", 0, "r0", "A"), ("t", 1, "r1", "B")], "table_path string, row_index long, row_id string, row_name string")
     log = spark.createDataFrame([("t", 1, "rename", "r0", "C", "A", 0), ("t", 2, "add", "r2", "D", None, 1), ("t", 3, "remove", "r1", None, None, 2)], "table_path string, seq long, kind string, row_id string, row_name string, old_name string, at_index long")
     assert rows(changes.fold_rows(base, log).select("row_index", "row_name", "error")) == [(0, "C", None), (1, "D", None)]
+
+
+def test_nested_references_have_no_row_limit(spark):
+    said = '{"a": [{"table": "t", "row": "x"}, {"b": {"table": "t", "row": "y", "c": {"row": 7}}}], "row": null, "s": "{[["}'
+    docs = spark.createDataFrame([(str(i), said) for i in range(50)] + [("none", None), ("flat", "3")], "source_row string, document string")
+    expected = [("$.a[0]", "t", "x"), ("$.a[1].b", "t", "y"), ("$.a[1].b.c", None, "7")]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        found = references.nested_references(spark, docs).collect()
+        assert sorted(map(tuple, found), key=str) == sorted(((str(i), *x) for i in range(50) for x in expected), key=str)
+        assert {r.value_path for r in references.nested_references(spark, docs, depth=2).collect()} == {"$.a[0]"}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
