@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import text as tx
 from .session import texts
 
-LONGEST_PIECE, LONGEST_WORD = 12, 40
+#: Words of up to so many bytes are summed in doubles: with at least _FLOOR for each byte, no sum underflows. Longer ones in logarithms.
+SHORT_WORD = 33
 #: The sample: about so many documents of each language, spread by a hash of doc_id, and as many languages at most.
 DOCUMENTS_PER_LANGUAGE, LANGUAGES = 400, 500
 _MARK = "▁".encode()
@@ -27,17 +28,17 @@ _CACHE = 1_000_000
 
 
 def vocabulary(model_file: str) -> list[bytes]:
-    """Pieces of up to 12 bytes; each single byte is one too, so that every word has a segmentation."""
+    """All pieces; each single byte is one too, so that every word has a segmentation."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     said = {model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
     said = {x.replace(_MARK, b" ") for x in said}
-    return sorted({x for x in said if 0 < len(x) <= LONGEST_PIECE} | {bytes([i]) for i in range(256)})
+    return sorted({x for x in said if x} | {bytes([i]) for i in range(256)})
 
 
 class Pieces:
-    """Looks pieces up by hash in matrices of words of one length."""
+    """Looks pieces up by hash, in matrices of words of one length or in one long word."""
 
     def __init__(self, vocabulary: list[bytes]):
         flat = np.frombuffer(b"".join(vocabulary), np.uint8)
@@ -45,6 +46,7 @@ class Pieces:
         hashes = tx.span_hash(tx.prefix_hash(flat), edge[:-1], edge[1:])
         self.order = np.argsort(hashes).astype(np.int32)
         self.keys = hashes[self.order]
+        self.longest = max(map(len, vocabulary))
 
     def arcs(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
         """For each end, (start, piece number or -1 of each word) of the pieces that may stand there."""
@@ -55,10 +57,12 @@ class Pieces:
         out = []
         for end in range(1, width + 1):
             row = []
-            for start in range(max(0, end - LONGEST_PIECE), end):
+            for start in range(max(0, end - self.longest), end):
                 h = tx.mix((prefix[:, end] - prefix[:, start]) * down[start])
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                row.append((start, np.where(self.keys[at] == h, self.order[at], -1)))
+                hit = self.keys[at] == h
+                if hit.any():
+                    row.append((start, np.where(hit, self.order[at], -1)))
             out.append(row)
         return out
 
@@ -71,9 +75,33 @@ class Pieces:
                 alpha[end] += alpha[start] * weights[piece]
         return alpha
 
+    def long_arcs(self, word: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each end in a word, starts and numbers of the pieces that stand there."""
+        prefix = tx.prefix_hash(np.frombuffer(word, np.uint8))
+        for a in range(1, len(word) + 1, 4096):
+            b = min(a + 4096, len(word) + 1)
+            end = np.repeat(np.arange(a, b), self.longest)
+            start = end - np.tile(np.arange(self.longest, 0, -1), b - a)
+            start, end = start[start >= 0], end[start >= 0]
+            h = tx.span_hash(prefix, start, end)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = self.keys[at] == h
+            start, piece, edge = start[hit], self.order[at[hit]], np.searchsorted(end[hit], np.arange(a, b + 1)).tolist()
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                yield start[i:j], piece[i:j]
+
+    def long_score(self, word: bytes, logs: np.ndarray) -> np.ndarray:
+        """Log probability of a word of any length in each language; only the sums that a piece may still reach are held."""
+        n = self.longest + 1
+        alpha = np.zeros((n, logs.shape[1]))
+        for end, (start, piece) in enumerate(self.long_arcs(word), 1):
+            alpha[end % n] = np.logaddexp.reduce(alpha[start % n] + logs[piece], axis=0)
+        return alpha[len(word) % n]
+
     def by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and bytes of the words of up to ``SHORT_WORD`` bytes, by length."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        for size in np.unique(lens).tolist():
+        for size in np.unique(lens[lens <= SHORT_WORD]).tolist():
             at = np.flatnonzero(lens == size)
             for part in np.array_split(at, -(-len(at) // 20_000)):
                 yield part, np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8).reshape(len(part), size)
@@ -82,7 +110,11 @@ class Pieces:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), weights.shape[1]))
         for at, matrix in self.by_length(words):
-            out[at] = np.log(np.maximum(self.forward(self.arcs(matrix), weights, len(at))[-1], 1e-300))
+            out[at] = np.log(self.forward(self.arcs(matrix), weights, len(at))[-1])
+        if many := [i for i, w in enumerate(words) if len(w) > SHORT_WORD]:
+            logs = np.log(weights[:-1])
+            for i in many:
+                out[i] = self.long_score(words[i], logs)
         return out
 
 
@@ -91,6 +123,7 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: Pieces, size: int, round
     languages = counts.shape[1]
     weights = np.full((size + 1, languages), 1 / size)
     weights[-1] = 0
+    many = [(i, np.flatnonzero(counts[i]), list(pieces.long_arcs(w))) for i, w in enumerate(words) if len(w) > SHORT_WORD]
     groups = [(at, matrix.shape[1], pieces.arcs(matrix)) for at, matrix in pieces.by_length(words)]
     for _ in range(rounds):
         seen = np.zeros_like(weights)
@@ -101,13 +134,25 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: Pieces, size: int, round
             for end in range(width, 0, -1):
                 for start, piece in arcs[end - 1]:
                     beta[start] += beta[end] * weights[piece]
-            share = counts[at] / np.maximum(alpha[width], 1e-300)
+            share = counts[at] / alpha[width]
             for end, row in enumerate(arcs, 1):
                 for start, piece in row:
                     hit = np.flatnonzero(piece >= 0)
                     if len(hit):
                         p = piece[hit]
                         np.add.at(seen, p, (alpha[start][hit] * beta[end][hit] * weights[p]) * share[hit])
+        logs = np.log(weights[:-1])
+        for i, langs, arcs in many:
+            alpha = np.zeros((len(arcs) + 1, len(langs)))
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0
+            for end, (start, piece) in enumerate(arcs, 1):
+                alpha[end] = np.logaddexp.reduce(alpha[start] + logs[np.ix_(piece, langs)], axis=0)
+            for end in range(len(arcs), 0, -1):
+                start, piece = arcs[end - 1]
+                w = logs[np.ix_(piece, langs)]
+                beta[start] = np.logaddexp(beta[start], beta[end] + w)
+                seen[np.ix_(piece, langs)] += np.exp(alpha[start] + w + beta[end] - alpha[-1]) * counts[i, langs]
         seen[-1] = 0
         weights = seen / np.maximum(seen.sum(axis=0), 1) + _FLOOR
         weights[-1] = 0
@@ -115,15 +160,8 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: Pieces, size: int, round
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple:
-    """Hash, bytes span and text of every word of up to 40 bytes; longer ones are cut there."""
+    """Hash and bytes span of every word, and the first word of each text."""
     _, start, end, first = tx.word_hashes(data, offsets, tx.ALNUM)
-    parts = -(-(end - start) // LONGEST_WORD)
-    if len(parts) and parts.max() > 1:
-        text = np.repeat(np.repeat(np.arange(len(offsets) - 1), np.diff(first)), parts)
-        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end = np.repeat(start, parts) + LONGEST_WORD * number, np.repeat(end, parts)
-        end = np.minimum(end, start + LONGEST_WORD)
-        first = np.searchsorted(text, np.arange(len(offsets)))
     low = tx.ALNUM[data]
     return tx.span_hash(tx.prefix_hash(low), start, end), start, end, first, low
 
@@ -236,7 +274,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` without rows that are ``und`` or score below ``least``; columns and texts stay as they are."""
+    """``docs`` without rows that are ``und`` or score below ``least``; columns and texts stay as they are.
+
+    All rows stay where the model has learned no language.
+    """
+    if model.languages == ["und"]:
+        return docs
     shared, order, kinds = docs.sparkSession.sparkContext.broadcast(model), docs.columns, dict(docs.dtypes)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -196,6 +196,30 @@ def test_language_id_on_held_out_rows(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()} | {3: "x"} == {1: "und", 2: "und", 3: "x"}
 
 
+def test_language_sums_take_all_pieces_and_whole_words(spark):
+    vocabulary = sorted({b" international", b"ab", "日本".encode(), "日本語日本語".encode()} | {bytes([i]) for i in range(256)})
+    rng = np.random.default_rng(2)
+    weights = np.concatenate([rng.random((len(vocabulary), 2)) * [1e-3, 1e-6] + 1e-9, np.zeros((1, 2))])
+
+    def brute(word):
+        alpha = np.full((len(word) + 1, 2), -np.inf)
+        alpha[0] = 0
+        for end, (k, x) in itertools.product(range(1, len(word) + 1), enumerate(vocabulary)):
+            if word[:end].endswith(x):
+                alpha[end] = np.logaddexp(alpha[end], alpha[end - len(x)] + np.log(weights[k]))
+        return alpha[-1]
+
+    words = [b" international", b" ab", b" " + "日本語".encode() * 40, b" " + b"ab" * 300]
+    assert np.allclose(langid.Pieces(vocabulary).scores(words, weights), [brute(w) for w in words], rtol=1e-9)
+    fitted = langid.fit(words, np.array([[1, 0], [0, 2], [3, 0], [0, 1]], float), langid.Pieces(vocabulary), len(vocabulary))
+    assert np.allclose(fitted.sum(axis=0), 1, atol=1e-5) and fitted[vocabulary.index(b"ab"), 1] > 0.9
+    data = np.frombuffer(("x" * 50).encode() + "語".encode() * 99, np.uint8)
+    assert [x.tolist() for x in langid._words(data, np.array([0, len(data)]))[1:3]] == [[0], [len(data)]]
+    rows = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    model = langid.train(rows, public_tokenizers.path("piece_bpe_32k.model"))
+    assert langid.keep_identified(rows, model).count() == 1
+
+
 def test_pipeline_runs_as_a_whole(spark):
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     for _, part in packed.groupby("sequence_id"):
