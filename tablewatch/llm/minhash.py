@@ -1,23 +1,21 @@
 """Near duplicates by a join on MinHash signature coordinates.
 
 Every document is posted under each (coordinate, value) pair of its signature. Two documents whose
-shingle sets have a Jaccard similarity of 0.8 agree in about 0.8 of the coordinates; a pair is kept
-for confirmation when it agrees in ``threshold`` of them.
+shingle sets have a Jaccard similarity of 0.8 agree in about 0.8 of the coordinates; a pair is retained
+for confirmation when it collides in ``threshold`` of them.
 
 *Prefix*: a pair that agrees in T of K coordinates shares one of the K - T + 1 rarest pairs of either
 document, so only those are posted; a pair that a single document holds is not posted at all, yet
 fills a place of the prefix, which removes most documents at once. *Skip*: the frequent pairs left out
-of the postings are never merged; they are probed in the signatures of the pairs that the short lists
-brought together. Kept pairs are confirmed on the full shingle sets.
-
-Links matter only as far as they join components. So the first round compares each document with two
-leaders of its posting lists, and the second takes from each list only pairs that the first left in
-different components, each pair in the first list it shares. A list's leader is the document whose signature is the
-most common in its coordinates: the text that others were copied from, rather than one of the copies. Lists are
-dealt in blocks of ``block`` documents, so none must fit in one task.
-
-Pairs are probed where they meet, in ``PROBE`` coordinates of four bits each, which tell links from pairs a little
-below the similarity better than the posted ones do.
+of the postings are never merged; the collisions in them are counted in the signatures of the documents
+that the short lists brought together. Retained pairs are confirmed on the full shingle sets.
+
+Lists are gathered by leader: the document of a list whose signature is the most common in its coordinates, which is
+the text that others were copied from rather than one of the copies. A document joins the group of every leader that
+leads one of its lists, so two documents that share a list share a group. In a group all are compared with the leader first,
+then those that the leader doesn't link with all others, by counted collisions and then by full sets;
+a group gives a forest of links, never its pairs. A group that is too large for one task is dealt in blocks, each with
+the leader; what is then still apart from the leader's component meets the other blocks, pair of blocks by pair of blocks.
 """
 
 from __future__ import annotations
@@ -27,15 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
 from .components import components
-from .session import texts, written
+from .session import written
 
 #: Probability below 1e-5 of missing a pair that lies exactly on a similarity of 0.8.
-COORDINATES, THRESHOLD, BLOCK = 64, 36, 512
-PROBE = 256
+COORDINATES, THRESHOLD = 64, 36
+#: What a task compares at once: so many documents, and so many shingles of them.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _FILTER_BITS = 24
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -53,30 +52,30 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    """Tells shingle sets apart."""
+    return np.array([np.sum(tx.mix(shingles)), np.sum(tx.mix(shingles ^ _A[0]))]).tobytes()
+
+
 def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
-    """(doc_id, n_shingles, key, sig): key tells shingle sets apart; key and sig are null for empty sets."""
+    """(doc_id, n_shingles, key, sig, sketch): key, sig and sketch (the low byte of each coordinate) are null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in tx.slices(batch.column("text")):
-                n, keys, sigs = [], [], []
-                for s in tx.shingle_sets(data, offsets, width):
-                    n.append(len(s))
-                    keys.append(np.array([np.sum(tx.mix(s)), np.sum(tx.mix(s ^ _A[0]))]).tobytes() if len(s) else None)
-                    sigs.append(signature(s, coordinates) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "key", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, key binary, sig array<int>")
-
+                sets = list(tx.shingle_sets(data, offsets, width))
+                keys = [_key(s) if len(s) else None for s in sets]
+                sigs = [signature(s, coordinates) if len(s) else None for s in sets]
+                sketches = [None if s is None else s.astype(np.uint8).tobytes() for s in sigs]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n_shingles", "key", "sig", "sketch"])
 
-def _slot(column: str | Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << _FILTER_BITS))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, key binary, sig array<int>, sketch binary")
 
 
-def member_bits(ids: DataFrame) -> bytes:
-    """A filter of fixed size (2 MB) that lets every id of ``ids`` pass, and others by chance."""
-    slots = ids.select(_slot("doc_id").alias("h"))
-    rows = slots.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+def member_bits(slots: DataFrame) -> bytes:
+    """A filter of fixed size (2 MB) that lets every ``slot`` below 2**24 pass, and others by chance."""
+    rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
     for row in rows:  # at most 2**24 / 32768 + 1 rows
         part = np.frombuffer(row.bits, np.uint8)
@@ -88,86 +87,180 @@ def member_bits(ids: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, probe, packed binary) of the documents in ``ids``.
+def packed_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, key, packed binary): compressed texts of the documents whose ids are nodes of ``wanted``, and others by chance.
 
     Confirmation needs full shingle sets. They are sent as the text that they come from, compressed: that is
     a third of the bytes of a set of 64-bit hashes, which don't compress.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(member_bits(ids))
+    slot = F.pmod(F.xxhash64("node"), F.lit(1 << _FILTER_BITS)).alias("slot")
+    shared = docs.sparkSession.sparkContext.broadcast(member_bits(wanted.select(slot)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, press = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             # bitmap_bucket_number counts from 1 for positive slots; slot 0 stands alone
-            slot = batch.column("slot").to_numpy()
-            at = np.maximum(slot - 1, 0)
+            at = np.maximum(batch.column("slot").to_numpy() - 1, 0)
             hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             chosen = batch.filter(pa.array(hit.astype(bool)))
             for a, b, data, offsets in tx.slices(chosen.column("text")):
-                sets = list(tx.shingle_sets(data, offsets, width))
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([probe(s) for s in sets], pa.list_(pa.int64())), pa.array([press.compress(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([chosen.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n", "probe", "packed"])
+                keys = [_key(s) if len(s) else None for s in tx.shingle_sets(data, offsets, width)]
+                packed = [press.compress(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([chosen.column("node").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["node", "key", "packed"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _slot(F.col("doc_id").cast("long")).alias("slot")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(make, "doc_id long, n long, probe array<long>, packed binary").join(ids, "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).where("node is not null and text is not null")
+    return rows.select("node", "text", slot).mapInArrow(make, "node long, key binary, packed binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * |intersection| >= percent * |union|."""
+# -- cells: the rows of a group (or of two blocks of one) that a task compares ------------------------
 
-    def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        both = np.concatenate([x, y])
-        both.sort(kind="stable")
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return 100 * common >= percent * (len(both) - common)
+_CELL = ["leader", "i", "j"]
+#: side: 0 is compared with 1, 2 with all
+_ROW = [*_CELL, "head", "side", "cid", "node", "group", "key"]
+_ROW_KINDS = "leader long, i int, j int, head boolean, side int, cid long, node long, group long, key binary"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL, F.col("head").desc(), "cid")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            keep, at = np.zeros(len(batch), bool), 0
-            a, xs, ys = batch.column("a").to_numpy(), batch.column("xz"), batch.column("yz")
-            while at < len(batch):  # about a slice of text at a time; rows come in order by a, whose text is unpacked once
-                begin, raws, of, size = at, [], [], 0
-                while at < len(batch) and size < tx.SLICE:
-                    if at == begin or a[at] != a[at - 1]:
-                        of_a = len(raws)
-                        raws.append(unpack(xs[at].as_py()))
-                        size += len(raws[-1])
-                    of.append((of_a, len(raws)))
-                    raws.append(unpack(ys[at].as_py()))
-                    size += len(raws[-1])
-                    at += 1
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
-                full = list(tx.shingle_sets(np.frombuffer(b"".join(raws), np.uint8), offsets, width))
-                keep[begin:at] = [linked(full[i], full[j]) for i, j in of]
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("yz")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("xz")), "a")
-    return sides.select("a", "b", "xz", "yz").mapInArrow(check, "a long, b long")
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole cells, and where each begins and the last ends; rows come in order by cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        last = [batch.column(c)[-1].as_py() for c in _CELL]
+        if [held[0].column(c)[0].as_py() for c in _CELL] == last:
+            continue  # one cell so far
+        table = pa.Table.from_batches(held)
+        edge = _edges(table)
+        yield table.slice(0, edge[-2]), edge[:-1]
+        held = table.slice(edge[-2]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, _edges(table)
 
 
-def probe(shingles: np.ndarray) -> np.ndarray:
-    """Four bits of each of ``PROBE`` coordinates, sixteen to a long."""
-    nibbles = (signature(shingles, PROBE).view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(-1, 16)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+def _edges(table: pa.Table) -> list[int]:
+    cells = np.stack([table.column(c).to_numpy() for c in _CELL])
+    return [0, *(np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
 
 
-def _agreeing() -> Column:
-    """In how many coordinates the probes xp and yp agree."""
-    differ = F.lit(0)
-    for k in range(PROBE // 16):
-        x = F.get("xp", F.lit(k)).bitwiseXOR(F.get("yp", F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    return F.lit(PROBE) - differ
+def colliding(sketches: np.ndarray, group: np.ndarray, side: np.ndarray, threshold: int) -> np.ndarray:
+    """Which rows collide in ``threshold`` coordinates with one of another group that they are to be compared with.
 
+    Where all are compared with all, those that the first row retains need no more counting: they are kept as they are.
+    """
+    n = len(sketches)
+    near = ((sketches == sketches[0]).sum(axis=1) >= threshold) & (side[0] == 2)
+    alive = near & (near & (group != group[0])).any()
+    rest = np.flatnonzero(~near & (side != 1))
+    columns = np.ascontiguousarray(sketches.T)
+    step = max(1, (1 << 22) // n)
+    for a in range(0, len(rest), step):
+        at = rest[a : a + step]
+        count = np.zeros((len(at), n), np.uint8 if sketches.shape[1] < 256 else np.uint16)
+        for column in columns:
+            count += column[at, None] == column
+        met = (count >= threshold) & (group[at, None] != group) & ((side[at, None] == 2) | (side != 0))
+        alive[at] |= met.any(axis=1)
+        alive |= met.any(axis=0)
+    return alive
+
+
+def forest(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links, enough to join what is linked: pairs of rows with 100 * |intersection| >= ``percent`` * |union|.
+
+    The first row is compared with all, then each row that is not joined to the largest group so far with all. Rows of
+    side 0 are compared with those of side 1 only, whatever they are joined to.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    label, mark, links = group.copy(), np.zeros(len(code), np.int32), []
+
+    def compare(x: int) -> None:
+        own = code[edge[x] : edge[x + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[code], edge[:-1])
+        mark[own] = 0
+        hit = (100 * common >= percent * (sizes + sizes[x] - common)) & ((side[x] == 2) | (side != side[x]))
+        for y in np.flatnonzero(hit).tolist():
+            if label[x] != label[y]:
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+
+    compare(0)
+    names, first, n = np.unique(label, return_index=True, return_counts=True)
+    core = first[n.argmax()]
+    for x in np.flatnonzero(side != 1).tolist()[1:]:
+        if (side[x] == 0 or label[x] != label[core]) and (label != label[x]).any():
+            compare(x)
+    return links
+
+
+def _retained(rows: DataFrame, threshold: int) -> DataFrame:
+    """The rows of cells that take part in a retained pair, without their sketches."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edge in _whole_cells(batches):
+            group, side = (table.column(c).to_numpy() for c in ("group", "side"))
+            raw = b"".join(table.column("sketch").to_pylist())
+            sketches = np.frombuffer(raw, np.uint8).reshape(table.num_rows, -1)
+            alive = np.zeros(table.num_rows, bool)
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 1:
+                    alive[a:b] = colliding(sketches[a:b], group[a:b], side[a:b], threshold)
+            yield from table.select(_ROW).filter(pa.array(alive)).to_batches()
+
+    return _dealt(rows.select(*_ROW, "sketch")).mapInArrow(count, _ROW_KINDS)
+
+
+def _linked(rows: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """(a, b) nodes of a forest of links for each cell of retained ``rows``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for table, edge in _whole_cells(batches):
+            group, side, node, cid = (table.column(c).to_numpy() for c in ("group", "side", "node", "cid"))
+            packed, found = table.column("packed"), []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                once = np.flatnonzero(np.concatenate([[True], (cid[a + 1 : b] != cid[a : b - 1]) | (side[a + 1 : b] != side[a : b - 1])])) + a  # repeated rows of documents
+                if len(once) < 2:
+                    continue
+                raws = [unpack(packed[i].as_py()) for i in once.tolist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+                sets = list(tx.shingle_sets(np.frombuffer(b"".join(raws), np.uint8), offsets, width))
+                found += [(node[once[x]], node[once[y]]) for x, y in forest(sets, group[once], side[once], percent)]
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    rows = written(rows, f"retained-{name}")
+    texts = packed_texts(docs, rows.select("node"), width)
+    sides = rows.hint("merge").join(texts, ["node", "key"]).select(*_CELL, "head", "side", "cid", "node", "group", "packed")
+    return written(_dealt(sides).mapInArrow(check, "a long, b long"), f"links-{name}")
+
+
+def _posted(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
+    """(leader, cid): the leaders of the short lists of each class, itself among them where it leads."""
+    token = F.shiftleft(F.col("j").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    posted = classes.select("cid", F.posexplode("sig").alias("j", "v")).select("cid", token.alias("token"))
+    # pairs that at least two classes hold; the rarest first. Both sides grow with the corpus, so they are merged
+    shared = posted.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
+    prefix = coordinates - threshold + 1
+    own = posted.hint("merge").join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("own")).where(F.size("own") >= threshold)
+    own = own.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda sum_, p: sum_ + p["freq"]))
+    short = own.select("cid", "weight", F.explode(F.slice("own", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("own")))).alias("p")).select("cid", "weight", F.col("p.token").alias("token"))
+    short = written(short, "short-lists")
+    lead = F.max(F.struct("weight", (-F.col("cid")).alias("order"), F.col("cid").alias("leader")))
+    lists = short.groupBy("token").agg(F.count("*").alias("freq"), lead.alias("lead")).where("freq > 1").select("token", "lead.leader")
+    return short.hint("merge").join(lists, "token").select("leader", "cid").distinct()
 
-def probe_threshold(percent: int) -> int:
-    """4.6 standard deviations below what a pair on the similarity agrees in; four bits agree by chance in 1 of 16."""
-    p = percent / 100 + (1 - percent / 100) / 16
-    return int(PROBE * p - 4.6 * (PROBE * p * (1 - p)) ** 0.5)
+
+def _blocks(n: str, shingles: str, block: int) -> F.Column:
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -180,56 +273,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
 
     Null, empty and blank texts have an empty set and no link. Repeated texts are linked, repeated
     doc_ids count as one document (with the union of their links). A null doc_id has no
-    component and is kept. Further columns of ``docs`` are not read. An empty table gives no rows.
+    component and is kept. Texts may be of any length. Further columns of ``docs`` are not read, so their names
+    may be anything. An empty table gives no rows.
     """
-    signed = written(signatures(texts(docs), width, coordinates), "signatures")
+    signed = written(signatures(docs, width, coordinates), "signatures")
     linked = signed.where("doc_id is not null and key is not null")
-    classes = written(linked.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
-
-    # postings under (coordinate, value) pairs that at least two classes hold; the rarest first
-    posted = classes.select("node", F.posexplode("sig").alias("j", "v")).select("node", F.shiftleft(F.col("j").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
-    prefix = coordinates - threshold + 1
-    own = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("own")).where(F.size("own") >= threshold)
-    own = own.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda sum_, p: sum_ + p["freq"]))
-    short = own.select("node", "weight", F.explode(F.slice("own", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("own")))).alias("p")).select("node", "weight", F.col("p.token").alias("token"))
-    lead = F.max(F.struct("weight", (-F.col("node")).alias("order"), F.col("node").alias("leader")))
-    lists = short.groupBy("token").agg(F.count("*").alias("freq"), lead.alias("lead")).where("freq > 1").select("token", "freq", "lead.leader", F.col("lead.weight").alias("lead_weight"))
-    postings = written(short.select("node", "token").join(lists, "token"), "postings")
-    nodes = postings.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(shingle_table(docs, nodes, width).dropDuplicates(["doc_id"]), "shingles")
-    side = lambda name, x: sets.select(F.col("doc_id").alias(name), F.col("n").alias(f"{x}n"), F.col("probe").alias(f"{x}p"))
-    near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (_agreeing() >= probe_threshold(percent))
-
-    # first round: the leader that most lists of a document have in common with it, and the weightiest
-    stars = postings.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("met"), F.max("lead_weight").alias("weight"))
-    stars = stars.groupBy("node").agg(F.max_by("leader", F.struct("met", "weight", "leader")).alias("most"), F.max_by("leader", F.struct("weight", "met", "leader")).alias("top"))
-    stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("most", "top"))).alias("a"))
-    stars = stars.join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")
-    first = written(_confirm(stars, sets, width, percent), "links")
-    joined = components(first)
-
-    # second round: pairs of one list that are still apart, probed where they meet, in the first list they share
-    apart = postings.join(joined.select("node", "component"), "node", "left").select("token", "node", "freq", F.coalesce("component", "node").alias("c"))
-    split = apart.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    left = written(apart.join(split, "token").withColumn("code", F.hash("token")), "apart")
-    codes = left.groupBy("node").agg(F.collect_set("code").alias("codes"))
-    known = codes.join(sets.select(F.col("doc_id").alias("node"), "n", "probe"), "node")
-    dealt = left.withColumn("blocks", F.ceil(F.col("freq") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).join(known, "node")
-    half = lambda name, x: ["code", F.col("node").alias(name), F.col("c").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("probe").alias(f"{x}p"), F.col("codes").alias(f"{x}codes")]
-    x = dealt.select("token", *half("a", "x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    y = dealt.select("token", *half("b", "y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
-    apart_pair = F.col("xc") != F.col("yc")
-    first_shared = F.array_min(F.array_intersect("xcodes", "ycodes")) == F.col("l.code")
-    keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("token", "i", "j")]
-    pairs = x.alias("l").join(y.drop("code").alias("r"), keys + [apart_pair & ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & near & first_shared])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _confirm(pairs, sets, width, percent)
-
-    same_id = linked.join(classes.select("key", "node"), "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    more = same_id.select(F.col("low").alias("a"), F.col("high").alias("b"))
-    found = components(first.unionByName(second).unionByName(more)).withColumnRenamed("component", "root")
-    of = classes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
+    # cid: unique where it is written, also for rows that share a doc_id
+    classes = linked.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch")])
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    members = _posted(classes, coordinates, threshold).hint("merge").join(classes.drop("sig"), "cid")
+    members = written(members.withColumn("head", F.col("leader") == F.col("cid")), "members")
+    groups = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    large = written(groups.select("leader", _blocks("n", "s", block).alias("blocks")).where("blocks > 1"), "large-groups")
+
+    # each group by itself, or in blocks with its leader in each
+    cells = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.when(F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    cells = cells.withColumn("i", F.explode(own)).withColumns({"j": F.lit(0), "side": F.lit(2), "group": F.col("node")})
+    links = _linked(_retained(cells, threshold), docs, width, percent, "first")
+
+    if not large.isEmpty():  # what is still apart from the leader's component meets all blocks
+        joined = components(links)
+        some = members.join(large.select("leader"), "leader").join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        top = some.where("head").select("leader", F.col("group").alias("top"))
+        some = written(some.drop("head", "component").join(top, "leader").withColumn("rest", F.col("group") != F.col("top")), "still-apart")
+        sizes = some.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.count_if("rest").alias("rn"), F.sum(F.when(F.col("rest"), F.col("n_shingles"))).alias("rs")).where("rn > 0")
+        some = some.join(sizes.select("leader", _blocks("n", "s", block).alias("all"), _blocks("rn", "rs", block).alias("few")), "leader")
+        of = lambda n: F.pmod(F.xxhash64("cid", F.lit(1)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = some.where("rest").withColumn("i", of("few")).withColumn("j", every("all")).withColumn("side", F.lit(0))
+        y = some.withColumn("j", of("all")).withColumn("i", every("few")).withColumn("side", F.lit(1))
+        second = x.unionByName(y).withColumn("head", F.col("side") == 0)
+        links = links.unionByName(_linked(_retained(second, threshold), docs, width, percent, "second"))
+
+    same_id = linked.join(classes.select("key", "node").hint("merge"), "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    found = components(links.unionByName(same_id.select(F.col("low").alias("a"), F.col("high").alias("b")))).withColumnRenamed("component", "root")
+    of = classes.select("key", "node").hint("merge").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
     empty = signed.where("doc_id is null or key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = linked.join(of, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    full = linked.hint("merge").join(of, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
