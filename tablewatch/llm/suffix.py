@@ -5,60 +5,61 @@ A byte goes when a ``length``-byte string that covers it also starts in a docume
 A transform of all text at once would be one structure as large as the corpus, so the work is first
 cut into pieces that tasks can hold, without losing a match:
 
+0. *Chunks.* Documents are written once, some megabytes of text at a time; what is found later names a chunk and a row of it,
+   so neither ids nor other columns are joined and texts are never shuffled. A text that a document
+   with a smaller id has as a whole (by a 128-bit digest) is covered as a whole and takes no further part.
 1. *Anchors.* In each window of ``length - k + 1`` k-grams, the one with the least hash is an anchor. Equal
    windows have equal anchors, so a repeat of ``length`` bytes always carries the same anchor at the same
    place. The context of an anchor (up to ``length - k`` bytes before, ``length`` from it on) holds
    every window it can stand for.
-2. Anchors met once are dropped by a bitmap of fixed size (false hits only cost time).
-3. Contexts that are equal as a whole belong to their smallest document; the rest of them are
-   covered. What stays open is the first holder of a context whose anchor has other contexts too.
-   Contexts are dealt by their own hash here, so that an anchor with many is not one task's.
-4. Where an anchor has more than ``_CHUNK`` contexts (the edge of a passage that many documents hold, each after
-   other text), they are cut into their windows, dealt by digest: equal ones meet, whatever their anchor has.
-5. The other contexts are dealt by anchor hash. There every context is a shard with a transform of its own, and the
-   shards' transforms are merged by refining their interleave, symbol by symbol, ``length`` times: then
+2. *Semi-join.* Anchor hashes are dealt by range; what comes back for a chunk is one bit for each, set if
+   another document has it too. Nothing is broadcast.
+3. *Merge.* Contexts of the marked anchors are dealt by anchor, as bytes. Equal ones belong to their smallest document; the
+   rest of them are covered. Where an anchor has several contexts, each is a shard with a transform of its own, and
+   the transforms are merged by refining their interleave, symbol by symbol, ``length`` times: then
    suffixes are in order by their first ``length`` bytes, and rows whose common prefix reaches
    ``length`` form the repeated intervals. No suffix of the merged set is compared or sorted again.
+4. Where more than ``_CHUNK`` documents hold an anchor (the edge of a passage that many documents hold, each after
+   other text), contexts are cut into their windows, dealt by digest: equal ones meet, whatever their anchor has.
 
-Batches pre-aggregate: of equal contexts in a batch only the smallest document's is sent on, so a
-passage in a third of all documents costs one row for each batch.
+Chunks pre-aggregate: of equal contexts in a chunk only the smallest document's is sent on, so a
+passage in a third of all documents costs one row for each chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .session import buckets_for, texts, written
+from .session import buckets_for, fresh_dir, written
 
 LENGTH, GRAM = 50, 22
-_BITS = 26
+#: Bytes of text in a chunk, and in what a task looks for anchors in at once.
+CHUNK_BYTES = 2 << 20
 _HELD = 1 << 18
-_CHUNK = 1 << 12  # contexts in a merge; anchors with more are compared by windows
-
-
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+_CHUNK = 1 << 12  # contexts in a merge; anchors of more documents are compared by windows
 
 
 class Anchors:
     """Of a slice of texts: row, position, k-gram hash and context bounds of every anchor."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, k: int, bits: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, k: int):
         n, w = len(data), length - k + 1
-        prefix = tx.prefix_hash(data)
-        self.data, self.offsets = data, offsets
         if n < length:
             self.pos = self.row = self.lo = self.hi = np.zeros(0, np.int64)
-            self.hash = self.context = np.zeros(0, np.uint64)
+            self.hash = np.zeros(0, np.uint64)
             return
+        prefix = tx.prefix_hash(data)
         _, down = tx.powers(n + 1)
         grams = (prefix[k:] - prefix[: n - k + 1]) * down[: n - k + 1]
         grams ^= grams >> np.uint64(29)
@@ -74,78 +75,136 @@ class Anchors:
         row = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.flatnonzero(np.repeat(offsets[1:] - length, sizes)[: n - length + 1] >= np.arange(n - length + 1))
         at = (best[inside] & low).astype(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        # a run of windows with one anchor ends where the anchor changes, or the windows leave a text
+        edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(inside) != 1)])) if len(at) else at
         self.pos = at[edge]
         self.row = row[self.pos]
         self.hash = grams[self.pos]
         self.lo = inside[edge]
         self.hi = inside[np.concatenate([edge[1:], [len(at)]]) - 1] + length if len(at) else at
 
-        if bits is not None:
-            keep = _bit(bits, self.hash)
-            self.pos, self.row, self.hash, self.lo, self.hi = (x[keep] for x in (self.pos, self.row, self.hash, self.lo, self.hi))
-        clip = ((self.pos - self.lo) << 32 | (self.hi - self.pos)).astype(np.uint64)
-        self.context = tx.mix(tx.span_hash(prefix, self.lo, self.hi) + clip * tx.WORD_CODE[3])
-
-
-def _bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
 
-def _packed_bits(hashes: np.ndarray) -> bytes:
-    """Bit numbers of ``hashes``, as 32-bit numbers."""
-    return np.unique((hashes >> np.uint64(64 - _BITS)).astype(np.uint32)).tobytes()
+# -- chunks -----------------------------------------------------------------------------------------
 
 
-def _bitmaps(df: DataFrame) -> list[np.ndarray]:
-    """For each column a bitmap of 8 MB at most, whatever the input: rows name bits, and are folded in turn."""
-    bits = [np.zeros(1 << (_BITS - 3), np.uint8) for _ in df.columns]
-    for row in df.toLocalIterator():
-        for b, x in zip(bits, row, strict=True):
-            at = np.frombuffer(x, np.uint32)
-            np.bitwise_or.at(b, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``docs``, case aside."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _deal(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket, and where each of the ``n`` buckets begins; buckets are ranges of the hash."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def stored(docs: DataFrame, length: int) -> DataFrame:
+    """(chunk, path, at, size, skip): where the chunks of ``docs`` are, and their rows that are whole copies.
 
+    A chunk holds all columns of some rows of ``docs`` and, last, doc_id as a long. A task that runs again writes a new
+    file; only those of the attempt that ended well are named.
+    """
+    spark = docs.sparkSession
+    folder, place = fresh_dir(spark, "chunks"), docs.columns.index("text")
 
-def _dealt(hashes: np.ndarray, columns: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
-    """Rows (bucket, packed rows of hash and columns)."""
-    order, edge = _deal(hashes, n)
-    table = np.stack([hashes.view(np.int64), *columns])[:, order]
-    return [(i, np.ascontiguousarray(table[:, edge[i] : edge[i + 1]].T).tobytes()) for i in range(n) if edge[i] < edge[i + 1]]
-
-
-def _unpacked(parts: pd.Series, width: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.int64).reshape(-1, width) for x in parts]).T
-
-
-def _windows(rows: list[tuple[int, int, int, bytes]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(half of the digest, other half, doc_id, start) of all windows of contexts, some ``_HELD`` at a time."""
-    digests, docs, starts = [], [], []
-    for i, (_, d, lo, s) in enumerate(rows, 1):
-        m = len(s) - length + 1
-        digests += [hashlib.blake2b(s[j : j + length], digest_size=16).digest() for j in range(m)]
-        docs += [d] * m
-        starts += range(lo, lo + m)
-        if digests and (len(digests) >= _HELD or i == len(rows)):
-            x, y = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
-            yield np.ascontiguousarray(x), y, np.array(docs), np.array(starts)
-            digests, docs, starts = [], [], []
-
+    def digest(text: bytes | None) -> bytes | None:
+        return hashlib.blake2b(text, digest_size=16).digest() if text and len(text) >= length else None
 
-def _covered_later(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (x, y, doc), and which rows of it have an equal (x, y) in a smaller document."""
-    order = np.lexsort((d, y, x))
-    x, y, d = x[order], y[order], d[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    return order, d > d[new][np.cumsum(new) - 1]
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        part, at, out, rows = TaskContext.get().partitionId(), 0, None, []
+        name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}.chunks"
+        for batch in batches:
+            for a, b, data, offsets in tx.slices(batch.column(place), CHUNK_BYTES):
+                out = out or fs.open_output_stream(f"{path}/{name}")
+                piece, sink, raw = batch.slice(a, b - a), pa.BufferOutputStream(), data.tobytes()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as ipc:
+                    ipc.write_batch(piece)
+                blob = sink.getvalue()
+                out.write(blob)
+                rows.append(((part << 32) + len(rows), f"{folder}/{name}", at, blob.size, piece.column(piece.num_columns - 1).to_pylist(), [digest(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]))
+                at += blob.size
+        if out:
+            out.close()
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "path", "at", "size", "ids", "digests"])
+
+    named = docs.withColumn("text", F.col("text").cast("string")).withColumn(_free(docs, "id"), F.col("doc_id").cast("long"))
+    chunks = written(named.mapInArrow(store, "chunk long, path string, at long, size long, ids array<long>, digests array<binary>"), "chunks")
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("row", "x")).select("chunk", "row", F.col("x.ids").alias("id"), F.col("x.digests").alias("digest")).where("id is not null and digest is not null")
+    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    copies = rows.hint("merge").join(first, "digest").where("id > first").groupBy("chunk").agg(F.sort_array(F.collect_list("row")).alias("skip"))  # no longer than a chunk
+    return written(chunks.drop("ids", "digests").join(copies, "chunk", "left"), "work")
+
+
+def _load(path: str, at: int, size: int) -> pa.RecordBatch:
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as file:
+        return pa.ipc.open_stream(pa.py_buffer(file.read_at(size, at))).read_next_batch()
+
+
+def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch]]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row, _load(row["path"], row["at"], row["size"])
+
+
+class Chunk:
+    """The anchors of a chunk, and the distinct (hash, document) that it is asked about."""
+
+    def __init__(self, piece: pa.RecordBatch, skip: list[int] | None, length: int, k: int):
+        place = piece.schema.get_field_index("text")
+        ids = piece.column(piece.num_columns - 1)
+        self.data, offsets = tx.buffers(piece.column(place))
+        self.begin = offsets[:-1]
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.asarray(ids.is_null())
+        out[skip or []] = True
+        found = []
+        # long texts are looked through in parts, whose windows don't overlap
+        a, rows = 0, len(offsets) - 1
+        while a < rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
+            for start in range(int(offsets[a]), max(int(offsets[a]) + 1, int(offsets[b]) - length + 1), CHUNK_BYTES if b == a + 1 else 1 << 62):
+                end = min(int(offsets[b]), start + CHUNK_BYTES + length - 1) if b == a + 1 else int(offsets[b])
+                inner = np.array([0, end - start]) if b == a + 1 else offsets[a : b + 1] - start
+                f = Anchors(self.data[start:end], inner, length, k)
+                found.append((f.pos + start, f.row + a, f.hash, f.lo + start, f.hi + start))
+            a = b
+        pos, row, h, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+        keep = ~out[row]
+        self.pos, self.row, self.lo, self.hi = pos[keep], row[keep], lo[keep], hi[keep]
+        self.key = h[keep].astype(np.uint64) >> np.uint64(24)  # 40 bits
+        doc = self.ids[self.row]
+        order = np.lexsort((doc, self.key))
+        h, d = self.key[order], doc[order]
+        self.asked = h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])] if len(h) else h
+
+
+def _edges(asked: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the ``n`` buckets begins in sorted 40-bit hashes; buckets are ranges."""
+    return np.searchsorted(asked, np.array([_floor(i, n) for i in range(n + 1)], np.uint64))
+
+
+def _floor(bucket: int, n: int) -> int:
+    return -(-(bucket << 40) // n)
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of integers of one length, byte by byte, so that they compress."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _restored(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    m, at, out = len(raw) // sum(widths), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, m * w, at).reshape(w, m).T).view(k)[:, 0])
+        at += m * w
+    return out
+
+
+# -- ranges -----------------------------------------------------------------------------------------
 
 
 def _merge_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,20 +217,44 @@ def _merge_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.concatenate([new[1:], [True]])]
 
 
-def _by_document(doc: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, bytes]]:
-    """Rows (bucket of documents, packed doc_id, start, end) of ranges, joined within each document."""
-    if not len(doc):
+def _ranges(chunk: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
+    """(chunk, squeezed row, start, end) of byte ranges, joined within each row where they touch."""
+    if not len(chunk):
         return []
-    order = np.lexsort((a, doc))
-    doc, a, b = doc[order], a[order], b[order]
-    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-    parts = []
-    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        x, y = _merge_runs(a[i:j], b[i:j])
-        parts.append(np.stack([np.full(len(x), doc[i]), x, y]))
-    rows = np.concatenate(parts, axis=1)
-    bucket = (tx.mix(rows[0].view(np.uint64)) % np.uint64(n)).astype(np.int64)
-    return [(int(k), np.ascontiguousarray(rows[:, bucket == k].T).tobytes()) for k in np.unique(bucket)]
+    order = np.lexsort((a, row, chunk))
+    chunk, row, a, b = chunk[order], row[order], a[order], b[order]
+    new = np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])])
+    # lift each row above the ends of those before it, so that one pass joins the ranges of all
+    lift = np.cumsum(new) * (int(b.max()) + 2)
+    x, y = _merge_runs(a + lift, b + lift)
+    at = np.searchsorted(a + lift, x)
+    chunk, row, x, y = chunk[at], row[at], x - lift[at], y - lift[at]
+    edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])).tolist()
+    return [(int(chunk[i]), _squeezed(row[i:j].astype("<i4"), x[i:j].astype("<i8"), y[i:j].astype("<i8"))) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _windows(rows: list[tuple[bytes, int, int, int]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(half of the digest, other half, doc_id, row, start) of all windows of contexts, some ``_HELD`` at a time."""
+    digests, docs, texts, starts = [], [], [], []
+    for i, (s, d, row, lo) in enumerate(rows, 1):
+        m = len(s) - length + 1
+        digests += [hashlib.blake2b(s[j : j + length], digest_size=16).digest() for j in range(m)]
+        docs += [d] * m
+        texts += [row] * m
+        starts += range(lo, lo + m)
+        if digests and (len(digests) >= _HELD or i == len(rows)):
+            x, y = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
+            yield np.ascontiguousarray(x), np.ascontiguousarray(y), np.array(docs), np.array(texts), np.array(starts)
+            digests, docs, texts, starts = [], [], [], []
+
+
+def _covered_later(d: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys and doc, and which rows of it have equal keys in a smaller document."""
+    order = np.lexsort((d, *keys))
+    d, keys = d[order], [x[order] for x in keys]
+    new = np.ones(len(d), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    return order, d > d[new][np.cumsum(new) - 1]
 
 
 # -- Burrows-Wheeler transforms of many short strings ------------------------------------------------
@@ -249,246 +332,227 @@ def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> tu
 # -- the passes -------------------------------------------------------------------------------------
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null and text is not null")
+def _tasks(docs: DataFrame) -> int:
+    return buckets_for(docs) // 2
 
 
-def covered(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """(doc_id, runs binary): sorted disjoint int64 pairs of byte ranges that repeat a smaller document."""
-    sc, n = docs.sparkSession.sparkContext, buckets_for(docs)
-    rows = texts(_rows(docs))
+def _marked(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFrame:
+    """``work`` with marks: for each bucket that has any, a bit for each hash that the chunk asks about."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, piece in _loaded(batches):
+            asked = Chunk(piece, row["skip"], length, k).asked
+            edge = _edges(asked, n)
+            some = np.flatnonzero(np.diff(edge)).tolist()
+            data = [_squeezed(np.diff(asked[edge[i] : edge[i + 1]], prepend=np.uint64(_floor(i, n)))) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "data"])
+
+    def answer(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        each = [np.cumsum(_restored(x, "<u8")[0]) + np.uint64(_floor(int(key[0]), n)) for x in part["data"]]
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        asked = np.concatenate(each)
+        order = np.argsort(asked, kind="stable")
+        new = np.concatenate([[True], asked[order][1:] != asked[order][:-1]])
+        held = np.diff(np.concatenate([np.flatnonzero(new), [len(asked)]]))
+        docs = np.empty(len(asked), np.int64)
+        docs[order] = held[np.cumsum(new) - 1]
+        out = []
+        for chunk, i, j in zip(part["chunk"].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if (docs[i:j] > 1).any():
+                many = docs[i:j] > _CHUNK
+                out.append((chunk, int(key[0]), np.packbits(docs[i:j] > 1).tobytes(), np.packbits(many).tobytes() if many.any() else None))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "some", "many"])
+
+    asked = work.repartition(tasks).mapInArrow(ask, "bucket int, chunk long, data binary")
+    marks = asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, some binary, many binary")
+    marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "some", "many")).alias("marks"))  # a bit for each anchor of a chunk
+    return written(work.join(marks, "chunk"), "marked")
+
+
+def _found(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFrame:
+    """(chunk, data): squeezed byte ranges of rows that repeat a smaller document."""
+
+    def packed(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "bucket", "chunk", "data"])
 
-    def anchors(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[list[tuple[np.ndarray, Anchors]]]:
-        """Anchors of a few slices of text at a time, so that what a task holds doesn't follow the batch."""
-        held, n = [], 0
-        for batch in batches:
-            ids = _ids(batch)
-            for a, b, data, offsets in tx.slices(batch.column("text")):
-                found = Anchors(data, offsets, length, k, bits)
-                if len(found.pos):
-                    held.append((ids[a:b], found))
-                    n += len(found.pos)
-                if n >= _HELD or len(held) >= 16:
-                    yield held
-                    held, n = [], 0
-        if held:
-            yield held
-
-    def packed(kind: int, buckets: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(buckets), pa.int32()), pa.array([b for b, _ in buckets], pa.int32()), pa.array([x for _, x in buckets], pa.binary())], ["kind", "bucket", "data"])
-
-    def dealt(kind: int, hashes: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        return packed(kind, _dealt(hashes, columns, n))
-
-    schema = "kind int, bucket int, data binary"
-
-    # 1: the top 40 bits of each anchor hash, once for each document and at most twice for each run of slices
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in anchors(batches):
-            h, d = (np.concatenate(x) for x in zip(*((f.hash >> np.uint64(24), ids[f.row]) for ids, f in held), strict=True))
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])]
-            again = np.zeros(len(h), bool)
-            again[2:] = (h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])
-            h = h[~again]
-            order, edge = _deal(h << np.uint64(24), n)
-            raw = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :5])
-            yield packed(0, [(i, raw[edge[i] : edge[i + 1]].tobytes()) for i in range(n) if edge[i] < edge[i + 1]])
-
-    def twice(part: pd.DataFrame) -> pd.DataFrame:
-        raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in part["data"]])
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        h = wide.view(np.uint64)[:, 0]
-        h.sort()
-        return pd.DataFrame({"bits": [_packed_bits(h[1:][h[1:] == h[:-1]] << np.uint64(24))]})
-
-    repeated = sc.broadcast(_bitmaps(rows.mapInArrow(count, schema).groupBy("bucket").applyInPandas(twice, "bits binary"))[0])
-
-    # 2: covered at once where a smaller document nearby has the same context (kind 1); else sent on (kind 2)
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in anchors(batches, repeated.value):
-            parts = [(f.hash, f.context, ids[f.row], f.pos - f.offsets[f.row], f.lo - f.offsets[f.row], f.hi - f.offsets[f.row]) for ids, f in held]
-            h, c, d, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((d, c, h))
-            h, c, d, pos, lo, hi = (x[order] for x in (h, c, d, pos, lo, hi))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            least = d[new][np.cumsum(new) - 1]
-            done = d > least
-            yield packed(1, _by_document(d[done], lo[done], hi[done], n))
-            rest = ~done
-            yield dealt(2, c[rest], h[rest].view(np.int64), d[rest], lo[rest] << 32 | (hi - lo)[rest])
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        """What is covered (kind 1), found here or nearby before, and how many contexts are here of each anchor (kind 2)."""
-        rows = list(part.loc[part["kind"] == 1, ["kind", "bucket", "data"]].itertuples(index=False, name=None))
-        part = part[part["kind"] == 2]
-        if len(part):
-            c, h, d, at = _unpacked(part["data"], 4)
-            order, done = _covered_later(c, h, d)
-            c, h, d, at = (x[order] for x in (c, h, d, at))
-            new = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
-            lo, hi = at >> 32, (at >> 32) + (at & 0xFFFFFFFF)
-            rows += [(1, *x) for x in _by_document(d[done], lo[done], hi[done], n)]
-            anchor, met = np.unique(h[new].view(np.uint64), return_counts=True)
-            rows += [(2, *x) for x in _dealt(anchor, [met], n)]
-        return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
-
-    def several(part: pd.DataFrame) -> pd.DataFrame:
-        """Bits of the anchors that stay open, and of those with too many contexts for a merge."""
-        h, met = _unpacked(part["data"], 2)
-        anchor, at = np.unique(h.view(np.uint64), return_inverse=True)
-        met = np.bincount(at, met)
-        return pd.DataFrame({"bits": [_packed_bits(anchor[met > 1])], "many": [_packed_bits(anchor[met > _CHUNK])]})
-
-    compared = written(rows.mapInArrow(settle, schema).groupBy("bucket").applyInPandas(compare, schema), "compared")
-    contexts = compared.where("kind = 2").groupBy("bucket").applyInPandas(several, "bits binary, many binary")
-    open_bits, many_bits = (sc.broadcast(x) for x in _bitmaps(contexts))
-
-    # 3: the contexts of anchors that have several, to the merge of transforms
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for held in anchors(batches, open_bits.value):
-            rows, least = [], {}
-            for ids, f in held:
-                raw, at = f.data.tobytes(), f.offsets[f.row]
-                for x in zip(f.hash.tolist(), ids[f.row].tolist(), (f.lo - at).tolist(), [raw[i:j] for i, j in zip(f.lo.tolist(), f.hi.tolist(), strict=True)], strict=True):
-                    rows.append(x)
-                    least[x[3]] = min(x[1], least.get(x[3], x[1]))
-            rows = sorted(x for x in rows if x[1] == least[x[3]])
-            many = _bit(many_bits.value, np.array([x[0] for x in rows], np.uint64)).tolist()
-            for x, y, d, at in _windows([r for r, m in zip(rows, many, strict=True) if m], length):
-                order, done = _covered_later(x, y, d)
-                x, y, d, at = (v[order] for v in (x, y, d, at))
-                yield packed(1, _by_document(d[done], at[done], at[done] + length, n))
-                yield dealt(4, x[~done].view(np.uint64), y[~done], d[~done], at[~done])
-            rows = [r for r, m in zip(rows, many, strict=True) if not m]
-            if not rows:
-                continue
-            h, d, lo, s = zip(*rows, strict=True)
-            table = np.stack([np.array(h, np.uint64).view(np.int64), np.array(d), np.array(lo), np.fromiter(map(len, s), np.int64, len(s))])
-            _, edge = _deal(table[0].view(np.uint64), n)
-            yield packed(3, [(i, press.compress(np.int64(b - a).tobytes() + table[:, a:b].tobytes() + b"".join(s[a:b]))) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if a < b])
-
-    def unpacked(data: bytes) -> pd.DataFrame:
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        m = int(np.frombuffer(raw, np.int64, 1)[0])
-        h, d, lo, size = np.frombuffer(raw, np.int64, 4 * m, 8).reshape(4, m)
-        at = 8 + 32 * m + np.concatenate([[0], np.cumsum(size)])
-        return pd.DataFrame({"anchor": h, "doc_id": d, "lo": lo, "context": [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})
+        press = zstandard.ZstdCompressor(level=3)
+        for told, piece in _loaded(batches):
+            c, chunk = Chunk(piece, told["skip"], length, k), told["chunk"]
+            edge, some, many = _edges(c.asked, n), np.zeros(len(c.asked), bool), np.zeros(len(c.asked), bool)
+            for m in told["marks"]:
+                i, j = edge[m["bucket"]], edge[m["bucket"] + 1]
+                some[i:j] = np.unpackbits(np.frombuffer(m["some"], np.uint8), count=j - i)
+                if m["many"]:
+                    many[i:j] = np.unpackbits(np.frombuffer(m["many"], np.uint8), count=j - i)
+            at = np.searchsorted(c.asked, c.key)
+            keep = np.flatnonzero(some[at])
+            many = many[at[keep]]
+            key, row, lo, size, pos = c.key[keep], c.row[keep], c.lo[keep], (c.hi - c.lo)[keep], (c.pos - c.lo)[keep]
+            doc = c.ids[row]
+            # equal contexts of the chunk: found by a hash, settled by their bytes
+            prefix = tx.prefix_hash(c.data)
+            order = np.lexsort((doc, pos, size, tx.span_hash(prefix, lo, lo + size), key))
+            key, row, lo, size, pos, doc, many = (x[order] for x in (key, row, lo, size, pos, doc, many))
+            wide = np.arange(2 * length - k)
+            text = np.where(wide < size[:, None], c.data[np.minimum(lo[:, None] + wide, len(c.data) - 1)], 0).astype(np.uint8)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (text[1:] != text[:-1]).any(axis=1)
+            done = doc > doc[new][np.cumsum(new) - 1] if len(key) else new
+            begin = lo - c.begin[row]
+            yield packed([(1, chunk % n, *x) for x in _ranges(np.full(done.sum(), chunk), row[done], begin[done], (begin + size)[done])])
+            hot = [(bytes(text[i, : size[i]]), int(doc[i]), int(row[i]), int(begin[i])) for i in np.flatnonzero(many & ~done).tolist()]
+            for x, y, d, r, b in _windows(hot, length):
+                order, later = _covered_later(d, y, x)
+                x, y, d, r, b = (v[order] for v in (x, y, d, r, b))
+                yield packed([(1, chunk % n, *v) for v in _ranges(np.full(later.sum(), chunk), r[later], b[later], b[later] + length)])
+                rest = ~later
+                edge = np.searchsorted(x[rest] >> np.uint64(24), np.array([_floor(i, n) for i in range(n + 1)], np.uint64))
+                yield packed([(4, i, chunk, _squeezed(*(np.ascontiguousarray(v[rest][p:q]) for v in (x, y, d, r, b)))) for i, (p, q) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if p < q])
+            rest = ~many & ~done
+            edge = _edges(key[rest], n).tolist()
+            text, size, doc, row, begin, pos = (x[rest] for x in (text, size, doc, row, begin, pos))
+            inside = wide < size[:, None]
+            out = []
+            for i, (p, q) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if p < q:
+                    columns = _squeezed(doc[p:q].astype("<i8"), row[p:q].astype("<i4"), begin[p:q].astype("<i8"), size[p:q].astype("<u2"), pos[p:q].astype("<u2"))
+                    out.append((3, i, chunk, len(columns).to_bytes(4, "little") + columns + press.compress(text[p:q][inside[p:q]].tobytes())))
+            yield packed(out)
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.loc[part["kind"] == 1, ["bucket", "data"]].itertuples(index=False, name=None))
-        if len(windows := part[part["kind"] == 4]):
-            x, y, d, at = _unpacked(windows["data"], 4)
-            order, done = _covered_later(x, y, d)
-            d, at = d[order][done], at[order][done]
-            rows += _by_document(d, at, at + length, n)
+        out = list(part.loc[part["kind"] == 1, ["chunk", "data"]].itertuples(index=False, name=None))
+        if len(cut := part[part["kind"] == 4]):
+            each = [_restored(x, "<u8", "<u8", "<i8", "<i8", "<i8") for x in cut["data"]]
+            x, y, d, row, start = (np.concatenate(v) for v in zip(*each, strict=True))
+            chunk = np.repeat(cut["chunk"].to_numpy(np.int64), [len(v[0]) for v in each])
+            order, later = _covered_later(d, y, x)
+            at = order[later]
+            out += _ranges(chunk[at], row[at], start[at], start[at] + length)
         part = part[part["kind"] == 3]
-        if not len(part):
-            return pd.DataFrame(rows, columns=["bucket", "data"])
-        part = pd.concat([unpacked(x) for x in part["data"]]).sort_values(["anchor", "doc_id"], kind="stable")
-        code, strings = pd.factorize(part["context"])  # in order by anchor: one context, one anchor
-        doc, lo, anchor = (part[c].to_numpy(np.int64) for c in ("doc_id", "lo", "anchor"))
+        if len(part):
+            out += _merged(part)
+        return pd.DataFrame(out, columns=["chunk", "data"])
+
+    def _merged(part: pd.DataFrame) -> list[tuple[int, bytes]]:
+        each, contexts, unpack = [], [], zstandard.ZstdDecompressor().decompress
+        for data in part["data"]:
+            m = int.from_bytes(data[:4], "little")
+            each.append(_restored(data[4 : 4 + m], "<i8", "<i4", "<i8", "<u2", "<u2"))
+            raw, at = unpack(data[4 + m :]), np.concatenate([[0], np.cumsum(each[-1][3].astype(np.int64))]).tolist()
+            contexts += [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        doc, row, begin, size, pos = (np.concatenate(v) for v in zip(*each, strict=True))
+        chunk = np.repeat(part["chunk"].to_numpy(np.int64), [len(v[0]) for v in each])
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        code, strings = pd.factorize(np.array([*contexts, None], object)[:-1])
         owner = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(owner, code, doc)
-        of = np.empty(len(strings), np.int64)
-        of[code] = anchor
-        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        found, i = [], 0
-        while i < len(strings):  # whole anchors, about _CHUNK contexts at a time
-            k = np.searchsorted(new, i + _CHUNK, "right") - 1
-            j = int(new[k]) if new[k] > i else int(new[k + 1]) if k + 1 < len(new) else len(strings)
-            j = len(strings) if len(strings) - i <= _CHUNK else j
-            s, o = repeated_windows(list(strings[i:j]), owner[i:j], length)
-            found.append((s + i, o))
-            i = j
-        string, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         first = doc == owner[code]
-        hits = pd.DataFrame({"s": string, "o": offset}).merge(pd.DataFrame({"s": code[first], "d": doc[first], "lo": lo[first]}), on="s")
-        a = (hits["lo"] + hits["o"]).to_numpy(np.int64)
-        return pd.DataFrame(rows + _by_document(hits["d"].to_numpy(np.int64), a, a + length, n), columns=["bucket", "data"])
-
-    merged = rows.mapInArrow(extract, schema).groupBy("bucket").applyInPandas(merge, "bucket int, data binary")
-
-    def gather(part: pd.DataFrame) -> pd.DataFrame:
-        d, a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["data"]]).T
-        order = np.argsort(d, kind="stable")
-        d, a, b = d[order], a[order], b[order]
-        edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
-        out = []
-        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            out.append((int(d[i]), np.stack(_merge_runs(a[i:j], b[i:j]), axis=1).tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "runs"])
-
-    ranges = compared.where("kind = 1").select("bucket", "data").unionByName(merged)
-    return ranges.groupBy("bucket").applyInPandas(gather, "doc_id long, runs binary")
-
-
-def _kept(raw: bytes, runs: bytes | None) -> tuple[list[bytes], int, int]:
-    pairs = np.frombuffer(runs or b"", np.int64).reshape(-1, 2).tolist()
+        found = [(chunk[~first], row[~first], begin[~first], (begin + size)[~first])]
+        # only anchors with several contexts are merged
+        anchor = np.empty(len(strings), np.int64)
+        anchor[code] = pos
+        gram, _ = pd.factorize(np.array([*(s[p : p + k] for s, p in zip(strings, anchor.tolist(), strict=True)), None], object)[:-1])
+        several = np.flatnonzero(np.bincount(gram)[gram] > 1)
+        several = several[np.argsort(gram[several], kind="stable")]
+        new = np.flatnonzero(np.concatenate([[True], gram[several][1:] != gram[several][:-1]]))
+        at, hits = 0, []
+        while at < len(several):  # whole anchors, about _CHUNK contexts at a time
+            i = np.searchsorted(new, at + _CHUNK, "right") - 1
+            to = int(new[i]) if new[i] > at else int(new[i + 1]) if i + 1 < len(new) else len(several)
+            to = len(several) if len(several) - at <= _CHUNK else to
+            own = several[at:to]
+            s, o = repeated_windows([strings[i] for i in own.tolist()], owner[own], length)
+            hits.append((own[s], o))
+            at = to
+        if hits:
+            s, o = (np.concatenate(v) for v in zip(*hits, strict=True))
+            held = pd.DataFrame({"s": code[first], "chunk": chunk[first], "row": row[first], "begin": begin[first]})
+            met = pd.DataFrame({"s": s, "o": o}).merge(held, on="s")
+            start = (met["begin"] + met["o"]).to_numpy(np.int64)
+            found.append((met["chunk"].to_numpy(np.int64), met["row"].to_numpy(np.int64), start, start + length))
+        return _ranges(*(np.concatenate(v) for v in zip(*found, strict=True)))
+
+    extracted = _marked(work, length, k, n, tasks).repartition(tasks).mapInArrow(extract, "kind int, bucket int, chunk long, data binary")
+    return extracted.groupBy("bucket").applyInPandas(merge, "chunk long, data binary")
+
+
+def _cut(docs: DataFrame, length: int) -> DataFrame:
+    """(path, at, size, skip, ranges): the chunks of ``docs`` with all that is found in them."""
+    work, n, tasks = stored(docs, length), buckets_for(docs), _tasks(docs)
+    k = max(1, GRAM * length // LENGTH)
+    ranges = _found(work, length, k, n, tasks).groupBy("chunk").agg(F.collect_list("data").alias("ranges"))  # no longer than a chunk's text
+    return work.join(ranges, "chunk", "left").select("path", "at", "size", "skip", "ranges").repartition(tasks)
+
+
+def _each(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes | None, list[tuple[int, int]]]]]]:
+    """Chunks, and for each of their rows the text and the ranges that go."""
+    for told, piece in _loaded(batches):
+        column = piece.column(piece.schema.get_field_index("text"))
+        texts = [x.encode() if x is not None else None for x in column.to_pylist()]
+        runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+        each = [_restored(x, "<i4", "<i8", "<i8") for x in told["ranges"] or []]
+        if each:
+            row, a, b = (np.concatenate(v) for v in zip(*each, strict=True))
+            order = np.argsort(row, kind="stable")
+            row, a, b = row[order], a[order], b[order]
+            edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])).tolist()
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                runs[row[i]] = list(zip(*(x.tolist() for x in _merge_runs(a[i:j], b[i:j])), strict=True))
+        for i in told["skip"] or []:
+            runs[i] = [(0, len(texts[i]))]
+        yield piece, list(zip(texts, runs, strict=True))
+
+
+def _kept(raw: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
     pieces, at = [], 0
-    for a, b in pairs:
+    for a, b in runs:
         pieces.append(raw[at:a])
         at = b
-    return [*pieces, raw[at:]], sum(b - a for a, b in pairs), len(pairs)
-
-
-def _attached(docs: DataFrame, length: int) -> DataFrame:
-    return docs.join(covered(docs, length).withColumnRenamed("doc_id", "_covered_id"), F.col("doc_id").cast("long") == F.col("_covered_id"), "left").drop("_covered_id")
+    return [*pieces, raw[at:]]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<a, b>>).
 
-    Texts are UTF-8 bytes; null is empty. A byte is removed when a ``length``-byte string that covers it also
+    Texts are UTF-8 bytes of any length; null is empty. A byte is removed when a ``length``-byte string that covers it also
     starts in a document with a smaller doc_id; strings are judged on the input. Texts shorter than
-    ``length`` lose nothing. Rows that repeat a doc_id don't repeat each other, and ranges found
-    in any of them hold for the texts they were found in only if these are equal; doc_id is meant to be
-    unique. Rows with a null doc_id lose nothing. Further columns are not read.
+    ``length`` lose nothing. Rows that repeat a doc_id don't repeat each other; each is judged by its own text.
+    Rows with a null doc_id lose nothing and take nothing from others. An empty table gives no rows. Further
+    columns are not read.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece, rows in _each(batches, length):
             out = []
-            for raw, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-                raw, runs = raw.as_py() or b"", runs.as_py()
-                pieces, gone, spans = _kept(raw, runs)
+            for raw, runs in rows:
                 digest = hashlib.sha256()
-                for x in pieces:
+                for x in _kept(raw or b"", runs):
                     digest.update(x)
-                out.append((len(raw), gone, spans, digest.hexdigest(), [{"a": a, "b": b} for a, b in np.frombuffer(runs or b"", np.int64).reshape(-1, 2).tolist()]))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
+                out.append((len(raw or b""), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), [{"a": a, "b": b} for a, b in runs]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([piece.column(piece.num_columns - 1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    return _attached(rows, length).select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
+    return _cut(docs.select("doc_id", "text"), length).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` without the repeated bytes of ``text``; documents of which nothing is left go.
 
-    Keeps the columns of ``docs``. Where a removed range begins or ends inside a character, the rest of
-    that character goes too. Documents that lose nothing stay as they are, empty and null texts too.
+    Keeps the columns of ``docs``, whatever their names. Where a removed range begins or ends inside a character, the rest of
+    that character goes too. Documents that lose nothing stay as they are, empty and null texts too. What is
+    removed is as in ``repeats``. An empty table stays empty.
     """
-    order, kinds = docs.columns, dict(docs.dtypes)
+    order, kinds = docs.columns, dict(docs.withColumn("text", F.col("text").cast("string")).dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs, at = batch.column("runs"), batch.schema.get_field_index("text")
-            texts, keep = [], []
-            for x, r in zip(batch.column("text"), runs, strict=True):
-                x = x.as_py()
-                if r.is_valid:
-                    pieces, _, _ = _kept(x.encode(), r.as_py())
-                    x = "".join(p.decode("utf-8", "ignore") for p in pieces)
-                    keep.append(bool(x.strip()))
-                else:
-                    keep.append(True)
-                texts.append(x)
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).select(order).filter(pa.array(keep))
-
-    return _attached(docs, length).mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in order))
+        for piece, rows in _each(batches, length):
+            texts = [raw if not runs else b"".join(x.decode("utf-8", "ignore").encode() for x in _kept(raw, runs)) for raw, runs in rows]
+            keep = [not runs or bool(x.strip()) for x, (_, runs) in zip(texts, rows, strict=True)]
+            place = piece.schema.get_field_index("text")
+            texts = pa.array([None if x is None else x.decode() for x in texts], pa.string())
+            columns = [texts if i == place else c for i, c in enumerate(piece.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, piece.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return _cut(docs, length).mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in order))
