@@ -22,11 +22,17 @@ from .session import fresh_dir, texts, written
 VERSION = b"WARC/1.1\r\n"
 #: A file is closed once it reaches this size.
 FILE_BYTES = 64 << 20
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+#: Elements that stand on lines of their own.
+_BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer title head body blockquote pre".split())
+#: A comment, an element whose content is no text, a tag, or another declaration; what isn't closed reaches to the end, so that no
+#: character is read twice.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template)(?![a-z0-9-])[^>]*(?:>|\Z)|<(/?[a-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!/?][^>]*(?:>|\Z)",
+    re.S | re.I,
+)
+_BREAKS = re.compile(r"[\r\n]+")
+_HREF = re.compile(r"""(?<![\w-])href\s*+=\s*+["']?([^"'\s>]+)""", re.I)
+_CHARSET = re.compile(r"""charset\s*+=\s*+["']?([\w.:-]+)""", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -40,59 +46,103 @@ def record_id(*parts: object) -> str:
 
 def record(kind: str, name: str, block: bytes, content_type: str, headers: list[tuple[str, str | None]]) -> bytes:
     lines = [("WARC-Type", kind), ("WARC-Record-ID", name), *headers, ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
-    head = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in lines if v is not None)
+    head = "".join(f"{k}: {_BREAKS.sub(' ', v) if chr(13) in v or chr(10) in v else v}\r\n" for k, v in lines if v is not None)
     return VERSION + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names lowered) and block of one record; the block's length and digest are checked."""
+def parse(data: bytes, verify: bool = True) -> tuple[dict[str, str], bytes]:
+    """Headers (names lowered) and block of one record; the block's length is checked, with ``verify`` its digest too."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/1."):
+    if not head.startswith(VERSION):
         raise ValueError("no WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers = {}
+    for line in head[len(VERSION) :].decode().split("\r\n"):
+        k, _, v = line.partition(": ")
+        headers[k.lower()] = v
     block = rest[: int(headers["content-length"])]
-    if len(block) != int(headers["content-length"]) or headers.get("warc-block-digest", digest(block)) != digest(block):
-        raise ValueError(f"{headers.get('warc-record-id')} is damaged")
+    if len(rest) != len(block) + 4 or rest[len(block) :] != b"\r\n\r\n" or (verify and digest(block) != headers["warc-block-digest"]):
+        raise ValueError(f"damaged record {headers.get('warc-record-id')}")
     return headers, block
 
 
-def plain_text(page: str) -> str:
-    """Text of a page: no scripts, styles and comments, a line for each block, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """Text, title and links of a page, in one pass whose time is in proportion to its length.
+
+    Text is without scripts, styles and comments, has a line for each block and its entities resolved. A tag, comment or
+    script that isn't closed reaches to the end.
+    """
+    text, links, title, title_at, at = [], [], None, -1, 0
+    while found := _MARKUP.search(page, at):
+        begin, end = found.span()
+        if begin > at:
+            text.append(page[at:begin])
+        name = found[1]
+        if name is not None:
+            name = name.lower()
+            if name == "a":
+                if link := _HREF.search(found[2]):
+                    links.append(html.unescape(link[1]))
+            elif name.lstrip("/") in _BLOCKS:
+                text.append("\n")
+                if name == "title" and title_at < 0:
+                    title_at = end
+                elif name == "/title" and title_at >= 0 and title is None:
+                    title = html.unescape(page[title_at:begin]).strip()
+        elif page[begin + 1] not in "!/?":
+            text.append(" ")
+            end = _closing(page, end, page[begin + 1 : begin + 9].lower())
+        elif page.startswith("<!--", begin):
+            text.append(" ")
+        at = end
+    text.append(page[at:])
+    lines = map(" ".join, map(str.split, html.unescape("".join(text)).split("\n")))
+    return "\n".join(filter(None, lines)), title, links
+
+
+_CLOSING = {x: re.compile(rf"</{x}\s*+(?:>|\Z)|\Z", re.I) for x in ("script", "style", "noscript", "template")}
+
+
+def _closing(page: str, at: int, begun: str) -> int:
+    """Where the element that ``begun`` names, whose content begins at ``at``, has ended."""
+    return _CLOSING[next(x for x in _CLOSING if begun.startswith(x))].search(page, at).end()
 
 
 def response(page_id: int | None, url: str | None, page: str | None, date: str) -> bytes:
     payload = (page or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
-    return record("response", record_id("response", url, page_id), block, "application/http; msgtype=response", [("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest(payload)), ("X-Page-Id", None if page_id is None else str(page_id))])
+    said = digest(payload)
+    return record("response", record_id("response", url, page_id, said), block, "application/http; msgtype=response", [("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", said), ("X-Page-Id", None if page_id is None else str(page_id))])
+
+
+def _decoded(payload: bytes, content_type: str) -> str:
+    """The payload in the character set that the HTTP headers name; in UTF-8 where they name none, or none that is known."""
+    named = _CHARSET.search(content_type)
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def derive(data: bytes) -> list[bytes]:
     """The metadata and the conversion record of a response record; nothing of other records.
 
     Both refer to the response and repeat its target, date and page id; the metadata holds the source's
-    headers, its digests, title and links.
+    headers, its digests, title and links. An empty payload gives an empty conversion. Texts of any length take time in
+    proportion to it.
     """
     headers, block = parse(data)
     if headers.get("warc-type") != "response":
         return []
     head, _, payload = block.partition(b"\r\n\r\n")
-    page, source = payload.decode("utf-8", "replace"), headers["warc-record-id"]
+    http = dict(x.split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x)
+    source = headers["warc-record-id"]
+    text, title, links = read_page(_decoded(payload, next((v for k, v in http.items() if k.lower() == "content-type"), "")))
     linked = [("WARC-Date", headers.get("warc-date")), ("WARC-Target-URI", headers.get("warc-target-uri")), ("WARC-Refers-To", source), ("X-Page-Id", headers.get("x-page-id"))]
-    text, title = plain_text(page), _TITLE.search(page)
-    about = {
-        "source": headers,
-        "http": dict(x.split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x),
-        "title": html.unescape(title[1]).strip() if title else None,
-        "links": [html.unescape(x) for x in _LINK.findall(page)],
-        "conversion": record_id("conversion", source),
-    }
+    conversion = record_id("conversion", source)
+    about = {"source": headers, "http": http, "title": title, "links": links, "conversion": conversion}
     return [
         record("metadata", record_id("metadata", source), json.dumps(about, sort_keys=True).encode(), "application/json", linked),
-        record("conversion", record_id("conversion", source), text.encode(), "text/plain; charset=utf-8", [*linked, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest"))]),
+        record("conversion", conversion, text.encode(), "text/plain; charset=utf-8", [*linked, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest"))]),
     ]
 
 
@@ -143,8 +193,8 @@ def records(uri: str) -> Iterator[bytes]:
 def write_responses(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """``pages(page_id, url, html)`` as WARC response records; returns (path) of the files.
 
-    A null html is an empty payload, a null url or page_id leaves its header out; repeated rows
-    give repeated records with one id. Further columns are not read.
+    A null html is an empty payload, a null url or page_id leaves its header out; rows that repeat page_id, url and
+    html give repeated records with one id. An empty table gives no files. Further columns are not read.
     """
     folder = folder or fresh_dir(pages.sparkSession, "responses")
 
@@ -161,7 +211,11 @@ def write_responses(pages: DataFrame, folder: str | None = None, date: str = "20
 
 
 def build_derivatives(files: DataFrame, folder: str | None = None) -> DataFrame:
-    """Read the WARC files named in ``files(path)`` and write their derivatives; returns (path) of the new files."""
+    """Read the WARC files named in ``files(path)`` and write their derivatives; returns (path) of the new files.
+
+    Records that aren't responses have none; repeated records have repeated ones. No files give no files, a file
+    that is named twice is read twice, a null path is passed over. A record whose digest is wrong fails the job. Further columns are not read.
+    """
     spark = files.sparkSession
     folder = folder or fresh_dir(spark, "derivatives")
 
@@ -169,7 +223,7 @@ def build_derivatives(files: DataFrame, folder: str | None = None) -> DataFrame:
         out = Writer(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                for data in records(path):
+                for data in records(path) if path else ():
                     for made in derive(data):
                         out.add(made)
         out.close()
@@ -179,12 +233,16 @@ def build_derivatives(files: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_derivatives(files: DataFrame, with_blocks: bool = False) -> DataFrame:
     """One row for each record: (page_id, kind, record_id, refers_to, target, block_digest, source_digest, n_bytes,
-    conversion_id, n_links[, block])."""
+    conversion_id, n_links[, block]).
+
+    What a record doesn't have is null; n_links and conversion_id are those of metadata. Repeated records and files give
+    repeated rows, null paths and no files give none. A record whose digest is wrong fails the job. Further columns are not read.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "kind", "record_id", "refers_to", "target", "block_digest", "source_digest", "n_bytes", "conversion_id", "n_links", "block"]
@@ -192,7 +250,7 @@ def read_derivatives(files: DataFrame, with_blocks: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows = []
-                for data in records(path):
+                for data in records(path) if path else ():
                     h, block = parse(data)
                     about = json.loads(block) if h["warc-type"] == "metadata" else {}
                     source = h.get("warc-source-payload-digest") or about.get("source", {}).get("warc-payload-digest")
@@ -210,9 +268,13 @@ def read_derivatives(files: DataFrame, with_blocks: bool = False) -> DataFrame:
 def linked_derivatives(pages: DataFrame) -> DataFrame:
     """One row for each distinct response: ids of the three records, where they refer to, digests and sizes.
 
-    Responses and derivatives are written as files and read back. Rows that repeat page_id and url give one row.
+    Responses and derivatives are written as files and read back. Rows of ``pages`` that repeat page_id, url and html
+    are one response; rows that share only some of them stay apart. A null html is an empty payload, a null url or
+    page_id is in no record. An empty table gives no rows. Further columns are not read.
     """
-    read = written(read_derivatives(build_derivatives(write_responses(pages))), "derivative-rows")
-    about = read.where("kind = 'metadata'").select("page_id", F.col("refers_to").alias("response_id"), F.col("record_id").alias("metadata_id"), "conversion_id", "n_links", F.col("n_bytes").alias("metadata_bytes"))
-    text = read.where("kind = 'conversion'").select(F.col("record_id").alias("conversion_id"), F.col("refers_to").alias("conversion_refers_to"), "target", F.col("source_digest").alias("payload_digest"), F.col("block_digest").alias("text_digest"), F.col("n_bytes").alias("text_bytes"))
-    return about.dropDuplicates(["metadata_id"]).join(text.dropDuplicates(["conversion_id"]), "conversion_id")
+    read = read_derivatives(build_derivatives(write_responses(pages)))
+    of = lambda kind, column, name: F.max(F.when(F.col("kind") == kind, F.col(column))).alias(name)
+    about = [of("metadata", *x) for x in (("record_id", "metadata_id"), ("conversion_id", "conversion_id"), ("n_links", "n_links"), ("n_bytes", "metadata_bytes"))]
+    text = [of("conversion", *x) for x in (("record_id", "made_id"), ("refers_to", "conversion_refers_to"), ("source_digest", "payload_digest"), ("block_digest", "text_digest"), ("n_bytes", "text_bytes"))]
+    met = read.groupBy(F.col("refers_to").alias("response_id")).agg(F.max("page_id").alias("page_id"), F.max("target").alias("target"), *about, *text)
+    return met.where("made_id = conversion_id").drop("made_id")
