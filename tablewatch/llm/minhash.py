@@ -170,8 +170,8 @@ def colliding(sketches: np.ndarray, group: np.ndarray, side: np.ndarray, thresho
     return alive
 
 
-def forest(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links, enough to join what is linked: pairs of rows with 100 * |intersection| >= ``percent`` * |union|.
+def forest(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links and the groups that they make: links enough to join what is linked: pairs of rows with 100 * |intersection| >= ``percent`` * |union|.
 
     The first row is compared with all, then each row that is not joined to the largest group so far with all. Rows of
     side 0 are compared with those of side 1 only, whatever they are joined to.
@@ -198,7 +198,7 @@ def forest(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent:
     for x in np.flatnonzero(side != 1).tolist()[1:]:
         if (side[x] == 0 or label[x] != label[core]) and (label != label[x]).any():
             compare(x)
-    return links
+    return links, label
 
 
 def _retained(rows: DataFrame, threshold: int) -> DataFrame:
@@ -219,12 +219,12 @@ def _retained(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def _linked(rows: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """(a, b) nodes of a forest of links for each cell of retained ``rows``."""
+    """(a, b, leader): nodes of a forest of links for each cell of retained ``rows``; leader where the link is in the leader's group."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for table, edge in _whole_cells(batches):
-            group, side, node, cid = (table.column(c).to_numpy() for c in ("group", "side", "node", "cid"))
+            group, side, node, cid, leader = (table.column(c).to_numpy() for c in ("group", "side", "node", "cid", "leader"))
             packed, found = table.column("packed"), []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 once = np.flatnonzero(np.concatenate([[True], (cid[a + 1 : b] != cid[a : b - 1]) | (side[a + 1 : b] != side[a : b - 1])])) + a  # repeated rows of documents
@@ -233,14 +233,16 @@ def _linked(rows: DataFrame, docs: DataFrame, width: int, percent: int, name: st
                 raws = [unpack(packed[i].as_py()) for i in once.tolist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
                 sets = list(tx.shingle_sets(np.frombuffer(b"".join(raws), np.uint8), offsets, width))
-                found += [(node[once[x]], node[once[y]]) for x, y in forest(sets, group[once], side[once], percent)]
-            x, y = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                links, label = forest(sets, group[once], side[once], percent)
+                led = cid[a] == leader[a]  # the leader, if it is here, stands first
+                found += [(node[once[x]], node[once[y]], leader[a] if led and label[x] == label[0] else None) for x, y in links]
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "leader"])
 
     rows = written(rows, f"retained-{name}")
     texts = packed_texts(docs, rows.select("node"), width)
     sides = rows.hint("merge").join(texts, ["node", "key"]).select(*_CELL, "head", "side", "cid", "node", "group", "packed")
-    return written(_dealt(sides).mapInArrow(check, "a long, b long"), f"links-{name}")
+    return written(_dealt(sides).mapInArrow(check, "a long, b long, leader long"), f"links-{name}")
 
 
 def _posted(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
@@ -293,11 +295,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     cells = cells.withColumn("i", F.explode(own)).withColumns({"j": F.lit(0), "side": F.lit(2), "group": F.col("node")})
     links = _linked(_retained(cells, threshold), docs, width, percent, "first")
 
-    if not large.isEmpty():  # what is still apart from the leader's component meets all blocks
-        joined = components(links)
-        some = members.join(large.select("leader"), "leader").join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        top = some.where("head").select("leader", F.col("group").alias("top"))
-        some = written(some.drop("head", "component").join(top, "leader").withColumn("rest", F.col("group") != F.col("top")), "still-apart")
+    if not large.isEmpty():  # what isn't joined to its leader meets all blocks
+        joined = links.where("leader is not null").select("leader", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("led", F.lit(True))
+        lead = members.where("head").select("leader", F.col("node").alias("top"))
+        some = members.join(large.select("leader"), "leader").join(lead, "leader").join(joined, ["leader", "node"], "left")
+        some = some.withColumn("group", F.when(F.col("led"), F.col("top")).otherwise(F.col("node"))).withColumn("rest", F.col("group") != F.col("top"))
+        some = written(some.drop("head", "led", "top"), "still-apart")
         sizes = some.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.count_if("rest").alias("rn"), F.sum(F.when(F.col("rest"), F.col("n_shingles"))).alias("rs")).where("rn > 0")
         some = some.join(sizes.select("leader", _blocks("n", "s", block).alias("all"), _blocks("rn", "rs", block).alias("few")), "leader")
         of = lambda n: F.pmod(F.xxhash64("cid", F.lit(1)), F.col(n)).cast("int")
@@ -305,10 +308,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         x = some.where("rest").withColumn("i", of("few")).withColumn("j", every("all")).withColumn("side", F.lit(0))
         y = some.withColumn("j", of("all")).withColumn("i", every("few")).withColumn("side", F.lit(1))
         second = x.unionByName(y).withColumn("head", F.col("side") == 0)
-        links = links.unionByName(_linked(_retained(second, threshold), docs, width, percent, "second"))
+        links = links.union(_linked(_retained(second, threshold), docs, width, percent, "second"))
 
     same_id = linked.join(classes.select("key", "node").hint("merge"), "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    found = components(links.unionByName(same_id.select(F.col("low").alias("a"), F.col("high").alias("b")))).withColumnRenamed("component", "root")
+    found = components(links.select("a", "b").unionByName(same_id.select(F.col("low").alias("a"), F.col("high").alias("b")))).withColumnRenamed("component", "root")
     of = classes.select("key", "node").hint("merge").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
     empty = signed.where("doc_id is null or key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = linked.hint("merge").join(of, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
