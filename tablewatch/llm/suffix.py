@@ -5,7 +5,7 @@ A byte goes when a ``length``-byte string that covers it also starts in a docume
 A transform of all text at once would be one structure as large as the corpus, so the work is first
 cut into pieces that tasks can hold, without losing a match:
 
-0. *Chunks.* Documents are written once, some megabytes of text at a time; what is found later names a chunk and a row of it,
+0. *Chunks.* Documents are written once, about a megabyte of text at a time; what is found later names a chunk and a row of it,
    so neither ids nor other columns are joined and texts are never shuffled. A text that a document
    with a smaller id has as a whole (by a 128-bit digest) is covered as a whole and takes no further part.
 1. *Anchors.* In each window of ``length - k + 1`` k-grams, the one with the least hash is an anchor. Equal
@@ -45,9 +45,10 @@ from .session import buckets_for, fresh_dir, written
 
 LENGTH, GRAM = 50, 22
 #: Bytes of text in a chunk, and in what a task looks for anchors in at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _HELD = 1 << 18
-_CHUNK = 1 << 12  # contexts in a merge; anchors of more documents are compared by windows
+#: Contexts merged at once (more only where one anchor has more); anchors of more than _CHUNK documents are compared by windows.
+_MERGED, _CHUNK = 1 << 10, 1 << 12
 
 
 class Anchors:
@@ -172,7 +173,7 @@ class Chunk:
         pos, row, h, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
         keep = ~out[row]
         self.pos, self.row, self.lo, self.hi = pos[keep], row[keep], lo[keep], hi[keep]
-        self.key = h[keep].astype(np.uint64) >> np.uint64(24)  # 40 bits
+        self.key = tx.mix(h[keep].astype(np.uint64)) >> np.uint64(24)  # 40 bits; anchors have low hashes, which would deal unevenly
         doc = self.ids[self.row]
         order = np.lexsort((doc, self.key))
         h, d = self.key[order], doc[order]
@@ -248,6 +249,18 @@ def _windows(rows: list[tuple[bytes, int, int, int]], length: int) -> Iterator[t
             digests, docs, texts, starts = [], [], [], []
 
 
+def _gathered(data: np.ndarray, lo: np.ndarray, size: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The bytes of contexts as rows of one matrix, 0 behind the end of each."""
+    out = np.zeros((len(lo), len(wide)), np.uint8)
+    for i in range(0, len(lo), 4096):
+        at = lo[i : i + 4096, None] + wide
+        np.minimum(at, len(data) - 1, out=at)
+        part = data[at]
+        part[wide >= size[i : i + 4096, None]] = 0
+        out[i : i + 4096] = part
+    return out
+
+
 def _covered_later(d: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by keys and doc, and which rows of it have equal keys in a smaller document."""
     order = np.lexsort((d, *keys))
@@ -396,7 +409,7 @@ def _found(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFram
             order = np.lexsort((doc, pos, size, tx.span_hash(prefix, lo, lo + size), key))
             key, row, lo, size, pos, doc, many = (x[order] for x in (key, row, lo, size, pos, doc, many))
             wide = np.arange(2 * length - k)
-            text = np.where(wide < size[:, None], c.data[np.minimum(lo[:, None] + wide, len(c.data) - 1)], 0).astype(np.uint8)
+            text = _gathered(c.data, lo, size, wide)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (text[1:] != text[:-1]).any(axis=1)
             done = doc > doc[new][np.cumsum(new) - 1] if len(key) else new
@@ -458,10 +471,10 @@ def _found(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFram
         several = several[np.argsort(gram[several], kind="stable")]
         new = np.flatnonzero(np.concatenate([[True], gram[several][1:] != gram[several][:-1]]))
         at, hits = 0, []
-        while at < len(several):  # whole anchors, about _CHUNK contexts at a time
-            i = np.searchsorted(new, at + _CHUNK, "right") - 1
+        while at < len(several):  # whole anchors
+            i = np.searchsorted(new, at + _MERGED, "right") - 1
             to = int(new[i]) if new[i] > at else int(new[i + 1]) if i + 1 < len(new) else len(several)
-            to = len(several) if len(several) - at <= _CHUNK else to
+            to = len(several) if len(several) - at <= _MERGED else to
             own = several[at:to]
             s, o = repeated_windows([strings[i] for i in own.tolist()], owner[own], length)
             hits.append((own[s], o))
