@@ -5,24 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def type_compatible(value: Column, kind: str, options: list[str] | None = None) -> Column:
-    """Whether a text can stand for a value of ``kind``; a row reference accepts anything."""
-    if kind == "int":
-        return value.rlike(r"^-?(0|[1-9][0-9]*)$")
-    if kind == "uint":
-        return value.rlike(r"^(0|[1-9][0-9]*)$")
-    if kind == "guid":
-        return value.rlike(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
-    if kind == "enum":
-        return value.isin(*(options or []))
-    if kind == "row_reference":
-        return F.lit(True)
-    raise ValueError(f"unknown kind: {kind}")
-
-
 def instance_key(class_name: Column, path: Column) -> Column:
-    leaf = F.element_at(F.split(F.regexp_replace(path, r"UEDPIE_[0-9]+_", ""), r"\."), -1)
-    return F.concat(class_name, F.lit(":"), leaf)
+    """Class and leaf of a path: what the last dot follows (so no PersistentLevel), without the prefix of a play session."""
+    leaf = F.element_at(F.split(path, r"\."), -1)
+    return F.concat(class_name, F.lit(":"), F.regexp_replace(leaf, r"^UEDPIE_[0-9]+_", ""))
 
 
 def max_abs_delta(*pairs: tuple[Column, Column]) -> Column:
@@ -35,10 +21,17 @@ def framing_verdict(projectable: Column, inside: Column, margin: Column, request
     return F.when(~projectable, "unprojectable").when(inside == 0, "outside").when(inside < 1, "partial").when(margin < requested, "margin_too_small").otherwise("ok")
 
 
-def parse_edit(text: Column, kind: str) -> Column:
-    """A typed value, or why there is none."""
+def parse_edit(text: Column, kind: str, options: list[str] | None = None, read_only: Column | None = None) -> Column:
+    """A typed value, or why there is none: read_only, missing, not_parseable or not_an_option."""
     value = text.try_cast(kind)
-    return F.struct(value.alias("value"), F.when(text.isNull(), "missing").when(value.isNull(), "not_parseable").otherwise("ok").alias("status"))
+    status = F.when(text.isNull(), "missing").when(value.isNull(), "not_parseable")
+    if options is not None:
+        status = status.when(~text.isin(options), "not_an_option")
+    if read_only is not None:
+        status = F.when(F.coalesce(read_only, F.lit(False)), "read_only").otherwise(status.otherwise("ok"))
+    else:
+        status = status.otherwise("ok")
+    return F.struct(F.when(status == "ok", value).alias("value"), status.alias("status"))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

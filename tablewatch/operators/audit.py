@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .values import format_value
 
 
 def evidence(value: Column, source: str, reason: Column | str = "not_serialized") -> Column:
@@ -41,19 +43,50 @@ def scan_rules(rules: DataFrame) -> DataFrame:
     return rules.where(F.when(unknown, F.raise_error(F.concat(F.lit("unknown rule kind: "), F.coalesce("kind", F.lit("null")))).cast("boolean")).otherwise(True))
 
 
-def evaluate_rules(records: DataFrame, rules: DataFrame, maximum_rules: int = 10_000) -> DataFrame:
+def evaluate_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each record (object_path, record_group, width, height) and rule it breaks.
 
-    Records without both dimensions are skipped. Rules are a small table, broadcast once its size is known.
+    Records without both dimensions are skipped. Rules of a group meet its records by an equi-join, so that a long rule table
+    is no product with them; a rule without a group is only paired with the records that break it.
     """
     checked = scan_rules(rules)
-    small = checked.limit(maximum_rules + 1).count() <= maximum_rules
-    side = F.broadcast(checked) if small else checked
-    breaks = F.lit(False)
-    for kind, test in RULE_KINDS.items():
-        breaks = breaks | ((F.col("kind") == kind) & test())
     whole = records.where("width is not null and height is not null")
-    return whole.join(side, breaks).select("object_path", "rule_id", "severity")
+    grouped = whole.join(checked.where("kind = 'group_maximum'"), F.col("record_group") == F.col("rule_group")).where(RULE_KINDS["group_maximum"]())
+    odd = whole.where(RULE_KINDS["power_of_two"]()).withColumn("_kind", F.lit("power_of_two"))
+    single = odd.join(checked.where("kind = 'power_of_two'"), F.col("_kind") == F.col("kind"))
+    columns = ["object_path", "rule_id", "severity"]
+    return grouped.select(columns).unionByName(single.select(columns))
+
+
+def finding_order(findings: DataFrame) -> DataFrame:
+    """All findings: errors before warnings, then by rule and path."""
+    return findings.orderBy(severity_rank(F.col("severity")), "rule_id", "object_path")
+
+
+def search(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Rows that hold every word of ``query`` somewhere in ``columns``, case aside; all rows for a query without words."""
+    text = F.lower(F.concat_ws("\n", *columns))
+    for term in query.lower().split():
+        rows = rows.where(text.contains(term))
+    return rows
+
+
+def with_capability(units: DataFrame, occurrences: DataFrame, key: str, capability: str) -> DataFrame:
+    """Units of which any occurrence (key, capability) has the capability."""
+    return units.join(occurrences.where(F.col("capability") == capability), key, "left_semi")
+
+
+def row_filter(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Rows of which any column, as it is shown, holds ``query``, case aside."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    shown = F.array(*[F.lower(format_value(F.col(c), kinds[c])) for c in columns])
+    return rows.where(F.exists(shown, lambda v: v.contains(query.lower())))
+
+
+def entity_filter(entities: DataFrame, name: str, kind: str, query: str, hidden: list[str]) -> DataFrame:
+    """Entities whose class isn't hidden, and whose name or class holds ``query``, case aside."""
+    said = F.lower(name).contains(query.lower()) | F.lower(kind).contains(query.lower())
+    return entities.where(~F.col(kind).isin(hidden) & said)
 
 
 def severity_rank(severity: Column) -> Column:
@@ -92,10 +125,25 @@ def guard_limit(df: DataFrame, maximum: int) -> DataFrame:
     return df
 
 
-def latency_distribution(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, least, greatest and nearest-rank percentiles."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+def latency_distribution(df: DataFrame, key: str, value: str, buckets: int = 1000) -> DataFrame:
+    """Count, mean, least, greatest and nearest-rank percentiles of each key; nulls aside.
+
+    Values are counted in ``buckets`` equal parts of each key's span first; only the bucket that a percentile falls into
+    is ordered, by its distinct values with their counts, so a key with most of the rows is not sorted by one task.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    whole = rows.groupBy("k").agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"))
+    place = F.when(F.col("most") > F.col("least"), F.floor((F.col("x") - F.col("least")) / (F.col("most") - F.col("least")) * buckets)).otherwise(0)
+    dealt = rows.join(whole, "k").withColumn("bucket", place)
+    counts = dealt.groupBy("k", "n", "bucket").agg(F.sum("c").alias("c"))
+    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.array(*[F.struct(F.lit(p).alias("p"), F.ceil(F.col("n") * q).alias("rank")) for p, q in (("p50", 0.5), ("p95", 0.95))])
+    ranks = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).select("k", "bucket", "before", "c", F.inline(asked))
+    ranks = ranks.where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c"))).drop("c")
+    upto = Window.partitionBy("k", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = dealt.select("k", "bucket", "x", "c").join(ranks, ["k", "bucket"]).withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    found = near.where(F.col("upto") >= F.col("rank")).groupBy("k").agg(*[F.min(F.when(F.col("p") == p, F.col("x"))).alias(p) for p in ("p50", "p95")])
+    return whole.join(found, "k").withColumnRenamed("k", key)
 
 
 def histogram(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
@@ -104,3 +152,10 @@ def histogram(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
     for b in reversed(bounds):
         bound = F.when(value <= b, F.lit(float(b))).otherwise(bound)
     return df.where(value.isNotNull()).groupBy(bound.alias("upper_bound")).agg(F.count("*").alias("n"))
+
+
+def metrics(df: DataFrame, key: str, value: Column, bounds: list[float], covered: Column) -> DataFrame:
+    """Of each key: how often ``value`` was told, its total, its counts at or below each bound, and the share that is ``covered``, from 0 to 1."""
+    told = [F.count(value).alias("n"), F.sum(value).alias("total"), *[F.count_if(value <= b).alias(f"le_{b:g}") for b in bounds]]
+    gauge = F.least(F.greatest(F.count_if(covered) / F.count("*"), F.lit(0.0)), F.lit(1.0))
+    return df.groupBy(key).agg(*told, gauge.alias("coverage"))

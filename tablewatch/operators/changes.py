@@ -5,86 +5,195 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .values import text_fits
 
-def canonical(*columns: str) -> Column:
-    """One string for the values of a row: nulls and empty strings stay apart."""
-    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns])
 
+def canonical(value: Column, kind: T.DataType, unordered: bool = False) -> Column:
+    """One string for a value of any kind: nulls and empty strings stay apart, maps (and ``unordered`` arrays) lose their order."""
+    mark = lambda x, k: F.coalesce(F.concat(F.lit("="), canonical(x, k)), F.lit("null"))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: mark(x, kind.elementType))
+        return F.concat(F.lit("["), F.array_join(F.array_sort(items) if unordered else items, ","), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        items = F.transform(F.map_entries(value), lambda e: F.concat(mark(e["key"], kind.keyType), F.lit(":"), mark(e["value"], kind.valueType)))
+        return F.concat(F.lit("{"), F.array_join(F.array_sort(items), ","), F.lit("}"))
+    if isinstance(kind, T.StructType):
+        return F.concat(F.lit("("), F.concat_ws(",", *[mark(value[f.name], f.dataType) for f in kind.fields]), F.lit(")"))
+    return value.cast("string")
 
-def table_fingerprint(rows: DataFrame, table: str, order: str, columns: list[str]) -> DataFrame:
-    """(table, fingerprint): the hash of its rows' hashes in row order. What isn't in ``columns`` doesn't count.
 
-    Rows are hashed one by one, then in groups of 10,000, so that no string grows with the table.
+def table_fingerprint(rows: DataFrame, table: str, order: str, columns: list[str], sets: list[str] | None = None, header: DataFrame | None = None) -> DataFrame:
+    """(table, fingerprint): the hash of what ``header`` (table, ...) says of it and of its rows' hashes in row order.
+
+    What isn't in ``columns`` doesn't count, nor does the order within ``sets`` and maps. Rows are hashed one by one, then in
+    ranges of 10,000 of ``order``, then in ranges of 10,000 of these, so that no string grows with the table.
     """
-    hashed = rows.select(table, order, F.sha2(canonical(*columns), 256).alias("h"))
-    place = hashed.withColumn("_group", F.floor(F.col(order) / 10_000))
-    level = place.groupBy(table, "_group").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return level.groupBy(table).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_group", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    each = [F.coalesce(F.concat(F.lit("="), canonical(F.col(c), kinds[c], c in (sets or []))), F.lit("null")) for c in columns]
+    level = rows.select(table, F.col(order).alias("_at"), F.sha2(F.concat_ws("|", *each), 256).alias("h"))
+    for _ in range(2):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy(table, F.floor(F.col("_at") / 10_000).alias("_up")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("_up", "_at")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "h"))), lambda x: x["h"]), "")
+    found = level.groupBy(table).agg(F.sha2(joined, 256).alias("fingerprint"))
+    if header is None:
+        return found
+    said = [f for f in header.schema.fields if f.name != table]
+    about = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), canonical(F.col(f.name), f.dataType)), F.lit("null")) for f in said])
+    return header.join(found, table, "left").select(table, F.sha2(F.concat_ws("|", about, F.coalesce("fingerprint", F.lit(""))), 256).alias("fingerprint"))
+
 
+def table_diff(base: DataFrame, working: DataFrame, table: str, key: str, order: str, name: str, fields: list[str]) -> DataFrame:
+    """(table, kind, row_id, field, before, after) of tables: rows removed, added, renamed, and cells changed on both sides.
 
-def table_diff(base: DataFrame, working: DataFrame, key: str, name: str, fields: list[str]) -> DataFrame:
-    """(kind, row_id, field, before, after): rows removed, added, renamed, and cells changed on both sides."""
+    ``order`` counts a table's rows from 0 on each side. A table whose list of row ids differs at all, also by rows added or
+    removed, has one rows_reordered besides.
+    """
     b, w = base.alias("b"), working.alias("w")
-    both = b.join(w, F.col(f"b.{key}") == F.col(f"w.{key}"), "full")
-    changes = [
-        (F.col(f"w.{key}").isNull(), "row_removed", None, F.col(f"b.{name}"), F.lit(None)),
-        (F.col(f"b.{key}").isNull(), "row_added", None, F.lit(None), F.col(f"w.{name}")),
-    ]
-    present = F.col(f"b.{key}").isNotNull() & F.col(f"w.{key}").isNotNull()
+    at = lambda side, c: F.col(f"{side}.{c}")
+    both = b.join(w, (at("b", table) == at("w", table)) & (at("b", key) == at("w", key)), "full")
+    gone, new = at("w", key).isNull(), at("b", key).isNull()
+    changes = [(gone, "row_removed", None, at("b", name), F.lit(None)), (new, "row_added", None, F.lit(None), at("w", name))]
     for f in [name, *fields]:
-        changes.append((present & ~F.col(f"b.{f}").eqNullSafe(F.col(f"w.{f}")), "row_renamed" if f == name else "cell_changed", None if f == name else f, F.col(f"b.{f}"), F.col(f"w.{f}")))
+        changes.append((~gone & ~new & ~at("b", f).eqNullSafe(at("w", f)), "row_renamed" if f == name else "cell_changed", None if f == name else f, at("b", f), at("w", f)))
     said = [F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(field).cast("string").alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"))) for test, kind, field, before, after in changes]
-    rows = both.select(F.coalesce(f"b.{key}", f"w.{key}").alias("row_id"), F.explode(F.array_compact(F.array(*said))).alias("c"))
-    return rows.select("c.kind", "row_id", "c.field", "c.before", "c.after")
+    rows = both.select(F.coalesce(at("b", table), at("w", table)).alias(table), F.coalesce(at("b", key), at("w", key)).alias("row_id"), (~at("b", order).eqNullSafe(at("w", order))).alias("_moved"), F.array_compact(F.array(*said)).alias("_said"))
+    each = rows.select(table, "row_id", F.explode("_said").alias("c")).select(table, "c.kind", "row_id", "c.field", "c.before", "c.after")
+    moved = rows.groupBy(table).agg(F.bool_or("_moved").alias("_moved")).where("_moved")
+    none = F.lit(None).cast("string")
+    return each.unionByName(moved.select(table, F.lit("rows_reordered").alias("kind"), none.cast(dict(each.dtypes)["row_id"]).alias("row_id"), none.alias("field"), none.alias("before"), none.alias("after")))
+
+
+def dirty_rows(changes: DataFrame, working: DataFrame, table: str, key: str) -> DataFrame:
+    """(table, row_id): rows that a change names, and every row of a table that was reordered."""
+    named = changes.where("kind <> 'rows_reordered'").select(table, "row_id")
+    moved = working.join(changes.where("kind = 'rows_reordered'").select(table), table, "left_semi").select(table, F.col(key).alias("row_id"))
+    return named.union(moved).distinct()
+
+
+def session_review(base: DataFrame, working: DataFrame, diagnostics: DataFrame, table: str, key: str, order: str, name: str, fields: list[str]) -> DataFrame:
+    """One row for each table: its changes, dirty cells and rows, errors and warnings, and whether it is valid.
+
+    ``diagnostics(table, severity)``: what validation says of the working tables.
+    """
+    changes = table_diff(base, working, table, key, order, name, fields)
+    told = changes.groupBy(table).agg(F.count("*").alias("changes"), F.count_if(F.col("kind") == "cell_changed").alias("dirty_cells"))
+    rows = dirty_rows(changes, working, table, key).groupBy(table).agg(F.count("*").alias("dirty_rows"))
+    found = diagnostics.groupBy(table).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    every = base.select(table).union(working.select(table)).distinct()
+    for part in (told, rows, found):
+        every = every.join(part, table, "left")
+    every = every.na.fill(0, ["changes", "dirty_cells", "dirty_rows", "errors", "warnings"])
+    return every.withColumn("valid", F.col("errors") == 0)
 
 
 def fold_set_cell(base: DataFrame, commands: DataFrame) -> DataFrame:
-    """``base(row_id, value)`` after ``commands(row_id, seq, old_value, new_value)``, with valid.
+    """``base(table_path, row_id, value)`` after ``commands(table_path, row_id, seq, old_value, new_value)``, with valid.
 
-    Each command's old value must be the value so far; a row of which one isn't keeps its base value.
+    Each command's row must exist, and its old value must be the value so far; a table of which one command doesn't fit
+    isn't folded: all its rows keep their base values.
     """
-    log = Window.partitionBy("row_id").orderBy("seq")
-    checked = commands.join(base, "row_id").withColumn("ok", F.coalesce(F.lag("new_value").over(log), F.col("value")).eqNullSafe(F.col("old_value")))
-    last = checked.groupBy("row_id").agg(F.max_by("new_value", "seq").alias("_new"), F.bool_and("ok").alias("_ok"))
-    return base.join(last, "row_id", "left").select("row_id", F.when(F.col("_ok"), F.col("_new")).otherwise(F.col("value")).alias("value"), F.coalesce("_ok", F.lit(True)).alias("valid"))
+    log = Window.partitionBy("table_path", "row_id").orderBy("seq")
+    keys = ["table_path", "row_id"]
+    held = base.select(*keys, "value", F.lit(True).alias("_held"))
+    checked = commands.join(held, keys, "left").withColumn("ok", F.col("_held").isNotNull() & F.coalesce(F.lag("new_value").over(log), F.col("value")).eqNullSafe(F.col("old_value")))
+    last = checked.groupBy(*keys).agg(F.max_by("new_value", "seq").alias("_new"), F.bool_and("ok").alias("_ok"))
+    tables = last.groupBy("table_path").agg(F.bool_and("_ok").alias("_fits"))
+    rows = base.join(tables, "table_path", "left").join(last.drop("_ok").withColumn("_set", F.lit(True)), keys, "left")
+    value = F.when(F.col("_fits") & F.col("_set"), F.col("_new")).otherwise(F.col("value"))
+    return rows.select(*keys, value.alias("value"), F.coalesce("_fits", F.lit(True)).alias("valid"))
+
+
+class Order:
+    """Row ids in order, in blocks, so that finding, adding and removing a row by place don't go through all of them."""
+
+    SIZE = 512
+
+    def __init__(self, ids: list[str]):
+        self.blocks = [ids[i : i + self.SIZE] for i in range(0, len(ids), self.SIZE)] or [[]]
+
+    def ids(self) -> list[str]:
+        return [x for b in self.blocks for x in b]
+
+    def at(self, place: int) -> tuple[list[str], int]:
+        for block in self.blocks:
+            if place < len(block) or (block is self.blocks[-1] and place == len(block)):
+                return block, place
+            place -= len(block)
+        raise IndexError(place)
+
+    def holds(self, place: int, row: str) -> bool:
+        block, i = self.at(place)
+        return i < len(block) and block[i] == row
+
+    def add(self, place: int, row: str) -> None:
+        block, i = self.at(place)
+        block.insert(i, row)
+        if len(block) > 2 * self.SIZE:
+            b = next(i for i, x in enumerate(self.blocks) if x is block)
+            self.blocks[b : b + 1] = [block[: self.SIZE], block[self.SIZE :]]
+
+    def remove(self, place: int) -> None:
+        block, i = self.at(place)
+        del block[i]
 
 
 def fold_rows(rows: DataFrame, commands: DataFrame) -> DataFrame:
-    """Tables after their row commands, folded table by table: (table_path, row_index, row_id, row_name, error).
+    """Tables after their row commands: (table_path, row_index, row_id, row_name, error).
 
-    ``rows(table_path, row_index, row_id, row_name)``; ``commands(table_path, seq, kind, row_id, row_name, old_name,
-    at_index)``: add (index within bounds, new id and name), remove (index must match), rename (old name must match, new one
-    unused). The first command that doesn't fit ends the fold with its error; the rows are then those of the base.
+    ``rows(table_path, row_index, row_id, row_name)``; ``commands(table_path, seq, kind, row_id, row_name, old_name, at_index,
+    old_order, new_order)``: add (place within bounds, new id and name), remove (place must match), rename (old name must match,
+    new one unused), reorder (old order must match, new one hold the same ids). The first command that doesn't fit ends the
+    fold with its error; the rows are then those of the base. Each command depends on the places that all before it left, so the
+    commands of one table are folded by one task; tables without commands aren't sent to one.
     """
 
     def fold(base: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        held = list(base.sort_values("row_index")[["row_id", "row_name"]].itertuples(index=False, name=None))
-        start, error = list(held), None
-        table = (base if len(base) else log)["table_path"].iloc[0]
+        base = base.sort_values("row_index")
+        start = list(zip(base["row_id"], base["row_name"], strict=True))
+        names, order, n, error = dict(start), Order([r for r, _ in start]), len(start), None
+        taken = set(names.values())
         for c in log.sort_values("seq").itertuples():
-            ids, names = [r[0] for r in held], [r[1] for r in held]
             if c.kind == "add":
-                fits = 0 <= c.at_index <= len(held) and c.row_id not in ids and c.row_name not in names
+                fits = 0 <= c.at_index <= n and c.row_id not in names and c.row_name not in taken
                 if fits:
-                    held.insert(int(c.at_index), (c.row_id, c.row_name))
+                    order.add(int(c.at_index), c.row_id)
+                    names[c.row_id], n = c.row_name, n + 1
+                    taken.add(c.row_name)
             elif c.kind == "remove":
-                fits = c.row_id in ids and ids.index(c.row_id) == c.at_index
+                fits = c.row_id in names and 0 <= c.at_index < n and order.holds(int(c.at_index), c.row_id)
                 if fits:
-                    held.pop(int(c.at_index))
+                    order.remove(int(c.at_index))
+                    taken.discard(names.pop(c.row_id))
+                    n -= 1
             elif c.kind == "rename":
-                fits = c.row_id in ids and names[ids.index(c.row_id)] == c.old_name and c.row_name not in names
+                fits = names.get(c.row_id) == c.old_name and c.row_id in names and c.row_name not in taken
+                if fits:
+                    taken.discard(c.old_name)
+                    taken.add(c.row_name)
+                    names[c.row_id] = c.row_name
+            elif c.kind == "reorder":
+                now = order.ids()
+                fits = c.old_order is not None and c.new_order is not None and now == list(c.old_order) and sorted(now) == sorted(c.new_order)
                 if fits:
-                    held[ids.index(c.row_id)] = (c.row_id, c.row_name)
+                    order = Order(list(c.new_order))
             else:
                 fits = False
             if not fits:
-                error, held = f"{c.kind}_rejected:{c.seq}", start
+                error = f"{c.kind}_rejected:{c.seq}"
                 break
+        table = (base if len(base) else log)["table_path"].iloc[0]
+        held = start if error else [(r, names[r]) for r in order.ids()]
         return pd.DataFrame([(table, i, *r, error) for i, r in enumerate(held)], columns=["table_path", "row_index", "row_id", "row_name", "error"])
 
-    return rows.groupBy("table_path").cogroup(commands.groupBy("table_path")).applyInPandas(fold, "table_path string, row_index long, row_id string, row_name string, error string")
+    edited = commands.select("table_path").distinct()
+    columns = ["table_path", "row_index", "row_id", "row_name"]
+    mine = rows.select([F.col(c).alias(c) for c in columns]).join(edited, "table_path", "left_semi")  # new columns, should both come from one table
+    folded = mine.groupBy("table_path").cogroup(commands.groupBy("table_path")).applyInPandas(fold, "table_path string, row_index long, row_id string, row_name string, error string")
+    rest = rows.select(columns).join(edited, "table_path", "left_anti").withColumn("error", F.lit(None).cast("string"))
+    return folded.unionByName(rest)
 
 
 def duplicate_names(rows: DataFrame, table: str, name: str, order: str) -> DataFrame:
@@ -102,11 +211,130 @@ def groups_all_or_nothing(checked: DataFrame, group: str, code: str) -> DataFram
     return checked.groupBy(group).agg(F.count("*").alias("n"), F.count(code).alias("n_errors"), F.bool_and(F.col(code).isNull()).alias("accepted"))
 
 
-def idempotent(operations: DataFrame, key: str, seq: str, digest: str) -> DataFrame:
-    """Each operation with its outcome: first, replayed (same id and digest) or operation_id_collision."""
-    w = Window.partitionBy(key).orderBy(seq)
+def fits(value: Column, kind: Column, options: Column) -> Column:
+    """Whether a text fits the kind that a schema row says: int, uint, guid, bool, enum (of options) or string."""
+    plain = F.lit(False)
+    for k in ("int", "uint", "guid"):
+        plain = F.when(kind == k, text_fits(value, k)).otherwise(plain)
+    plain = F.when(kind == "bool", value.isin("true", "false")).when(kind == "enum", F.array_contains(options, value)).when(kind == "string", True).otherwise(plain)
+    return F.coalesce(plain, F.lit(False))
+
+
+def bulk_edit_validation(edits: DataFrame, rows: DataFrame, schema: DataFrame, group: str) -> DataFrame:
+    """``edits(group, row_id, field, value)`` with the code of what is wrong, and whether their group is taken.
+
+    ``rows(row_id)`` are those that exist, ``schema(field, kind, options array<string>, read_only)`` describes the fields. In this
+    order: row_not_found, missing_field, unsupported_edit, incompatible_value. One bad edit rejects its whole group.
+    """
+    here = rows.select("row_id").distinct().withColumn("_row", F.lit(True))
+    met = edits.join(here, "row_id", "left").join(schema.select("field", "kind", "options", "read_only"), "field", "left")
+    code = F.when(F.col("_row").isNull(), "row_not_found").when(F.col("kind").isNull(), "missing_field").when(F.col("read_only"), "unsupported_edit").when(~fits(F.col("value"), F.col("kind"), F.col("options")), "incompatible_value")
+    coded = met.withColumn("code", code).drop("_row", "kind", "options", "read_only")
+    return coded.join(groups_all_or_nothing(coded, group, "code").select(group, "accepted"), group)
+
+
+def row_intents(intents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``intents(intent_id, table_path, kind, row_id, row_name, at_index)`` with status, the place that is meant, and the old name.
+
+    ``rows(table_path, row_index, row_id, row_name)``. add and duplicate need a valid name that no row has, case aside, and a place
+    within the table (the end, or behind the source, where none is given); duplicate, remove and rename need their row. Statuses:
+    unknown_intent, row_not_found, invalid_row_name, duplicate_row_name, invalid_row_order, accepted.
+    """
+    sizes = rows.groupBy("table_path").agg(F.count("*").alias("_n"))
+    own = rows.select("table_path", "row_id", F.col("row_index").alias("_index"), F.col("row_name").alias("_old"))
+    names = rows.groupBy("table_path", F.lower("row_name").alias("_name")).agg(F.min("row_id").alias("_low"), F.max("row_id").alias("_high"))
+    met = intents.join(sizes, "table_path", "left").join(own, ["table_path", "row_id"], "left").withColumn("_name", F.lower("row_name")).join(names, ["table_path", "_name"], "left")
+    kind, makes = F.col("kind"), F.col("kind").isin("add", "duplicate")
+    held = F.col("_low").isNotNull() & (makes | ~((F.col("_low") == F.col("row_id")) & (F.col("_high") == F.col("row_id"))))
+    size = F.coalesce("_n", F.lit(0))
+    place = F.when(kind == "add", F.coalesce("at_index", size)).when(kind == "duplicate", F.coalesce("at_index", F.col("_index") + 1)).when(kind == "remove", F.col("_index"))
+    named = makes | (kind == "rename")
+    status = (
+        F.when(~kind.isin("add", "duplicate", "remove", "rename"), "unknown_intent")
+        .when((kind != "add") & F.col("_index").isNull(), "row_not_found")
+        .when(named & row_name_problem(F.col("row_name")).isNotNull(), "invalid_row_name")
+        .when(named & held, "duplicate_row_name")
+        .when(makes & ((place < 0) | (place > size)), "invalid_row_order")
+        .otherwise("accepted")
+    )
+    done = met.withColumn("status", status)
+    return done.select("intent_id", "status", F.when(F.col("status") == "accepted", place).alias("place"), F.when((F.col("status") == "accepted") & (kind != "add"), F.col("_old")).alias("old_name"))
+
+
+def reorder_intents(intents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``intents(intent_id, table_path, row_id)``, a row for each id of a new order: (intent_id, status).
+
+    accepted if the ids are those of the table's rows, each once; else invalid_row_order.
+    """
+    asked = intents.groupBy("intent_id", "table_path", "row_id").agg(F.count("*").alias("_times"))
+    of = intents.select("intent_id", "table_path").distinct()
+    wanted = of.join(rows.select("table_path", "row_id"), "table_path").withColumn("_there", F.lit(True))
+    both = asked.join(wanted, ["intent_id", "table_path", "row_id"], "full")
+    right = (F.coalesce("_times", F.lit(0)) == 1) & F.col("_there").isNotNull()
+    return both.groupBy("intent_id").agg(F.when(F.bool_and(right), "accepted").otherwise("invalid_row_order").alias("status"))
+
+
+def default_rows(wanted: DataFrame, schema: DataFrame) -> DataFrame:
+    """``wanted(table_path, row_id, row_name)`` with status and fields array<struct<field, value>>, in order of the schema's fields.
+
+    ``schema(table_path, field, known, default_value)``. A row is made only where the table has a schema and every default is known;
+    else it is unsupported_add, without fields.
+    """
+    fields = F.array_sort(F.collect_list(F.struct("field", F.col("default_value").alias("value"))))
+    per_table = schema.groupBy("table_path").agg(F.bool_and("known").alias("_known"), fields.alias("_fields"))  # as many as a table has fields
+    met = wanted.join(per_table, "table_path", "left")
+    made = F.coalesce("_known", F.lit(False))
+    return met.select("table_path", "row_id", "row_name", F.when(made, "created").otherwise("unsupported_add").alias("status"), F.when(made, F.col("_fields")).alias("fields"))
+
+
+def append_group(log: DataFrame, pointers: DataFrame, added: DataFrame, session: str) -> DataFrame:
+    """``log(session, place, command)`` after one group ``added(session, place, command)``: what was undone is cut off, the group stands after the pointer.
+
+    ``pointers(session, pointer)``; places count from 0. A session without an addition stays as it is, undone commands too.
+    """
+    some = added.select(session).distinct().withColumn("_some", F.lit(True))
+    at = pointers.select(session, "pointer").join(some, session, "left")
+    kept = log.join(at, session).where(F.col("_some").isNull() | (F.col("place") < F.col("pointer"))).select(session, "place", "command")
+    new = added.join(pointers.select(session, "pointer"), session).select(session, (F.col("pointer") + F.col("place")).alias("place"), "command")
+    return kept.unionByName(new)
+
+
+def idempotent(operations: DataFrame, key: str, seq: str, digest: str, server: str, keep: int = 128) -> DataFrame:
+    """Each operation with its outcome: first, replayed (same id and digest) or operation_id_collision; and whether a first one's
+    result is still kept: each ``server`` keeps its last ``keep``."""
+    w = Window.partitionBy(server, key).orderBy(seq)
     first = F.first(digest).over(w)
-    return operations.withColumn("outcome", F.when(F.row_number().over(w) == 1, "first").when(first.eqNullSafe(F.col(digest)), "replayed").otherwise("operation_id_collision"))
+    told = operations.withColumn("outcome", F.when(F.row_number().over(w) == 1, "first").when(first.eqNullSafe(F.col(digest)), "replayed").otherwise("operation_id_collision"))
+    later = Window.partitionBy(server).orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, 0)
+    is_first = F.col("outcome") == "first"
+    return told.withColumn("retained", is_first & (F.count_if(is_first).over(later) <= keep))
+
+
+def pipeline_state(sessions: DataFrame) -> DataFrame:
+    """``sessions(…, pending_kind, pending_status, pointer, awaiting, receipts)`` with state and can_apply.
+
+    A pending apply or save is indeterminate, applying or saving; else active commands make a draft; else tables that await saving
+    make it applied; else receipts make it saved; else it is an empty draft.
+    """
+    pending = F.col("pending_kind").isin("apply", "save")
+    state = (
+        F.when(pending & (F.col("pending_status") == "indeterminate"), "indeterminate")
+        .when(F.col("pending_kind") == "apply", "applying")
+        .when(F.col("pending_kind") == "save", "saving")
+        .when(F.col("pointer") > 0, "draft")
+        .when(F.col("awaiting") > 0, "applied")
+        .when(F.col("receipts") > 0, "saved")
+        .otherwise("draft")
+    )
+    return sessions.withColumn("state", state).withColumn("can_apply", (F.col("state") == "draft") & (F.col("pointer") > 0))
+
+
+def exact_set_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of every value that keeps two lists from being the same set without repeats: missing, unexpected or duplicate."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = count(left, "_l").join(count(right, "_r"), key, "full")
+    problem = F.when(F.col("_r").isNull(), "missing").when(F.col("_l").isNull(), "unexpected").when((F.col("_l") > 1) | (F.col("_r") > 1), "duplicate")
+    return both.select(key, problem.alias("problem")).where("problem is not null")
 
 
 def tolerance_filter(samples: DataFrame, key: str, seq: str, value: str, tolerance: float) -> DataFrame:
@@ -129,3 +357,20 @@ def tolerance_filter(samples: DataFrame, key: str, seq: str, value: str, toleran
 
     rows = samples.select(F.col(key).cast("long"), F.col(seq).cast("long"), F.col(value).cast("double")).where(F.col(value).isNotNull())
     return rows.repartition(key).sortWithinPartitions(key, seq).mapInPandas(emit, schema)
+
+
+def permutation_check(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, permutation): whether the values of ``new`` are those of ``old``, each as often; counted, so no list is held."""
+    signed = rows.select(key, F.inline(F.array(F.struct(F.col(old).alias("_v"), F.lit(1).alias("_c")), F.struct(F.col(new).alias("_v"), F.lit(-1).alias("_c")))))
+    return signed.groupBy(key, "_v").agg(F.sum("_c").alias("_c")).groupBy(key).agg(F.bool_and(F.col("_c") == 0).alias("permutation"))
+
+
+def merge_paths(awaiting: DataFrame, applied: DataFrame) -> DataFrame:
+    """The distinct rows of both."""
+    return awaiting.union(applied).distinct()
+
+
+def command_groups(commands: DataFrame, pointers: DataFrame, session: str, place: str, group: str, table: str) -> DataFrame:
+    """(session, group, commands, start, first_table, tables, active): a group is active if it begins before its session's pointer."""
+    told = commands.groupBy(session, group).agg(F.count("*").alias("commands"), F.min(place).alias("start"), F.min_by(table, place).alias("first_table"), F.countDistinct(table).alias("tables"))
+    return told.join(pointers.select(session, "pointer"), session).select(session, group, "commands", "start", "first_table", "tables", (F.col("start") < F.col("pointer")).alias("active"))

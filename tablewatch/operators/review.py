@@ -4,26 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .values import walk
 
-def text_occurrences(*branches: tuple[DataFrame, str, str, str, str]) -> DataFrame:
-    """(location, package, entry, text): branches of (rows, location, package, id, text); null texts are none."""
-    out = None
-    for rows, location, package, key, text in branches:
-        part = rows.where(F.col(text).isNotNull()).select(F.lit(location).alias("location"), F.lit(package).alias("package"), F.col(key).cast("string").alias("entry"), F.col(text).alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def text_occurrences(documents: DataFrame, package: str, location: str, capability: Column | None = None) -> DataFrame:
+    """(package, location, value_path, text, capability): the texts inside JSON documents, at any depth.
+
+    ``documents(entry, json)``: a string is a text; an object's string under ``raw`` stayed undecoded and is none. What ``capability``
+    says of an entry holds for its texts (default: editable).
+    """
+    rows = documents.select(F.col("entry").cast("string").alias("entry"), (capability if capability is not None else F.lit("editable")).alias("capability"), F.try_parse_json("json").alias("v0"))
+    said = walk(rows, "v0").where("kind = 'leaf' and schema_of_variant(v) = 'STRING' and not endswith(value_path, '.raw')")
+    return said.select(F.lit(package).alias("package"), F.lit(location).alias("location"), "entry", "value_path", F.expr("variant_get(v, '$', 'string')").alias("text"), "capability")
+
+
+def decode_gaps(documents: DataFrame) -> DataFrame:
+    """(entry, value_path): objects of JSON ``documents(entry, json)`` that hold only ``raw``, found through objects but not through arrays."""
+    found = walk(documents.select("entry", F.try_parse_json("json").alias("v0")), "v0", objects_only=True, leaves=False)
+    return found.where("kind = 'object' and try_variant_get(v, '$.raw', 'string') is not null").select("entry", "value_path")
+
+
+def unit_key(namespace: Column, name: Column) -> Column:
+    """The key of a text unit: both parts URI-encoded, so that no separator of theirs is taken for ours."""
+    part = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    return F.concat(part(namespace), F.lit(":"), part(name))
 
 
 def text_units(rows: DataFrame, namespace: str, name: str, entry: str, text: str) -> DataFrame:
-    """(unit_id, occurrences, sources, state): by namespace and name; a row without either is a unit of its own.
+    """(unit_id, occurrences, entries, sources, state): by namespace and name; a row without either is a unit of its own.
 
-    Texts are counted by digest, so that a unit of many long texts stays small.
+    entries are those that hold the unit, in order; sources the digests of its distinct texts, in order, so that a unit of many
+    long texts stays small. A unit with one text (or none) is consistent, else conflicting.
     """
     resolved = F.col(namespace).isNotNull() & F.col(name).isNotNull()
-    unit = F.when(resolved, F.concat_ws(":", namespace, name)).otherwise(F.concat(F.lit("entry:"), F.col(entry).cast("string")))
-    digests = rows.select(unit.alias("unit_id"), F.sha2(F.col(text), 256).alias("digest")).groupBy("unit_id", "digest").agg(F.count("*").alias("n"))
-    units = digests.groupBy("unit_id").agg(F.sum("n").alias("occurrences"), F.count("digest").alias("sources"))
-    return units.withColumn("state", F.when(F.col("sources") <= 1, "consistent").otherwise("conflicting"))
+    unit = F.when(resolved, unit_key(F.col(namespace), F.col(name))).otherwise(F.concat(F.lit("entry:"), F.col(entry).cast("string")))
+    units = rows.select(unit.alias("unit_id"), F.col(entry).alias("_entry"), F.sha2(F.col(text), 256).alias("_digest")).groupBy("unit_id").agg(F.count("*").alias("occurrences"), F.sort_array(F.collect_list("_entry")).alias("entries"), F.sort_array(F.collect_set("_digest")).alias("sources"))
+    return units.withColumn("state", F.when(F.size("sources") <= 1, "consistent").otherwise("conflicting"))
 
 
 def coded(rows: DataFrame, key: str, *codes: tuple[Column, str]) -> DataFrame:
@@ -50,6 +66,20 @@ def mapping_projection(rows: DataFrame, key: str, preferred: str, legacy: str) -
     return chosen.select(key, "origin", F.posexplode("_list").alias("pos", "value"))
 
 
+def mapping_rows(preferred: DataFrame, legacy: DataFrame, key: str, order: str) -> DataFrame:
+    """The same where containers are rows (key, order): those of ``preferred``, of ``legacy`` for keys that it hasn't; no list is gathered."""
+    place = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("pos")
+    new = preferred.select(key, order, F.lit("container").alias("origin"), place)
+    old = legacy.join(preferred.select(key).distinct(), key, "left_anti").select(key, order, F.lit("legacy").alias("origin"), place)
+    return new.unionByName(old)
+
+
+def snapshot_projection(rows: DataFrame, table: str, unsupported: str) -> DataFrame:
+    """``rows`` with completeness: all of a table are partial if any of its values is unsupported."""
+    status = rows.groupBy(table).agg(F.when(F.bool_or(F.coalesce(F.col(unsupported), F.lit(False))), "partial").otherwise("complete").alias("completeness"))
+    return rows.join(status, table)
+
+
 def cells(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, field_index, value): a table in long form, values as text."""
     kinds = dict(rows.dtypes)
@@ -81,11 +111,21 @@ def identity_remap(saved: DataFrame, current: DataFrame, key: str, instance: str
     return met.select(key, F.coalesce("_here", "_first").alias("current_id"))
 
 
-def undo(commands: DataFrame, session: str, seq: str, group: str) -> DataFrame:
-    """(session, pointer, undone): where the pointer stands after the last whole group is taken back."""
-    groups = commands.groupBy(session, group).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
-    total = groups.groupBy(session).agg(F.sum("n").alias("commands"), F.max_by("n", "last").alias("undone"))
-    return total.select(session, (F.col("commands") - F.col("undone")).alias("pointer"), "undone")
+def undo_redo(commands: DataFrame, pointers: DataFrame, session: str, place: str, group: str) -> DataFrame:
+    """(session, pointer, undone, redone): where the pointer goes when the group before it is taken back, and when the one behind it is done again.
+
+    ``commands`` count their ``place`` from 0; a group is a run of equal ``group`` without others between. At the start undo stays,
+    at the end redo does.
+    """
+    order = Window.partitionBy(session).orderBy(place)
+    changes = commands.withColumn("_new", F.when(F.lag(group).over(order).eqNullSafe(F.col(group)) & (F.col(place) > 0), 0).otherwise(1))
+    runs = changes.withColumn("_run", F.sum("_new").over(order)).groupBy(session, "_run").agg(F.min(place).alias("_from"), F.max(place).alias("_to"))
+    ends = runs.join(pointers.select(session, "pointer"), session)
+    # within a run the pointer may stand too: only the part on its side moves
+    undone = F.max(F.when(F.col("_from") < F.col("pointer"), F.col("_from")))
+    redone = F.min(F.when(F.col("_to") >= F.col("pointer"), F.col("_to") + 1))
+    found = ends.groupBy(session, "pointer").agg(undone.alias("undone"), redone.alias("redone"))
+    return found.select(session, "pointer", F.coalesce("undone", "pointer").alias("undone"), F.coalesce("redone", "pointer").alias("redone"))
 
 
 _INVERSE = {"add": "remove", "remove": "add"}
@@ -103,25 +143,60 @@ def validation_summary(found: DataFrame, severity: str) -> DataFrame:
     return found.agg(errors.alias("errors"), F.count_if(F.col(severity) == "warning").alias("warnings"), (errors == 0).alias("valid"))
 
 
-def apply_plan(commands: DataFrame, session: str, table: str, payload: str, tables: int = 16, most: int = 1024, size: int = 1 << 20) -> DataFrame:
-    """What each session would apply, and the first limit that it breaks."""
-    per_table = commands.groupBy(session, table).agg(F.count("*").alias("n"), F.sum(F.octet_length(payload)).alias("b"))
-    plan = per_table.groupBy(session).agg(F.count("*").alias("tables"), F.sum("n").alias("commands"), F.sum("b").alias("payload_bytes"))
-    return plan.withColumn("problem", F.when(F.col("tables") > tables, "too_many_tables").when(F.col("commands") > most, "too_many_commands").when(F.col("payload_bytes") > size, "payload_too_large"))
+def session_summary(commands: DataFrame, session: str, table: str, awaiting: DataFrame) -> DataFrame:
+    """(session, commands, tables, needs_save): sessions of ``awaiting(session)`` need saving."""
+    told = commands.groupBy(session).agg(F.count("*").alias("commands"), F.array_join(F.sort_array(F.collect_set(table)), ",").alias("tables"))
+    waits = awaiting.select(session).distinct().withColumn("_waits", F.lit(True))
+    return told.join(waits, session, "left").select(session, "commands", "tables", F.col("_waits").isNotNull().alias("needs_save"))
+
+
+def apply_plan(commands: DataFrame, pointers: DataFrame, prints: DataFrame, session: str, table: str, place: str, payload: str, tables: int = 16, most: int = 1024, size: int = 1 << 20) -> DataFrame:
+    """(session, table, commands, expected_fingerprint, problem): what each session would apply, table by table.
+
+    Only commands before its pointer count. ``prints(session, table, fingerprint)`` are those the drafts began from. problem is
+    the first limit that the session breaks, for all its tables: too_many_tables, too_many_commands, payload_too_large.
+    """
+    active = commands.join(pointers.select(session, "pointer"), session).where(F.col(place) < F.col("pointer"))
+    per_table = active.groupBy(session, table).agg(F.count("*").alias("commands"), F.sum(F.octet_length(payload)).alias("_bytes"))
+    whole = per_table.groupBy(session).agg(F.count("*").alias("_tables"), F.sum("commands").alias("_commands"), F.sum("_bytes").alias("_size"))
+    problem = F.when(F.col("_tables") > tables, "too_many_tables").when(F.col("_commands") > most, "too_many_commands").when(F.col("_size") > size, "payload_too_large")
+    plan = per_table.join(whole.select(session, problem.alias("problem")), session).join(prints.select(session, table, F.col("fingerprint").alias("expected_fingerprint")), [session, table], "left")
+    return plan.select(session, table, "commands", "expected_fingerprint", "problem")
 
 
 def apply_accept(drafted: DataFrame, committed: DataFrame, session: str, table: str, fingerprint: str) -> DataFrame:
-    """(session, outcome): committed if its tables are those committed and every fingerprint is the drafted one."""
-    d = drafted.select(F.col(session).alias("ds"), F.col(table).alias("dt"), F.col(fingerprint).alias("df"))
+    """(session, table, outcome, base_fingerprint, clears): what becomes of each drafted table.
+
+    ``drafted(session, table, fingerprint, base, commands)``. A session is committed if its tables are those committed and every
+    fingerprint is the drafted one: then its base is rebased and its commands are cleared. Else it is snapshot_set_mismatch or
+    fingerprint_mismatch, base and commands stay.
+    """
+    d = drafted.select(F.col(session).alias("ds"), F.col(table).alias("dt"), F.col(fingerprint).alias("df"), "base", "commands")
     c = committed.select(F.col(session).alias("cs"), F.col(table).alias("ct"), F.col(fingerprint).alias("cf"))
-    both = d.join(c, (F.col("ds") == F.col("cs")) & (F.col("dt") == F.col("ct")), "full")
+    both = d.join(c, (F.col("ds") == F.col("cs")) & (F.col("dt") == F.col("ct")), "full").withColumn("_s", F.coalesce("ds", "cs"))
     same = F.coalesce(F.col("df") == F.col("cf"), F.lit(False))
-    return both.groupBy(F.coalesce("ds", "cs").alias(session)).agg(F.when(F.bool_and(same), "committed").otherwise("rejected").alias("outcome"))
+    told = both.groupBy("_s").agg(F.when(F.count_if(F.col("ds").isNull() | F.col("cs").isNull()) > 0, "snapshot_set_mismatch").when(F.bool_and(same), "committed").otherwise("fingerprint_mismatch").alias("outcome"))
+    done = d.join(told, F.col("ds") == F.col("_s"))
+    ok = F.col("outcome") == "committed"
+    return done.select(F.col("ds").alias(session), F.col("dt").alias(table), "outcome", F.when(ok, F.col("df")).otherwise(F.col("base")).alias("base_fingerprint"), F.when(ok, F.col("commands")).otherwise(F.lit(0)).alias("clears"))
 
 
-def apply_transaction(steps: DataFrame, operation: str, precheck: str, failure: str) -> DataFrame:
-    """(operation, outcome): rejected by any failed check, rolled back by any failed command, else committed."""
-    return steps.groupBy(operation).agg(F.when(F.count(precheck) > 0, "rejected").when(F.count(failure) > 0, "rolled_back").otherwise("committed").alias("outcome"))
+def apply_transaction(steps: DataFrame, tables: DataFrame, operation: str) -> DataFrame:
+    """(operation, outcome, code): rejected by any check, rolled back by any command that fails, else committed.
+
+    ``steps(operation, table_path, expected, failure)``, one for each table of an operation; ``tables(table_path, fingerprint,
+    composite)`` as they are. code is the first of duplicate_table, table_not_found, read_only_table and fingerprint_mismatch
+    that any step has, or command_failed.
+    """
+    known = tables.select("table_path", "fingerprint", "composite").withColumn("_known", F.lit(True))
+    times = F.count("*").over(Window.partitionBy(operation, "table_path"))
+    met = steps.withColumn("_times", times).join(known, "table_path", "left")
+    rank = F.when(F.col("_times") > 1, 1).when(F.col("_known").isNull(), 2).when(F.col("composite"), 3).when(~F.col("expected").eqNullSafe(F.col("fingerprint")), 4).when(F.col("failure").isNotNull(), 5)
+    worst = met.groupBy(operation).agg(F.min(rank).alias("_rank"))
+    names = ["duplicate_table", "table_not_found", "read_only_table", "fingerprint_mismatch", "command_failed"]
+    code = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_rank"))
+    outcome = F.when(F.col("_rank").isNull(), "committed").when(F.col("_rank") == 5, "rolled_back").otherwise("rejected")
+    return worst.select(operation, outcome.alias("outcome"), F.when(F.col("_rank").isNotNull(), code).alias("code"))
 
 
 def reconcile(pending: DataFrame, results: DataFrame, operation: str, outcome: str) -> DataFrame:

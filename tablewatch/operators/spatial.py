@@ -21,9 +21,12 @@ def planar_projection(points: DataFrame, padding: float = 0.08) -> DataFrame:
     return placed.select("id", percent(F.col("x"), F.col("min_x"), F.col("max_x")).alias("px"), (100 - percent(F.col("y"), F.col("min_y"), F.col("max_y"))).alias("py"))
 
 
-def nearest_entity(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+def nearest_entity(queries: DataFrame, points: DataFrame, radius: float, but_itself: bool = False) -> DataFrame:
     """(query_id, id): for each query (query_id, x, y) the closest point (id, x, y) within ``radius``; ties to the smaller id.
 
+    With ``but_itself`` queries are points too, and the one of a query's own id isn't meant.
+
+
     Points meet queries through the 3 x 3 grid cells around them, an equi-join.
     """
     cell = lambda v: F.floor(v / radius)
@@ -32,20 +35,38 @@ def nearest_entity(queries: DataFrame, points: DataFrame, radius: float) -> Data
     p = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
     d = (F.col("qx") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col("qy") - F.col("py")) * (F.col("qy") - F.col("py"))
     met = q.join(p, ["cx", "cy"]).where(d <= radius * radius)
+    met = met.where("query_id <> id") if but_itself else met
     return met.groupBy("query_id").agg(F.min(F.struct(d.alias("d"), "id")).alias("best")).select("query_id", F.col("best.id").alias("id"))
 
 
-#: Names, yaw and pitch in degrees, and distance factor of the preset poses.
-POSES = [("front", 0, -10, 1.0), ("back", 180, -10, 1.0), ("left", 90, -10, 1.0), ("right", -90, -10, 1.0), ("top", 0, -80, 1.0), ("three_quarter", 45, -25, 1.0)]
+#: The presets' names, distance scale, elevation, yaw in degrees, and whether that is the world's or the subject's.
+PRESETS = [
+    ("context_three_quarter", 1.8, 0.5, 42.0, False),
+    ("facade_front", 1.25, 0.08, 0.0, False),
+    ("cardinal_north", 1.45, 0.18, 90.0, True),
+    ("cardinal_east", 1.45, 0.18, 0.0, True),
+    ("cardinal_south", 1.45, 0.18, -90.0, True),
+    ("cardinal_west", 1.45, 0.18, 180.0, True),
+]
 
 
-def framing_candidates(spark, subjects: DataFrame, fov: float = 60.0, margin: float = 0.1, poses: list = POSES) -> DataFrame:
-    """Camera places for each subject (id, x, y, z, r): distance r / sin(fov / 2) / (1 - 2 margin), aimed at it.
+def framing_candidates(subjects: DataFrame, fov: float = 60.0, margin: float = 0.1, presets: list = PRESETS) -> DataFrame:
+    """Camera places for each subject (id, x, y, z, ex, ey, ez, yaw), and the angles that aim them at it.
 
-    Subjects with a radius that is not finite or not positive are left out.
+    The distance fits a sphere around the extent (radius 1 at least) into the frame: r / sin(fov / 2) / (1 - 2 margin), times
+    the preset's scale. Subjects of which a number isn't finite, or an extent is negative, have none.
     """
-    preset = spark.createDataFrame([(n, float(y), float(p), float(s)) for n, y, p, s in poses], "pose string, yaw double, pitch double, factor double")
-    ok = subjects.where((F.col("r") > 0) & ~F.isnan("r") & (F.col("r") < float("inf")))
-    placed = ok.join(F.broadcast(preset), F.lit(True)).withColumn("distance", F.col("r") / math.sin(math.radians(fov / 2)) / (1 - 2 * margin) * F.col("factor"))
-    flat = F.cos(F.radians("pitch")) * F.col("distance")
-    return placed.select("id", "pose", "distance", (F.col("x") - F.cos(F.radians("yaw")) * flat).alias("cx"), (F.col("y") - F.sin(F.radians("yaw")) * flat).alias("cy"), (F.col("z") - F.sin(F.radians("pitch")) * F.col("distance")).alias("cz"))
+    numbers = ("x", "y", "z", "ex", "ey", "ez", "yaw")
+    fine = F.lit(True)
+    for c in numbers:
+        fine = fine & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    for c in ("ex", "ey", "ez"):
+        fine = fine & (F.col(c) >= 0)
+    pose = F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(scale).alias("scale"), F.lit(up).alias("up"), F.lit(yaw).alias("turn"), F.lit(world).alias("world")) for n, scale, up, yaw, world in presets])
+    placed = subjects.where(fine).select("id", *numbers, F.inline(pose))
+    radius = F.greatest(F.lit(1.0), F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez")))
+    placed = placed.withColumn("distance", radius / math.sin(math.radians(fov / 2)) / (1 - 2 * margin) * F.col("scale"))
+    angle = F.radians(F.when(F.col("world"), F.col("turn")).otherwise(F.col("yaw") + F.col("turn")))
+    placed = placed.withColumns({"dx": F.cos(angle) * F.col("distance"), "dy": F.sin(angle) * F.col("distance"), "dz": F.col("ez") * F.col("up")})
+    aim = {"pitch": F.degrees(F.atan2(-F.col("dz"), F.hypot("dx", "dy"))), "aim_yaw": F.degrees(F.atan2(-F.col("dy"), -F.col("dx")))}
+    return placed.select("id", "preset", "distance", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"), (F.col("z") + F.col("dz")).alias("cz"), *[v.alias(k) for k, v in aim.items()])

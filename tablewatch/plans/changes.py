@@ -31,44 +31,97 @@ _EDGES = """SELECT source_row, target_table, target_row,
  LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_custkey % 11 = 0 THEN 2 ELSE 1 END AS n FROM customer WHERE c_custkey % 7 <> 0) t ON t.name = e.target_row"""
 
 
-def view(s: SparkSession, d: str) -> DataFrame:
-    source = table(s, d, "nation").select(F.col("n_name").alias("source_row"), "n_regionkey")
-    targets = table(s, d, "region").where("r_regionkey <> 2").select(F.lit("region").alias("table_path"), F.col("r_regionkey").cast("string").alias("row_name"))
-    refs = source.where("n_regionkey <> 3").select("source_row", F.lit("region").alias("target_table"), F.col("n_regionkey").cast("string").alias("target_row"))
-    target = table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("target_row"), "r_name")
-    return r.joined_view(source, r.resolve(refs, targets.select("table_path").distinct(), targets), target).select("source_row", "r_name", "reason")
+def view(s: SparkSession, d: str, snapshots: int = 1) -> DataFrame:
+    """Orders with their customers' names, from ``snapshots`` snapshots of orders."""
+    source = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("source_row"))
+    targets = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("target_row"), "c_name")
+    one = table(s, d, "orders").select(F.lit("orders").alias("table_path")).distinct()
+    held = one.where("false") if not snapshots else one if snapshots == 1 else one.union(one)
+    refs = edges(s, d).where("cast(source_row as long) % 5 <> 0")
+    return r.joined_view(source, refs, targets, "orders", held).select("source_row", "c_name", "reason")
 
 
-_VIEW = "SELECT n_name AS source_row, CASE WHEN n_regionkey IN (2, 3) THEN NULL ELSE r_name END AS r_name, CASE n_regionkey WHEN 3 THEN 'not_reference' WHEN 2 THEN 'missing_row' END AS reason FROM nation JOIN region ON n_regionkey = r_regionkey"
+_VIEW = f"""SELECT o.source_row, CASE WHEN e.status = 'resolved' THEN c_name END AS c_name, CASE WHEN e.status IS NULL THEN 'not_reference' WHEN e.status <> 'resolved' THEN e.status END AS reason
+FROM (SELECT CAST(o_orderkey AS VARCHAR) AS source_row, o_custkey FROM orders) o LEFT JOIN (SELECT * FROM ({_EDGES}) WHERE CAST(source_row AS BIGINT) % 5 <> 0) e USING (source_row) LEFT JOIN customer ON c_custkey = o_custkey"""
+
+
+def _views(s: SparkSession, d: str) -> DataFrame:
+    told = [view(s, d, n).select(F.lit(n).alias("snapshots"), "*") for n in (0, 1, 2)]
+    return told[0].union(told[1]).union(told[2])
+
+
+_VIEWS = f"""SELECT CAST(1 AS INTEGER) AS snapshots, * FROM ({_VIEW}) UNION ALL SELECT CAST(0 AS INTEGER), CAST(o_orderkey AS VARCHAR), NULL, 'source_table_missing' FROM orders
+UNION ALL SELECT CAST(2 AS INTEGER), CAST(o_orderkey AS VARCHAR), NULL, 'source_table_ambiguous' FROM orders"""
 
 
 def _nested(s: SparkSession, d: str) -> DataFrame:
-    lines = F.collect_list(F.struct(F.struct(F.lit("part").alias("table"), F.col("l_partkey").cast("string").alias("row")).alias("ref")))
-    docs = table(s, d, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").cast("string").alias("source_row")).agg(F.to_json(F.struct(lines.alias("lines"))).alias("document"))
-    return r.nested_references(s, docs).select("source_row", "target_table", "target_row")
+    lines = F.array_sort(F.collect_list(F.struct(F.struct(F.lit("part").alias("table"), F.col("l_partkey").cast("string").alias("row")).alias("ref"))))
+    docs = table(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("source_row")).agg(F.to_json(F.struct(lines.alias("lines"))).alias("document"))
+    return r.nested_references(docs)
+
+
+def _reference_fields(s: SparkSession, d: str) -> DataFrame:
+    schema = table(s, d, "lineitem").select(F.explode(F.array(F.struct(F.lit("l_partkey").alias("field"), F.lit("row_reference").alias("value_kind")), F.struct(F.lit("l_tax").alias("field"), F.lit("double").alias("value_kind"))))).select("col.*").distinct()
+    cells = table(s, d, "lineitem").select(F.lit("l_suppkey").alias("field"), F.when(F.col("l_quantity") > 10, "supplier").alias("target_table"))
+    return r.reference_fields(schema, cells)
 
 
 # -- catalogs and changed copies
 
 
+def _indexed(rows: DataFrame) -> DataFrame:
+    """Orders as tables of their customers, in order of their keys."""
+    return rows.withColumn("row_index", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+
+
 def _mutated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     base = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
-    kept = base.where("o_orderkey % 19 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority", "o_custkey")
-    added = base.where("o_orderkey % 23 = 0").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_orderstatus", "o_orderpriority", "o_custkey")
-    return base, kept.unionByName(added)
+    kept = base.where("o_orderkey % 19 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 31 == 0, "renamed").otherwise(F.col("o_orderpriority")))
+    added = base.where("o_orderkey % 23 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    return _indexed(base), _indexed(kept.unionByName(added))
 
 
-_DIFF = """WITH b AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders),
-w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 19 <> 0
-  UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 23 = 0)
-SELECT 'row_removed' AS kind, o_orderkey AS row_id, NULL AS field, o_orderpriority AS before, NULL AS after FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM w)
-UNION ALL SELECT 'row_added', o_orderkey, NULL, NULL, o_orderpriority FROM w WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)
-UNION ALL SELECT 'cell_changed', o_orderkey, 'o_orderstatus', b.o_orderstatus, w.o_orderstatus FROM b JOIN w USING (o_orderkey) WHERE b.o_orderstatus IS DISTINCT FROM w.o_orderstatus"""
+_BOTH = """b AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM (
+  SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 31 = 0 THEN 'renamed' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 19 <> 0
+  UNION ALL SELECT o_custkey, o_orderkey + 1000000000, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 23 = 0))"""
+_DIFF = f"""WITH {_BOTH}
+SELECT o_custkey, 'row_removed' AS kind, o_orderkey AS row_id, NULL AS field, o_orderpriority AS before, NULL AS after FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM w)
+UNION ALL SELECT o_custkey, 'row_added', o_orderkey, NULL, NULL, o_orderpriority FROM w WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)
+UNION ALL SELECT b.o_custkey, 'row_renamed', o_orderkey, NULL, b.o_orderpriority, w.o_orderpriority FROM b JOIN w USING (o_orderkey) WHERE b.o_orderpriority IS DISTINCT FROM w.o_orderpriority
+UNION ALL SELECT b.o_custkey, 'cell_changed', o_orderkey, 'o_orderstatus', b.o_orderstatus, w.o_orderstatus FROM b JOIN w USING (o_orderkey) WHERE b.o_orderstatus IS DISTINCT FROM w.o_orderstatus
+UNION ALL SELECT coalesce(x.o_custkey, y.o_custkey), 'rows_reordered', NULL, NULL, NULL, NULL FROM (SELECT o_custkey, list(o_orderkey ORDER BY i) AS l FROM b GROUP BY 1) x FULL JOIN (SELECT o_custkey, list(o_orderkey ORDER BY i) AS l FROM w GROUP BY 1) y ON x.o_custkey = y.o_custkey WHERE x.l IS DISTINCT FROM y.l"""
+_DIRTY = f"""SELECT o_custkey, row_id FROM ({_DIFF}) WHERE kind <> 'rows_reordered' UNION SELECT o_custkey, o_orderkey FROM (WITH {_BOTH} SELECT * FROM w) WHERE o_custkey IN (SELECT o_custkey FROM ({_DIFF}) WHERE kind = 'rows_reordered')"""
 
 
 def diff(s: SparkSession, d: str) -> DataFrame:
     base, work = _mutated(s, d)
-    return c.table_diff(base, work, "o_orderkey", "o_orderpriority", ["o_orderstatus", "o_custkey"])
+    return c.table_diff(base, work, "o_custkey", "o_orderkey", "row_index", "o_orderpriority", ["o_orderstatus"])
+
+
+def _review(s: SparkSession, d: str) -> DataFrame:
+    base, work = _mutated(s, d)
+    said = work.where("o_orderstatus in ('X', 'P')").select("o_custkey", F.when(F.col("o_orderstatus") == "P", "error").otherwise("warning").alias("severity"))
+    return c.session_review(base, work, said, "o_custkey", "o_orderkey", "row_index", "o_orderpriority", ["o_orderstatus"])
+
+
+_REVIEW = f"""WITH {_BOTH}, t AS (SELECT o_custkey FROM b UNION SELECT o_custkey FROM w), d AS ({_DIFF}), x AS (SELECT o_custkey, count(*) AS n FROM ({_DIRTY}) GROUP BY 1)
+SELECT o_custkey, changes, dirty_cells, coalesce(x.n, 0) AS dirty_rows, errors, warnings, errors = 0 AS valid FROM (
+  SELECT t.o_custkey, count(d.kind) AS changes, count(*) FILTER (d.kind = 'cell_changed') AS dirty_cells FROM t LEFT JOIN d ON d.o_custkey = t.o_custkey GROUP BY 1) c
+JOIN (SELECT t.o_custkey, count(*) FILTER (w.o_orderstatus = 'P') AS errors, count(*) FILTER (w.o_orderstatus = 'X') AS warnings FROM t LEFT JOIN w ON w.o_custkey = t.o_custkey GROUP BY 1) e USING (o_custkey) LEFT JOIN x USING (o_custkey)"""
+
+
+def _parity(s: SparkSession, d: str) -> DataFrame:
+    side = lambda rows, live: rows.select("p_partkey", "p_type", F.when(F.col("p_size") > 10, F.sha2(F.when((F.col("p_size") == 40) & F.lit(live), "other").otherwise(F.col("p_name")), 256)).alias("print"), F.when(F.col("p_size") % 9 == 0, "unavailable").otherwise("available").alias("schema"))
+    saved, live = table(s, d, "part").where("p_partkey % 9 <> 0"), table(s, d, "part").where("p_partkey % 8 <> 0")
+    changed = live.withColumn("p_type", F.when(F.col("p_size") == 7, "live").otherwise(F.col("p_type")))
+    return r.parity_report(side(saved, False), side(changed, True), "p_partkey", ["p_type"], "print", "schema")
+
+
+_PARITY = """SELECT *, CASE WHEN missing_saved + missing_live + diverged + fingerprint_mismatches > 0 THEN 'failed' ELSE 'passed' END AS status FROM (
+SELECT count(*) FILTER (p_partkey % 9 = 0 AND p_partkey % 8 <> 0) AS missing_saved, count(*) FILTER (p_partkey % 8 = 0 AND p_partkey % 9 <> 0) AS missing_live,
+ count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 8 <> 0 AND p_size = 7) AS diverged, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 8 <> 0 AND p_size = 40 AND p_name <> 'other') AS fingerprint_mismatches,
+ count(*) FILTER ((p_partkey % 9 <> 0 OR p_partkey % 8 <> 0) AND p_size % 9 = 0) AS schema_gaps FROM part)"""
 
 
 def catalogs(s: SparkSession, d: str) -> DataFrame:
@@ -84,56 +137,144 @@ _CATALOGS = """SELECT p_partkey, CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 5
 
 
 def _fold(s: SparkSession, d: str) -> DataFrame:
-    base = table(s, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("long").alias("value"))
-    log = table(s, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_partkey").alias("row_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("long").alias("new_value"))
-    log = log.groupBy("row_id", "seq").agg(F.max("new_value").alias("new_value"))
-    w = Window.partitionBy("row_id").orderBy("seq")
-    old = F.lag("new_value").over(w)
-    log = log.join(base, "row_id").withColumn("old_value", F.coalesce(old, F.col("value"))).withColumn("old_value", F.when(F.col("row_id") % 6 == 0, -1).otherwise(F.col("old_value"))).drop("value")
+    path = F.concat_ws("/", "p_brand", "p_type")
+    base = table(s, d, "part").select(path.alias("table_path"), F.col("p_partkey").alias("row_id"), F.col("p_size").cast("long").alias("value"))
+    log = table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("row_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")).agg(F.max("l_quantity").cast("long").alias("new_value"))
+    log = log.join(base, "row_id").withColumn("old_value", F.coalesce(F.lag("new_value").over(Window.partitionBy("row_id").orderBy("seq")), F.col("value")))
+    log = log.withColumn("old_value", F.when(F.col("row_id") % 97 == 0, -1).otherwise(F.col("old_value"))).drop("value")
     return c.fold_set_cell(base, log)
 
 
-_FOLD = """WITH l AS (SELECT l_partkey AS row_id, arg_max(CAST(l_quantity AS BIGINT), (l_orderkey * 10 + l_linenumber, CAST(l_quantity AS BIGINT))) AS v FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)
-SELECT p_partkey AS row_id, CASE WHEN v IS NOT NULL AND p_partkey % 6 <> 0 THEN v ELSE p_size END AS value, v IS NULL OR p_partkey % 6 <> 0 AS valid FROM part LEFT JOIN l ON row_id = p_partkey"""
+_FOLD = """WITH l AS (SELECT l_partkey AS row_id, arg_max(CAST(l_quantity AS BIGINT), (l_orderkey * 10 + l_linenumber, CAST(l_quantity AS BIGINT))) AS v FROM lineitem GROUP BY 1),
+p AS (SELECT p_brand || '/' || p_type AS table_path, p_partkey AS row_id, CAST(p_size AS BIGINT) AS size, v FROM part LEFT JOIN l ON row_id = p_partkey),
+t AS (SELECT table_path, NOT bool_or(v IS NOT NULL AND row_id % 97 = 0) AS valid FROM p GROUP BY 1)
+SELECT table_path, row_id, CASE WHEN valid AND v IS NOT NULL THEN v ELSE size END AS value, valid FROM p JOIN t USING (table_path)"""
 
 
 def _fold_rows(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    rows = table(s, d, "nation").select(F.col("n_regionkey").cast("string").alias("table_path"), (F.row_number().over(w) - 1).cast("long").alias("row_index"), F.col("n_nationkey").cast("string").alias("row_id"), F.col("n_name").alias("row_name"))
+    """Orders as tables of their customers: the first row is renamed, one is put before it, it is removed; every third table is turned round."""
+    key = F.col("o_orderkey").cast("string")
+    rows = _indexed(table(s, d, "orders").select("o_custkey", "o_orderkey")).select(F.col("o_custkey").cast("string").alias("table_path"), F.col("row_index").cast("long").alias("row_index"), key.alias("row_id"), F.concat(F.lit("Order "), key).alias("row_name"))
     first = rows.where("row_index = 0")
-    col = lambda seq, kind, rid, name, old, at: [F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), rid.alias("row_id"), name.alias("row_name"), old.alias("old_name"), F.lit(at).cast("long").alias("at_index")]
-    log = first.select("table_path", *col(1, "rename", F.col("row_id"), F.concat(F.lit("NEW "), "row_name"), F.col("row_name"), 0))
-    log = log.unionByName(first.select("table_path", *col(2, "remove", F.col("row_id"), F.lit(None).cast("string"), F.lit(None).cast("string"), 0)))
-    return c.fold_rows(rows, log).select("table_path", "row_index", "row_name")
+    none = F.lit(None).cast("string")
+    order = F.lit(None).cast("array<string>")
+    command = lambda df, seq, kind, row, name, old, at, before=order, after=order: df.select("table_path", F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), row.alias("row_id"), name.alias("row_name"), old.alias("old_name"), F.lit(at).cast("long").alias("at_index"), before.alias("old_order"), after.alias("new_order"))
+    new = F.concat(F.lit("n"), "table_path")
+    wrong = F.when(F.col("table_path").cast("long") % 10 == 0, "another").otherwise(F.col("row_name"))
+    log = command(first, 1, "rename", F.col("row_id"), F.lit("Renamed"), wrong, 0).unionByName(command(first, 2, "add", new, F.lit("Added"), none, 0)).unionByName(command(first, 3, "remove", F.col("row_id"), none, none, 1))
+    ids = rows.where("cast(table_path as long) % 3 = 0").groupBy("table_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row_id"))), lambda x: x["row_id"]).alias("ids"))
+    now = F.concat(F.array(new), F.slice("ids", F.lit(2), F.size("ids")))
+    log = log.unionByName(command(ids, 4, "reorder", none, none, none, 0, now, F.reverse(now)))
+    return c.fold_rows(rows, log)
+
+
+_FOLD_ROWS = """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS table_path, o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT table_path, CASE WHEN o_custkey % 10 <> 0 AND o_custkey % 3 = 0 THEN n - 1 - i ELSE i END AS row_index,
+ CASE WHEN i = 0 AND o_custkey % 10 <> 0 THEN 'n' || table_path ELSE CAST(o_orderkey AS VARCHAR) END AS row_id,
+ CASE WHEN i = 0 AND o_custkey % 10 <> 0 THEN 'Added' ELSE 'Order ' || o_orderkey END AS row_name, CASE WHEN o_custkey % 10 = 0 THEN 'rename_rejected:1' END AS error FROM r"""
 
 
 def _fingerprints(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "part").select(F.col("p_brand").alias("table_path"), "p_partkey", "p_name", "p_size")
-    return c.table_fingerprint(rows, "table_path", "p_partkey", ["p_name", "p_size"])
+    part = table(s, d, "part").withColumn("tags", F.array("p_type", "p_name"))
+    header = part.groupBy(F.col("p_brand").alias("table_path")).agg(F.lit("DataTable").alias("kind"), F.countDistinct("p_type").alias("types"))
+    return c.table_fingerprint(part.withColumnRenamed("p_brand", "table_path"), "table_path", "p_partkey", ["p_name", "p_size", "tags"], ["tags"], header)
 
 
-_FINGERPRINTS = """WITH h AS (SELECT p_brand AS table_path, p_partkey, p_partkey // 10000 AS g, sha256(coalesce('=' || p_name, 'null') || '|' || coalesce('=' || CAST(p_size AS VARCHAR), 'null')) AS h FROM part),
-g AS (SELECT table_path, g, sha256(string_agg(h, '' ORDER BY p_partkey)) AS h FROM h GROUP BY 1, 2)
-SELECT table_path, sha256(string_agg(h, '' ORDER BY g)) AS fingerprint FROM g GROUP BY 1"""
+_FINGERPRINTS = """WITH h AS (SELECT p_brand AS table_path, p_type, p_partkey, p_partkey // 10000 AS g, sha256(coalesce('=' || p_name, 'null') || '|' || coalesce('=' || CAST(p_size AS VARCHAR), 'null') || '|=[' || array_to_string(list_sort(['=' || p_type, '=' || p_name]), ',') || ']') AS h FROM part),
+g AS (SELECT table_path, g, sha256(string_agg(h, '' ORDER BY p_partkey)) AS h FROM h GROUP BY 1, 2),
+g2 AS (SELECT table_path, g // 10000 AS g, sha256(string_agg(h, '' ORDER BY g)) AS h FROM g GROUP BY 1, 2),
+f AS (SELECT table_path, sha256(string_agg(h, '' ORDER BY g)) AS fingerprint FROM g2 GROUP BY 1)
+SELECT table_path, sha256('=DataTable|=' || count(DISTINCT p_type) || '|' || any_value(fingerprint)) AS fingerprint FROM h JOIN f USING (table_path) GROUP BY 1"""
 
 
 def _edits(s: SparkSession, d: str) -> DataFrame:
-    edits = table(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_partkey") % 50 == 0, "row_not_found").when(F.col("l_quantity") > 49, "incompatible_value").alias("code"))
-    return c.groups_all_or_nothing(edits, "l_orderkey", "code")
+    """Order lines as cell edits of parts: sizes, read-only names and colours that parts don't have."""
+    field = F.when(F.col("l_linenumber") == 2, "p_name").when(F.col("l_linenumber") == 3, "p_color").otherwise("p_size")
+    value = F.when(F.col("l_quantity") > 45, F.col("l_quantity").cast("string")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    edits = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("row_id"), field.alias("field"), value.alias("value"))
+    rows = table(s, d, "part").where("p_size <> 1").select(F.col("p_partkey").alias("row_id"))
+    none = F.lit(None).cast("array<string>")
+    schema = table(s, d, "part").select(F.explode(F.array(F.struct(F.lit("p_size").alias("field"), F.lit("uint").alias("kind"), none.alias("options"), F.lit(False).alias("read_only")), F.struct(F.lit("p_name").alias("field"), F.lit("string").alias("kind"), none.alias("options"), F.lit(True).alias("read_only"))))).select("col.*").distinct()
+    return c.bulk_edit_validation(edits, rows, schema, "l_orderkey").select("l_orderkey", "l_linenumber", "row_id", "code", "accepted")
+
+
+_EDITS = """SELECT l_orderkey, l_linenumber, row_id, code, bool_and(code IS NULL) OVER (PARTITION BY l_orderkey) AS accepted FROM (
+SELECT l_orderkey, l_linenumber, l_partkey AS row_id, CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <> 1) THEN 'row_not_found' WHEN l_linenumber = 3 THEN 'missing_field' WHEN l_linenumber = 2 THEN 'unsupported_edit' WHEN l_quantity > 45 THEN 'incompatible_value' END AS code FROM lineitem)"""
 
 
 def _operations(s: SparkSession, d: str) -> DataFrame:
-    ops = table(s, d, "events").select("event_id", (F.col("event_id") % 200).alias("operation_id"), F.col("event_type").alias("digest"))
-    return c.idempotent(ops, "operation_id", "event_id", "digest").select("event_id", "outcome")
+    ops = table(s, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("operation_id"), F.col("event_type").alias("digest"))
+    return c.idempotent(ops, "operation_id", "event_id", "digest", "user_id", 20).select("event_id", "outcome", "retained")
 
 
-def _feed(s: SparkSession, d: str) -> DataFrame:
-    seq = F.col("event_id") - F.when(F.col("event_id") % 7 == 0, 200).otherwise(0)
-    return table(s, d, "events").select(F.col("user_id").alias("feed"), F.col("event_id").alias("arrival"), seq.alias("seq"))
+_OPERATIONS = """SELECT event_id, outcome, outcome = 'first' AND count(*) FILTER (outcome = 'first') OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20 AS retained FROM (
+SELECT event_id, user_id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN first_value(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 'replayed' ELSE 'operation_id_collision' END AS outcome
+FROM events WINDOW w AS (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_id))"""
 
 
-_FEED = """SELECT feed, arrival, seq, CASE WHEN last IS NULL OR seq > last THEN 'accepted' WHEN seq = last THEN 'duplicate_sequence' ELSE 'regressing_sequence' END AS outcome, CASE WHEN last IS NOT NULL AND seq > last THEN seq - last - 1 ELSE 0 END AS gap
-FROM (SELECT *, max(seq) OVER (PARTITION BY feed ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM (SELECT user_id AS feed, event_id AS arrival, event_id - CASE WHEN event_id % 7 = 0 THEN 200 ELSE 0 END AS seq FROM events))"""
+def _commands(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events as the command logs of their users, and pointers behind half of each."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    log = table(s, d, "events").select("user_id", place.alias("place"), F.col("event_id").alias("command"), "event_type", "props")
+    return log, log.groupBy("user_id").agg(F.floor(F.count("*") / 2).alias("pointer"))
+
+
+_COMMANDS = "c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, event_id AS command, event_type, props, count(*) OVER (PARTITION BY user_id) // 2 AS pointer FROM events)"
+
+
+def _append(s: SparkSession, d: str) -> DataFrame:
+    log, pointers = _commands(s, d)
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    added = table(s, d, "events").where("event_type = 'purchase' and user_id % 4 <> 0").select("user_id", order.alias("place"), (F.col("event_id") + 10**9).alias("command"))
+    return c.append_group(log, pointers, added, "user_id")
+
+
+_APPEND = f"""WITH {_COMMANDS}, a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, event_id + 1000000000 AS command FROM events WHERE event_type = 'purchase' AND user_id % 4 <> 0)
+SELECT user_id, place, command FROM c WHERE place < pointer OR user_id NOT IN (SELECT user_id FROM a) UNION ALL SELECT a.user_id, a.place + pointer, a.command FROM a JOIN (SELECT DISTINCT user_id, pointer FROM c) p USING (user_id)"""
+
+
+def _states(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.count_if(F.col("l_returnflag") == f).alias(n) for f, n in (("A", "pointer"), ("N", "awaiting"), ("R", "receipts"))])
+    kind = F.when(F.col("o_orderstatus") == "P", F.when(F.col("o_orderpriority") < "3", "apply").otherwise("save"))
+    sessions = table(s, d, "orders").join(lines, "o_orderkey", "left").na.fill(0).select("o_orderkey", kind.alias("pending_kind"), F.when(F.col("o_totalprice") > 200_000, "indeterminate").otherwise("sent").alias("pending_status"), "pointer", "awaiting", "receipts")
+    return c.pipeline_state(sessions).select("o_orderkey", "state", "can_apply")
+
+
+_STATES = """SELECT o_orderkey, state, state = 'draft' AND a > 0 AS can_apply FROM (
+SELECT o_orderkey, a, CASE WHEN o_orderstatus = 'P' AND o_totalprice > 200000 THEN 'indeterminate' WHEN o_orderstatus = 'P' AND o_orderpriority < '3' THEN 'applying' WHEN o_orderstatus = 'P' THEN 'saving' WHEN a > 0 THEN 'draft' WHEN n > 0 THEN 'applied' WHEN r > 0 THEN 'saved' ELSE 'draft' END AS state
+FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL))"""
+
+
+def _observed(s: SparkSession, d: str) -> DataFrame:
+    """Events as what is seen of their users' feeds: catalogs, resets, losses, polling, and batches of two indices."""
+    kind = F.when(F.col("event_type") == "signup", "catalog").when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "reset").when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "unavailable").when((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 0), "polling").otherwise("transforms")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(s, d, "events").select(F.col("user_id").alias("feed"), F.col("event_id").alias("arrival"), kind.alias("kind"), F.when(F.col("event_id") % 11 == 0, "other").otherwise("one").alias("session"), F.floor(F.col("event_id") / 2000).alias("revision"), (k % 7).cast("long").alias("seq"), F.lit(10).alias("entries"), F.array((k % 12).cast("int"), (F.col("event_id") % 5).cast("int")).alias("indices"))
+
+
+_OBSERVED = """WITH RECURSIVE e AS (SELECT user_id AS feed, event_id AS arrival, CASE WHEN event_type = 'signup' THEN 'catalog' WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'reset' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'unavailable' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'polling' ELSE 'transforms' END AS kind,
+ CASE WHEN event_id % 11 = 0 THEN 'other' ELSE 'one' END AS session, event_id // 2000 AS revision, CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS seq, CAST(json_extract_string(props, '$.k') AS INTEGER) % 12 AS i, event_id % 5 AS j, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT feed, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS arrival, 'accepted' AS outcome, 'connecting' AS status, '' AS session, CAST(-1 AS BIGINT) AS revision, 0 AS last, false AS has, false AS gap FROM (SELECT DISTINCT feed FROM e)
+ UNION ALL
+ SELECT feed, n, arrival, outcome, CASE WHEN kind = 'catalog' THEN 'live' WHEN kind = 'reset' THEN CASE WHEN has THEN 'stale' ELSE 'unavailable' END WHEN kind = 'unavailable' THEN 'unavailable' WHEN kind = 'polling' THEN 'polling_fallback' WHEN outcome = 'accepted' THEN 'live' ELSE status END,
+  CASE WHEN kind = 'catalog' THEN own ELSE session END, CASE WHEN kind = 'catalog' THEN rev ELSE revision END, CASE WHEN kind = 'catalog' THEN 0 WHEN kind = 'transforms' AND outcome = 'accepted' THEN seq ELSE last END, CASE WHEN kind = 'catalog' THEN true WHEN kind = 'polling' THEN false ELSE has END,
+  kind = 'transforms' AND outcome = 'accepted' AND status = 'live' AND seq > last + 1
+ FROM (SELECT f.feed, e.n, e.arrival, e.kind, e.session AS own, e.revision AS rev, e.seq, f.status, f.session, f.revision, f.last, f.has,
+   CASE WHEN e.kind <> 'transforms' THEN 'accepted' WHEN f.status NOT IN ('live', 'stale') THEN 'no_catalog' WHEN e.session <> f.session THEN 'wrong_session' WHEN e.revision <> f.revision THEN 'wrong_revision' WHEN e.seq < f.last THEN 'regressing_sequence' WHEN e.seq = f.last AND f.status = 'live' THEN 'duplicate_sequence' WHEN e.i >= 10 THEN 'out_of_range_index' WHEN e.i = e.j THEN 'duplicate_index' ELSE 'accepted' END AS outcome
+   FROM f JOIN e ON e.feed = f.feed AND e.n = f.n + 1))
+SELECT feed, arrival, outcome, status, gap FROM f WHERE n > 0"""
+
+_TOLERANCE = """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL),
+f AS (SELECT user_id, event_id, n, value, value AS last, true AS emitted FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.n, e.value, CASE WHEN abs(e.value - f.last) > 20.0 THEN e.value ELSE f.last END, abs(e.value - f.last) > 20.0 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, value FROM f WHERE emitted"""
+
+
+def _packet_stream(s: SparkSession, d: str) -> DataFrame:
+    """Events gathered into packets of a user's hundred ids, and out of them again."""
+    record = F.struct((F.col("event_id") % 100).cast("int").alias("index"), F.col("value").alias("x"), (-F.col("value")).alias("y"))
+    packets = table(s, d, "events").groupBy(F.col("user_id").alias("feed"), F.floor(F.col("event_id") / 100).alias("seq")).agg(F.collect_list(record).alias("records"))
+    return st.packet_records(packets)
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
@@ -155,62 +296,73 @@ def _composite(s: SparkSession, d: str) -> DataFrame:
 
 
 def _drift(s: SparkSession, d: str) -> DataFrame:
-    saved = table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").alias("a")
-    now = table(s, d, "customer").where("c_custkey % 6 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), (F.col("c_acctbal") + F.col("c_custkey") % 3).alias("c_acctbal")).alias("b")
-    gone = F.col("b.c_custkey").isNull()
-    reasons = F.concat_ws(",", F.when(gone, "actor_missing"), F.when(~gone & (F.col("a.c_mktsegment") != F.col("b.c_mktsegment")), "map_changed"), F.when(~gone & (F.abs(F.col("a.c_acctbal") - F.col("b.c_acctbal")) > 1.5), "bounds_changed"))
-    return saved.join(now, F.col("a.c_custkey") == F.col("b.c_custkey"), "left").select("a.c_custkey", reasons.alias("reasons"), (reasons == "").alias("resumable"))
+    saved = table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    now = table(s, d, "customer").where("c_custkey % 6 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), (F.col("c_acctbal") + F.col("c_custkey") % 3).alias("c_acctbal"), F.when(F.col("c_nationkey") == 7, 99).otherwise(F.col("c_nationkey")).alias("c_nationkey"))
+    return r.session_drift(saved, now, "c_custkey", "c_mktsegment", ["c_acctbal"], "c_nationkey", 1.5)
+
+
+def _subjects(s: SparkSession, d: str) -> DataFrame:
+    x = lambda i: F.col("embedding")[i].cast("double")
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), x(0).alias("x"), x(1).alias("y"), x(2).alias("z"), (x(3) * 100).alias("ex"), F.abs(x(4) * 100).alias("ey"), F.abs(x(5) * 100).alias("ez"), (x(6) * 180).alias("yaw"))
+
+
+_FRAMING = """WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) * 100 AS ex, abs(CAST(embedding[5] AS DOUBLE) * 100) AS ey, abs(CAST(embedding[6] AS DOUBLE) * 100) AS ez, CAST(embedding[7] AS DOUBLE) * 180 AS yaw FROM embeddings),
+p(preset, scale, up, turn, world) AS (VALUES ('context_three_quarter', 1.8, 0.5, 42.0, false), ('facade_front', 1.25, 0.08, 0.0, false), ('cardinal_north', 1.45, 0.18, 90.0, true), ('cardinal_east', 1.45, 0.18, 0.0, true), ('cardinal_south', 1.45, 0.18, -90.0, true), ('cardinal_west', 1.45, 0.18, 180.0, true)),
+q AS (SELECT *, greatest(1.0, sqrt(ex * ex + ey * ey + ez * ez)) / sin(radians(30.0)) / 0.8 * CAST(scale AS DOUBLE) AS distance, radians(CASE WHEN world THEN CAST(turn AS DOUBLE) ELSE yaw + CAST(turn AS DOUBLE) END) AS a, ez * CAST(up AS DOUBLE) AS dz FROM e, p WHERE ex >= 0)
+SELECT id, preset, round(distance, 4) AS distance, round(x + cos(a) * distance, 4) AS cx, round(y + sin(a) * distance, 4) AS cy, round(z + dz, 4) AS cz, round(degrees(atan2(-dz, distance)), 4) AS pitch FROM q"""
 
 
 _w = lambda *k: Window.partitionBy(*k)
 
 QUERIES = {
     "resolve_references": (edges, _EDGES),
-    "reference_diagnostics": (lambda s, d: r.diagnostics(edges(s, d)).select("source_row", "code", "message"), f"SELECT source_row, 'reference_' || status AS code, source_row || ' -> ' || coalesce(target_row, 'None') AS message FROM ({_EDGES}) WHERE status <> 'resolved'"),
+    "reference_diagnostics": (lambda s, d: r.diagnostics(edges(s, d)).select("source_row", "code", "message"), f"SELECT source_row, 'reference_' || status AS code, source_row || ' -> ' || coalesce(target_table, 'no table') || '/' || coalesce(target_row, 'no row') || ' (' || candidates || ' found)' AS message FROM ({_EDGES}) WHERE status <> 'resolved'"),
     "reference_report": (lambda s, d: r.report(edges(s, d)), f"SELECT count(*) AS reference_count, count(*) FILTER (status = 'resolved') AS resolved_count, count(*) FILTER (status <> 'resolved') AS issue_count FROM ({_EDGES})"),
-    "nested_references": (_nested, "SELECT CAST(l_orderkey AS VARCHAR) AS source_row, 'part' AS target_table, CAST(l_partkey AS VARCHAR) AS target_row FROM lineitem WHERE l_linenumber <= 2"),
-    "joined_view": (view, _VIEW),
+    "nested_references": (_nested, "SELECT CAST(l_orderkey AS VARCHAR) AS source_row, '$.lines[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_partkey AS VARCHAR)) - 1) || '].ref' AS value_path, 'part' AS target_table, CAST(l_partkey AS VARCHAR) AS target_row FROM lineitem"),
+    "joined_view": (_views, _VIEWS),
     "joined_view_summary": (lambda s, d: view(s, d).agg(F.count("*").alias("row_count"), F.count_if(F.col("reason").isNull()).alias("resolved_count"), F.count("reason").alias("unresolved_count")), f"SELECT count(*) AS row_count, count(*) FILTER (reason IS NULL) AS resolved_count, count(reason) AS unresolved_count FROM ({_VIEW})"),
-    "referenced_tables": (lambda s, d: edges(s, d).select("target_table").where("target_table is not null").distinct(), f"SELECT DISTINCT target_table FROM ({_EDGES}) WHERE target_table IS NOT NULL"),
-    "combined_matrix": (lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source_name"), F.col("r_name").alias("target_name")), "SELECT n_name AS source_name, r_name AS target_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "referenced_tables": (lambda s, d: r.referenced_tables(edges(s, d)), f"SELECT DISTINCT target_table FROM ({_EDGES}) WHERE target_table IS NOT NULL"),
+    "combined_matrix": (lambda s, d: r.combined_matrix(table(s, d, "orders"), table(s, d, "customer"), "o_custkey", "c_custkey", {"source": ["o_orderkey", "o_orderstatus"], "target": ["c_name"]}), 'SELECT o_orderkey AS "source.o_orderkey", o_orderstatus AS "source.o_orderstatus", c_name AS "target.c_name" FROM orders LEFT JOIN customer ON c_custkey = o_custkey'),
     "lookup_or_fail": (lambda s, d: r.lookup_or_fail(table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), table(s, d, "customer").where("c_custkey % 4 <> 0").select("c_custkey", "c_name"), "c_custkey", "profile_missing").select("o_orderkey", "c_name", "error_code"), "SELECT o_orderkey, c_name, CASE WHEN c_name IS NULL THEN 'profile_missing' END AS error_code FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON o_custkey = c_custkey"),
     "composite_override": (_composite, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'override' ELSE p_brand END AS p_brand FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 3 = 0"),
-    "session_drift": (_drift, "SELECT c_custkey, reasons, reasons = '' AS resumable FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'actor_missing' ELSE concat_ws(',', CASE WHEN c_custkey % 5 = 0 AND c_mktsegment <> 'MOVED' THEN 'map_changed' END, CASE WHEN c_custkey % 3 > 1.5 THEN 'bounds_changed' END) END AS reasons FROM customer)"),
+    "session_drift": (_drift, "SELECT c_custkey, reasons, reasons = '' AS resumable FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'actor_missing' ELSE concat_ws(',', CASE WHEN c_custkey % 5 = 0 AND c_mktsegment <> 'MOVED' THEN 'map_changed' END, CASE WHEN c_custkey % 3 > 1.5 THEN 'bounds_changed' END, CASE WHEN c_nationkey = 7 THEN 'review_set_changed' END) END AS reasons FROM customer)"),
     "catalog_merge": (catalogs, _CATALOGS),
     "catalog_divergence": (lambda s, d: catalogs(s, d).where("divergence <> ''").select("p_partkey", "divergence"), f"SELECT p_partkey, divergence FROM ({_CATALOGS}) WHERE divergence <> ''"),
-    "parity_report": (lambda s, d: catalogs(s, d).agg(F.count_if(F.col("authorities") == "live").alias("missing_saved"), F.count_if(F.col("authorities") == "saved").alias("missing_live"), F.count_if(F.col("divergence") != "").alias("diverged")), f"SELECT count(*) FILTER (authorities = 'live') AS missing_saved, count(*) FILTER (authorities = 'saved') AS missing_live, count(*) FILTER (divergence <> '') AS diverged FROM ({_CATALOGS})"),
+    "parity_report": (_parity, _PARITY),
     "table_fingerprint": (_fingerprints, _FINGERPRINTS),
     "table_diff": (diff, _DIFF),
-    "dirty_sets": (lambda s, d: diff(s, d).where("kind = 'cell_changed'").groupBy("field").agg(F.count("*").alias("dirty_cells"), F.countDistinct("row_id").alias("dirty_rows")), f"SELECT field, count(*) AS dirty_cells, count(DISTINCT row_id) AS dirty_rows FROM ({_DIFF}) WHERE kind = 'cell_changed' GROUP BY 1"),
-    "session_review": (lambda s, d: diff(s, d).groupBy("kind").agg(F.count("*").alias("n")), f"SELECT kind, count(*) AS n FROM ({_DIFF}) GROUP BY 1"),
+    "dirty_sets": (lambda s, d: c.dirty_rows(diff(s, d), _mutated(s, d)[1], "o_custkey", "o_orderkey"), _DIRTY),
+    "session_review": (_review, _REVIEW),
     "fold_set_cell": (_fold, _FOLD),
-    "fold_rows": (_fold_rows, "SELECT CAST(n_regionkey AS VARCHAR) AS table_path, k - 1 AS row_index, n_name AS row_name FROM (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation) WHERE k > 0"),
-    "bulk_edit_validation": (_edits, "SELECT l_orderkey, count(*) AS n, count(code) AS n_errors, count(code) = 0 AS accepted FROM (SELECT l_orderkey, CASE WHEN l_partkey % 50 = 0 THEN 'row_not_found' WHEN l_quantity > 49 THEN 'incompatible_value' END AS code FROM lineitem) GROUP BY 1"),
-    "idempotent_operations": (_operations, "SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN first_value(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 'replayed' ELSE 'operation_id_collision' END AS outcome FROM events WINDOW w AS (PARTITION BY event_id % 200 ORDER BY event_id)"),
-    "append_group": (lambda s, d: table(s, d, "events").where("event_id < 500").select("event_id").unionByName(table(s, d, "events").where("event_id between 700 and 710").select("event_id")), "SELECT event_id FROM events WHERE event_id < 500 OR event_id BETWEEN 700 AND 710"),
-    "command_groups": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("commands"), F.min("event_id").alias("start"), F.min_by("event_type", "event_id").alias("first_kind"), F.countDistinct("event_type").alias("kinds")).withColumn("active", F.col("start") < 500), "SELECT user_id, count(*) AS commands, min(event_id) AS start, arg_min(event_type, event_id) AS first_kind, count(DISTINCT event_type) AS kinds, min(event_id) < 500 AS active FROM events GROUP BY 1"),
-    "pipeline_state": (lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "saved").when(F.col("o_orderstatus") == "P", "applying").otherwise("draft").alias("state")), "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'saved' WHEN 'P' THEN 'applying' ELSE 'draft' END AS state FROM orders"),
+    "fold_rows": (_fold_rows, _FOLD_ROWS),
+    "bulk_edit_validation": (_edits, _EDITS),
+    "idempotent_operations": (_operations, _OPERATIONS),
+    "append_group": (_append, _APPEND),
+    "command_groups": (lambda s, d: c.command_groups(*_commands(s, d), "user_id", "place", "event_type", "props"), f"WITH {_COMMANDS} SELECT user_id, event_type, count(*) AS commands, CAST(min(place) AS INTEGER) AS start, arg_min(props, place) AS first_table, count(DISTINCT props) AS tables, min(place) < any_value(pointer) AS active FROM c GROUP BY 1, 2"),
+    "pipeline_state": (_states, _STATES),
     "run_summary": (lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") != "F").alias("ok"), F.count_if(F.col("o_orderstatus") == "F").alias("failed")).withColumn("status", F.when(F.col("failed") == 0, "completed").when(F.col("ok") == 0, "failed").otherwise("completed_with_failures")), "SELECT *, CASE WHEN failed = 0 THEN 'completed' WHEN ok = 0 THEN 'failed' ELSE 'completed_with_failures' END AS status FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS ok, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders GROUP BY 1)"),
     "duplicate_names": (lambda s, d: c.duplicate_names(table(s, d, "events").select("event_id", "event_type", F.col("user_id")), "user_id", "event_type", "event_id").select("event_id", "first_name"), "SELECT event_id, first_name FROM (SELECT event_id, row_number() OVER w AS n, first_value(event_type) OVER w AS first_name FROM events WINDOW w AS (PARTITION BY user_id, lower(event_type) ORDER BY event_id)) WHERE n > 1"),
     "row_name_check": (lambda s, d: table(s, d, "part").select("p_partkey", c.row_name_problem(F.when(F.col("p_partkey") % 10 == 0, "None").otherwise(F.col("p_name"))).alias("problem")), "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'reserved' WHEN p_name IS NULL OR p_name = '' THEN 'empty' WHEN lower(p_name) = 'none' THEN 'reserved' END AS problem FROM part"),
     "latest_receipt": (lambda s, d: st.latest_state(table(s, d, "events"), "user_id", "event_id", "event_type"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
     "sequence_gaps": (lambda s, d: table(s, d, "events").select("event_id", F.greatest(F.lit(0), F.coalesce(F.col("event_id") - F.lag("event_id").over(_w("user_id").orderBy("event_id")) - 1, F.lit(0))).alias("missing")), "SELECT event_id, greatest(0, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 0)) AS missing FROM events"),
     "exact_change_filter": (lambda s, d: table(s, d, "events").select("event_id", "event_type", F.lag("event_type").over(_w("user_id").orderBy("event_id")).alias("p"), F.row_number().over(_w("user_id").orderBy("event_id")).alias("n")).where("n = 1 or not (p <=> event_type)").select("event_id"), "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR p IS DISTINCT FROM event_type"),
-    "tolerance_change_filter": (lambda s, d: c.tolerance_filter(table(s, d, "events"), "user_id", "event_id", "value", 20.0), None),
-    "exact_set_match": (lambda s, d: table(s, d, "part").select("p_partkey").exceptAll(table(s, d, "part").where("p_partkey % 10 <> 0").select("p_partkey")), "SELECT p_partkey FROM part WHERE p_partkey % 10 = 0"),
-    "permutation_check": (lambda s, d: table(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("a"), F.sort_array(F.collect_list(F.when(F.col("n_nationkey") != 7, F.col("n_nationkey")).otherwise(0))).alias("b")).select("n_regionkey", (F.col("a") == F.col("b")).alias("permutation")), "SELECT n_regionkey, list_sort(list(n_nationkey)) = list_sort(list(CASE WHEN n_nationkey <> 7 THEN n_nationkey ELSE 0 END)) AS permutation FROM nation GROUP BY 1"),
+    "tolerance_change_filter": (lambda s, d: c.tolerance_filter(table(s, d, "events"), "user_id", "event_id", "value", 20.0), _TOLERANCE),
+    "exact_set_match": (lambda s, d: c.exact_set_match(table(s, d, "orders").select(F.col("o_custkey").alias("key")), table(s, d, "customer").select(F.col("c_custkey").alias("key")), "key"), "WITH l AS (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS key, count(*) AS m FROM customer GROUP BY 1) SELECT * FROM (SELECT key, CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'unexpected' WHEN n > 1 OR m > 1 THEN 'duplicate' END AS problem FROM l FULL JOIN r USING (key)) WHERE problem IS NOT NULL"),
+    "permutation_check": (lambda s, d: c.permutation_check(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") == 1, 0).otherwise(F.col("l_linenumber")).alias("new")), "l_orderkey", "l_linenumber", "new"), "SELECT l_orderkey, list_sort(list(l_linenumber)) = list_sort(list(CASE WHEN l_quantity = 1 THEN 0 ELSE l_linenumber END)) AS permutation FROM lineitem GROUP BY 1"),
     "distinct_tables": (lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen")), "SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY 1"),
-    "merge_paths": (lambda s, d: table(s, d, "nation").where("n_regionkey < 3").select("n_name").union(table(s, d, "nation").where("n_regionkey > 1").select("n_name")).distinct(), "SELECT n_name FROM nation"),
-    "observation_state": (lambda s, d: st.observation_state(_feed(s, d)), _FEED),
+    "merge_paths": (lambda s, d: c.merge_paths(table(s, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"), table(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey")), "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus IN ('P', 'F')"),
+    "observation_state": (lambda s, d: st.observation_state(_observed(s, d)), _OBSERVED),
     "packet_validation": (_packets, "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'version' WHEN event_id % 19 = 0 THEN 'record_count' WHEN event_id % 23 = 0 THEN 'length' WHEN value IS NULL OR NOT isfinite(value) THEN 'not_finite' END AS malformed FROM events"),
     "latest_state": (lambda s, d: st.latest_state(table(s, d, "events"), "user_id", "event_id", "value"), "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1"),
-    "coalesce_updates": (lambda s, d: st.coalesce_updates(table(s, d, "events").withColumn("delivery", F.floor(F.col("event_id") / 100)), "delivery", "user_id", "event_id", "event_type"), "SELECT event_id // 100 AS delivery, user_id, arg_max(event_type, event_id) AS event_type, count(*) - 1 AS replaced FROM events GROUP BY 1, 2"),
+    "coalesce_updates": (lambda s, d: st.coalesce_updates(table(s, d, "events").withColumn("delivery", F.floor(F.col("event_id") / 100)).withColumn("feed", F.col("user_id") % 3), "feed", "delivery", "user_id", "event_id", "value", (F.col("event_type") == "signup") & (F.col("event_id") % 4 == 0)), "WITH e AS (SELECT user_id % 3 AS feed, event_id // 100 AS delivery, user_id, event_id, value, event_type = 'signup' AND event_id % 4 = 0 AS c FROM events), m AS (SELECT feed, delivery, max(event_id) FILTER (c) AS m FROM e GROUP BY 1, 2) SELECT feed, delivery, user_id, arg_max(value, event_id) AS value, count(*) - 1 AS replaced FROM e JOIN m USING (feed, delivery) WHERE NOT c AND (m IS NULL OR event_id > m) GROUP BY 1, 2, 3"),
     "keep_latest_n": (lambda s, d: st.keep_latest(table(s, d, "events").select("event_id", "user_id"), "user_id", "event_id", 3).select("event_id", "dropped"), "SELECT event_id, greatest(total - 3, 0) AS dropped FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE n <= 3"),
-    "consecutive_rejects": (lambda s, d: st.consecutive_rejects(table(s, d, "events").select("user_id", "event_id", (F.col("event_id") % 3 != 0).alias("rejected")), "user_id", "event_id", "rejected"), "WITH e AS (SELECT user_id, event_id % 3 <> 0 AS rejected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_id % 3 <> 0 ORDER BY event_id) AS g FROM events), g AS (SELECT user_id, rejected, count(*) AS n FROM e GROUP BY user_id, rejected, g) SELECT user_id, coalesce(max(n) FILTER (rejected), 0) AS longest FROM g GROUP BY 1"),
-    "stream_metrics": (lambda s, d: st.stream_metrics(table(s, d, "events").select("user_id", "event_id", (F.col("event_id") % 50).alias("counter")), "user_id", "event_id", "counter"), "SELECT user_id, count(*) AS packets, count(*) * 144 AS bytes, CAST(sum(greatest(0, c - coalesce(p, 0))) AS BIGINT) AS replacements FROM (SELECT user_id, event_id % 50 AS c, max(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events) GROUP BY 1"),
+    "consecutive_rejects": (lambda s, d: st.consecutive_rejects(table(s, d, "events").select("user_id", "event_id", (F.col("event_type") != "view").alias("rejected")), "user_id", "event_id", "rejected", 8), "WITH e AS (SELECT user_id, event_id, event_type <> 'view' AS rejected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type <> 'view' ORDER BY event_id) AS g FROM events), g AS (SELECT *, row_number() OVER (PARTITION BY user_id, rejected, g ORDER BY event_id) AS n FROM e) SELECT user_id, CAST(coalesce(max(n) FILTER (rejected), 0) AS INTEGER) AS longest, min(event_id) FILTER (rejected AND n = 8) AS tripped_at FROM g GROUP BY 1"),
+    "stream_metrics": (lambda s, d: st.stream_metrics(table(s, d, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("records"), "event_type", (F.col("event_id") % 50).alias("counter")), "user_id", "event_id", "records", "event_type", "counter"), "SELECT user_id, count(*) AS packets, CAST(sum(96 + 48 * (event_id % 7)) AS BIGINT) AS bytes, CAST(sum(event_id % 7) AS BIGINT) AS sampled, count(*) FILTER (n = 1 OR event_type IS DISTINCT FROM t) AS changed, CAST(sum(greatest(0, event_id % 50 - coalesce(p, 0))) AS BIGINT) AS replacements, CAST(sum(greatest(0, coalesce(event_id - e - 1, 0))) AS BIGINT) AS gaps FROM (SELECT *, lag(event_type) OVER w AS t, lag(event_id) OVER w AS e, row_number() OVER w AS n, max(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY 1"),
     "sample_age": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.greatest(F.lit(0), F.lit(2_000_000_000) - F.unix_timestamp(F.max("ts").cast("timestamp"))).alias("age")), "SELECT user_id, greatest(0, 2000000000 - CAST(floor(epoch(max(ts))) AS BIGINT)) AS age FROM events GROUP BY 1"),
     "spatial_bounds": (lambda s, d: sp.bounds(_points(s, d)), f"SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM ({_POINTS})"),
     "planar_projection": (lambda s, d: sp.planar_projection(_points(s, d)).select("id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py")), f"WITH p AS ({_POINTS}), b AS (SELECT min(x) a, max(x) b, min(y) c, max(y) d, greatest(1.0, max(x) - min(x), max(y) - min(y)) * 1.16 AS side FROM p) SELECT id, round(((x - (a + b) / 2) / side + 0.5) * 100, 6) AS px, round(100 - ((y - (c + d) / 2) / side + 0.5) * 100, 6) AS py FROM p, b"),
-    "nearest_entity": (lambda s, d: sp.nearest_entity(_points(s, d).where("id % 10 = 0").withColumnRenamed("id", "query_id"), _points(s, d).where("id % 10 <> 0"), 0.05), f"WITH p AS ({_POINTS}), m AS (SELECT q.id AS query_id, p.id, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS d FROM p q JOIN p ON q.id % 10 = 0 AND p.id % 10 <> 0) SELECT query_id, arg_min(id, (d, id)) AS id FROM m WHERE d <= 0.05 * 0.05 GROUP BY 1"),
-    "framing_candidates": (lambda s, d: sp.framing_candidates(s, _points(s, d).select("id", "x", "y", F.lit(0.0).alias("z"), F.abs("x").alias("r"))).select("id", "pose", F.round("distance", 6).alias("distance")), "SELECT vec_id AS id, pose, round(abs(CAST(embedding[1] AS DOUBLE)) / sin(radians(30.0)) / 0.8, 6) AS distance FROM embeddings, (VALUES ('front'), ('back'), ('left'), ('right'), ('top'), ('three_quarter')) p(pose) WHERE abs(embedding[1]) > 0"),
+    "nearest_entity": (lambda s, d: sp.nearest_entity(_points(s, d).where("id % 20 = 0").withColumnRenamed("id", "query_id"), _points(s, d), 0.05, but_itself=True), f"WITH p AS ({_POINTS}), m AS (SELECT q.id AS query_id, p.id, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS d FROM p q JOIN p ON q.id % 20 = 0 AND p.id <> q.id) SELECT query_id, arg_min(id, (d, id)) AS id FROM m WHERE d <= 0.05 * 0.05 GROUP BY 1"),
+    "framing_candidates": (lambda s, d: sp.framing_candidates(_subjects(s, d)).select("id", "preset", *[F.round(c_, 4).alias(c_) for c_ in ("distance", "cx", "cy", "cz", "pitch")]), _FRAMING),
+    "reference_fields": (_reference_fields, "SELECT 'l_partkey' AS field FROM lineitem HAVING count(*) > 0 UNION ALL SELECT 'l_suppkey' FROM lineitem HAVING count(*) FILTER (l_quantity > 10) > 0"),
+    "stream_source": (_packet_stream, "SELECT user_id AS feed, event_id // 100 AS seq, CAST(event_id % 100 AS INTEGER) AS index, value AS x, -value AS y FROM events"),
 }

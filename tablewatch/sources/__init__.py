@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def scan_inspections(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
-    """JSON documents of one version; others are an error. Absent lists are empty; partial documents stay."""
-    docs = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    right = F.when(F.col("schema_version") == version, True).otherwise(F.raise_error(F.lit(f"schema_version must be {version}")).cast("boolean"))
-    lists = {f.name: F.coalesce(F.col(f.name), F.array()) for f in docs.schema if f.dataType.typeName() == "array"}
-    return docs.where(right).withColumns(lists) if lists else docs.where(right)
+#: The version that inspections must have, and what they hold.
+INSPECTION_VERSION = 7
+INSPECTION = "schema_version int, status string, assets array<struct<path:string,kind:string,properties:array<struct<name:string,value:string>>>>, decode_errors array<struct<path:string,code:string>>"
+TABLE_KINDS = ("DataTable", "CompositeDataTable")
+
+
+def inspections(documents: DataFrame, column: str) -> DataFrame:
+    """``documents`` with their JSON ``column`` parsed: status, assets and decode_errors.
+
+    Absent lists are empty, partial documents stay. A document of another version, or that is no JSON object, is an error.
+    """
+    rows = documents.withColumn("_d", F.from_json(column, INSPECTION))
+    right = F.when(F.col("_d.schema_version") == INSPECTION_VERSION, True).otherwise(F.raise_error(F.lit(f"schema_version must be {INSPECTION_VERSION}")).cast("boolean"))
+    rows = rows.where(right).withColumns({"status": F.col("_d.status"), "decode_errors": F.coalesce("_d.decode_errors", F.array())})
+    assets = F.transform(F.coalesce("_d.assets", F.array()), lambda a: F.struct(a["path"].alias("path"), a["kind"].alias("kind"), F.coalesce(a["properties"], F.array()).alias("properties")))
+    return rows.withColumn("assets", assets).drop("_d", column)
+
+
+def scan_inspections(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON documents below ``path``, one in each file or line."""
+    return inspections(spark.read.text(path).where("length(value) > 0"), "value")
+
+
+def table_descriptors(inspected: DataFrame) -> DataFrame:
+    """(table_path, kind, completeness) of the table assets of inspections; partial if the document is or had errors."""
+    partial = (F.col("status") == "partial") | (F.size("decode_errors") > 0)
+    rows = inspected.select(F.when(partial, "partial").otherwise("complete").alias("completeness"), F.explode("assets").alias("a"))
+    return rows.where(F.col("a.kind").isin(*TABLE_KINDS)).select(F.col("a.path").alias("table_path"), "a.kind", "completeness")
 
 
 def scan_snapshots(current: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -19,16 +41,35 @@ def scan_snapshots(current: DataFrame, legacy: DataFrame) -> DataFrame:
     return both.withColumn("classification", F.when(F.col("producer").isNull(), "legacy_read_only").otherwise("current"))
 
 
-def discover_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, modificationTime, length) of matching files below ``path``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "modificationTime", "length").orderBy("path")
+def with_suffix(listing: DataFrame, path: str, suffix: str) -> DataFrame:
+    """Entries of a listing whose name ends in ``suffix``, case aside, in order of their paths."""
+    return listing.where(F.lower(path).endswith(suffix.lower())).orderBy(path)
+
+
+def discover_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path, modificationTime, length) of files below ``path`` by suffix; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return with_suffix(files.select("path", "modificationTime", "length"), "path", suffix)
+
+
+def incremental_catalog(previous: DataFrame, current: DataFrame, key: str, signature: list[str], failed: Column | None = None) -> DataFrame:
+    """(key, outcome): hit where ``previous`` has the same signature, changed or added where work is to do, deleted where
+    it is gone; what ``failed`` to be looked at is never a hit."""
+    p, c = previous.select(key, F.struct(*signature).alias("_signature")).alias("p"), current.select("*", F.struct(*signature).alias("_signature"), (failed if failed is not None else F.lit(False)).alias("_failed")).alias("c")
+    same = F.col("p._signature").eqNullSafe(F.col("c._signature"))
+    outcome = F.when(F.col(f"c.{key}").isNull(), "deleted").when(F.col("c._failed"), "failed").when(F.col(f"p.{key}").isNull(), "added").when(same, "hit").otherwise("changed")
+    return p.join(c, F.col(f"p.{key}") == F.col(f"c.{key}"), "full").select(F.coalesce(f"c.{key}", f"p.{key}").alias(key), outcome.alias("outcome"))
+
+
+def catalog_report(outcomes: DataFrame) -> DataFrame:
+    """How many of each outcome, in one row."""
+    return outcomes.agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("hit", "changed", "added", "deleted", "failed")])
 
 
-def incremental_catalog(previous: DataFrame, current: DataFrame, key: str, signature: list[str]) -> DataFrame:
-    """``current`` with hit: the same signature is in ``previous``. What was deleted is absent."""
-    before = previous.select(F.col(key).alias("_key"), F.struct(*signature).alias("_signature"))
-    return current.join(before, current[key] == F.col("_key"), "left").withColumn("hit", F.col("_signature").eqNullSafe(F.struct(*signature))).drop("_key", "_signature")
+def migrate_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sessions of both versions in the form of the second: save_receipts is empty where there was none; migrated tells the first."""
+    both = old.unionByName(new, allowMissingColumns=True)
+    return both.withColumns({"migrated": F.col("version") == 1, "save_receipts": F.coalesce("save_receipts", F.array().cast(new.schema["save_receipts"].dataType)), "version": F.lit(2)})
 
 
 def quarantine_split(df: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:

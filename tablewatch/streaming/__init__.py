@@ -5,44 +5,125 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-OUTCOME = "feed long, arrival long, seq long, outcome string, gap long"
+PACKET = "feed long, arrival long, session string, revision long, seq long, records array<struct<index:int,x:double,y:double>>"
+#: What is observed of a feed: catalogs (with entries), transforms, resets, unavailable and polling.
+EVENT = "feed long, arrival long, kind string, session string, revision long, seq long, entries int, indices array<int>"
+OUTCOME = "feed long, arrival long, outcome string, status string, gap boolean"
 
 
-def observation_state(batches: DataFrame) -> DataFrame:
-    """``batches(feed, arrival, seq)`` with outcome and gap, in order of arrival within each feed.
+def read_packets(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Packets (JSON, ``PACKET``) as they arrive below ``path``; so many files at once, whatever has piled up."""
+    return spark.readStream.schema(PACKET).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
-    A batch is accepted if its sequence is above all accepted before; else it is a duplicate of the last or regressing.
-    gap counts the sequences that an accepted batch leaves out. Only a rejected batch can be below the
-    highest, so the highest of all before is that of the accepted.
+
+def packet_records(packets: DataFrame) -> DataFrame:
+    """One row for each record of a packet, in batch or stream; a packet without records gives none."""
+    rest = [c for c in packets.columns if c != "records"]
+    return packets.select(*rest, F.explode("records").alias("_r")).select(*rest, "_r.*")
+
+
+def _index_problem() -> Column:
+    """What is wrong with a batch's indices, the first in order: beyond the catalog's entries, or twice in it."""
+    bad = F.filter("indices", lambda x, i: (x < 0) | (x >= F.col("_entries")) | F.array_contains(F.slice("indices", 1, i), x))
+    worst = F.get(bad, F.lit(0))
+    return F.when(F.size(bad) > 0, F.when((worst >= F.col("_entries")) | (worst < 0), "out_of_range_index").otherwise("duplicate_index"))
+
+
+def observation_state(events: DataFrame) -> DataFrame:
+    """``events`` (``EVENT``) with outcome, status after the event and gap, in order of arrival within each feed.
+
+    A catalog makes a feed live, with its session, revision, number of entries and sequence 0. A reset makes it stale where there
+    is a catalog, else unavailable; unavailable keeps the catalog for a later reset, polling drops it. A batch of transforms is
+    taken whole or not at all: no_catalog unless live or stale, wrong_session, wrong_revision, regressing_sequence,
+    duplicate_sequence (while live), out_of_range_index, duplicate_index, else accepted. gap: an accepted batch of a live
+    feed leaves sequences out. One that is empty only advances the sequence.
+
+    Batches that pass all but the sequence check are the only ones that can be accepted, and those among them that aren't are
+    below the highest so far: so the highest of all of them is the last accepted, which makes each step a window.
     """
-    w = Window.partitionBy("feed").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("seq").over(w)
-    rows = batches.select("feed", "arrival", "seq", last.alias("last"))
-    outcome = F.when(F.col("last").isNull() | (F.col("seq") > F.col("last")), "accepted").when(F.col("seq") == F.col("last"), "duplicate_sequence").otherwise("regressing_sequence")
-    gap = F.when(F.col("last").isNotNull() & (F.col("seq") > F.col("last")), F.col("seq") - F.col("last") - 1).otherwise(0)
-    return rows.select("feed", "arrival", "seq", outcome.alias("outcome"), gap.alias("gap"))
+    feed = Window.partitionBy("feed").orderBy("arrival")
+    upto, before = feed.rowsBetween(Window.unboundedPreceding, 0), feed.rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.col("kind")
+    rows = events.withColumn("_epoch", F.count_if(kind == "catalog").over(upto)).withColumn("_part", F.count_if(kind != "transforms").over(upto))
+    rows = rows.withColumn("_has", F.last(F.when(kind.isin("catalog", "polling"), kind == "catalog"), ignorenulls=True).over(upto))
+    rows = rows.withColumn("_mode", F.last(F.when(kind != "transforms", kind), ignorenulls=True).over(upto))
+    catalog = F.when(kind == "catalog", F.struct("session", "revision", "entries"))
+    rows = rows.withColumn("_catalog", F.last(catalog, ignorenulls=True).over(upto)).withColumn("_entries", F.col("_catalog.entries"))
+    has = F.coalesce(F.col("_has"), F.lit(False))
+    begun = F.when(F.col("_mode") == "catalog", "live").when(F.col("_mode") == "polling", "polling_fallback").when(has & (F.col("_mode") == "reset"), "stale").when(F.col("_mode").isNull(), "connecting").otherwise("unavailable")
+    rows = rows.withColumn("_begun", begun).withColumn("_problem", _index_problem())
+    open_ = F.col("_begun").isin("live", "stale") & (kind == "transforms")
+    valid = open_ & F.col("session").eqNullSafe(F.col("_catalog.session")) & F.col("revision").eqNullSafe(F.col("_catalog.revision")) & F.col("_problem").isNull()
+    rows = rows.withColumn("_seq", F.when(valid, F.col("seq")))
+    epoch = Window.partitionBy("feed", "_epoch").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    part = Window.partitionBy("feed", "_part").orderBy("arrival")
+    rows = rows.withColumn("_last", F.greatest(F.lit(0).cast("long"), F.coalesce(F.max("_seq").over(epoch), F.lit(0))))
+    # live again as soon as a batch since the reset has reached what was last before it
+    rows = rows.withColumn("_floor", F.first("_last").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = lambda w: F.coalesce(F.max("_seq").over(w) >= F.col("_floor"), F.lit(False))
+    rows = rows.withColumn("_live", (F.col("_begun") == "live") | reached(part.rowsBetween(Window.unboundedPreceding, -1)))
+    outcome = (
+        F.when(kind != "transforms", "accepted")
+        .when(~F.col("_begun").isin("live", "stale"), "no_catalog")
+        .when(~F.col("session").eqNullSafe(F.col("_catalog.session")), "wrong_session")
+        .when(~F.col("revision").eqNullSafe(F.col("_catalog.revision")), "wrong_revision")
+        .when(F.col("seq") < F.col("_last"), "regressing_sequence")
+        .when((F.col("seq") == F.col("_last")) & F.col("_live"), "duplicate_sequence")
+        .otherwise(F.coalesce("_problem", F.lit("accepted")))
+    )
+    rows = rows.withColumn("outcome", outcome)
+    taken = (kind == "transforms") & (F.col("outcome") == "accepted")
+    status = F.when((F.col("_begun") == "stale") & (F.col("_live") | taken), "live").otherwise(F.col("_begun"))
+    gap = taken & F.col("_live") & (F.col("seq") > F.col("_last") + 1)
+    return rows.select("feed", "arrival", "outcome", status.alias("status"), F.coalesce(gap, F.lit(False)).alias("gap"))
 
 
-def observe_stream(batches: DataFrame) -> DataFrame:
-    """The same over a stream: the last accepted sequence of each feed is its state."""
+def observe_stream(events: DataFrame) -> DataFrame:
+    """The same over a stream: status, catalog and last sequence of each feed are its state; the events of a trigger are taken by arrival."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("arrival")
+        status, session, revision, entries, last, has = state.get if state.exists else ("connecting", None, None, 0, 0, False)
+        rows = pd.concat(list(parts)).sort_values("arrival", kind="stable")
+        told = [rows[c].tolist() for c in ("arrival", "kind", "session", "revision", "seq", "entries", "indices")]
         out = []
-        for arrival, seq in zip(rows["arrival"].tolist(), rows["seq"].tolist(), strict=True):
-            if last is None or seq > last:
-                out.append((key[0], arrival, seq, "accepted", 0 if last is None else seq - last - 1))
-                last = seq
+        for arrival, kind, own, rev, seq, n, indices in zip(*told, strict=True):
+            outcome, gap = "accepted", False
+            if kind == "catalog":
+                status, session, revision, entries, last, has = "live", own, int(rev), int(n), 0, True  # pandas holds numbers next to nulls as floats
+            elif kind == "reset":
+                status = "stale" if has else "unavailable"
+            elif kind == "unavailable":
+                status = "unavailable"
+            elif kind == "polling":
+                status, has = "polling_fallback", False
+            elif status not in ("live", "stale"):
+                outcome = "no_catalog"
+            elif own != session:
+                outcome = "wrong_session"
+            elif rev != revision:
+                outcome = "wrong_revision"
+            elif seq < last:
+                outcome = "regressing_sequence"
+            elif seq == last and status == "live":
+                outcome = "duplicate_sequence"
             else:
-                out.append((key[0], arrival, seq, "duplicate_sequence" if seq == last else "regressing_sequence", 0))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["feed", "arrival", "seq", "outcome", "gap"])
-
-    return batches.groupBy("feed").applyInPandasWithState(step, OUTCOME, "last long", "append", GroupStateTimeout.NoTimeout)
+                seen: set[int] = set()
+                for i in [] if indices is None else indices:
+                    if not 0 <= i < entries or i in seen:
+                        outcome = "duplicate_index" if 0 <= i < entries else "out_of_range_index"
+                        break
+                    seen.add(i)
+                if outcome == "accepted":
+                    gap, status, last = status == "live" and seq > last + 1, "live", int(seq)
+            out.append((key[0], arrival, outcome, status, gap))
+        state.update((status, session, revision, entries, last, has))
+        yield pd.DataFrame(out, columns=["feed", "arrival", "outcome", "status", "gap"])
+
+    kinds = "status string, session string, revision long, entries int, last long, has boolean"
+    return events.groupBy("feed").applyInPandasWithState(step, OUTCOME, kinds, "append", GroupStateTimeout.NoTimeout)
 
 
 def packet_validation(packets: DataFrame, maximum_records: int = 16_384) -> DataFrame:
@@ -62,9 +143,16 @@ def latest_state(events: DataFrame, key: str, seq: str, *values: str) -> DataFra
     return events.groupBy(key).agg(F.max_by(F.struct(seq, *values), seq).alias("last")).select(key, "last.*")
 
 
-def coalesce_updates(events: DataFrame, delivery: str, key: str, seq: str, value: str) -> DataFrame:
-    """Within a delivery only the last value of each key, and how many it replaces."""
-    return events.groupBy(delivery, key).agg(F.max_by(value, seq).alias(value), (F.count("*") - 1).alias("replaced"))
+def coalesce_updates(events: DataFrame, feed: str, delivery: str, key: str, seq: str, value: str, catalog: Column | None = None) -> DataFrame:
+    """Of each delivery of a feed only the last value of each key, and how many it replaces.
+
+    Where ``catalog`` holds, a new catalog came: what was pending before it in its delivery is discarded, it is no update itself.
+    """
+    if catalog is not None:
+        told = events.withColumn("_catalog", F.coalesce(catalog, F.lit(False)))
+        latest = told.where("_catalog").groupBy(feed, delivery).agg(F.max(seq).alias("_latest"))
+        events = told.where("not _catalog").join(latest, [feed, delivery], "left").where(F.col("_latest").isNull() | (F.col(seq) > F.col("_latest"))).drop("_catalog", "_latest")
+    return events.groupBy(feed, delivery, key).agg(F.max_by(value, seq).alias(value), (F.count("*") - 1).alias("replaced"))
 
 
 def keep_latest(events: DataFrame, key: str, seq: str, n: int) -> DataFrame:
@@ -74,16 +162,43 @@ def keep_latest(events: DataFrame, key: str, seq: str, n: int) -> DataFrame:
     return events.select("*", F.row_number().over(w).alias("_n"), F.greatest(total - n, F.lit(0)).alias("dropped")).where(F.col("_n") <= n).drop("_n")
 
 
-def consecutive_rejects(events: DataFrame, key: str, seq: str, rejected: str) -> DataFrame:
-    """(key, longest): the longest run of rejects without an accept between."""
+def consecutive_rejects(events: DataFrame, key: str, seq: str, rejected: str, limit: int = 64) -> DataFrame:
+    """(key, longest, tripped_at): the longest run of rejects without an accept between, and where one first reached ``limit``."""
     w = Window.partitionBy(key).orderBy(seq)
     island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, rejected).orderBy(seq))
-    runs = events.select(key, rejected, island.alias("island")).groupBy(key, rejected, "island").agg(F.count("*").alias("n"))
-    return runs.groupBy(key).agg(F.coalesce(F.max(F.when(F.col(rejected), F.col("n"))), F.lit(0)).alias("longest"))
+    runs = events.select(key, seq, rejected, island.alias("island")).where(F.col(rejected))
+    run = runs.withColumn("n", F.row_number().over(Window.partitionBy(key, "island").orderBy(seq)))
+    found = run.groupBy(key).agg(F.max("n").alias("longest"), F.min(F.when(F.col("n") == limit, F.col(seq))).alias("tripped_at"))
+    return events.select(key).distinct().join(found, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"), "tripped_at")
 
 
-def stream_metrics(events: DataFrame, key: str, seq: str, counter: str) -> DataFrame:
-    """Packets, bytes (96 and 48 a record) and growth of a counter that may restart."""
-    before = F.max(counter).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    rows = events.select(key, F.greatest(F.lit(0), F.col(counter) - F.coalesce(before, F.lit(0))).alias("grown"))
-    return rows.groupBy(key).agg(F.count("*").alias("packets"), (F.count("*") * 144).alias("bytes"), F.sum("grown").alias("replacements"))
+def trip_stream(events: DataFrame, limit: int = 64) -> DataFrame:
+    """``events(feed, arrival, rejected)`` as a stream to (feed, arrival) of each reject that makes a run of ``limit``; an accept starts anew."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, out = state.get[0] if state.exists else 0, []
+        rows = pd.concat(list(parts)).sort_values("arrival", kind="stable")
+        for arrival, rejected in zip(rows["arrival"].tolist(), rows["rejected"].tolist(), strict=True):
+            n = n + 1 if rejected else 0
+            if n == limit:
+                out.append((key[0], arrival))
+        state.update((n,))
+        yield pd.DataFrame(out, columns=["feed", "arrival"])
+
+    return events.groupBy("feed").applyInPandasWithState(step, "feed long, arrival long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_metrics(packets: DataFrame, key: str, seq: str, records: str, value: str, counter: str) -> DataFrame:
+    """Of each feed: packets, bytes (96, and 48 a record), records sampled, packets whose ``value`` changed, growth of a
+    ``counter`` that may restart, and sequences left out."""
+    feed = Window.partitionBy(key).orderBy(seq)
+    before = F.max(counter).over(feed.rowsBetween(Window.unboundedPreceding, -1))
+    rows = packets.select(
+        key,
+        F.col(records).alias("_n"),
+        F.greatest(F.lit(0), F.col(counter) - F.coalesce(before, F.lit(0))).alias("_grown"),
+        (F.row_number().over(feed) == 1) | ~F.lag(value).over(feed).eqNullSafe(F.col(value)),
+        F.greatest(F.lit(0), F.coalesce(F.col(seq) - F.lag(seq).over(feed) - 1, F.lit(0))).alias("_gap"),
+    ).toDF(key, "_n", "_grown", "_changed", "_gap")
+    return rows.groupBy(key).agg(F.count("*").alias("packets"), F.sum(96 + 48 * F.col("_n")).alias("bytes"), F.sum("_n").alias("sampled"), F.count_if("_changed").alias("changed"), F.sum("_grown").alias("replacements"), F.sum("_gap").alias("gaps"))

@@ -8,8 +8,9 @@ def rows(df):
 
 
 def test_units_keep_unresolved_rows_apart(spark):
-    df = spark.createDataFrame([(1, "a", "x", "t"), (2, "a", "x", "u"), (3, None, "x", "t"), (4, None, "x", "t"), (5, "b", "x", None)], "id int, ns string, name string, text string")
-    assert rows(v.text_units(df, "ns", "name", "id", "text")) == [("a:x", 2, 2, "conflicting"), ("b:x", 1, 0, "consistent"), ("entry:3", 1, 1, "consistent"), ("entry:4", 1, 1, "consistent")]
+    df = spark.createDataFrame([(1, "a", "x y", "t"), (2, "a", "x y", "u"), (3, None, "x", "t"), (4, None, "x", "t"), (5, "b", "x", None)], "id int, ns string, name string, text string")
+    found = v.text_units(df, "ns", "name", "id", "text").select("unit_id", "occurrences", "entries", F.size("sources"), "state")
+    assert rows(found) == [("a:x%20y", 2, [1, 2], 2, "conflicting"), ("b:x", 1, [5], 0, "consistent"), ("entry:3", 1, [3], 1, "consistent"), ("entry:4", 1, [4], 1, "consistent")]
     assert rows(v.text_units(df.limit(0), "ns", "name", "id", "text")) == []
 
 
@@ -20,9 +21,9 @@ def test_remap_keeps_present_ids(spark):
 
 
 def test_accept_needs_the_same_tables(spark):
-    drafted = spark.createDataFrame([("s", "a", "1"), ("t", "a", "1"), ("u", "a", None)], "session string, path string, print string")
+    drafted = spark.createDataFrame([("s", "a", "1", "0", 3), ("t", "a", "1", "0", 1), ("u", "a", None, "0", 2)], "session string, path string, print string, base string, commands long")
     committed = spark.createDataFrame([("s", "a", "1"), ("t", "a", "1"), ("t", "b", "1"), ("u", "a", None)], "session string, path string, print string")
-    assert rows(v.apply_accept(drafted, committed, "session", "path", "print")) == [("s", "committed"), ("t", "rejected"), ("u", "rejected")]
+    assert rows(v.apply_accept(drafted, committed, "session", "path", "print")) == [("s", "a", "committed", "1", 3), ("t", "a", "snapshot_set_mismatch", "0", 0), ("u", "a", "fingerprint_mismatch", "0", 0)]
 
 
 def test_mapping_falls_back_where_the_container_is_empty(spark):
