@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, is a temporary folder made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+    machine, as in tests, is a temporary folder made and set; a cluster without it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tablewatch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,14 +34,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts(df: DataFrame) -> DataFrame:
-    """``df``, whose rows may be long texts, to be sent to Python in batches of at most 1,000 rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) > 1000:
-        df.sparkSession.conf.set(name, "1000")
-    return df
-
-
 def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 

@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import text as tx
-from .session import buckets_for, fresh_dir, texts, written
+from .session import buckets_for, fresh_dir, written
 
 MAGIC = b"TWIDS001"
 _FOOTER = struct.Struct("<qqq8s")
 #: A shard is closed once its frames reach this size.
 SHARD_BYTES = 32 << 20
 DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 64 << 10, 1000, 4096
-_CACHE = 3_000_000
+_CACHE = 500_000
 
 # -- encoding ---------------------------------------------------------------------------------------
 
@@ -358,7 +358,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
             paths, docs, tokens = zip(*files, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([part] * len(files), pa.int32()), pa.array(range(len(files)), pa.int32()), pa.array(docs, pa.int64()), pa.array(tokens, pa.int64())], ["path", "part", "file", "documents", "tokens"])
 
-    rows = texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange(buckets_for(rows), "doc_id").sortWithinPartitions("doc_id")
     manifest = written(ordered.mapInArrow(write, "path string, part int, file int, documents long, tokens long"), "manifest")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
