@@ -23,28 +23,50 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is not clear, go."""
+    """Documents without a letter (null and empty texts too), or whose language is not clear, go; repeated rows are judged alike.
+
+    If no row tells a language, all stay. An empty table stays empty; further columns are kept, whatever their names.
+    """
     return keep_identified(docs, train(docs, public_tokenizers.path(PIECES)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (similarity 0.8) that with the smallest doc_id stays."""
-    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """Of documents linked by five-word shingles (similarity 0.8) that with the smallest doc_id stays; rows of one doc_id stay or go together.
+
+    Null and empty texts, and rows without a doc_id, are linked with nothing and stay. An empty table stays empty; further
+    columns are kept, whatever their names.
+    """
+    name = "gone"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in 50-byte strings that a document with a smaller doc_id has are cut."""
+    """Bytes in 50-byte strings that a document with a smaller doc_id has are cut; documents of which nothing is left go.
+
+    Null and empty texts stay, rows without a doc_id lose nothing, rows of one doc_id take nothing from each other. An empty
+    table stays empty; further columns are kept, whatever their names.
+    """
     return _measured(remove_repeats(docs, length=50))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark windows are cut; documents half of which is such spans go."""
+    """Spans of benchmark windows are cut; documents half of which is such spans go.
+
+    Rows are judged one by one, so repeated doc_ids and rows without one are too; null and empty texts stay. An empty table
+    stays empty; further columns are kept, whatever their names.
+    """
     return _measured(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 2048 tokens."""
+    """Pieces of all documents, packed into sequences of 2048 tokens.
+
+    Null and empty texts are the end id alone, repeated rows and rows without a doc_id are packed like others; pieces of one length
+    may swap their places. An empty table gives no rows; further columns are not read.
+    """
     return pack_documents(docs, public_tokenizers.path(WORD_BPE), end_id=0, capacity=2048)
 
 
