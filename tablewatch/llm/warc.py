@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import html
 import io
@@ -23,11 +22,11 @@ VERSION = b"WARC/1.1\r\n"
 #: A file is closed once it reaches this size.
 FILE_BYTES = 64 << 20
 #: Elements that stand on lines of their own.
-_BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer title head body blockquote pre".split())
-#: A comment, an element whose content is no text, a tag, or another declaration; what isn't closed reaches to the end, so that no
-#: character is read twice.
+_BLOCKS = frozenset(x + y for x in ("", "/") for y in "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer title head body blockquote pre".split())
+#: Text, and what ends it: a comment or an element whose content is no text, a tag, another declaration, or a sign that begins
+#: none of them. What isn't closed reaches to the end, so that no character is read twice.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template)(?![a-z0-9-])[^>]*(?:>|\Z)|<(/?[a-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!/?][^>]*(?:>|\Z)",
+    r"([^<]*)(?:<(?:(!--.*?(?:-->|\Z)|(script|style|noscript|template)(?![a-z0-9-])[^>]*(?:>.*?(?:</\3\s*+(?:>|\Z)|\Z)|\Z))|(/?[a-z][^\s/>]*)([^>]*)(?:>|\Z)|[!/?][^>]*(?:>|\Z))|(<)|\Z)",
     re.S | re.I,
 )
 _BREAKS = re.compile(r"[\r\n]+")
@@ -35,13 +34,21 @@ _HREF = re.compile(r"""(?<![\w-])href\s*+=\s*+["']?([^"'\s>]+)""", re.I)
 _CHARSET = re.compile(r"""charset\s*+=\s*+["']?([\w.:-]+)""", re.I)
 
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS = [a + b for a in _ALPHABET for b in _ALPHABET]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[n >> at & 1023] for at in range(150, -1, -10)])  # 32 digits of 5 bits, two at a time
 
 
 def record_id(*parts: object) -> str:
-    """The same id for the same parts, so that a job that runs again links the same records."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts))}>"
+    """The same id for the same parts, so that a job that runs again links the same records: a UUID of version 5."""
+    h = bytearray(hashlib.sha1(uuid.NAMESPACE_URL.bytes + json.dumps(parts).encode()).digest()[:16])
+    h[6], h[8] = h[6] & 0x0F | 0x50, h[8] & 0x3F | 0x80
+    x = h.hex()
+    return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
 def record(kind: str, name: str, block: bytes, content_type: str, headers: list[tuple[str, str | None]]) -> bytes:
@@ -71,42 +78,28 @@ def read_page(page: str) -> tuple[str, str | None, list[str]]:
     Text is without scripts, styles and comments, has a line for each block and its entities resolved. A tag, comment or
     script that isn't closed reaches to the end.
     """
-    text, links, title, title_at, at = [], [], None, -1, 0
-    while found := _MARKUP.search(page, at):
-        begin, end = found.span()
-        if begin > at:
-            text.append(page[at:begin])
-        name = found[1]
-        if name is not None:
+    text, links, title, title_at = [], [], None, -1
+    for said, dropped, _, name, inside, sign in _MARKUP.findall(page):
+        text.append(said)
+        if name:
             name = name.lower()
             if name == "a":
-                if link := _HREF.search(found[2]):
+                if link := _HREF.search(inside):
                     links.append(html.unescape(link[1]))
-            elif name.lstrip("/") in _BLOCKS:
+            elif name in _BLOCKS:
                 text.append("\n")
                 if name == "title" and title_at < 0:
-                    title_at = end
+                    title_at = len(text)
                 elif name == "/title" and title_at >= 0 and title is None:
-                    title = html.unescape(page[title_at:begin]).strip()
-        elif page[begin + 1] not in "!/?":
+                    title = html.unescape("".join(text[title_at:])).strip()
+        elif dropped:
             text.append(" ")
-            end = _closing(page, end, page[begin + 1 : begin + 9].lower())
-        elif page.startswith("<!--", begin):
-            text.append(" ")
-        at = end
-    text.append(page[at:])
+        elif sign:
+            text.append(sign)
     lines = map(" ".join, map(str.split, html.unescape("".join(text)).split("\n")))
     return "\n".join(filter(None, lines)), title, links
 
 
-_CLOSING = {x: re.compile(rf"</{x}\s*+(?:>|\Z)|\Z", re.I) for x in ("script", "style", "noscript", "template")}
-
-
-def _closing(page: str, at: int, begun: str) -> int:
-    """Where the element that ``begun`` names, whose content begins at ``at``, has ended."""
-    return _CLOSING[next(x for x in _CLOSING if begun.startswith(x))].search(page, at).end()
-
-
 def response(page_id: int | None, url: str | None, page: str | None, date: str) -> bytes:
     payload = (page or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
@@ -147,7 +140,7 @@ def derive(data: bytes) -> list[bytes]:
 
 
 def _gzip(data: bytes) -> bytes:
-    press = zlib.compressobj(1, zlib.DEFLATED, 31)
+    press = zlib.compressobj(1, zlib.DEFLATED, 16 + 13, 7)  # a small window: most records are short, and one is set up for each
     return press.compress(data) + press.flush()
 
 
