@@ -325,7 +325,7 @@ def test_pages_are_read_as_plainly_said():
         "x<!-- <p>no</p> -->y<style>p{}</style>z": ("x y z", None, []),
         "a < b &lt; c": ("a < b < c", None, []),
         "<a class=x href = \"/1?a&amp;b\">t</a><a data-href='/no'>u</a><A HREF=/2>v": ("tuv", None, ["/1?a&b", "/2"]),
-        "<title> A<b>B </title>c<title>D</title>": ("AB\nc\nD", "A<b>B", []),
+        "<title> A<b>B </title>c<title>D</title>": ("AB\nc\nD", "AB", []),
         "<scripty>kept</scripty><script>var a='</p>'</SCRIPT >z": ("kept z", None, []),
         "open <script>never closed": ("open", None, []),
         "": ("", None, []),
