@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -80,6 +81,17 @@ def observation_state(events: DataFrame) -> DataFrame:
     return rows.select("feed", "arrival", "outcome", status.alias("status"), F.coalesce(gap, F.lit(False)).alias("gap"))
 
 
+def _index_outcome(indices: np.ndarray, entries: int) -> str:
+    """What the first bad index of a batch is, or accepted."""
+    _, first = np.unique(indices, return_index=True)
+    outside = np.flatnonzero((indices < 0) | (indices >= entries))
+    again = np.setdiff1d(np.arange(len(indices)), first)
+    bad = min(outside[0] if len(outside) else len(indices), again[0] if len(again) else len(indices))
+    if bad == len(indices):
+        return "accepted"
+    return "out_of_range_index" if bad in outside else "duplicate_index"
+
+
 def observe_stream(events: DataFrame) -> DataFrame:
     """The same over a stream: status, catalog and last sequence of each feed are its state; the events of a trigger are taken by arrival."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -110,12 +122,7 @@ def observe_stream(events: DataFrame) -> DataFrame:
             elif seq == last and status == "live":
                 outcome = "duplicate_sequence"
             else:
-                seen: set[int] = set()
-                for i in [] if indices is None else indices:
-                    if not 0 <= i < entries or i in seen:
-                        outcome = "duplicate_index" if 0 <= i < entries else "out_of_range_index"
-                        break
-                    seen.add(i)
+                outcome = _index_outcome(np.asarray([] if indices is None else indices), entries)
                 if outcome == "accepted":
                     gap, status, last = status == "live" and seq > last + 1, "live", int(seq)
             out.append((key[0], arrival, outcome, status, gap))
