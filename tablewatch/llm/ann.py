@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .session import written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Candidate blocks whose heaps meet first; what is left of them meets then.
+MERGED = 64
 
 
 def _usable(vector: str) -> Column:
@@ -96,25 +98,36 @@ def nearest(vectors: DataFrame, k: int = 20, query: Column | None = None, query_
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                row = {c: batch.column(c)[i].as_py() for c in ("dim", "query_block", "q_ids", "q_data", "ids", "data")}
+                row = {c: batch.column(c)[i].as_py() for c in ("dim", "query_block", "part", "q_ids", "q_data", "ids", "data")}
                 sides = [(np.frombuffer(row[a], np.int64), np.frombuffer(row[b], np.float64).reshape(-1, row["dim"])) for a, b in (("q_ids", "q_data"), ("ids", "data"))]
-                found = list(tile(*sides, k))
-                flat = [(q, v, s) for q, best in found for s, v in best]
-                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]], pa.int32()), pa.array([row["query_block"]], pa.int64()), pa.array([np.array([f[0] for f in flat], np.int64).tobytes()], pa.binary()), pa.array([np.array([f[1] for f in flat], np.int64).tobytes()], pa.binary()), pa.array([np.array([f[2] for f in flat], np.float64).tobytes()], pa.binary())], ["dim", "query_block", "q", "v", "s"])
+                flat = [(q, v, s) for q, best in tile(*sides, k) for s, v in best]
+                columns = [np.array(c, t).tobytes() for c, t in zip(zip(*flat, strict=True) if flat else ((), (), ()), (np.int64, np.int64, np.float64), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]], pa.int32()), pa.array([row["query_block"]], pa.int64()), pa.array([row["part"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["dim", "query_block", "part", "q", "v", "s"])
 
-    found = pairs.select("dim", "query_block", "q_ids", "q_data", "ids", "data").mapInArrow(search, "dim int, query_block long, q binary, v binary, s binary")
+    kinds = "dim int, query_block long, part long, q binary, v binary, s binary"
+    found = pairs.withColumn("part", F.floor(F.col("block") / MERGED)).select("dim", "query_block", "part", "q_ids", "q_data", "ids", "data").mapInArrow(search, kinds)
 
-    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_of(parts: Iterator[pd.DataFrame]) -> dict[int, list[tuple[float, int]]]:
+        """Heaps of (score, minus vec_id) for each query, the worst on top."""
         best: dict[int, list[tuple[float, int]]] = {}
         for part in parts:
             for q, v, s in zip(part["q"], part["v"], part["s"], strict=True):
                 for i, x in zip(np.frombuffer(q, np.int64).tolist(), zip(np.frombuffer(s).tolist(), np.frombuffer(v, np.int64).tolist(), strict=True), strict=True):
-                    heap, item = best.setdefault(i, []), (-x[0], -x[1])  # the worst on top
+                    heap, item = best.setdefault(i, []), (-x[0], -x[1])
                     if len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
                         heapq.heapreplace(heap, item)
-        out = [(i, rank, -v, s) for i, heap in best.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+        return best
+
+    def gather(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat = [(i, -v, -s) for i, heap in best_of(parts).items() for s, v in heap]
+        q, v, s = (np.array(c, t).tobytes() for c, t in zip(zip(*flat, strict=True) if flat else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
+        yield pd.DataFrame([(*key, q, v, s)], columns=["dim", "query_block", "part", "q", "v", "s"])
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = [(i, rank, -v, s) for i, heap in best_of(parts).items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
         yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
+    found = found.groupBy("dim", "query_block", "part").applyInPandas(gather, kinds)
     return found.groupBy("dim", "query_block").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
