@@ -103,7 +103,7 @@ class Pieces:
         lens = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(lens[lens <= SHORT_WORD]).tolist():
             at = np.flatnonzero(lens == size)
-            for part in np.array_split(at, -(-len(at) // 20_000)):
+            for part in np.array_split(at, -(-len(at) // 4_000)):
                 yield part, np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8).reshape(len(part), size)
 
     def scores(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
