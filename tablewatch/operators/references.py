@@ -80,12 +80,12 @@ def referenced_tables(edges: DataFrame) -> DataFrame:
 
 
 def combined_matrix(source: DataFrame, target: DataFrame, source_key: str, target_key: str, visible: dict[str, list[str]] | None = None) -> DataFrame:
-    """Source and target columns side by side, each named ``source.x`` or ``target.x``; ``visible`` names those to show."""
+    """Source and target columns side by side, each named ``source_x`` or ``target_x``; ``visible`` names those to show."""
     sides = {"source": source, "target": target}
-    named = {k: df.select([F.col(c).alias(f"{k}.{c}") for c in df.columns]) for k, df in sides.items()}
-    both = named["source"].join(named["target"], F.col(f"`source.{source_key}`") == F.col(f"`target.{target_key}`"), "left")
+    named = {k: df.select([F.col(c).alias(f"{k}_{c}") for c in df.columns]) for k, df in sides.items()}
+    both = named["source"].join(named["target"], F.col(f"source_{source_key}") == F.col(f"target_{target_key}"), "left")
     shown = visible or {k: df.columns for k, df in sides.items()}
-    return both.select([F.col(f"`{k}.{c}`") for k in sides for c in shown.get(k, [])])
+    return both.select([f"{k}_{c}" for k in sides for c in shown.get(k, [])])
 
 
 def lookup_or_fail(left: DataFrame, right: DataFrame, key: str, code: str) -> DataFrame:

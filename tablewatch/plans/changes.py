@@ -322,7 +322,7 @@ QUERIES = {
     "joined_view": (_views, _VIEWS),
     "joined_view_summary": (lambda s, d: view(s, d).agg(F.count("*").alias("row_count"), F.count_if(F.col("reason").isNull()).alias("resolved_count"), F.count("reason").alias("unresolved_count")), f"SELECT count(*) AS row_count, count(*) FILTER (reason IS NULL) AS resolved_count, count(reason) AS unresolved_count FROM ({_VIEW})"),
     "referenced_tables": (lambda s, d: r.referenced_tables(edges(s, d)), f"SELECT DISTINCT target_table FROM ({_EDGES}) WHERE target_table IS NOT NULL"),
-    "combined_matrix": (lambda s, d: r.combined_matrix(table(s, d, "orders"), table(s, d, "customer"), "o_custkey", "c_custkey", {"source": ["o_orderkey", "o_orderstatus"], "target": ["c_name"]}), 'SELECT o_orderkey AS "source.o_orderkey", o_orderstatus AS "source.o_orderstatus", c_name AS "target.c_name" FROM orders LEFT JOIN customer ON c_custkey = o_custkey'),
+    "combined_matrix": (lambda s, d: r.combined_matrix(table(s, d, "orders"), table(s, d, "customer"), "o_custkey", "c_custkey", {"source": ["o_orderkey", "o_orderstatus"], "target": ["c_name"]}), 'SELECT o_orderkey AS source_o_orderkey, o_orderstatus AS source_o_orderstatus, c_name AS target_c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey'),
     "lookup_or_fail": (lambda s, d: r.lookup_or_fail(table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), table(s, d, "customer").where("c_custkey % 4 <> 0").select("c_custkey", "c_name"), "c_custkey", "profile_missing").select("o_orderkey", "c_name", "error_code"), "SELECT o_orderkey, c_name, CASE WHEN c_name IS NULL THEN 'profile_missing' END AS error_code FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON o_custkey = c_custkey"),
     "composite_override": (_composite, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'override' ELSE p_brand END AS p_brand FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 3 = 0"),
     "session_drift": (_drift, "SELECT c_custkey, reasons, reasons = '' AS resumable FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'actor_missing' ELSE concat_ws(',', CASE WHEN c_custkey % 5 = 0 AND c_mktsegment <> 'MOVED' THEN 'map_changed' END, CASE WHEN c_custkey % 3 > 1.5 THEN 'bounds_changed' END, CASE WHEN c_nationkey = 7 THEN 'review_set_changed' END) END AS reasons FROM customer)"),
