@@ -247,7 +247,9 @@ def test_packing_against_the_library(spark, docs):
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
-def test_search_against_brute_force(spark):
+@pytest.mark.parametrize("merged", [64, 2])
+def test_search_against_brute_force(spark, monkeypatch, merged):
+    monkeypatch.setattr(ann, "MERGED", merged)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[10] = x[11] = x[12]
