@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import text as tx
 from .components import components
@@ -37,8 +37,8 @@ from .session import written
 COUNTED = 5
 #: What a task compares at once: so many documents on a side, and so many shingles of them.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-#: Rows of the matrix of intersections that are held at a time, and tokens of a product.
-_ROWS, _TOKENS = 512, 4096
+#: Rows of the matrix of intersections that are held at a time, tokens of a product, and pairs from lists of rare tokens.
+_ROWS, _TOKENS, _PAIRS = 512, 1024, 1 << 19
 
 _ROW = ["leader", "i", "j", "head", "side", "cid", "node", "key"]
 
@@ -73,15 +73,12 @@ def token_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _prefixes(classes: DataFrame) -> DataFrame:
     """(cid, weight, token): the prefix of each class, without tokens that are known to be its own alone."""
-    posted = classes.select("cid", F.explode("counted").alias("token"))
+    posted = classes.select("cid", (F.size("counted") - F.col("need")).alias("spare"), F.explode("counted").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")  # both sides grow with the corpus, so they are merged
-    own = posted.hint("merge").join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("own"))
-    sizes = classes.select("cid", "need", F.size("counted").alias("n"), "more")
-    rows = sizes.hint("merge").join(own, "cid", "left").withColumn("own", F.coalesce("own", F.expr("cast(array() as array<struct<freq: bigint, token: bigint>>)")))
-    places = F.greatest(F.lit(0), F.col("need") - (F.col("n") - F.size("own")))  # unique tokens come first
-    weight = F.aggregate("own", F.lit(0).cast("long"), lambda sum_, p: sum_ + p["freq"])
-    tokens = F.concat(F.transform(F.slice("own", F.lit(1), places), lambda p: p["token"]), "more")
-    return rows.select("cid", weight.alias("weight"), F.explode(tokens).alias("token"))
+    own = Window.partitionBy("cid")
+    met = posted.hint("merge").join(shared, "token").withColumns({"n": F.count("*").over(own), "weight": F.sum("freq").over(own), "place": F.row_number().over(own.orderBy("freq", "token"))})
+    # tokens of its own come first in the order, so they take places too
+    return met.where("place <= n - spare").select("cid", "weight", "token").unionByName(classes.select("cid", F.lit(0).cast("long").alias("weight"), F.explode("more").alias("token")))
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -149,8 +146,8 @@ def intersections(x: Sets, y: Sets, codes: int) -> np.ndarray:
         n = fy[code]
         total = np.cumsum(n)
         a = 0
-        while a < len(code):  # a few million pairs at a time
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 22), "right")))
+        while a < len(code):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _PAIRS, "right")))
             m = n[a:b]
             at = np.repeat(first[code[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
             out += np.bincount(np.repeat(row[a:b], m) * len(y.size) + rows[at], minlength=out.size).reshape(out.shape)
