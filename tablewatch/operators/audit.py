@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.staging import staged
+from .scans import met, scan
 from .values import format_value
 
 
@@ -125,33 +127,18 @@ def guard_limit(df: DataFrame, maximum: int) -> DataFrame:
     return df
 
 
-def latency_distribution(df: DataFrame, key: str, value: str, buckets: int = 1000) -> DataFrame:
+def latency_distribution(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count, mean, least, greatest and nearest-rank percentiles of each key; nulls aside.
 
-    Values are counted in ``buckets`` equal parts of each key's span first; only the bucket that a percentile falls into
-    is ordered, by its distinct values with their counts, so a key with most of the rows is not sorted by one task.
+    Equal values of a key are counted first. Its distinct values are then range-partitioned by key and value, at edges that follow the
+    values' distribution, so a key with most of the rows takes many tasks however its values are spread; running counts over them tell the ranks.
     """
-    rows = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("x")).agg(F.count("*").alias("c"))
-    whole = rows.groupBy("k").agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"))
-    place = F.when(F.col("most") > F.col("least"), F.floor((F.col("x") - F.col("least")) / (F.col("most") - F.col("least")) * buckets)).otherwise(0)
-    dealt = rows.join(whole, "k").withColumn("bucket", place)
-    counts = dealt.groupBy("k", "n", "bucket").agg(F.sum("c").alias("c"))
-    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.array(*[F.struct(F.lit(p).alias("p"), F.ceil(F.col("n") * q).alias("rank")) for p, q in (("p50", 0.5), ("p95", 0.95))])
-    ranks = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).select("k", "bucket", "before", "c", F.inline(asked))
-    ranks = ranks.where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c"))).drop("c")
-    upto = Window.partitionBy("k", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    near = dealt.select("k", "bucket", "x", "c").join(ranks, ["k", "bucket"]).withColumn("upto", F.col("before") + F.sum("c").over(upto))
-    found = near.where(F.col("upto") >= F.col("rank")).groupBy("k").agg(*[F.min(F.when(F.col("p") == p, F.col("x"))).alias(p) for p in ("p50", "p95")])
-    return whole.join(found, "k").withColumnRenamed("k", key)
-
-
-def histogram(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
-    """Counts below or at each of the fixed bounds, and above the last."""
-    bound = F.lit(None).cast("double")
-    for b in reversed(bounds):
-        bound = F.when(value <= b, F.lit(float(b))).otherwise(bound)
-    return df.where(value.isNotNull()).groupBy(bound.alias("upper_bound")).agg(F.count("*").alias("n"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(F.struct(F.col(key).alias("v")).alias("k"), F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    rows = scan(rows, ["k"], ["x"], sums={"upto": F.col("c")})
+    whole = staged(rows.groupBy("k").agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.min("x").alias("least"), F.max("x").alias("most")), "keys")
+    at = lambda q, name: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * q), F.col("x"))).alias(name)
+    found = met(rows, whole.select("k", "n"), ["k"], "x").groupBy("k").agg(at(0.5, "p50"), at(0.95, "p95"))
+    return whole.join(found, "k").select(F.col("k.v").alias(key), *[c for c in whole.columns if c != "k"], "p50", "p95")
 
 
 def metrics(df: DataFrame, key: str, value: Column, bounds: list[float], covered: Column) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..sources.staging import staged
+from .scans import dense_index, scan
 from .values import text_fits
 
 
@@ -24,20 +27,30 @@ def canonical(value: Column, kind: T.DataType, unordered: bool = False) -> Colum
     return value.cast("string")
 
 
-def table_fingerprint(rows: DataFrame, table: str, order: str, columns: list[str], sets: list[str] | None = None, header: DataFrame | None = None) -> DataFrame:
+#: Children of a node in a table's tree of hashes.
+CHILDREN = 10_000
+
+
+def table_fingerprint(rows: DataFrame, table: str, order: str, columns: list[str], sets: list[str] | None = None, header: DataFrame | None = None, children: int = CHILDREN) -> DataFrame:
     """(table, fingerprint): the hash of what ``header`` (table, ...) says of it and of its rows' hashes in row order.
 
-    What isn't in ``columns`` doesn't count, nor does the order within ``sets`` and maps. Rows are hashed one by one, then in
-    ranges of 10,000 of ``order``, then in ranges of 10,000 of these, so that no string grows with the table.
+    What isn't in ``columns`` doesn't count, nor does the order within ``sets`` and maps. Rows are hashed one by one, and are then the leaves of
+    a tree: a node hashes the hashes of ``children`` in a row, by their places and not by values of ``order``; levels follow until a table
+    has one node. So no string grows with the table, and the hash tells nothing of how rows were partitioned. Rows that
+    tie in ``order`` are taken by their hashes.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     each = [F.coalesce(F.concat(F.lit("="), canonical(F.col(c), kinds[c], c in (sets or []))), F.lit("null")) for c in columns]
-    level = rows.select(table, F.col(order).alias("_at"), F.sha2(F.concat_ws("|", *each), 256).alias("h"))
-    for _ in range(2):
+    leaves = rows.select(table, F.col(order).alias("_order"), F.sha2(F.concat_ws("|", *each), 256).alias("h"))
+    level = dense_index(leaves, [table], ["_order", "h"], "_at").select(table, "_at", "h")
+    most = None
+    while most is None or most > 1:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "h"))), lambda x: x["h"]), "")
-        level = level.groupBy(table, F.floor(F.col("_at") / 10_000).alias("_up")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("_up", "_at")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "h"))), lambda x: x["h"]), "")
-    found = level.groupBy(table).agg(F.sha2(joined, 256).alias("fingerprint"))
+        alone = (F.count("*") == 1) & (F.max("_at") == 0) & F.lit(most is not None)  # a table that has its one node already
+        level = level.groupBy(table, F.floor(F.col("_at") / children).alias("_up")).agg(F.when(alone, F.min("h")).otherwise(F.sha2(joined, 256)).alias("h")).withColumnRenamed("_up", "_at")
+        level = staged(level, "nodes")
+        most = (level.agg(F.max("_at")).first()[0] or 0) + 1
+    found = level.select(table, F.col("h").alias("fingerprint"))
     if header is None:
         return found
     said = [f for f in header.schema.fields if f.name != table]
@@ -106,100 +119,16 @@ def fold_set_cell(base: DataFrame, commands: DataFrame) -> DataFrame:
     return rows.select(*keys, value.alias("value"), F.coalesce("_fits", F.lit(True)).alias("valid"))
 
 
-class Order:
-    """Row ids in order, in blocks, so that finding, adding and removing a row by place don't go through all of them."""
-
-    SIZE = 512
-
-    def __init__(self, ids: list[str]):
-        self.blocks = [ids[i : i + self.SIZE] for i in range(0, len(ids), self.SIZE)] or [[]]
-
-    def ids(self) -> list[str]:
-        return [x for b in self.blocks for x in b]
-
-    def at(self, place: int) -> tuple[list[str], int]:
-        for block in self.blocks:
-            if place < len(block) or (block is self.blocks[-1] and place == len(block)):
-                return block, place
-            place -= len(block)
-        raise IndexError(place)
-
-    def holds(self, place: int, row: str) -> bool:
-        block, i = self.at(place)
-        return i < len(block) and block[i] == row
-
-    def add(self, place: int, row: str) -> None:
-        block, i = self.at(place)
-        block.insert(i, row)
-        if len(block) > 2 * self.SIZE:
-            b = next(i for i, x in enumerate(self.blocks) if x is block)
-            self.blocks[b : b + 1] = [block[: self.SIZE], block[self.SIZE :]]
-
-    def remove(self, place: int) -> None:
-        block, i = self.at(place)
-        del block[i]
-
-
-def fold_rows(rows: DataFrame, commands: DataFrame) -> DataFrame:
-    """Tables after their row commands: (table_path, row_index, row_id, row_name, error).
-
-    ``rows(table_path, row_index, row_id, row_name)``; ``commands(table_path, seq, kind, row_id, row_name, old_name, at_index,
-    old_order, new_order)``: add (place within bounds, new id and name), remove (place must match), rename (old name must match,
-    new one unused), reorder (old order must match, new one hold the same ids). The first command that doesn't fit ends the
-    fold with its error; the rows are then those of the base. Each command depends on the places that all before it left, so the
-    commands of one table are folded by one task; tables without commands aren't sent to one.
-    """
-
-    def fold(base: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        base = base.sort_values("row_index")
-        start = list(zip(base["row_id"], base["row_name"], strict=True))
-        names, order, n, error = dict(start), Order([r for r, _ in start]), len(start), None
-        taken = set(names.values())
-        for c in log.sort_values("seq").itertuples():
-            if c.kind == "add":
-                fits = 0 <= c.at_index <= n and c.row_id not in names and c.row_name not in taken
-                if fits:
-                    order.add(int(c.at_index), c.row_id)
-                    names[c.row_id], n = c.row_name, n + 1
-                    taken.add(c.row_name)
-            elif c.kind == "remove":
-                fits = c.row_id in names and 0 <= c.at_index < n and order.holds(int(c.at_index), c.row_id)
-                if fits:
-                    order.remove(int(c.at_index))
-                    taken.discard(names.pop(c.row_id))
-                    n -= 1
-            elif c.kind == "rename":
-                fits = names.get(c.row_id) == c.old_name and c.row_id in names and c.row_name not in taken
-                if fits:
-                    taken.discard(c.old_name)
-                    taken.add(c.row_name)
-                    names[c.row_id] = c.row_name
-            elif c.kind == "reorder":
-                now = order.ids()
-                fits = c.old_order is not None and c.new_order is not None and now == list(c.old_order) and sorted(now) == sorted(c.new_order)
-                if fits:
-                    order = Order(list(c.new_order))
-            else:
-                fits = False
-            if not fits:
-                error = f"{c.kind}_rejected:{c.seq}"
-                break
-        table = (base if len(base) else log)["table_path"].iloc[0]
-        held = start if error else [(r, names[r]) for r in order.ids()]
-        return pd.DataFrame([(table, i, *r, error) for i, r in enumerate(held)], columns=["table_path", "row_index", "row_id", "row_name", "error"])
-
-    edited = commands.select("table_path").distinct()
-    columns = ["table_path", "row_index", "row_id", "row_name"]
-    mine = rows.select([F.col(c).alias(c) for c in columns]).join(edited, "table_path", "left_semi")  # new columns, should both come from one table
-    folded = mine.groupBy("table_path").cogroup(commands.groupBy("table_path")).applyInPandas(fold, "table_path string, row_index long, row_id string, row_name string, error string")
-    rest = rows.select(columns).join(edited, "table_path", "left_anti").withColumn("error", F.lit(None).cast("string"))
-    return folded.unionByName(rest)
-
-
 def duplicate_names(rows: DataFrame, table: str, name: str, order: str) -> DataFrame:
     """Rows whose name, case aside, came before in the table, each with the first such name."""
-    w = Window.partitionBy(table, F.lower(name)).orderBy(order)
-    return rows.select("*", F.row_number().over(w).alias("_n"), F.first(name).over(w).alias("first_name")).where("_n > 1").drop("_n")
+    told = scan(rows.withColumn("_name", F.lower(name)), [table, "_name"], [order], sums={"_n": F.lit(1)}, firsts={"first_name": F.col(name)})
+    return told.where("_n > 1").drop("_n", "_name")
+
+
+def exact_changes(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Rows whose ``value`` is another than that of the row before in their key, nulls being values; the first always is."""
+    told = scan(rows, [key], [order], sums={"_n": F.lit(1)}, lags={"_was": F.col(value)})
+    return told.where((F.col("_n") == 1) | ~F.col("_was").eqNullSafe(F.col(value))).drop("_n", "_was")
 
 
 def row_name_problem(name: Column) -> Column:
@@ -299,15 +228,51 @@ def append_group(log: DataFrame, pointers: DataFrame, added: DataFrame, session:
     return kept.unionByName(new)
 
 
+#: What becomes of an operation without an id, one that runs, one whose result is told again, and one whose id was used for something else.
+INVALID, FIRST, REPLAYED, COLLISION = "invalid_request", "first", "replayed", "operation_id_collision"
+
+
+class Results:
+    """The last ``keep`` results of a server, by operation id, the oldest first."""
+
+    def __init__(self, keep: int, held: list[tuple[str, str]] = ()):
+        self.keep, self.held = keep, dict(held)
+
+    def outcome(self, key: str | None, digest: str | None) -> str:
+        if not key:
+            return INVALID
+        if key in self.held:
+            return REPLAYED if self.held[key] == digest else COLLISION
+        self.held[key] = digest
+        if len(self.held) > self.keep:
+            del self.held[next(iter(self.held))]
+        return FIRST
+
+
 def idempotent(operations: DataFrame, key: str, seq: str, digest: str, server: str, keep: int = 128) -> DataFrame:
-    """Each operation with its outcome: first, replayed (same id and digest) or operation_id_collision; and whether a first one's
-    result is still kept: each ``server`` keeps its last ``keep``."""
-    w = Window.partitionBy(server, key).orderBy(seq)
-    first = F.first(digest).over(w)
-    told = operations.withColumn("outcome", F.when(F.row_number().over(w) == 1, "first").when(first.eqNullSafe(F.col(digest)), "replayed").otherwise("operation_id_collision"))
-    later = Window.partitionBy(server).orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, 0)
-    is_first = F.col("outcome") == "first"
-    return told.withColumn("retained", is_first & (F.count_if(is_first).over(later) <= keep))
+    """Each operation with its outcome, in order of ``seq`` at its ``server``, and whether the result of one that ran is still kept in the end.
+
+    A server keeps its last ``keep`` results. An id that is kept is replayed (same digest) or an operation_id_collision; any other runs as a
+    first, one whose result was evicted too. Without an id, or with an empty one, it is an invalid_request. Servers follow one another in sorted
+    partitions; of each no more than ``keep`` results are held.
+    """
+    columns = operations.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, results = None, Results(keep)
+        for batch in batches:
+            told = []
+            for s, k, d in zip(*(batch.column(c).to_pylist() for c in (server, key, digest)), strict=True):
+                if at != (s,):
+                    at, results = (s,), Results(keep)
+                told.append(results.outcome(k, d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], [*columns, "outcome"])
+
+    kinds = ", ".join([*(f"`{c}` {k}" for c, k in operations.dtypes), "outcome string"])
+    told = operations.repartition(server).sortWithinPartitions(server, seq).mapInArrow(run, kinds)
+    ran = F.col("outcome") == FIRST
+    later = scan(told.withColumn("_back", -F.col(seq)), [server], ["_back"], sums={"_later": ran.cast("long")})
+    return later.withColumn("retained", ran & (F.col("_later") <= keep)).drop("_back", "_later")
 
 
 def pipeline_state(sessions: DataFrame) -> DataFrame:

@@ -14,14 +14,14 @@ def text_occurrences(documents: DataFrame, package: str, location: str, capabili
     says of an entry holds for its texts (default: editable).
     """
     rows = documents.select(F.col("entry").cast("string").alias("entry"), (capability if capability is not None else F.lit("editable")).alias("capability"), F.try_parse_json("json").alias("v0"))
-    said = walk(rows, "v0").where("kind = 'leaf' and schema_of_variant(v) = 'STRING' and not endswith(value_path, '.raw')")
+    said = walk(rows, "v0").where("kind = 'leaf' and schema_of_variant(v) = 'STRING' and not (key <=> 'raw')")
     return said.select(F.lit(package).alias("package"), F.lit(location).alias("location"), "entry", "value_path", F.expr("variant_get(v, '$', 'string')").alias("text"), "capability")
 
 
 def decode_gaps(documents: DataFrame) -> DataFrame:
     """(entry, value_path): objects of JSON ``documents(entry, json)`` that hold only ``raw``, found through objects but not through arrays."""
     found = walk(documents.select("entry", F.try_parse_json("json").alias("v0")), "v0", objects_only=True, leaves=False)
-    return found.where("kind = 'object' and try_variant_get(v, '$.raw', 'string') is not null").select("entry", "value_path")
+    return found.where("kind = 'object' and try_variant_get(v, '$.raw', 'string') is not null and size(try_variant_get(v, '$', 'map<string,variant>')) = 1").select("entry", "value_path")
 
 
 def unit_key(namespace: Column, name: Column) -> Column:

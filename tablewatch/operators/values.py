@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+
+from ..sources.staging import staged
 
 
 def walk(rows: DataFrame, value: str, depth: int = 64, objects_only: bool = False, leaves: bool = True) -> DataFrame:
-    """Every value inside the variant column ``value``: ``rows``' other columns, value_path, kind (object, array, leaf) and v.
+    """Every value inside the variant column ``value``: ``rows``' other columns, value_path, key (of an object's value), kind (object, array, leaf) and v.
 
-    Goes down level by level as far as any row goes, at most ``depth`` levels; the number of rows is not bounded. With
-    ``objects_only`` arrays are not gone into, without ``leaves`` values that hold no others are left out as they are met.
+    A level is written once and the next one comes from it, so each costs one job however deep others go; the number of rows is not
+    bounded. A row with values below ``depth`` levels is an error. With ``objects_only`` arrays are not gone into, without ``leaves``
+    values that hold no others are left out as they are met. Keys that are no plain names stand in brackets and quotes in a path.
     """
     rest = [c for c in rows.columns if c != value]
-
-    def told(level: DataFrame) -> DataFrame:
-        # one step deep only: the type of a whole value would be found anew at each level
-        level = level.withColumns({"_object": F.try_variant_get("v", "$", "map<string,variant>"), "_array": F.try_variant_get("v", "$", "array<variant>")})
-        level = level.withColumn("kind", F.when(F.col("_object").isNotNull(), "object").when(F.col("_array").isNotNull(), "array").otherwise("leaf"))
-        return level if leaves else level.where("kind <> 'leaf'")
-
-    inner = F.transform(F.map_entries("_object"), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")))
+    holds = "kind = 'object'" if objects_only else "kind <> 'leaf'"
+    name = F.col("_e.key")
+    quoted = F.concat(F.lit('["'), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"]'))
+    step = F.when(name.isNull(), F.concat(F.lit("["), F.col("_e.at").cast("string"), F.lit("]"))).when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), name)).otherwise(quoted)
+    no_key = F.lit(None).cast("string")
+    inner = F.transform(F.map_entries("_object"), lambda e: F.struct(F.lit(None).cast("int").alias("at"), e["key"].alias("key"), e["value"].alias("v")))
     if not objects_only:
-        listed = F.transform("_array", lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), x.alias("v")))
-        inner = F.coalesce(inner, listed)
-    level = told(rows.where(F.col(value).isNotNull()).select(*rest, F.lit("$").alias("value_path"), F.col(value).alias("v")))
-    found = level
-    for _ in range(depth):
-        below = level.select(*rest, "value_path", F.explode(inner).alias("_e"))
-        level = told(below.select(*rest, F.concat("value_path", "_e.step").alias("value_path"), F.col("_e.v").alias("v")))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.drop("_object", "_array")
+        inner = F.coalesce(inner, F.transform("_array", lambda x, i: F.struct(i.alias("at"), no_key.alias("key"), x.alias("v"))))
+    level, found = rows.where(F.col(value).isNotNull()).select(*rest, F.lit("$").alias("value_path"), no_key.alias("key"), F.col(value).alias("v")), None
+    for _ in range(depth + 1):
+        # one step deep only: the type of a whole value would be found anew at each level
+        opened = level.withColumns({"_object": F.try_variant_get("v", "$", "map<string,variant>"), "_array": F.try_variant_get("v", "$", "array<variant>")})
+        kind = F.when(F.col("_object").isNotNull(), "object").when(F.col("_array").isNotNull(), "array").otherwise("leaf")
+        seen = Observation()
+        told = opened.select(*rest, "value_path", "key", kind.alias("kind"), "v").where("true" if leaves else "kind <> 'leaf'")
+        told = staged(told.observe(seen, F.count_if(F.expr(holds)).alias("inner")), "level")
+        found = told if found is None else found.unionByName(told)
+        if not seen.get.get("inner"):
+            return found
+        opened = told.where(holds).withColumns({"_object": F.try_variant_get("v", "$", "map<string,variant>"), "_array": F.try_variant_get("v", "$", "array<variant>")})
+        level = opened.select(*rest, "value_path", F.explode(inner).alias("_e")).select(*rest, F.concat("value_path", step).alias("value_path"), F.col("_e.key").alias("key"), F.col("_e.v").alias("v"))
+    raise ValueError(f"there are values below {depth} levels")
 
 
 def format_value(value: Column, kind: T.DataType) -> Column:

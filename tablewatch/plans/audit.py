@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .. import sources as src
 from ..functions import clamp, framing_verdict, instance_key, max_abs_delta, parse_edit
 from ..operators import audit as a, values as vals
+from ..operators.scans import dense_index
 from ..sources import artifact_hash, quarantine_split, scan_snapshots
+from ..sources.staging import shared_folder
 from .common import table
 
 RULES = [("dimensions.power_of_two", "power_of_two", "warning", None, None), ("dimensions.small_max_30", "group_maximum", "error", "SMALL PLATED TIN", 30), ("dimensions.max_40", "group_maximum", "error", "ECONOMY", 40)]
@@ -53,20 +54,38 @@ _INCREMENTAL = """SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'deleted'
 FROM part WHERE NOT (p_partkey % 17 = 0 AND p_partkey % 13 = 0)"""
 
 
-def _inspected(s, d):
+def _documents(s, d):
     """An inspection for each order, as JSON: its lines are assets, their kinds follow the return flag."""
     kind = F.when(F.col("l_returnflag") == "A", "DataTable").when(F.col("l_returnflag") == "N", "CompositeDataTable").otherwise("StringTable")
     asset = F.struct(F.concat_ws("/", F.lit("order"), "l_orderkey", "l_linenumber").alias("path"), kind.alias("kind"))
     assets = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(asset).alias("assets"))
-    docs = table(s, d, "orders").join(assets, "o_orderkey", "left").select("o_orderkey", F.to_json(F.struct(F.lit(7).alias("schema_version"), F.when(F.col("o_orderstatus") == "P", "partial").otherwise("ok").alias("status"), "assets")).alias("document"))
-    return src.inspections(docs, "document")
+    return table(s, d, "orders").join(assets, "o_orderkey", "left").select("o_orderkey", F.to_json(F.struct(F.lit(7).alias("schema_version"), F.when(F.col("o_orderstatus") == "P", "partial").otherwise("ok").alias("status"), "assets")).alias("document"))
+
+
+def _inspected(s, d):
+    return src.inspections(_documents(s, d), "document")
 
 
 def _run(s, d):
     """Orders written as a run and read back."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tablewatch-')}"
-    path = src.write_run(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), f"{folder.rstrip('/')}/runs", uuid.uuid4().hex)
-    return s.read.parquet(path)
+    path = f"{shared_folder(s)}/runs-{uuid.uuid4().hex}"
+    src.write_run(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), path, "first")
+    return src.read_runs(s, path).drop("run_id")
+
+
+def _listed(s, d):
+    """Pages written as files by their id's last digit, then found again by suffix; the files of every digit are there."""
+    path = f"{shared_folder(s)}/pages-{uuid.uuid4().hex}"
+    table(s, d, "pages").select((F.col("page_id") % 10).alias("digit"), "url").where("url is not null").write.partitionBy("digit").text(path)
+    found = src.discover_files(s, path, ".TXT")
+    return found.groupBy(F.regexp_extract("path", "digit=([0-9]+)", 1).cast("long").alias("digit")).agg((F.sum("length") > 0).alias("has_bytes"))
+
+
+def _scanned(s, d):
+    """The same inspections, written as files and scanned."""
+    path = f"{shared_folder(s)}/inspections-{uuid.uuid4().hex}"
+    _documents(s, d).select("document").write.text(path)
+    return src.scan_inspections(s, path).select("status", F.size("assets").alias("n_assets"), F.size("decode_errors").alias("n_errors"))
 
 
 def _types(s, d):
@@ -157,10 +176,12 @@ CASE WHEN props IS NULL THEN 'missing_source' ELSE 'not_serialized' END AS absen
     "instance_key": (lambda s, d: table(s, d, "customer").select("c_custkey", instance_key(F.col("c_mktsegment"), F.concat(F.lit("/Game/UEDPIE_0_Map.Map:PersistentLevel."), F.when(F.col("c_custkey") % 2 == 0, F.lit("UEDPIE_12_")).otherwise(""), "c_name")).alias("key")), "SELECT c_custkey, c_mktsegment || ':' || c_name AS key FROM customer"),
     "drift_check": (lambda s, d: table(s, d, "customer").select("c_custkey", (max_abs_delta((F.col("c_acctbal"), F.floor("c_acctbal"))) > 0.5).alias("drifted")), "SELECT c_custkey, abs(c_acctbal - floor(c_acctbal)) > 0.5 AS drifted FROM customer"),
     "framing_verdict": (_verdict, "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unprojectable' WHEN event_id % 7 = 0 THEN 'outside' WHEN event_id % 5 = 0 THEN 'partial' WHEN least(greatest(value / 100, 0.0), 1.0) < 0.1 THEN 'margin_too_small' ELSE 'ok' END AS verdict FROM events WHERE value IS NOT NULL"),
-    "dense_index": (lambda s, d: table(s, d, "events").select("event_id", "event_type", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("stream_index")), "SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INTEGER) AS stream_index FROM events"),
+    "dense_index": (lambda s, d: dense_index(table(s, d, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], "stream_index"), "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS stream_index FROM events"),
     "value_summary": (_summaries, "SELECT vec_id AS id, CAST(len(embedding) AS VARCHAR) || ' items' AS embedding, '2 fields' AS pair, '1 entries' AS named, 'bigint' AS vec_id FROM embeddings"),
     "format_value": (_shown, "SELECT p_partkey, '{large: ' || CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END || ', names: [' || p_brand || ', ' || p_type || '], ref: part -> ' || CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE 'None' END || '}' AS shown FROM part"),
     "catalog_report": (lambda s, d: src.catalog_report(_incremental(s, d)), f"SELECT count(*) FILTER (outcome = 'hit') AS hit, count(*) FILTER (outcome = 'changed') AS changed, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'deleted') AS deleted, count(*) FILTER (outcome = 'failed') AS failed FROM ({_INCREMENTAL})"),
     "scan_inspections": (lambda s, d: _inspected(s, d).select("o_orderkey", "status", F.size("assets").alias("n_assets"), F.size("decode_errors").alias("n_errors")), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'ok' END AS status, CAST(count(l_orderkey) AS INTEGER) AS n_assets, CAST(0 AS INTEGER) AS n_errors FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"),
+    "scan_inspection_files": (_scanned, "SELECT CASE WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'ok' END AS status, CAST(count(l_orderkey) AS INTEGER) AS n_assets, CAST(0 AS INTEGER) AS n_errors FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, 1"),
+    "file_listing": (_listed, "SELECT page_id % 10 AS digit, true AS has_bytes FROM pages WHERE url IS NOT NULL GROUP BY 1"),
     "run_sink": (_run, "SELECT o_orderkey, o_orderstatus FROM orders"),
 }

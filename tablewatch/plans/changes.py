@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import streaming as st
-from ..operators import changes as c, references as r, spatial as sp
+from ..operators import changes as c, folds as fo, references as r, scans as sc, spatial as sp
 from .common import table
 
 
@@ -165,7 +165,7 @@ def _fold_rows(s: SparkSession, d: str) -> DataFrame:
     ids = rows.where("cast(table_path as long) % 3 = 0").groupBy("table_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row_id"))), lambda x: x["row_id"]).alias("ids"))
     now = F.concat(F.array(new), F.slice("ids", F.lit(2), F.size("ids")))
     log = log.unionByName(command(ids, 4, "reorder", none, none, none, 0, now, F.reverse(now)))
-    return c.fold_rows(rows, log)
+    return fo.fold_rows(rows, log)
 
 
 _FOLD_ROWS = """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS table_path, o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
@@ -174,16 +174,48 @@ SELECT table_path, CASE WHEN o_custkey % 10 <> 0 AND o_custkey % 3 = 0 THEN n -
  CASE WHEN i = 0 AND o_custkey % 10 <> 0 THEN 'Added' ELSE 'Order ' || o_orderkey END AS row_name, CASE WHEN o_custkey % 10 = 0 THEN 'rename_rejected:1' END AS error FROM r"""
 
 
+def _fold_table(s: SparkSession, d: str) -> DataFrame:
+    """Lines as tables of their parts, with one log for rows and cells: a row is renamed, then its quantity is changed under its id, then another
+    row is put before it with cells of its own, of which one is changed; the last row goes. Every seventh table expects a quantity that
+    isn't there, every eleventh gives a name that two rows have and only one has given up."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "again")
+    rows = table(s, d, "lineitem").withColumn("again", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    rows = rows.select(F.col("l_partkey").alias("p"), F.col("l_partkey").cast("string").alias("table_path"), "l_orderkey", "l_linenumber", "again", line.alias("row_id"), F.concat(F.lit("of "), F.col("l_returnflag")).alias("row_name"), F.create_map(F.lit("quantity"), F.col("l_quantity").cast("int").cast("string"), F.lit("status"), F.col("l_linestatus")).alias("fields"))
+    placed = Window.partitionBy("p").orderBy("l_orderkey", "l_linenumber", "again")
+    rows = rows.withColumn("row_index", F.row_number().over(placed) - 1).withColumn("n", F.count("*").over(Window.partitionBy("p")))
+    first, last = rows.where("row_index = 0"), rows.where("row_index = n - 1")
+    none, new = F.lit(None).cast("string"), F.concat(F.lit("new/"), "table_path")
+    command = lambda df, seq, kind, row, name=none, old=none, at=None, field=none, before=none, after=none, fields=None: df.select("table_path", F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), row.alias("row_id"), name.alias("row_name"), old.alias("old_name"), (F.lit(None) if at is None else at).cast("long").alias("at_index"), field.alias("field"), before.alias("old_value"), after.alias("new_value"), (F.lit(None) if fields is None else fields).cast("map<string,string>").alias("fields"))
+    held = F.when(F.col("p") % 7 == 0, "none").otherwise(F.col("fields")["quantity"])
+    name = F.when(F.col("p") % 11 == 0, F.col("row_name")).otherwise(F.lit("added"))
+    log = command(first, 1, "rename", F.col("row_id"), F.lit("first"), F.col("row_name"))
+    log = log.unionByName(command(first, 2, "set_cell", F.col("row_id"), field=F.lit("quantity"), before=held, after=F.lit("-1")))
+    log = log.unionByName(command(first, 3, "add", new, name, at=F.lit(0), fields=F.create_map(F.lit("quantity"), F.lit("0"))))
+    log = log.unionByName(command(first, 4, "set_cell", new, field=F.lit("quantity"), before=F.lit("0"), after=F.lit("5")))
+    log = log.unionByName(command(last.where("n > 1"), 5, "remove", F.col("row_id"), at=F.col("n")))
+    done = fo.fold_table(rows.select("table_path", "row_index", "row_id", "row_name", "fields"), log)
+    return done.select("table_path", "row_index", "row_id", "row_name", F.col("fields")["quantity"].alias("quantity"), F.try_element_at("fields", F.lit("status")).alias("status"), "error")
+
+
+_FOLD_TABLE = """WITH k AS (SELECT l_partkey AS p, l_orderkey, l_linenumber, l_quantity, l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS again FROM lineitem),
+r AS (SELECT p, CAST(p AS VARCHAR) AS t, l_orderkey || '-' || l_linenumber || '-' || again AS row_id, 'of ' || l_returnflag AS row_name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, l_linestatus AS status,
+  row_number() OVER (PARTITION BY p ORDER BY l_orderkey, l_linenumber, again) - 1 AS i, count(*) OVER (PARTITION BY p) AS n FROM k),
+e AS (SELECT p, CASE WHEN p % 7 = 0 THEN 'set_cell_rejected:2' WHEN p % 11 = 0 AND count(*) FILTER (row_name = f) > 1 THEN 'add_rejected:3' END AS error
+  FROM (SELECT *, first_value(row_name) OVER (PARTITION BY p ORDER BY i) AS f FROM r) GROUP BY p)
+SELECT t AS table_path, CAST(i AS BIGINT) AS row_index, row_id, row_name, quantity, status, error FROM r JOIN e USING (p) WHERE error IS NOT NULL
+UNION ALL SELECT t, CAST(i + 1 AS BIGINT), row_id, CASE WHEN i = 0 THEN 'first' ELSE row_name END, CASE WHEN i = 0 THEN '-1' ELSE quantity END, status, NULL FROM r JOIN e USING (p) WHERE error IS NULL AND (n = 1 OR i < n - 1)
+UNION ALL SELECT t, CAST(0 AS BIGINT), 'new/' || t, CASE WHEN p % 11 = 0 THEN row_name ELSE 'added' END, '5', NULL, NULL FROM r JOIN e USING (p) WHERE error IS NULL AND i = 0"""
+
+
 def _fingerprints(s: SparkSession, d: str) -> DataFrame:
     part = table(s, d, "part").withColumn("tags", F.array("p_type", "p_name"))
     header = part.groupBy(F.col("p_brand").alias("table_path")).agg(F.lit("DataTable").alias("kind"), F.countDistinct("p_type").alias("types"))
     return c.table_fingerprint(part.withColumnRenamed("p_brand", "table_path"), "table_path", "p_partkey", ["p_name", "p_size", "tags"], ["tags"], header)
 
 
-_FINGERPRINTS = """WITH h AS (SELECT p_brand AS table_path, p_type, p_partkey, p_partkey // 10000 AS g, sha256(coalesce('=' || p_name, 'null') || '|' || coalesce('=' || CAST(p_size AS VARCHAR), 'null') || '|=[' || array_to_string(list_sort(['=' || p_type, '=' || p_name]), ',') || ']') AS h FROM part),
-g AS (SELECT table_path, g, sha256(string_agg(h, '' ORDER BY p_partkey)) AS h FROM h GROUP BY 1, 2),
-g2 AS (SELECT table_path, g // 10000 AS g, sha256(string_agg(h, '' ORDER BY g)) AS h FROM g GROUP BY 1, 2),
-f AS (SELECT table_path, sha256(string_agg(h, '' ORDER BY g)) AS fingerprint FROM g2 GROUP BY 1)
+_FINGERPRINTS = """WITH h AS (SELECT p_brand AS table_path, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, sha256(coalesce('=' || p_name, 'null') || '|' || coalesce('=' || CAST(p_size AS VARCHAR), 'null') || '|=[' || array_to_string(list_sort(['=' || p_type, '=' || p_name]), ',') || ']') AS h FROM part),
+g AS (SELECT table_path, i // 10000 AS g, sha256(string_agg(h, '' ORDER BY i)) AS h FROM h GROUP BY 1, 2),
+f AS (SELECT table_path, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY g)) END AS fingerprint FROM g GROUP BY 1)
 SELECT table_path, sha256('=DataTable|=' || count(DISTINCT p_type) || '|' || any_value(fingerprint)) AS fingerprint FROM h JOIN f USING (table_path) GROUP BY 1"""
 
 
@@ -207,9 +239,13 @@ def _operations(s: SparkSession, d: str) -> DataFrame:
     return c.idempotent(ops, "operation_id", "event_id", "digest", "user_id", 20).select("event_id", "outcome", "retained")
 
 
-_OPERATIONS = """SELECT event_id, outcome, outcome = 'first' AND count(*) FILTER (outcome = 'first') OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20 AS retained FROM (
-SELECT event_id, user_id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN first_value(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 'replayed' ELSE 'operation_id_collision' END AS outcome
-FROM events WINDOW w AS (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_id))"""
+_OPERATIONS = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type AS digest, json_extract_string(props, '$.k') AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST([] AS STRUCT(id VARCHAR, digest VARCHAR)[]) AS kept FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL
+ SELECT user_id, n, event_id, outcome, CASE WHEN outcome = 'first' THEN (kept || [{'id': id, 'digest': digest}])[-20:] ELSE kept END
+ FROM (SELECT f.user_id, e.n, e.event_id, e.id, e.digest, kept, CASE WHEN coalesce(e.id, '') = '' THEN 'invalid_request' WHEN NOT list_contains([x.id FOR x IN kept], e.id) THEN 'first'
+   WHEN list_contains(kept, {'id': e.id, 'digest': e.digest}) THEN 'replayed' ELSE 'operation_id_collision' END AS outcome FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT event_id, outcome, outcome = 'first' AND count(*) FILTER (outcome = 'first') OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20 AS retained FROM f WHERE n > 0"""
 
 
 def _commands(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -264,6 +300,21 @@ f AS (SELECT feed, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS arrival, 'acc
    FROM f JOIN e ON e.feed = f.feed AND e.n = f.n + 1))
 SELECT feed, arrival, outcome, status, gap FROM f WHERE n > 0"""
 
+def _world(s: SparkSession, d: str) -> DataFrame:
+    """The same feeds with what their batches say: transforms by the event's value, replacements by its id."""
+    x = table(s, d, "events").select(F.col("user_id").alias("feed"), F.col("event_id").alias("arrival"), (F.col("event_id") % 50).alias("replacements"), F.array(*[F.struct((F.col("value") + i).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")) for i in (0, 1)]).alias("transforms"))
+    world = st.observed_world(_observed(s, d).join(x, ["feed", "arrival"]))
+    return world.select("feed", "status", "rejected", "gaps", "replacements", F.explode_outer("transforms").alias("t")).select("feed", "status", "rejected", "gaps", "replacements", "t.index", "t.x")
+
+
+_WORLD = f"""WITH o AS ({_OBSERVED}), e AS (SELECT o.*, event_type, event_id, value, CASE WHEN event_type = 'signup' THEN 'catalog' WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'reset' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'unavailable' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'polling' ELSE 'transforms' END AS kind,
+ CAST(json_extract_string(props, '$.k') AS INTEGER) % 12 AS i, CAST(event_id % 5 AS INTEGER) AS j FROM o JOIN events ON user_id = feed AND event_id = arrival),
+f AS (SELECT feed, arg_max(status, arrival) AS status, max(arrival) FILTER (kind IN ('catalog', 'polling')) AS since, arg_max(kind, arrival) FILTER (kind IN ('catalog', 'polling')) = 'catalog' AS has FROM e GROUP BY feed),
+s AS (SELECT e.* FROM e JOIN f ON e.feed = f.feed AND has AND arrival > since AND kind = 'transforms' AND outcome <> 'no_catalog'),
+n AS (SELECT feed, count(*) FILTER (outcome <> 'accepted') AS rejected, count(*) FILTER (gap) AS gaps, coalesce(max(event_id % 50) FILTER (outcome = 'accepted'), 0) AS replacements FROM s GROUP BY feed),
+t AS (SELECT feed, index, arg_max(x, arrival) AS x FROM (SELECT feed, arrival, i AS index, value AS x FROM s WHERE outcome = 'accepted' UNION ALL SELECT feed, arrival, j, value + 1 FROM s WHERE outcome = 'accepted') GROUP BY feed, index)
+SELECT f.feed, f.status, CASE WHEN has THEN coalesce(rejected, 0) END AS rejected, CASE WHEN has THEN coalesce(gaps, 0) END AS gaps, CASE WHEN has THEN coalesce(replacements, 0) END AS replacements, index, x FROM f LEFT JOIN n ON n.feed = f.feed LEFT JOIN t ON t.feed = f.feed"""
+
 _TOLERANCE = """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL),
 f AS (SELECT user_id, event_id, n, value, value AS last, true AS emitted FROM e WHERE n = 1
  UNION ALL SELECT e.user_id, e.event_id, e.n, e.value, CASE WHEN abs(e.value - f.last) > 20.0 THEN e.value ELSE f.last END, abs(e.value - f.last) > 20.0 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
@@ -335,6 +386,7 @@ QUERIES = {
     "session_review": (_review, _REVIEW),
     "fold_set_cell": (_fold, _FOLD),
     "fold_rows": (_fold_rows, _FOLD_ROWS),
+    "fold_table": (_fold_table, _FOLD_TABLE),
     "bulk_edit_validation": (_edits, _EDITS),
     "idempotent_operations": (_operations, _OPERATIONS),
     "append_group": (_append, _APPEND),
@@ -344,14 +396,15 @@ QUERIES = {
     "duplicate_names": (lambda s, d: c.duplicate_names(table(s, d, "events").select("event_id", "event_type", F.col("user_id")), "user_id", "event_type", "event_id").select("event_id", "first_name"), "SELECT event_id, first_name FROM (SELECT event_id, row_number() OVER w AS n, first_value(event_type) OVER w AS first_name FROM events WINDOW w AS (PARTITION BY user_id, lower(event_type) ORDER BY event_id)) WHERE n > 1"),
     "row_name_check": (lambda s, d: table(s, d, "part").select("p_partkey", c.row_name_problem(F.when(F.col("p_partkey") % 10 == 0, "None").otherwise(F.col("p_name"))).alias("problem")), "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'reserved' WHEN p_name IS NULL OR p_name = '' THEN 'empty' WHEN lower(p_name) = 'none' THEN 'reserved' END AS problem FROM part"),
     "latest_receipt": (lambda s, d: st.latest_state(table(s, d, "events"), "user_id", "event_id", "event_type"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
-    "sequence_gaps": (lambda s, d: table(s, d, "events").select("event_id", F.greatest(F.lit(0), F.coalesce(F.col("event_id") - F.lag("event_id").over(_w("user_id").orderBy("event_id")) - 1, F.lit(0))).alias("missing")), "SELECT event_id, greatest(0, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 0)) AS missing FROM events"),
-    "exact_change_filter": (lambda s, d: table(s, d, "events").select("event_id", "event_type", F.lag("event_type").over(_w("user_id").orderBy("event_id")).alias("p"), F.row_number().over(_w("user_id").orderBy("event_id")).alias("n")).where("n = 1 or not (p <=> event_type)").select("event_id"), "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR p IS DISTINCT FROM event_type"),
+    "sequence_gaps": (lambda s, d: sc.sequence_gaps(table(s, d, "events").select("event_id", "user_id"), "user_id", "event_id").select("event_id", F.col("gap").alias("missing")), "SELECT event_id, greatest(0, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 0)) AS missing FROM events"),
+    "exact_change_filter": (lambda s, d: c.exact_changes(table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type").select("event_id"), "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR p IS DISTINCT FROM event_type"),
     "tolerance_change_filter": (lambda s, d: c.tolerance_filter(table(s, d, "events"), "user_id", "event_id", "value", 20.0), _TOLERANCE),
     "exact_set_match": (lambda s, d: c.exact_set_match(table(s, d, "orders").select(F.col("o_custkey").alias("key")), table(s, d, "customer").select(F.col("c_custkey").alias("key")), "key"), "WITH l AS (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS key, count(*) AS m FROM customer GROUP BY 1) SELECT * FROM (SELECT key, CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'unexpected' WHEN n > 1 OR m > 1 THEN 'duplicate' END AS problem FROM l FULL JOIN r USING (key)) WHERE problem IS NOT NULL"),
     "permutation_check": (lambda s, d: c.permutation_check(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") == 1, 0).otherwise(F.col("l_linenumber")).alias("new")), "l_orderkey", "l_linenumber", "new"), "SELECT l_orderkey, list_sort(list(l_linenumber)) = list_sort(list(CASE WHEN l_quantity = 1 THEN 0 ELSE l_linenumber END)) AS permutation FROM lineitem GROUP BY 1"),
     "distinct_tables": (lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen")), "SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY 1"),
     "merge_paths": (lambda s, d: c.merge_paths(table(s, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"), table(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey")), "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus IN ('P', 'F')"),
     "observation_state": (lambda s, d: st.observation_state(_observed(s, d)), _OBSERVED),
+    "observed_world": (_world, _WORLD),
     "packet_validation": (_packets, "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'version' WHEN event_id % 19 = 0 THEN 'record_count' WHEN event_id % 23 = 0 THEN 'length' WHEN value IS NULL OR NOT isfinite(value) THEN 'not_finite' END AS malformed FROM events"),
     "latest_state": (lambda s, d: st.latest_state(table(s, d, "events"), "user_id", "event_id", "value"), "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1"),
     "coalesce_updates": (lambda s, d: st.coalesce_updates(table(s, d, "events").withColumn("delivery", F.floor(F.col("event_id") / 100)).withColumn("feed", F.col("user_id") % 3), "feed", "delivery", "user_id", "event_id", "value", (F.col("event_type") == "signup") & (F.col("event_id") % 4 == 0)), "WITH e AS (SELECT user_id % 3 AS feed, event_id // 100 AS delivery, user_id, event_id, value, event_type = 'signup' AND event_id % 4 = 0 AS c FROM events), m AS (SELECT feed, delivery, max(event_id) FILTER (c) AS m FROM e GROUP BY 1, 2) SELECT feed, delivery, user_id, arg_max(value, event_id) AS value, count(*) - 1 AS replaced FROM e JOIN m USING (feed, delivery) WHERE NOT c AND (m IS NULL OR event_id > m) GROUP BY 1, 2, 3"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -28,6 +30,11 @@ def scan_inspections(spark: SparkSession, path: str) -> DataFrame:
     return inspections(spark.read.text(path).where("length(value) > 0"), "value")
 
 
+def watch_inspections(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same as a stream: files that arrive below ``path`` are read once, and a query that restarts goes on after those it has read."""
+    return inspections(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).where("length(value) > 0"), "value")
+
+
 def table_descriptors(inspected: DataFrame) -> DataFrame:
     """(table_path, kind, completeness) of the table assets of inspections; partial if the document is or had errors."""
     partial = (F.col("status") == "partial") | (F.size("decode_errors") > 0)
@@ -78,11 +85,49 @@ def quarantine_split(df: DataFrame, document: str) -> tuple[DataFrame, DataFrame
     return parsed.where("parsed is not null"), parsed.where("parsed is null").drop("parsed")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and its file system, for any store that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_run(df: DataFrame, path: str, run_id: str) -> str:
-    """Write a run once; a run that exists is never overwritten, and one that fails leaves nothing in place."""
-    target = f"{path}/run_id={run_id}"
-    df.write.mode("errorifexists").parquet(target)
-    return target
+    """Write a run once, all or nothing, and return where it is.
+
+    It is written to a hidden folder beside the runs, which readers of ``path`` pass over, and takes its name by one rename when it is whole. A
+    run that exists is never overwritten, also if it came into being meanwhile; one that fails leaves nothing, so its id can be used again.
+    """
+    spark = df.sparkSession
+    target, files = _files(spark, f"{path}/run_id={run_id}")
+    if files.exists(target):
+        raise FileExistsError(f"run {run_id} exists")
+    staging, _ = _files(spark, f"{path}/.staging-{run_id}-{uuid.uuid4().hex}")
+    try:
+        df.write.parquet(str(staging))
+        if files.exists(target) or not files.rename(staging, target):
+            raise FileExistsError(f"run {run_id} exists")
+    finally:
+        files.delete(staging, True)
+    # a store that moves a folder into one that appeared in between would show it there
+    inner = spark._jvm.org.apache.hadoop.fs.Path(target, staging.getName())
+    if files.exists(inner):
+        files.delete(inner, True)
+        raise FileExistsError(f"run {run_id} exists")
+    return str(target)
+
+
+def discard_staging(spark: SparkSession, path: str, run_id: str = "*") -> int:
+    """Delete what drivers that died left of a run that they never finished; how many folders that was."""
+    pattern, files = _files(spark, f"{path}/.staging-{run_id}-*")
+    left = files.globStatus(pattern) or []
+    for folder in left:
+        files.delete(folder.getPath(), True)
+    return len(left)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All finished runs below ``path``, with run_id."""
+    return spark.read.parquet(path)
 
 
 def artifact_hash(content: Column) -> Column:

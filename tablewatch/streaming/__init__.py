@@ -8,9 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.scans import met
+from ..sources.staging import staged
+
 PACKET = "feed long, arrival long, session string, revision long, seq long, records array<struct<index:int,x:double,y:double>>"
 #: What is observed of a feed: catalogs (with entries), transforms, resets, unavailable and polling.
 EVENT = "feed long, arrival long, kind string, session string, revision long, seq long, entries int, indices array<int>"
+#: Events with what a batch says: its producer's count of replacements, and a transform for each index.
+WORLD = EVENT + ", replacements long, transforms array<struct<x:double,y:double,z:double>>"
 OUTCOME = "feed long, arrival long, outcome string, status string, gap boolean"
 
 
@@ -26,10 +31,13 @@ def packet_records(packets: DataFrame) -> DataFrame:
 
 
 def _index_problem() -> Column:
-    """What is wrong with a batch's indices, the first in order: beyond the catalog's entries, or twice in it."""
-    bad = F.filter("indices", lambda x, i: (x < 0) | (x >= F.col("_entries")) | F.array_contains(F.slice("indices", 1, i), x))
-    worst = F.get(bad, F.lit(0))
-    return F.when(F.size(bad) > 0, F.when((worst >= F.col("_entries")) | (worst < 0), "out_of_range_index").otherwise("duplicate_index"))
+    """What is wrong with a batch's indices, the first in order: beyond the catalog's entries, or twice in it. Linear but for a sort of those that repeat."""
+    outside = F.array_position(F.transform("indices", lambda x: (x < 0) | (x >= F.col("_entries"))), F.lit(True))
+    placed = F.array_sort(F.transform("indices", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    n = F.size("indices")
+    again = F.array_min(F.zip_with(F.slice(placed, F.lit(1), n - 1), F.slice(placed, F.lit(2), n - 1), lambda a, b: F.when(a["x"] == b["x"], b["i"] + 1)))
+    again = F.when(F.size(F.array_distinct("indices")) < n, again)
+    return F.when((outside > 0) & (again.isNull() | (outside <= again)), "out_of_range_index").when(again.isNotNull(), "duplicate_index")
 
 
 def observation_state(events: DataFrame) -> DataFrame:
@@ -92,45 +100,88 @@ def _index_outcome(indices: np.ndarray, entries: int) -> str:
     return "out_of_range_index" if bad in outside else "duplicate_index"
 
 
+class Feed:
+    """What is known of a feed, event by event."""
+
+    FIELDS = "status string, session string, revision long, entries int, last long, has boolean, rejected long, gaps long, replacements long"
+
+    def __init__(self, status: str = "connecting", session: str | None = None, revision: int | None = None, entries: int = 0, last: int = 0, has: bool = False, rejected: int = 0, gaps: int = 0, replacements: int = 0):
+        self.status, self.session, self.revision, self.entries, self.last, self.has = status, session, revision, entries, last, has
+        self.rejected, self.gaps, self.replacements = rejected, gaps, replacements
+
+    def state(self) -> tuple:
+        return (self.status, self.session, self.revision, self.entries, self.last, self.has, self.rejected, self.gaps, self.replacements)
+
+    def take(self, kind: str, session: str | None, revision: int | None, seq: int | None, entries: int | None, indices: list[int] | None, replacements: int | None = None) -> tuple[str, bool]:
+        """The outcome of an event, and whether it left sequences out."""
+        outcome, gap = "accepted", False
+        if kind == "catalog":
+            self.__init__("live", session, int(revision), int(entries), 0, True)  # pandas holds numbers next to nulls as floats
+        elif kind == "reset":
+            self.status = "stale" if self.has else "unavailable"
+        elif kind == "unavailable":
+            self.status = "unavailable"
+        elif kind == "polling":
+            self.status, self.has = "polling_fallback", False
+        elif self.status not in ("live", "stale"):
+            return "no_catalog", False
+        else:
+            if session != self.session:
+                outcome = "wrong_session"
+            elif revision != self.revision:
+                outcome = "wrong_revision"
+            elif seq < self.last:
+                outcome = "regressing_sequence"
+            elif seq == self.last and self.status == "live":
+                outcome = "duplicate_sequence"
+            else:
+                outcome = _index_outcome(np.asarray([] if indices is None else indices), self.entries)
+            if outcome == "accepted":
+                gap, self.status, self.last = self.status == "live" and seq > self.last + 1, "live", int(seq)
+                self.gaps += gap
+                self.replacements = max(self.replacements, replacements or 0)
+            else:
+                self.rejected += 1
+        return outcome, gap
+
+
 def observe_stream(events: DataFrame) -> DataFrame:
     """The same over a stream: status, catalog and last sequence of each feed are its state; the events of a trigger are taken by arrival."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, session, revision, entries, last, has = state.get if state.exists else ("connecting", None, None, 0, 0, False)
+        feed, out = Feed(*state.get) if state.exists else Feed(), []
         rows = pd.concat(list(parts)).sort_values("arrival", kind="stable")
-        told = [rows[c].tolist() for c in ("arrival", "kind", "session", "revision", "seq", "entries", "indices")]
-        out = []
-        for arrival, kind, own, rev, seq, n, indices in zip(*told, strict=True):
-            outcome, gap = "accepted", False
-            if kind == "catalog":
-                status, session, revision, entries, last, has = "live", own, int(rev), int(n), 0, True  # pandas holds numbers next to nulls as floats
-            elif kind == "reset":
-                status = "stale" if has else "unavailable"
-            elif kind == "unavailable":
-                status = "unavailable"
-            elif kind == "polling":
-                status, has = "polling_fallback", False
-            elif status not in ("live", "stale"):
-                outcome = "no_catalog"
-            elif own != session:
-                outcome = "wrong_session"
-            elif rev != revision:
-                outcome = "wrong_revision"
-            elif seq < last:
-                outcome = "regressing_sequence"
-            elif seq == last and status == "live":
-                outcome = "duplicate_sequence"
-            else:
-                outcome = _index_outcome(np.asarray([] if indices is None else indices), entries)
-                if outcome == "accepted":
-                    gap, status, last = status == "live" and seq > last + 1, "live", int(seq)
-            out.append((key[0], arrival, outcome, status, gap))
-        state.update((status, session, revision, entries, last, has))
+        for arrival, *event in zip(*[rows[c].tolist() for c in ("arrival", "kind", "session", "revision", "seq", "entries", "indices")], strict=True):
+            outcome, gap = feed.take(*event)
+            out.append((key[0], arrival, outcome, feed.status, gap))
+        state.update(feed.state())
         yield pd.DataFrame(out, columns=["feed", "arrival", "outcome", "status", "gap"])
 
-    kinds = "status string, session string, revision long, entries int, last long, has boolean"
-    return events.groupBy("feed").applyInPandasWithState(step, OUTCOME, kinds, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("feed").applyInPandasWithState(step, OUTCOME, Feed.FIELDS, "append", GroupStateTimeout.NoTimeout)
+
+
+def observed_world(events: DataFrame) -> DataFrame:
+    """``events`` (``WORLD``) to what is known of each feed in the end: (feed, status, rejected, gaps, replacements, transforms).
+
+    The numbers count since the last catalog: batches rejected while there was one, gaps, and the most replacements that an accepted
+    batch told. transforms: the last that an accepted batch gave of each index since then, in order; at most as many as the catalog has
+    entries. A feed that has no catalog (any more) has none, and null for numbers.
+    """
+    told = observation_state(events.drop("replacements", "transforms"))
+    both = events.select("feed", "arrival", "kind", "indices", "replacements", "transforms").join(told, ["feed", "arrival"])
+    turn = F.when(F.col("kind").isin("catalog", "polling"), F.struct("arrival", "kind"))
+    ends = staged(both.groupBy("feed").agg(F.max_by("status", "arrival").alias("status"), F.max(turn).alias("turn")), "feeds")
+    begun = ends.where("turn.kind = 'catalog'").select("feed", F.col("turn.arrival").alias("since"))
+    since = met(both.drop("status"), begun, ["feed"], "arrival").where("arrival > since and kind = 'transforms' and outcome <> 'no_catalog'")
+    taken = F.col("outcome") == "accepted"
+    numbers = since.groupBy("feed").agg(F.count_if(~taken).alias("rejected"), F.count_if("gap").alias("gaps"), F.max(F.when(taken, F.greatest(F.lit(0), F.col("replacements")))).alias("replacements"))
+    numbers = begun.join(numbers, "feed", "left").select("feed", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rejected", "gaps", "replacements")])
+    each = since.where(taken).select("feed", "arrival", F.explode(F.arrays_zip("indices", "transforms")).alias("t"))
+    last = each.groupBy("feed", F.col("t.indices").alias("index")).agg(F.max_by("t.transforms", "arrival").alias("t"))
+    lists = last.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("index", "t.x", "t.y", "t.z"))).alias("transforms"))
+    found = ends.drop("turn").join(numbers, "feed", "left").join(lists, "feed", "left")
+    return found.withColumn("transforms", F.coalesce("transforms", F.expr(f"cast(array() as {dict(lists.dtypes)['transforms']})")))
 
 
 def packet_validation(packets: DataFrame, maximum_records: int = 16_384) -> DataFrame:
