@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +32,11 @@ _MARKUP = re.compile(
 )
 _BREAKS = re.compile(r"[\r\n]+")
 _HREF = re.compile(r"""(?<![\w-])href\s*+=\s*+["']?([^"'\s>]+)""", re.I)
+_VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+(\r\n|\Z)")
+_FOLD = re.compile(r"\r?\n[ \t]+")
+_LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*([0-9]+)", re.I)
+#: Bytes read of a file at a time.
+_SLICE = 1 << 16
 _CHARSET = re.compile(r"""charset\s*+=\s*+["']?([\w.:-]+)""", re.I)
 
 
@@ -57,18 +63,50 @@ def record(kind: str, name: str, block: bytes, content_type: str, headers: list[
     return VERSION + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes, verify: bool = True) -> tuple[dict[str, str], bytes]:
-    """Headers (names lowered) and block of one record; the block's length is checked, with ``verify`` its digest too."""
+def header_fields(head: str) -> dict[str, str | list[str]]:
+    """Header lines by lowered name, a list where a name is repeated; the blank after the colon may be missing, folded lines are one."""
+    fields: dict[str, str | list[str]] = {}
+    for line in _FOLD.sub(" ", head).splitlines():
+        name, colon, value = line.partition(":")
+        if colon:
+            name, value = name.strip().lower(), value.strip()
+            held = fields.get(name)
+            fields[name] = value if held is None else [*(held if isinstance(held, list) else [held]), value]
+    return fields
+
+
+def one(fields: dict[str, str | list[str]], name: str) -> str | None:
+    """The first value of a name."""
+    value = fields.get(name)
+    return value[0] if isinstance(value, list) else value
+
+
+def matches(said: str, data: bytes) -> bool:
+    """Whether a labelled digest is that of the data, in base 32 or hexadecimal; one of an unknown algorithm can't be told and passes."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "md5", "sha256", "sha512"):
+        return True
+    found = hashlib.new(name, data).digest()
+    return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().rstrip("=").lower(), base64.b32encode(found).decode().lower())
+
+
+def parse(data: bytes, verify: bool = True) -> tuple[dict[str, str | list[str]], bytes]:
+    """Headers (names lowered, repeated ones as lists) and block of one record of any WARC version.
+
+    A block that is shorter than its header says is an error, with ``verify`` also one that doesn't have its digest, if it has one.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    if not head.startswith(VERSION):
+    if not _VERSION.match(head):
         raise ValueError("no WARC record")
-    headers = {}
-    for line in head[len(VERSION) :].decode().split("\r\n"):
-        k, _, v = line.partition(": ")
-        headers[k.lower()] = v
-    block = rest[: int(headers["content-length"])]
-    if len(rest) != len(block) + 4 or rest[len(block) :] != b"\r\n\r\n" or (verify and digest(block) != headers["warc-block-digest"]):
-        raise ValueError(f"damaged record {headers.get('warc-record-id')}")
+    headers = header_fields(head.partition(b"\r\n")[2].decode("utf-8", "replace"))
+    size = one(headers, "content-length") or ""
+    if not size.isdecimal() or len(rest) < int(size):
+        raise ValueError(f"damaged record {one(headers, 'warc-record-id')}: length")
+    block = rest[: int(size)]
+    said = one(headers, "warc-block-digest")
+    if verify and said and digest(block) != said and not matches(said, block):
+        raise ValueError(f"damaged record {one(headers, 'warc-record-id')}: digest")
     return headers, block
 
 
@@ -116,29 +154,92 @@ def _decoded(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body without its chunk sizes."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise ValueError("chunks")
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if len(body) < end + 2 + n:
+            raise ValueError("chunks")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    if coding in ("gzip", "x-gzip", "deflate"):
+        try:
+            return zlib.decompressobj(47).decompress(body)
+        except zlib.error:
+            return zlib.decompressobj(-15).decompress(body)  # deflate without its frame, as some servers send it
+    if coding == "zstd":
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    if coding in ("identity", ""):
+        return body
+    raise ValueError(f"content-encoding {coding}")
+
+
+def _entity(payload: bytes, http: dict[str, str | list[str]]) -> tuple[bytes, list[str]]:
+    """The body as the page's author wrote it, and what could not be undone; a body that is said to be coded but isn't is taken as it is."""
+    problems = []
+    codings = lambda name: [c.strip().lower() for v in (http.get(name) or [],) for x in (v if isinstance(v, list) else [v]) for c in x.split(",")]
+    try:
+        if "chunked" in codings("transfer-encoding"):
+            payload = _unchunked(payload)
+    except ValueError:
+        problems.append("transfer-encoding")
+    for coding in reversed(codings("content-encoding")):
+        try:
+            payload = _inflated(payload, coding)
+        except (ValueError, zlib.error, zstandard.ZstdError):
+            problems.append("content-encoding")
+            return (b"" if coding in ("br", "compress") else payload), problems
+    return payload, problems
+
+
 def derive(data: bytes) -> list[bytes]:
     """The metadata and the conversion record of a response record; nothing of other records.
 
-    Both refer to the response and repeat its target, date and page id; the metadata holds the source's
-    headers, its digests, title and links. An empty payload gives an empty conversion. Texts of any length take time in
-    proportion to it.
+    Both refer to the response and repeat its target, date and page id; the metadata holds the source's and HTTP's
+    headers (repeated ones as lists), its digests, title and links. Chunked and compressed bodies are read as what they hold; problems name
+    what could not be undone. An empty payload gives an empty conversion. Texts of any length take time in proportion to it.
     """
     headers, block = parse(data)
-    if headers.get("warc-type") != "response":
+    if (one(headers, "warc-type") or "").lower() != "response":
         return []
-    head, _, payload = block.partition(b"\r\n\r\n")
-    http = dict(x.split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x)
-    source = headers["warc-record-id"]
-    text, title, links = read_page(_decoded(payload, next((v for k, v in http.items() if k.lower() == "content-type"), "")))
-    linked = [("WARC-Date", headers.get("warc-date")), ("WARC-Target-URI", headers.get("warc-target-uri")), ("WARC-Refers-To", source), ("X-Page-Id", headers.get("x-page-id"))]
+    http, payload, problems = {}, block, []
+    if (one(headers, "content-type") or "application/http").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        lines = head.decode("latin-1")
+        names = {n.lower(): n for n in re.findall(r"^([^\s:]+)[ \t]*:", lines, re.M)}
+        http = header_fields(lines.partition("\n")[2])
+        payload, problems = _entity(payload, http)
+        content_type = one(http, "content-type") or ""
+        http = {names.get(k, k): v for k, v in http.items()}
+    else:
+        content_type = one(headers, "content-type") or ""
+    source = one(headers, "warc-record-id")
+    text, title, links = read_page(_decoded(payload, content_type))
+    linked = [("WARC-Date", one(headers, "warc-date")), ("WARC-Target-URI", one(headers, "warc-target-uri")), ("WARC-Refers-To", source), ("X-Page-Id", one(headers, "x-page-id"))]
     conversion = record_id("conversion", source)
-    about = {"source": headers, "http": http, "title": title, "links": links, "conversion": conversion}
+    about = {"source": headers, "http": http, "title": title, "links": links, "conversion": conversion} | ({"problems": problems} if problems else {})
     return [
         record("metadata", record_id("metadata", source), json.dumps(about, sort_keys=True).encode(), "application/json", linked),
-        record("conversion", conversion, text.encode(), "text/plain; charset=utf-8", [*linked, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest"))]),
+        record("conversion", conversion, text.encode(), "text/plain; charset=utf-8", [*linked, ("WARC-Source-Payload-Digest", one(headers, "warc-payload-digest"))]),
     ]
 
 
+def damaged(path: str, place: int, problem: str) -> bytes:
+    """A metadata record that tells of a record which could not be read: its file and its place there."""
+    about = {"problem": problem, "file": path, "place": place}
+    return record("metadata", record_id("damaged", path, place), json.dumps(about, sort_keys=True).encode(), "application/json", [])
+
+
 def _gzip(data: bytes) -> bytes:
     press = zlib.compressobj(1, zlib.DEFLATED, 16 + 13, 7)  # a small window: most records are short, and one is set up for each
     return press.compress(data) + press.flush()
@@ -170,17 +271,55 @@ class Writer:
             self.out = None
 
 
+def _bytes_of(stream: pa.NativeFile) -> Iterator[tuple[bytes, bool]]:
+    """What a file holds, in slices, and whether a gzip member ends with each; a file that is no gzip is taken as it is."""
+    held = stream.read(_SLICE)
+    if held[:2] != b"\x1f\x8b":
+        while held:
+            yield held, False
+            held = stream.read(_SLICE)
+        return
+    part = zlib.decompressobj(31)
+    while held or (held := stream.read(_SLICE)):
+        data = part.decompress(held, 16 * _SLICE)
+        held = part.unused_data if part.eof else part.unconsumed_tail
+        yield data, part.eof
+        if part.eof:
+            part = zlib.decompressobj(31)
+
+
 def records(uri: str) -> Iterator[bytes]:
-    """The records of a file of gzip members, one at a time."""
+    """The records of a WARC file, one at a time: plain, or gzip with a member for each record or for many.
+
+    What stands between records and is none, and a record that breaks off, come as they are. A broken gzip stream ends the file with an error.
+    """
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_stream(path, compression=None) as stream:
-        part, out, held = zlib.decompressobj(31), io.BytesIO(), b""
-        while held or (held := stream.read(1 << 20)):
-            out.write(part.decompress(held))
-            held = part.unused_data
-            if part.eof:
-                yield out.getvalue()
-                part, out = zlib.decompressobj(31), io.BytesIO()
+        held = bytearray()
+        for data, ends in _bytes_of(stream):
+            held += data
+            while True:
+                while held[:2] == b"\r\n":
+                    del held[:2]
+                head = held.find(b"\r\n\r\n")
+                if not held.startswith(b"WARC/"):
+                    again = held.find(b"\r\nWARC/1.")
+                    if again < 0:
+                        break
+                    yield bytes(held[:again])
+                    del held[: again + 2]
+                    continue
+                size = _LENGTH.search(held, 0, head) if head >= 0 else None
+                if head < 0 or (size and len(held) < head + 4 + int(size[1])):
+                    break
+                n = head + 4 + (int(size[1]) if size else 0)
+                yield bytes(held[:n])
+                del held[:n]
+            if ends and held:  # members hold whole records
+                yield bytes(held)
+                held.clear()
+        if held:
+            yield bytes(held)
 
 
 def write_responses(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -216,9 +355,17 @@ def build_derivatives(files: DataFrame, folder: str | None = None) -> DataFrame:
         out = Writer(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                for data in records(path) if path else ():
-                    for made in derive(data):
-                        out.add(made)
+                place = 0
+                try:
+                    for place, data in enumerate(records(path) if path else ()):
+                        try:
+                            made = derive(data)
+                        except ValueError as problem:
+                            made = [damaged(path, place, str(problem))]
+                        for x in made:
+                            out.add(x)
+                except zlib.error as problem:
+                    out.add(damaged(path, place + 1, str(problem)))
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array(out.files, pa.string())], ["path"])
 
@@ -246,8 +393,8 @@ def read_derivatives(files: DataFrame, with_blocks: bool = False) -> DataFrame:
                 for data in records(path) if path else ():
                     h, block = parse(data)
                     about = json.loads(block) if h["warc-type"] == "metadata" else {}
-                    source = h.get("warc-source-payload-digest") or about.get("source", {}).get("warc-payload-digest")
-                    rows.append((int(h["x-page-id"]) if "x-page-id" in h else None, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-block-digest"], source, len(block), about.get("conversion"), len(about["links"]) if about else None, block if with_blocks else None))
+                    source = h.get("warc-source-payload-digest") or one(about.get("source", {}), "warc-payload-digest")
+                    rows.append((int(h["x-page-id"]) if "x-page-id" in h else None, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-block-digest"], source, len(block), about.get("conversion"), len(about["links"]) if "links" in about else None, block if with_blocks else None))
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
