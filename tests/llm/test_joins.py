@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewatch.llm import resample, tokengroups, vectorcode
+from tablewatch.llm import minhash, resample, tokengroups, vectorcode
 
 
 def lower(text):
@@ -63,6 +63,15 @@ def test_similar_documents_lose_no_link(spark, near, block):
     assert tokengroups.similar_documents(docs.limit(0), width=3, percent=90).count() == 0
 
 
+def test_repeated_ids_join_their_texts(spark):
+    """One doc_id under three texts, of which others have copies: all are one component."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(9, text("a")), (9, text("b")), (9, text("c")), (3, text("b")), (5, text("c")), (7, text("a")), (1, text("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (minhash.near_duplicates(docs), tokengroups.similar_documents(docs)):
+        assert {(r.doc_id, r.component_id) for r in found.collect()} == {(9, 3), (3, 3), (5, 3), (7, 3), (1, 1)}
+
+
 def test_intersections_by_products_and_lists():
     rng = np.random.default_rng(3)
     for codes, most in ((40, 30), (60_000, 200), (9000, 2000)):
