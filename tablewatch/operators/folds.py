@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import staged
+from .review import apply_transaction
 from .scans import met, scan
 
 #: Commands of a run, runs that are composed at once, and rows of a range that meet their pieces.
@@ -307,3 +308,35 @@ def fold_table(rows: DataFrame, commands: DataFrame) -> DataFrame:
 def fold_rows(rows: DataFrame, commands: DataFrame) -> DataFrame:
     """The same for tables whose cells don't matter: (table_path, row_index, row_id, row_name, error)."""
     return fold_table(rows.select("table_path", "row_index", "row_id", "row_name"), commands).drop("fields")
+
+
+def run_transactions(steps: DataFrame, tables: DataFrame, rows: DataFrame, commands: DataFrame, operation: str) -> tuple[DataFrame, DataFrame]:
+    """((operation, outcome, code, command), (operation, table_path, row_index, row_id, row_name, fields)) of operations that run their commands.
+
+    ``steps(operation, table_path, expected)`` name an operation's tables, ``tables`` what is known of them (see ``apply_transaction``), ``rows`` are
+    the tables' rows and ``commands(operation, table_path, seq, kind, ...)`` what the operation does to them (see ``fold_table``). An operation that passes
+    the checks runs its commands in order of seq, each on its table. The first that fails (command), or is on a table that the operation doesn't name,
+    rolls all its tables back; else they are committed. Rows are those that a committed or rolled back operation leaves; each
+    operation begins with the tables as they are given.
+    """
+    checked = staged(apply_transaction(steps.withColumn("failure", F.lit(None).cast("string")), tables, operation), "checked")
+    passed = checked.where("outcome = 'committed'").select(operation)
+    plan = steps.select(operation, "table_path").distinct().join(passed, operation)
+    key = F.concat_ws("\x01", F.col(operation).cast("string"), "table_path")
+    run = commands.join(passed, operation)
+    mine = staged(rows.join(plan, "table_path").withColumns({"_of": key, "_table": F.col("table_path")}), "operations")
+    log = run.join(plan, [operation, "table_path"], "left_semi").withColumn("_key", key)
+    folded = staged(fold_table(mine.drop("table_path").withColumnRenamed("_of", "table_path"), log.drop("table_path").withColumnRenamed("_key", "table_path")), "folded")
+    seq = F.regexp_extract("error", ":([0-9]+)$", 1).cast("long")
+    # a table of the plan without rows has none that could tell of an error
+    empty = log.join(mine.select(F.col("_of").alias("_key")).distinct(), "_key", "left_anti").where("kind <> 'add'").select(operation, F.col("seq").alias("command"))
+    names = plan.withColumn("_key", key)
+    failed = folded.where("error is not null").select(F.col("table_path").alias("_key"), seq.alias("command")).distinct().join(names, "_key").select(operation, "command")
+    outside = run.join(plan, [operation, "table_path"], "left_anti").select(operation, F.col("seq").alias("command"))
+    first = staged(failed.unionByName(outside).unionByName(empty).groupBy(operation).agg(F.min("command").alias("command")), "failed")
+    told = checked.join(first, operation, "left")
+    back = F.col("command").isNotNull()
+    outcomes = told.select(operation, F.when(back, "rolled_back").otherwise(F.col("outcome")).alias("outcome"), F.when(back, "command_failed").otherwise(F.col("code")).alias("code"), "command")
+    before = mine.join(first.select(operation), operation, "left_semi").select(operation, F.col("_table").alias("table_path"), "row_index", "row_id", "row_name", _column(rows, "fields", "map<string,string>"))
+    after = folded.withColumnRenamed("table_path", "_key").join(names.join(first.select(operation), operation, "left_anti"), "_key").select(before.columns)
+    return outcomes, after.unionByName(before)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..sources.staging import staged
+from .scans import met
 
 
 def bounds(points: DataFrame, *extent: str) -> DataFrame:
@@ -21,22 +24,74 @@ def planar_projection(points: DataFrame, padding: float = 0.08) -> DataFrame:
     return placed.select("id", percent(F.col("x"), F.col("min_x"), F.col("max_x")).alias("px"), (100 - percent(F.col("y"), F.col("min_y"), F.col("max_y"))).alias("py"))
 
 
-def nearest_entity(queries: DataFrame, points: DataFrame, radius: float, but_itself: bool = False) -> DataFrame:
-    """(query_id, id): for each query (query_id, x, y) the closest point (id, x, y) within ``radius``; ties to the smaller id.
+#: A cell with more points is cut in four, down to so many levels below a radius.
+CROWDED, LEVELS = 256, 24
+
+
+def _cell(v: Column, size: float) -> Column:
+    return F.floor(v / size)
 
-    With ``but_itself`` queries are points too, and the one of a query's own id isn't meant.
 
+def _leaves(points: DataFrame, radius: float, crowded: int) -> tuple[list[DataFrame], DataFrame]:
+    """(cells of each level: cx, cy, n, split), and ``points`` with the level and cell of their leaf."""
+    levels, left, placed = [], points, None
+    for level in range(LEVELS + 1):
+        own = left.withColumns({"cx": _cell(F.col("px"), radius / 2**level), "cy": _cell(F.col("py"), radius / 2**level)})
+        cells = own.groupBy("cx", "cy").agg(F.sum("many").alias("n"), F.count("*").alias("places"))
+        split = (F.col("places") > crowded) & F.lit(level < LEVELS)
+        cells = staged(cells.withColumn("split", split).drop("places"), "grid")
+        levels.append(cells)
+        cut = cells.where("split").select("cx", "cy")
+        here = met(own, cut, ["cx", "cy"], "id", "left_anti").withColumn("level", F.lit(level)).select(*points.columns, "level", "cx", "cy")
+        placed = here if placed is None else placed.unionByName(here)
+        if cut.isEmpty():
+            return levels, placed
+        left = staged(met(own, cut, ["cx", "cy"], "id", "left_semi").select(*points.columns), "crowded")
+    raise AssertionError("the last level is not split")
+
+
+def nearest_entity(queries: DataFrame, points: DataFrame, radius: float, but_itself: bool = False, crowded: int = CROWDED) -> DataFrame:
+    """(query_id, id): for each query (query_id, x, y) the closest point (id, x, y) within ``radius``; ties to the smaller id.
+
+    With ``but_itself`` queries are points too, and the one of a query's own id isn't meant. Rows without a place take no part.
 
-    Points meet queries through the 3 x 3 grid cells around them, an equi-join.
+    The plane is a grid of cells as wide as the radius; a cell with more than ``crowded`` places is cut in four, and so on. A query begins with
+    the cells around it. Level by level, the nearest cell with a point bounds how far its answer can be, and only cells within
+    that are opened or gone into; so a crowd costs a query a few leaves, and a leaf has few places. Points at one place are counted once, with their two
+    smallest ids.
     """
-    cell = lambda v: F.floor(v / radius)
-    near = F.array(*[F.struct((cell(F.col("x")) + i).alias("cx"), (cell(F.col("y")) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.inline(near))
-    p = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
-    d = (F.col("qx") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col("qy") - F.col("py")) * (F.col("qy") - F.col("py"))
-    met = q.join(p, ["cx", "cy"]).where(d <= radius * radius)
-    met = met.where("query_id <> id") if but_itself else met
-    return met.groupBy("query_id").agg(F.min(F.struct(d.alias("d"), "id")).alias("best")).select("query_id", F.col("best.id").alias("id"))
+    here = points.where("x is not null and y is not null").groupBy(F.col("x").alias("px"), F.col("y").alias("py"))
+    here = here.agg(F.count("*").alias("many"), F.min("id").alias("id"), F.max("id").alias("other"))
+    if but_itself:  # where the smallest is the query itself, the next one is meant
+        least = here.where("many > 1").join(points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("id").alias("_id")), ["px", "py"]).where("_id > id").groupBy("px", "py").agg(F.min("_id").alias("_next"))
+        here = here.join(least, ["px", "py"], "left").withColumn("other", F.coalesce("_next", "other")).drop("_next")
+    here = staged(here, "places")
+    levels, placed = _leaves(here, radius, crowded)
+    placed = staged(placed, "leaves")
+
+    x, y, limit = F.col("qx"), F.col("qy"), F.lit(radius * radius)
+    around = F.array(*[F.struct((_cell(x, radius) + i).alias("cx"), (_cell(y, radius) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    asked = queries.where("x is not null and y is not null").select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy")).withColumn("bound", limit)
+    front, found = asked.select("*", F.inline(around)), None
+    for level, cells in enumerate(levels):
+        size = radius / 2**level
+        low = lambda c, v: F.greatest(F.lit(0.0), F.col(c) * size - v, v - (F.col(c) + 1) * size)
+        far = lambda c, v: F.greatest(v - F.col(c) * size, (F.col(c) + 1) * size - v)
+        square = lambda a, b: a * a + b * b
+        seen = front.join(cells, ["cx", "cy"]).withColumns({"near": square(low("cx", x), low("cy", y)), "far": square(far("cx", x), far("cy", y))})
+        own = (F.col("cx") == _cell(x, size)) & (F.col("cy") == _cell(y, size)) if but_itself else F.lit(False)
+        holds = F.col("n") > F.when(own, 1).otherwise(0)
+        bound = F.least("bound", F.min(F.when(holds, F.col("far"))).over(Window.partitionBy("query_id", "qx", "qy")))  # over no more cells than a few
+        # a little more, for rounding
+        seen = staged(seen.withColumn("bound", bound).where(F.col("near") <= F.col("bound") * (1 + 1e-9)), "front")
+        open_ = seen.where("not split").select("query_id", "qx", "qy", F.lit(level).alias("level"), "cx", "cy")
+        found = open_ if found is None else found.unionByName(open_)
+        inner = F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+        front = seen.where("split").select("query_id", "qx", "qy", "bound", F.inline(inner))
+    d = square(x - F.col("px"), y - F.col("py"))
+    chosen = F.when(F.col("id") != F.col("query_id"), F.col("id")).when(F.col("many") > 1, F.col("other")) if but_itself else F.col("id")
+    near = found.join(placed, ["level", "cx", "cy"]).select("query_id", d.alias("d"), chosen.alias("id")).where((F.col("d") <= limit) & F.col("id").isNotNull())
+    return near.groupBy("query_id").agg(F.min(F.struct("d", "id")).alias("best")).select("query_id", F.col("best.id").alias("id"))
 
 
 #: The presets' names, distance scale, elevation, yaw in degrees, and whether that is the world's or the subject's.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import audit as a, changes as c, review as v, values as vals
+from ..operators import audit as a, changes as c, folds as fo, review as v, values as vals
 from .changes import _COMMANDS, _commands
 from .common import table
 
@@ -143,17 +143,27 @@ SELECT session, path, outcome, CASE WHEN outcome = 'committed' THEN n ELSE 0 END
 
 
 def _transaction(s: SparkSession, d: str) -> DataFrame:
-    """Orders as operations on the tables of their lines' parts; a quarter of the parts are composite, some are gone or changed."""
-    part = table(s, d, "part").where("p_size <> 50").select(F.col("p_partkey").cast("string").alias("table_path"), F.when(F.col("p_size") == 49, "changed").otherwise(F.col("p_name")).alias("fingerprint"), (F.col("p_size") == 48).alias("composite"))
-    names = table(s, d, "part").select("p_partkey", "p_name")
-    lines = table(s, d, "lineitem").where("l_linenumber <= 2 or l_returnflag = 'R'").join(names, F.col("l_partkey") == F.col("p_partkey"), "left")
-    steps = lines.select("l_orderkey", F.col("l_partkey").cast("string").alias("table_path"), F.col("p_name").alias("expected"), F.when(F.col("l_quantity") == 13, "command_failed").alias("failure"))
-    return v.apply_transaction(steps, part, "l_orderkey")
-
-
-_TRANSACTION = """WITH l AS (SELECT l_orderkey, l_partkey, l_quantity, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS times FROM lineitem WHERE l_linenumber <= 2 OR l_returnflag = 'R'),
-r AS (SELECT l_orderkey, min(CASE WHEN times > 1 THEN 1 WHEN p_partkey IS NULL OR p_size = 50 THEN 2 WHEN p_size = 48 THEN 3 WHEN p_size = 49 THEN 4 WHEN l_quantity = 13 THEN 5 END) AS k FROM l LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1)
-SELECT l_orderkey, CASE WHEN k IS NULL THEN 'committed' WHEN k = 5 THEN 'rolled_back' ELSE 'rejected' END AS outcome, CASE k WHEN 1 THEN 'duplicate_table' WHEN 2 THEN 'table_not_found' WHEN 3 THEN 'read_only_table' WHEN 4 THEN 'fingerprint_mismatch' WHEN 5 THEN 'command_failed' END AS code FROM r"""
+    """Orders as operations on the tables of their lines' parts, each line a command; some parts are composite, gone or changed, some lines expect another size."""
+    part = table(s, d, "part")
+    known = part.where("p_size <> 50").select(F.col("p_partkey").cast("string").alias("table_path"), F.when(F.col("p_size") == 49, "changed").otherwise(F.col("p_name")).alias("fingerprint"), (F.col("p_size") == 48).alias("composite"))
+    rows = part.select(F.col("p_partkey").cast("string").alias("table_path"), F.lit(0).alias("row_index"), F.lit("row").alias("row_id"), F.col("p_name").alias("row_name"), F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("fields"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = table(s, d, "lineitem").withColumn("seq", F.row_number().over(order)).join(part.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    lines = lines.withColumn("table_path", F.col("l_partkey").cast("string"))
+    steps = lines.select("l_orderkey", "table_path", F.col("p_name").alias("expected"))
+    size = F.when(F.col("l_quantity") == 13, "another").otherwise(F.col("p_size").cast("string"))
+    commands = lines.select("l_orderkey", "table_path", "seq", F.lit("set_cell").alias("kind"), F.lit("row").alias("row_id"), F.lit("size").alias("field"), size.alias("old_value"), F.col("l_quantity").cast("int").cast("string").alias("new_value"))
+    outcomes, after = fo.run_transactions(steps, known, rows, commands, "l_orderkey")
+    sizes = after.groupBy("l_orderkey").agg(F.sum(F.col("fields")["size"].cast("long")).alias("sizes"))
+    return outcomes.join(sizes, "l_orderkey", "left")
+
+
+_TRANSACTION = """WITH l AS (SELECT l_orderkey, l_partkey, l_quantity, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS times, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq FROM lineitem),
+r AS (SELECT l_orderkey, min(CASE WHEN times > 1 THEN 1 WHEN p_partkey IS NULL OR p_size = 50 THEN 2 WHEN p_size = 48 THEN 3 WHEN p_size = 49 THEN 4 END) AS k, min(seq) FILTER (l_quantity = 13) AS c,
+  CAST(sum(p_size) AS BIGINT) AS before, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS after FROM l LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT l_orderkey, CASE WHEN k IS NOT NULL THEN 'rejected' WHEN c IS NOT NULL THEN 'rolled_back' ELSE 'committed' END AS outcome,
+ CASE k WHEN 1 THEN 'duplicate_table' WHEN 2 THEN 'table_not_found' WHEN 3 THEN 'read_only_table' WHEN 4 THEN 'fingerprint_mismatch' ELSE CASE WHEN c IS NOT NULL THEN 'command_failed' END END AS code,
+ CASE WHEN k IS NULL THEN c END AS command, CASE WHEN k IS NULL THEN CASE WHEN c IS NULL THEN after ELSE before END END AS sizes FROM r"""
 
 
 def _plan(s: SparkSession, d: str) -> DataFrame:

@@ -124,7 +124,7 @@ def test_a_table_of_a_million_rows_takes_many_tasks(spark):
     gone = spark.range(0, n, 500).select(F.col("id").alias("place"))
     removed = gone.select(F.lit("t").alias("table_path"), (F.col("place") * 2).alias("seq"), F.lit("remove").alias("kind"), F.concat(F.lit("r"), "place").alias("row_id"), F.lit(None).cast("string").alias("row_name"), F.col("place").alias("at_index"))
     added = gone.select(F.lit("t").alias("table_path"), (F.col("place") * 2 + 1).alias("seq"), F.lit("add").alias("kind"), F.concat(F.lit("n"), "place").alias("row_id"), F.concat(F.lit("new "), "place").alias("row_name"), F.col("place").alias("at_index"))
-    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "1k"}
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     for k, v in small.items():
         spark.conf.set(k, v)
     try:
