@@ -15,8 +15,8 @@ of 0/1 matrices for common tokens and from lists for rare ones.
 A block returns a forest of links, never its pairs. Members of a group's several blocks that are not linked to the leader then
 meet the other blocks; all others are linked through the leader already.
 
-Any fixed order of all tokens makes a right prefix. This one puts an eighth of all tokens first, chosen by their hash and
-ordered by how many documents hold them; so counts cover all documents, and seven eighths of the tokens are never shuffled.
+Any fixed order of all tokens makes a right prefix. This one puts a quarter of all tokens first, chosen by their hash and
+ordered by how many documents hold them; so counts cover all documents, and three quarters of the tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .minhash import _dealt, _key, _whole_cells, packed_texts
 from .session import written
 
 #: One in so many tokens is counted.
-COUNTED = 8
+COUNTED = 4
 #: What a task compares at once: so many documents on a side, and so many shingles of them.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Rows of the matrix of intersections that are held at a time, tokens of a product, and pairs from lists of rare tokens.
