@@ -30,6 +30,23 @@ def unit_key(namespace: Column, name: Column) -> Column:
     return F.concat(part(namespace), F.lit(":"), part(name))
 
 
+def _unit(namespace: str, name: str, entry: str) -> Column:
+    resolved = F.col(namespace).isNotNull() & F.col(name).isNotNull()
+    return F.when(resolved, unit_key(F.col(namespace), F.col(name))).otherwise(F.concat(F.lit("entry:"), F.col(entry).cast("string")))
+
+
+def unit_entries(rows: DataFrame, namespace: str, name: str, entry: str, text: str) -> DataFrame:
+    """(unit_id, entry, digest): a row for each entry of a unit, for units that may hold a fixed share of all entries."""
+    return rows.select(_unit(namespace, name, entry).alias("unit_id"), F.col(entry).alias("entry"), F.sha2(F.col(text), 256).alias("digest"))
+
+
+def unit_states(entries: DataFrame) -> DataFrame:
+    """``unit_entries`` to (unit_id, occurrences, texts, first_entry, last_entry, state): counts and two examples, so no unit is held whole."""
+    each = entries.groupBy("unit_id", "digest").agg(F.count("*").alias("n"), F.min("entry").alias("low"), F.max("entry").alias("high"))
+    units = each.groupBy("unit_id").agg(F.sum("n").alias("occurrences"), F.count("digest").alias("texts"), F.min("low").alias("first_entry"), F.max("high").alias("last_entry"))
+    return units.withColumn("state", F.when(F.col("texts") <= 1, "consistent").otherwise("conflicting"))
+
+
 def text_units(rows: DataFrame, namespace: str, name: str, entry: str, text: str) -> DataFrame:
     """(unit_id, occurrences, entries, sources, state): by namespace and name; a row without either is a unit of its own.
 

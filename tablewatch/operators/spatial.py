@@ -105,11 +105,12 @@ PRESETS = [
 ]
 
 
-def framing_candidates(subjects: DataFrame, fov: float = 60.0, margin: float = 0.1, presets: list = PRESETS) -> DataFrame:
+def framing_candidates(subjects: DataFrame, fov: float = 60.0, margin: float = 0.1, presets: list = PRESETS, views: DataFrame | None = None) -> DataFrame:
     """Camera places for each subject (id, x, y, z, ex, ey, ez, yaw), and the angles that aim them at it.
 
     The distance fits a sphere around the extent (radius 1 at least) into the frame: r / sin(fov / 2) / (1 - 2 margin), times
-    the preset's scale. Subjects of which a number isn't finite, or an extent is negative, have none.
+    the preset's scale. Subjects of which a number isn't finite, or an extent is negative, have none. ``views(id, x, y, z, pitch,
+    yaw)`` give some subjects one more candidate, editor_view: the place and angles of somebody's own view, as they are.
     """
     numbers = ("x", "y", "z", "ex", "ey", "ez", "yaw")
     fine = F.lit(True)
@@ -124,4 +125,10 @@ def framing_candidates(subjects: DataFrame, fov: float = 60.0, margin: float = 0
     angle = F.radians(F.when(F.col("world"), F.col("turn")).otherwise(F.col("yaw") + F.col("turn")))
     placed = placed.withColumns({"dx": F.cos(angle) * F.col("distance"), "dy": F.sin(angle) * F.col("distance"), "dz": F.col("ez") * F.col("up")})
     aim = {"pitch": F.degrees(F.atan2(-F.col("dz"), F.hypot("dx", "dy"))), "aim_yaw": F.degrees(F.atan2(-F.col("dy"), -F.col("dx")))}
-    return placed.select("id", "preset", "distance", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"), (F.col("z") + F.col("dz")).alias("cz"), *[v.alias(k) for k, v in aim.items()])
+    found = placed.select("id", "preset", "distance", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"), (F.col("z") + F.col("dz")).alias("cz"), *[v.alias(k) for k, v in aim.items()])
+    if views is None:
+        return found
+    own = views.select("id", F.lit("editor_view").alias("preset"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "pitch", F.col("yaw").alias("aim_yaw"))
+    own = own.join(subjects.where(fine).select("id", "x", "y", "z"), "id")
+    away = F.sqrt((F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y")) + (F.col("cz") - F.col("z")) * (F.col("cz") - F.col("z")))
+    return found.unionByName(own.withColumn("distance", away).select(found.columns))

@@ -213,6 +213,7 @@ _KIND = "CASE WHEN event_id % 29 = 0 THEN 'catalog' WHEN event_id % 23 = 0 THEN
 QUERIES = {
     "text_occurrences": (_occurrences, _OCCURRENCES),
     "text_units": (lambda s, d: v.text_units(table(s, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.concat("lang", F.lit(": x")))), "source", "lang", "doc_id", "text").select("unit_id", "occurrences", F.array_join("entries", ",").alias("entries"), F.array_join("sources", ",").alias("sources"), "state"), "SELECT unit_id, count(*) AS occurrences, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS entries, coalesce(string_agg(DISTINCT sha256(text), ',' ORDER BY sha256(text)), '') AS sources, CASE WHEN count(DISTINCT text) <= 1 THEN 'consistent' ELSE 'conflicting' END AS state FROM (SELECT CASE WHEN source IS NOT NULL AND lang IS NOT NULL AND doc_id % 9 <> 0 THEN source || ':' || lang || '%3A%20x' ELSE 'entry:' || CAST(doc_id AS VARCHAR) END AS unit_id, text, doc_id FROM documents) GROUP BY 1"),
+    "text_unit_states": (lambda s, d: v.unit_states(v.unit_entries(table(s, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.concat("lang", F.lit(": x")))), "source", "lang", "doc_id", "text")), "SELECT unit_id, CAST(count(*) AS BIGINT) AS occurrences, count(DISTINCT text) AS texts, min(doc_id) AS first_entry, max(doc_id) AS last_entry, CASE WHEN count(DISTINCT text) <= 1 THEN 'consistent' ELSE 'conflicting' END AS state FROM (SELECT CASE WHEN source IS NOT NULL AND lang IS NOT NULL AND doc_id % 9 <> 0 THEN source || ':' || lang || '%3A%20x' ELSE 'entry:' || CAST(doc_id AS VARCHAR) END AS unit_id, text, doc_id FROM documents) GROUP BY 1"),
     "text_diagnostics": (_diagnostics, _DIAGNOSTICS),
     "unit_diagnostics": (lambda s, d: _diagnostics(s, d).join(table(s, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi"), f"SELECT doc_id, code FROM ({_DIAGNOSTICS}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
     "input_report": (lambda s, d: v.input_report(table(s, d, "events"), "user_id", F.col("event_type") == "click", F.col("event_id") % 20 == 0), "SELECT user_id, count(*) AS entries, count(*) FILTER (event_type = 'click') AS relevant, count(*) FILTER (event_id % 20 = 0) AS diagnostics, CASE WHEN count(*) FILTER (event_id % 20 = 0) > 0 OR count(*) FILTER (event_type = 'click') = 0 THEN 'partial' ELSE 'complete' END AS status FROM events GROUP BY 1"),

@@ -35,3 +35,11 @@ def test_a_crowded_cell_is_split(spark):
     levels, placed = spatial._leaves(points.cache(), 1.0, 50)
     assert len(levels) > 10 and placed.groupBy("level", "cx", "cy").count().agg(F.max("count")).first()[0] <= 50
     assert placed.count() == 2000
+
+
+def test_a_view_of_ones_own_is_a_candidate(spark):
+    subjects = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0), (2, 0.0, 0.0, 0.0, -1.0, 1.0, 1.0, 0.0)], "id int, x double, y double, z double, ex double, ey double, ez double, yaw double")
+    views = spark.createDataFrame([(1, 3.0, 4.0, 0.0, -5.0, 90.0), (2, 1.0, 1.0, 1.0, 0.0, 0.0)], "id int, x double, y double, z double, pitch double, yaw double")
+    found = spatial.framing_candidates(subjects, views=views)
+    assert found.count() == 7
+    assert [tuple(r) for r in found.where("preset = 'editor_view'").select("id", "distance", "cx", "cy", "cz", "pitch", "aim_yaw").collect()] == [(1, 5.0, 3.0, 4.0, 0.0, -5.0, 90.0)]
