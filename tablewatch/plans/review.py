@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import audit as a, changes as c, folds as fo, review as v, values as vals
+from ..operators import audit as a, changes as c, corpus as co, folds as fo, review as v, values as vals
 from .changes import _COMMANDS, _commands
 from .common import table
 
@@ -166,6 +166,28 @@ SELECT l_orderkey, CASE WHEN k IS NOT NULL THEN 'rejected' WHEN c IS NOT NULL TH
  CASE WHEN k IS NULL THEN c END AS command, CASE WHEN k IS NULL THEN CASE WHEN c IS NULL THEN after ELSE before END END AS sizes FROM r"""
 
 
+def _corpus(s: SparkSession, d: str) -> DataFrame:
+    """Documents as entries of string tables, as texts in arrays of table cells, and as texts in structs of objects."""
+    said = lambda **more: F.struct(F.lit("text").alias("value_kind"), F.col("text").alias("value"), *[v_.alias(k) for k, v_ in more.items()])
+    path = F.concat(F.lit("/Game/"), F.col("doc_id").cast("string"))
+    key = F.col("doc_id").cast("string")
+    entry = F.struct(path.alias("object_path"), F.lit("StringTable").alias("kind"), F.col("source").alias("string_table_namespace"), F.array(F.struct(key.alias("key"), F.col("text").alias("source"))).alias("string_table_entries"))
+    listed = F.struct(F.lit("Titles").alias("name"), F.lit("array").alias("value_kind"), F.array(said(history=F.lit("base"), namespace=F.col("source"), key=F.coalesce("lang", F.lit("")))).alias("values"))
+    cell = F.struct(path.alias("object_path"), F.lit("DataTable").alias("kind"), F.array(F.struct(F.lit("r").alias("name"), F.array(listed).alias("properties"))).alias("rows"))
+    inner = F.struct(F.lit("T").alias("name"), F.lit("text").alias("value_kind"), F.col("text").alias("value"), F.lit("none").alias("history"))
+    own = F.struct(path.alias("object_path"), F.lit("UObject").alias("kind"), F.array(F.struct(F.lit("S").alias("name"), F.lit("struct").alias("value_kind"), F.array(inner).alias("properties"))).alias("properties"))
+    asset = F.when(F.col("doc_id") % 3 == 0, F.to_json(entry)).when(F.col("doc_id") % 3 == 1, F.to_json(cell)).otherwise(F.to_json(own))
+    docs = table(s, d, "documents").where("text is not null").select(F.concat(F.lit("file-"), key).alias("package_file"), F.concat(F.lit('{"assets": ['), asset, F.lit("]}")).alias("json"))
+    return co.text_corpus(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).drop("text")
+
+
+_CORPUS = """SELECT 'occurrence:/Game/' || doc_id || CASE doc_id % 3 WHEN 0 THEN ':entry:' || doc_id WHEN 1 THEN ':row:r:property:Titles[0]' ELSE ':property:S.T' END || ':file-' || doc_id AS id, 'file-' || doc_id AS package_file, '/Game/' || doc_id AS object_path,
+ CASE doc_id % 3 WHEN 0 THEN 'string_table_entry' WHEN 1 THEN 'data_table_cell' ELSE 'asset_property' END AS location, CASE WHEN doc_id % 3 = 1 THEN 'r' END AS row, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'Titles[0]' ELSE 'S.T' END AS path,
+ CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND lang <> '') THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND lang <> '') THEN source END AS namespace,
+ CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 AND lang <> '' THEN lang END AS key, CASE WHEN doc_id % 3 = 2 THEN 'culture_invariant' WHEN doc_id % 3 = 1 AND coalesce(lang, '') = '' THEN 'missing_key' END AS reason,
+ CASE WHEN doc_id % 3 = 2 THEN 'read_only' ELSE 'source_editable' END AS capability, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL"""
+
+
 def _plan(s: SparkSession, d: str) -> DataFrame:
     log, pointers = _commands(s, d)
     prints = table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("props").alias("fingerprint"))
@@ -212,6 +234,7 @@ _KIND = "CASE WHEN event_id % 29 = 0 THEN 'catalog' WHEN event_id % 23 = 0 THEN
 
 QUERIES = {
     "text_occurrences": (_occurrences, _OCCURRENCES),
+    "text_corpus": (_corpus, _CORPUS),
     "text_units": (lambda s, d: v.text_units(table(s, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.concat("lang", F.lit(": x")))), "source", "lang", "doc_id", "text").select("unit_id", "occurrences", F.array_join("entries", ",").alias("entries"), F.array_join("sources", ",").alias("sources"), "state"), "SELECT unit_id, count(*) AS occurrences, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS entries, coalesce(string_agg(DISTINCT sha256(text), ',' ORDER BY sha256(text)), '') AS sources, CASE WHEN count(DISTINCT text) <= 1 THEN 'consistent' ELSE 'conflicting' END AS state FROM (SELECT CASE WHEN source IS NOT NULL AND lang IS NOT NULL AND doc_id % 9 <> 0 THEN source || ':' || lang || '%3A%20x' ELSE 'entry:' || CAST(doc_id AS VARCHAR) END AS unit_id, text, doc_id FROM documents) GROUP BY 1"),
     "text_unit_states": (lambda s, d: v.unit_states(v.unit_entries(table(s, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.concat("lang", F.lit(": x")))), "source", "lang", "doc_id", "text")), "SELECT unit_id, CAST(count(*) AS BIGINT) AS occurrences, count(DISTINCT text) AS texts, min(doc_id) AS first_entry, max(doc_id) AS last_entry, CASE WHEN count(DISTINCT text) <= 1 THEN 'consistent' ELSE 'conflicting' END AS state FROM (SELECT CASE WHEN source IS NOT NULL AND lang IS NOT NULL AND doc_id % 9 <> 0 THEN source || ':' || lang || '%3A%20x' ELSE 'entry:' || CAST(doc_id AS VARCHAR) END AS unit_id, text, doc_id FROM documents) GROUP BY 1"),
     "text_diagnostics": (_diagnostics, _DIAGNOSTICS),
