@@ -493,7 +493,7 @@ def _found(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFram
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
     """(path, at, size, skip, ranges): the chunks of ``docs`` with all that is found in them."""
-    work, n, tasks = stored(docs, length), buckets_for(docs), _tasks(docs)
+    work, n, tasks = stored(docs, length), 3 * buckets_for(docs), _tasks(docs)  # a bucket is a group that a task holds
     k = max(1, GRAM * length // LENGTH)
     ranges = _found(work, length, k, n, tasks).groupBy("chunk").agg(F.collect_list("data").alias("ranges"))  # no longer than a chunk's text
     return work.join(ranges, "chunk", "left").select("path", "at", "size", "skip", "ranges").repartition(tasks)
