@@ -149,7 +149,7 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Record
 
 
 class Chunk:
-    """The anchors of a chunk, and the distinct (hash, document) that it is asked about."""
+    """The anchors of a chunk, the distinct hashes that it asks about, and how many of its documents hold each (at most ``_CHUNK + 1``)."""
 
     def __init__(self, piece: pa.RecordBatch, skip: list[int] | None, length: int, k: int):
         place = piece.schema.get_field_index("text")
@@ -177,7 +177,10 @@ class Chunk:
         doc = self.ids[self.row]
         order = np.lexsort((doc, self.key))
         h, d = self.key[order], doc[order]
-        self.asked = h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])] if len(h) else h
+        held = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        self.asked = h[new]
+        self.held = np.minimum(np.add.reduceat(held, new, dtype=np.int64), _CHUNK + 1) if len(h) else new
 
 
 def _edges(asked: np.ndarray, n: int) -> np.ndarray:
@@ -354,21 +357,22 @@ def _marked(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFra
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, piece in _loaded(batches):
-            asked = Chunk(piece, row["skip"], length, k).asked
-            edge = _edges(asked, n)
+            c = Chunk(piece, row["skip"], length, k)
+            asked, held, edge = c.asked, c.held.astype("<u4"), _edges(c.asked, n)
             some = np.flatnonzero(np.diff(edge)).tolist()
-            data = [_squeezed(np.diff(asked[edge[i] : edge[i + 1]], prepend=np.uint64(_floor(i, n)))) for i in some]
+            data = [_squeezed(np.diff(asked[edge[i] : edge[i + 1]], prepend=np.uint64(_floor(i, n))), held[edge[i] : edge[i + 1]]) for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "data"])
 
     def answer(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        each = [np.cumsum(_restored(x, "<u8")[0]) + np.uint64(_floor(int(key[0]), n)) for x in part["data"]]
+        each, held = zip(*(_restored(x, "<u8", "<u4") for x in part["data"]), strict=True)
+        each = [np.cumsum(x) + np.uint64(_floor(int(key[0]), n)) for x in each]
         edge = np.concatenate([[0], np.cumsum([len(x) for x in each])])
         asked = np.concatenate(each)
         order = np.argsort(asked, kind="stable")
         new = np.concatenate([[True], asked[order][1:] != asked[order][:-1]])
-        held = np.diff(np.concatenate([np.flatnonzero(new), [len(asked)]]))
+        total = np.add.reduceat(np.concatenate(held)[order], np.flatnonzero(new), dtype=np.int64)
         docs = np.empty(len(asked), np.int64)
-        docs[order] = held[np.cumsum(new) - 1]
+        docs[order] = total[np.cumsum(new) - 1]
         out = []
         for chunk, i, j in zip(part["chunk"].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if (docs[i:j] > 1).any():

@@ -124,6 +124,20 @@ def test_long_texts_are_looked_through_in_parts(monkeypatch):
     assert windows() == whole and len(whole) == 4951
 
 
+def test_a_chunk_asks_for_an_anchor_once_however_many_documents_hold_it(monkeypatch):
+    import pyarrow as pa
+
+    passage = "".join(random.Random(4).choices("abcdefgh ", k=200))
+    ids = [i // 2 for i in range(400)]  # every doc_id stands under two texts
+    piece = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"{i:030d}{passage}{i:030d}" for i in range(400)]), pa.array(ids, pa.int64())], ["doc_id", "text", "id"])
+    c = suffix.Chunk(piece, None, 50, 22)
+    assert len(np.unique(c.asked)) == len(c.asked) == len(c.held) and set(c.asked) == set(c.key)
+    holders = {int(k): len({int(c.ids[r]) for r in c.row[c.key == k]}) for k in c.asked}
+    assert holders == dict(zip(c.asked.tolist(), c.held.tolist(), strict=True)) and max(holders.values()) == 200
+    monkeypatch.setattr(suffix, "_CHUNK", 8)
+    assert max(suffix.Chunk(piece, None, 50, 22).held) == 9
+
+
 def test_a_passage_after_many_texts_stays_out_of_the_merge(spark, monkeypatch):
     merged = suffix.repeated_windows
 
