@@ -5,7 +5,7 @@ A byte goes when a ``length``-byte string that covers it also starts in a docume
 A transform of all text at once would be one structure as large as the corpus, so the work is first
 cut into pieces that tasks can hold, without losing a match:
 
-0. *Chunks.* Documents are written once, about a megabyte of text at a time; what is found later names a chunk and a row of it,
+0. *Chunks.* Documents are written once, some four megabytes of text at a time; what is found later names a chunk and a row of it,
    so neither ids nor other columns are joined and texts are never shuffled. A text that a document
    with a smaller id has as a whole (by a 128-bit digest) is covered as a whole and takes no further part.
 1. *Anchors.* In each window of ``length - k + 1`` k-grams, the one with the least hash is an anchor. Equal
@@ -44,8 +44,8 @@ from . import text as tx
 from .session import buckets_for, fresh_dir, written
 
 LENGTH, GRAM = 50, 22
-#: Bytes of text in a chunk, and in what a task looks for anchors in at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text in a chunk, and in what a task looks for anchors in at once. A chunk sends a row to each bucket, so larger ones send fewer.
+STORED_BYTES, CHUNK_BYTES = 1 << 22, 1 << 20
 _HELD = 1 << 18
 #: Contexts merged at once (more only where one anchor has more); anchors of more than _CHUNK documents are compared by windows.
 _MERGED, _CHUNK = 1 << 10, 1 << 12
@@ -114,7 +114,7 @@ def stored(docs: DataFrame, length: int) -> DataFrame:
         part, at, out, rows = TaskContext.get().partitionId(), 0, None, []
         name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}.chunks"
         for batch in batches:
-            for a, b, data, offsets in tx.slices(batch.column(place), CHUNK_BYTES):
+            for a, b, data, offsets in tx.slices(batch.column(place), STORED_BYTES):
                 out = out or fs.open_output_stream(f"{path}/{name}")
                 piece, sink, raw = batch.slice(a, b - a), pa.BufferOutputStream(), data.tobytes()
                 with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as ipc:

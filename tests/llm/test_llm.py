@@ -122,6 +122,12 @@ def test_long_texts_are_looked_through_in_parts(monkeypatch):
     whole = windows()
     monkeypatch.setattr(suffix, "CHUNK_BYTES", 300)
     assert windows() == whole and len(whole) == 4951
+    monkeypatch.undo()
+    ids = list(range(40))
+    piece = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([text[i * 100 : i * 100 + 40 + i] for i in ids]), pa.array(ids, pa.int64())], ["doc_id", "text", "id"])
+    whole = windows()
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 300)  # now a part holds several texts
+    assert windows() == whole and len(whole) == sum(max(0, 40 + i - 49) for i in ids)
 
 
 def test_a_chunk_asks_for_an_anchor_once_however_many_documents_hold_it(monkeypatch):
