@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tablewatch.llm import ann, decontam, langid, licenses, minhash, packing, suffix, tokens, urlfilter, warc
+from tablewatch.llm import ann, decontam, langid, licenses, minhash, packing, queries, suffix, tokens, urlfilter, warc
 
 ODD = [(1, ""), (2, None), (3, "one"), (4, " ".join(f"w{i}" for i in range(400))), (5, " ".join(f"w{i}" for i in range(400))), (6, " ".join(f"w{i}" for i in range(399))), (None, "no id here"), (7, "é" * 60 + " x"), (8, "y " + "é" * 60)]
 
@@ -296,6 +296,13 @@ def test_url_rules(spark, monkeypatch, many):
     assert urlfilter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_the_query(spark, tmp_path):
+    urls = ["http://a.com/en/1", "http://example.com/en/7x", "http://b.NET/de/1", "http://example.net/de/9", "http://w.example.net/de/81", "http://c.org/es/1", "http://d.io/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = [tuple(r)[3:] for r in sorted(queries.op10_url_filter(spark, str(tmp_path)).collect())]
+    assert found == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+
+
 def test_licenses(spark):
     text = [(1, "x y z " * 30 + "Released under the MIT License. more"), (2, "nothing of the kind"), (3, None), (4, licenses.NOTICES["bsd"]), (4, licenses.NOTICES["bsd"]), (5, "q " * 99_999 + licenses.NOTICES["mit-whole"]), (6, ""), (None, licenses.NOTICES["isc"])]
     docs = spark.createDataFrame(text, "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("license", F.lit(1))
