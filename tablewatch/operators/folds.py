@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import staged
 from .review import apply_transaction
-from .scans import met, scan
+from .scans import apart, met, scan
 
 #: Commands of a run, runs that are composed at once, and rows of a range that meet their pieces.
 RUN, COMPOSED, RANGE = 512, 8, 256
@@ -141,11 +141,11 @@ def _composed(shifts: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pieces of each list: ``shifts(table_path, epoch, seq, kind, row_id, at_index)`` on ``sizes(table_path, epoch, size)``."""
     numbered = scan(shifts, _LIST, ["seq"], sums={"n": F.lit(1).cast("long")}).withColumn("node", F.floor((F.col("n") - 1) / RUN)).drop("n")
     change = F.sum(F.when(F.col("kind") == "add", 1).otherwise(-1)).alias("change")
-    runs = numbered.groupBy(*_LIST, "node").agg(change).join(sizes, _LIST)
+    runs = numbered.groupBy(*_LIST, "node").agg(change).join(apart(sizes), _LIST)
     before = F.sum("change").over(Window.partitionBy(*_LIST).orderBy("node").rowsBetween(Window.unboundedPreceding, -1))  # a row for each run
     runs = runs.select(*_LIST, "node", (F.col("size") + F.coalesce(before, F.lit(0))).alias("size"))
     keys = [*_LIST, "node"]
-    ready = numbered.join(runs, keys).repartition(*keys).sortWithinPartitions(*keys, "seq")
+    ready = numbered.join(apart(runs), keys).repartition(*keys).sortWithinPartitions(*keys, "seq")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
@@ -183,7 +183,7 @@ def _placed(lists: DataFrame, pieces: DataFrame) -> DataFrame:
     old = each.where("births < 0").withColumn("range", F.explode(F.sequence(F.floor(F.col("starts") / RANGE), F.floor((F.col("starts") + F.col("sizes") - 1) / RANGE))))
     rows = lists.withColumn("range", F.floor(F.col("row_index") / RANGE))
     inside = (F.col("row_index") >= F.col("starts")) & (F.col("row_index") < F.col("starts") + F.col("sizes"))
-    kept = rows.join(old.select(*_LIST, "range", "starts", "sizes", "begin"), [*_LIST, "range"]).where(inside).select(*_LIST, (F.col("begin") + F.col("row_index") - F.col("starts")).alias("row_index"), "row_id")
+    kept = rows.join(apart(old.select(*_LIST, "range", "starts", "sizes", "begin")), [*_LIST, "range"]).where(inside).select(*_LIST, (F.col("begin") + F.col("row_index") - F.col("starts")).alias("row_index"), "row_id")
     still = met(lists, pieces.select(*_LIST), _LIST, "row_id", "left_anti").select(*_LIST, "row_index", "row_id")
     return kept.unionByName(born).unionByName(still)
 
@@ -199,22 +199,22 @@ def _order_problems(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFra
     lists = base.unionByName(listed("new_order").drop("seq"))
     shifts = moves.where("kind <> 'reorder'").drop("old_order", "new_order")
     counted = lists.groupBy(*_LIST).agg(F.count("*").alias("size"))
-    sizes = shifts.select(*_LIST).distinct().join(counted, _LIST, "left").na.fill(0, ["size"])
+    sizes = shifts.select(*_LIST).distinct().join(apart(counted), _LIST, "left").na.fill(0, ["size"])
     pieces = staged(_composed(shifts, sizes), "pieces")
     bad = [pieces.where("failed is not null").select("table_path", F.col("failed").alias("seq"))]
 
     claims = pieces.select(*_LIST, F.explode(F.arrays_zip("claim_seqs", "claim_places", "claim_rows")).alias("c")).select(*_LIST, F.col("c.claim_seqs").alias("seq"), F.col("c.claim_places").alias("row_index"), F.col("c.claim_rows").alias("claimed"))
-    bad.append(claims.join(lists, [*_LIST, "row_index"], "left").where(~F.col("row_id").eqNullSafe(F.col("claimed"))).select("table_path", "seq"))
+    bad.append(claims.join(apart(lists), [*_LIST, "row_index"], "left").where(~F.col("row_id").eqNullSafe(F.col("claimed"))).select("table_path", "seq"))
 
     result = staged(_placed(lists, pieces), "lists")
     # what a reorder recorded must be the list that it meets, and hold the ids that it leaves
     left = met(result.withColumn("epoch", F.col("epoch") + 1), turns.select(*_LIST), _LIST, "row_id", "left_semi").withColumn("found", F.lit(1))
     said = listed("old_order").drop("seq").withColumn("said", F.lit(1))
-    apart = left.join(said, [*_LIST, "row_index", "row_id"], "full").where("found is null or said is null").select(*_LIST)
+    moved = left.join(apart(said), [*_LIST, "row_index", "row_id"], "full").where("found is null or said is null").select(*_LIST)
     count = lambda c, n: listed(c).select(*_LIST, "row_id", F.lit(n).alias("n"))
     other = count("old_order", 1).union(count("new_order", -1)).groupBy(*_LIST, "row_id").agg(F.sum("n").alias("n")).where("n <> 0").select(*_LIST)
     unsaid = turns.where("old_order is null or new_order is null").select(*_LIST)
-    bad.append(turns.join(apart.union(other).union(unsaid).distinct(), _LIST).select("table_path", "seq"))
+    bad.append(turns.join(apart(moved.union(other).union(unsaid).distinct()), _LIST).select("table_path", "seq"))
     # the list after the last reorder
     final = turns.groupBy("table_path").agg(F.max("epoch").alias("_last"))
     ends = met(result, final, _TABLE, "row_id", "left").where(F.col("epoch") == F.coalesce("_last", F.lit(0))).select("table_path", "row_index", "row_id")
@@ -225,7 +225,7 @@ def _row_problems(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame
     """((table_path, seq) of commands on rows that are not there, or are, or go by another name; names as they come and go)."""
     base = rows.select("table_path", F.lit(None).cast("long").alias("seq"), F.lit("base").alias("kind"), "row_id", "row_name", F.lit(None).cast("string").alias("old_name"))
     on_rows = log.where("kind <> 'reorder'").select("table_path", "seq", "kind", "row_id", "row_name", "old_name")
-    touched = base.join(on_rows.select("table_path", "row_id").distinct(), ["table_path", "row_id"], "left_semi")
+    touched = base.join(apart(on_rows.select("table_path", "row_id").distinct()), ["table_path", "row_id"], "left_semi")
     w = Window.partitionBy("table_path", "row_id").orderBy(F.asc_nulls_first("seq"))
     kind = F.col("kind")
     named = F.last(F.when(kind.isin("base", "add", "rename"), F.struct("row_name")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -242,7 +242,7 @@ def _name_problems(rows: DataFrame, changes: DataFrame) -> DataFrame:
     asked = changes.where("change > 0").select(F.col("table_path").alias("_t"), F.col("name").alias("_n")).distinct()
     same = F.col("table_path").eqNullSafe(F.col("_t")) & F.col("name").eqNullSafe(F.col("_n"))
     base = rows.groupBy("table_path", F.col("row_name").alias("name")).agg(F.count("*").cast("int").alias("change")).withColumn("seq", F.lit(None).cast("long"))
-    events = base.select("table_path", "name", "seq", "change").unionByName(changes).join(asked, same, "left_semi")
+    events = base.select("table_path", "name", "seq", "change").unionByName(changes).join(apart(asked), same, "left_semi")
     # a command that frees the name it gives still meets it
     w = Window.partitionBy("table_path", "name").orderBy(F.asc_nulls_first("seq"), F.desc("change")).rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("held", F.coalesce(F.sum("change").over(w), F.lit(0))).where("seq is not null and change > 0 and held > 0").select("table_path", "seq")
@@ -256,7 +256,7 @@ def _cell_problems(rows: DataFrame, log: DataFrame) -> DataFrame:
     base = rows.select(*row, F.lit(None).cast("long").alias("seq"), "fields")
     states = base.unionByName(log.where("kind in ('add', 'remove')").select(*row, "seq", F.when(F.col("kind") == "add", F.col("fields")).alias("fields")))
     held = F.coalesce(F.map_contains_key("fields", F.col("field")), F.lit(False))
-    begun = touched.join(states, row).select(*cell, "seq", held.alias("held"), F.try_element_at("fields", F.col("field")).alias("value"), F.lit(None).cast("string").alias("old_value"), F.lit(False).alias("sets"))
+    begun = touched.join(apart(states), row).select(*cell, "seq", held.alias("held"), F.try_element_at("fields", F.col("field")).alias("value"), F.lit(None).cast("string").alias("old_value"), F.lit(False).alias("sets"))
     w = Window.partitionBy(*cell).orderBy(F.asc_nulls_first("seq"))
     told = begun.unionByName(sets.withColumn("sets", F.lit(True))).withColumns({"was": F.lag("value").over(w), "had": F.coalesce(F.lag("held").over(w), F.lit(False))})
     return told.where(F.col("sets") & (~F.col("had") | ~F.col("was").eqNullSafe(F.col("old_value")))).select("table_path", "seq")
@@ -280,28 +280,29 @@ def fold_table(rows: DataFrame, commands: DataFrame) -> DataFrame:
     rows = rows.select("table_path", F.col("row_index").cast("long"), "row_id", "row_name", _column(rows, "fields", "map<string,string>"))
     log = staged(commands.select("table_path", *[_column(commands, c, k) for c, k in COMMANDS.items()]), "commands")
     edited = staged(log.select("table_path").distinct(), "edited-tables")
-    mine = staged(met(rows, edited, _TABLE, "row_id", "left_semi").select(*rows.columns), "edited")
+    told = staged(met(rows, edited.withColumn("_edited", F.lit(True)), _TABLE, "row_id", "left"), "rows")
+    mine = told.where("_edited").select(*rows.columns)
 
     on_rows, names = _row_problems(mine, log)
     places, left = _order_problems(mine, log)
     bad = on_rows.union(places).union(_name_problems(mine, names)).union(_cell_problems(mine, log))
     first = bad.groupBy("table_path").agg(F.min("seq").alias("seq"))
-    errors = first.join(log.select("table_path", "seq", "kind"), ["table_path", "seq"]).groupBy("table_path").agg(F.concat(F.min("kind"), F.lit("_rejected:"), F.first("seq").cast("string")).alias("error"))
+    errors = first.join(apart(log.select("table_path", "seq", "kind")), ["table_path", "seq"]).groupBy("table_path").agg(F.concat(F.min("kind"), F.lit("_rejected:"), F.first("seq").cast("string")).alias("error"))
     errors = staged(errors, "errors")
 
     # what the log says of a row: its last name, the fields it was last added with, and the cells set since
     row = ["table_path", "row_id"]
     added = log.where("kind = 'add'").groupBy(*row).agg(F.max("seq").alias("_since"), F.max_by("fields", "seq").alias("_added"))
     renamed = log.where("kind in ('add', 'rename')").groupBy(*row).agg(F.max_by(F.struct("row_name"), "seq").alias("_named"))
-    cells = log.where("kind = 'set_cell'").join(added.select(*row, "_since"), row, "left").where("_since is null or seq > _since")
+    cells = log.where("kind = 'set_cell'").join(apart(added.select(*row, "_since")), row, "left").where("_since is null or seq > _since")
     cells = cells.groupBy(*row, "field").agg(F.max_by(F.struct("new_value"), "seq").alias("v")).groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("v.new_value").alias("value")))).alias("_set"))  # as many as a row has fields
-    said = added.join(renamed, row, "full").join(cells, row, "full")
-    done = met(left, errors, _TABLE, "row_id", "left_anti").join(mine.select(*row, "row_name", "fields"), row, "left").join(said, row, "left")
+    said = added.join(apart(renamed), row, "full").join(apart(cells), row, "full")
+    done = met(left, errors, _TABLE, "row_id", "left_anti").join(apart(mine.select(*row, "row_name", "fields")), row, "left").join(apart(said), row, "left")
     fields = F.when(F.col("_since").isNotNull(), F.col("_added")).otherwise(F.col("fields"))
     whole = F.when(F.col("_set").isNull(), fields).otherwise(F.map_concat(F.map_filter(fields, lambda k, _: ~F.map_contains_key("_set", k)), "_set"))
     done = done.select("table_path", "row_index", "row_id", F.coalesce("_named", F.struct("row_name"))["row_name"].alias("row_name"), whole.alias("fields"), F.lit(None).cast("string").alias("error"))
     kept = met(mine, errors, _TABLE, "row_id").select(*done.columns)
-    rest = met(rows, edited, _TABLE, "row_id", "left_anti").select(*rows.columns).withColumn("error", F.lit(None).cast("string"))
+    rest = told.where("_edited is null").select(*rows.columns).withColumn("error", F.lit(None).cast("string"))
     return done.unionByName(kept).unionByName(rest)
 
 
@@ -321,22 +322,22 @@ def run_transactions(steps: DataFrame, tables: DataFrame, rows: DataFrame, comma
     """
     checked = staged(apply_transaction(steps.withColumn("failure", F.lit(None).cast("string")), tables, operation), "checked")
     passed = checked.where("outcome = 'committed'").select(operation)
-    plan = steps.select(operation, "table_path").distinct().join(passed, operation)
+    plan = steps.select(operation, "table_path").distinct().join(apart(passed), operation)
     key = F.concat_ws("\x01", F.col(operation).cast("string"), "table_path")
-    run = commands.join(passed, operation)
-    mine = staged(rows.join(plan, "table_path").withColumns({"_of": key, "_table": F.col("table_path")}), "operations")
-    log = run.join(plan, [operation, "table_path"], "left_semi").withColumn("_key", key)
+    run = commands.join(apart(passed), operation)
+    mine = staged(rows.join(apart(plan), "table_path").withColumns({"_of": key, "_table": F.col("table_path")}), "operations")
+    log = run.join(apart(plan), [operation, "table_path"], "left_semi").withColumn("_key", key)
     folded = staged(fold_table(mine.drop("table_path").withColumnRenamed("_of", "table_path"), log.drop("table_path").withColumnRenamed("_key", "table_path")), "folded")
     seq = F.regexp_extract("error", ":([0-9]+)$", 1).cast("long")
     # a table of the plan without rows has none that could tell of an error
-    empty = log.join(mine.select(F.col("_of").alias("_key")).distinct(), "_key", "left_anti").where("kind <> 'add'").select(operation, F.col("seq").alias("command"))
+    empty = log.join(apart(mine.select(F.col("_of").alias("_key")).distinct()), "_key", "left_anti").where("kind <> 'add'").select(operation, F.col("seq").alias("command"))
     names = plan.withColumn("_key", key)
-    failed = folded.where("error is not null").select(F.col("table_path").alias("_key"), seq.alias("command")).distinct().join(names, "_key").select(operation, "command")
-    outside = run.join(plan, [operation, "table_path"], "left_anti").select(operation, F.col("seq").alias("command"))
+    failed = folded.where("error is not null").select(F.col("table_path").alias("_key"), seq.alias("command")).distinct().join(apart(names), "_key").select(operation, "command")
+    outside = run.join(apart(plan), [operation, "table_path"], "left_anti").select(operation, F.col("seq").alias("command"))
     first = staged(failed.unionByName(outside).unionByName(empty).groupBy(operation).agg(F.min("command").alias("command")), "failed")
-    told = checked.join(first, operation, "left")
+    told = checked.join(apart(first), operation, "left")
     back = F.col("command").isNotNull()
     outcomes = told.select(operation, F.when(back, "rolled_back").otherwise(F.col("outcome")).alias("outcome"), F.when(back, "command_failed").otherwise(F.col("code")).alias("code"), "command")
-    before = mine.join(first.select(operation), operation, "left_semi").select(operation, F.col("_table").alias("table_path"), "row_index", "row_id", "row_name", _column(rows, "fields", "map<string,string>"))
-    after = folded.withColumnRenamed("table_path", "_key").join(names.join(first.select(operation), operation, "left_anti"), "_key").select(before.columns)
+    before = mine.join(apart(first.select(operation)), operation, "left_semi").select(operation, F.col("_table").alias("table_path"), "row_index", "row_id", "row_name", _column(rows, "fields", "map<string,string>"))
+    after = folded.withColumnRenamed("table_path", "_key").join(apart(names.join(apart(first.select(operation)), operation, "left_anti")), "_key").select(before.columns)
     return outcomes, after.unionByName(before)

@@ -2,7 +2,7 @@
 
 A window puts all rows of a key in one task. Here rows are range-partitioned by key and order, so that a large key takes
 many partitions; a window runs over each key's part of a partition, and what the parts before it amount to is carried in from a second scan,
-over one row for each part.
+over one row for each part of the keys that partitions share.
 """
 
 from __future__ import annotations
@@ -25,19 +25,26 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Col
 
     own = Window.partitionBy("_key", "_part").orderBy("_order")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({n: F.sum(f"_in_{n}").over(upto) for n in sums} | {n: F.lag(f"_in_{n}").over(own) for n in lags} | {"_begins": F.row_number().over(own) == 1})
-    # a row for each part of a key, so that a window over a key sees no more rows than there are partitions
+    local = cut.withColumns({n: F.sum(f"_in_{n}").over(upto) for n in sums} | {n: F.lag(f"_in_{n}").over(own) for n in lags} | {n: F.first(f"_in_{n}").over(upto) for n in firsts} | {"_begins": F.row_number().over(own) == 1})
+    # a key lies in several parts only if it begins or ends them, so at most two keys of a part need what others amount to
+    ends = cut.groupBy("_part").agg(F.array_distinct(F.array(F.min("_key"), F.max("_key"))).alias("_ends")).select("_part", F.explode("_ends").alias("_key"))
+    split = ends.groupBy("_key").agg(F.count("*").alias("_parts")).where("_parts > 1").select("_key")
     last = lambda n: F.max_by(F.struct(F.col(f"_in_{n}").alias("v")), "_order").alias(f"_of_{n}")
     first = lambda n: F.min_by(F.struct(F.col(f"_in_{n}").alias("v")), "_order").alias(f"_of_{n}")
-    parts = cut.groupBy("_key", "_part").agg(F.count("*").alias("_rows"), *[F.sum(f"_in_{n}").alias(f"_of_{n}") for n in sums], *map(last, lags), *map(first, firsts))
+    parts = cut.join(F.broadcast(split), "_key", "left_semi").groupBy("_key", "_part").agg(F.count("*").alias("_rows"), *[F.sum(f"_in_{n}").alias(f"_of_{n}") for n in sums], *map(last, lags), *map(first, firsts))
     of = Window.partitionBy("_key").orderBy("_part")
     carried = {f"_of_{n}": F.sum(f"_of_{n}").over(of.rowsBetween(Window.unboundedPreceding, -1)) for n in sums}
     carried |= {f"_of_{n}": F.lag(f"_of_{n}").over(of) for n in lags} | {f"_of_{n}": F.first(f"_of_{n}").over(of) for n in firsts}
-    met = local.join(parts.withColumns(carried).drop("_rows"), ["_key", "_part"])
-    met = met.withColumns({n: F.col(n) + F.coalesce(f"_of_{n}", F.lit(0)) for n in sums} | {n: F.when(F.col("_begins"), F.col(f"_of_{n}.v")).otherwise(F.col(n)) for n in lags} | {n: F.col(f"_of_{n}.v") for n in firsts})
+    met = local.join(F.broadcast(parts.withColumns(carried).drop("_rows")), ["_key", "_part"], "left")
+    met = met.withColumns({n: F.col(n) + F.coalesce(f"_of_{n}", F.lit(0)) for n in sums} | {n: F.when(F.col("_begins"), F.col(f"_of_{n}.v")).otherwise(F.col(n)) for n in lags} | {n: F.when(F.col(f"_of_{n}").isNull(), F.col(n)).otherwise(F.col(f"_of_{n}.v")) for n in firsts})
     return met.select(*rows.columns, *sums, *lags, *firsts)
 
 
+def apart(side: DataFrame) -> DataFrame:
+    """``side`` of a join that must not be broadcast: Spark would judge its size by its compressed files, and they hold many times as much."""
+    return side.hint("merge")
+
+
 #: A side of so many rows is broadcast, beyond that each of its rows goes to so many places.
 BROADCAST, PLACES = 200_000, 32
 
@@ -51,7 +58,7 @@ def met(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, how: str
         return rows.join(F.broadcast(side), keys, how)
     dealt = rows.withColumn("_place", F.pmod(F.xxhash64(spread), F.lit(PLACES)))
     copied = side.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLACES - 1).cast("long"))))
-    return dealt.join(copied, [*keys, "_place"], how).drop("_place")
+    return dealt.join(apart(copied), [*keys, "_place"], how).drop("_place")
 
 
 def dense_index(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

@@ -227,3 +227,22 @@ def test_the_walk_of_a_deep_row(spark):
     assert sorted((r.value_path, r.text) for r in texts.collect()) == [("$.x[0]", "in"), ('$["notes.raw"]', "text")]
     gaps = review.decode_gaps(spark.createDataFrame([(1, '{"a": {"raw": "x"}, "b": {"raw": "x", "more": 1}, "c": {"raw": 5}}')], "entry int, json string"))
     assert sorted(r.value_path for r in gaps.collect()) == ["$.a", "$.c"]
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BROADCAST", 0)
+    rows = spark.range(100).selectExpr("id % 7 as k", "id")
+    found = scans.met(rows, spark.range(5).selectExpr("id as k"), ["k"], "id", "left_semi")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == rows.where("k < 5").count()
+
+
+def test_scan_carries_only_what_partitions_share(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("if(id < 2000, 0, id) as k", "id")
+    held = []
+    monkeypatch.setattr(scans.F, "broadcast", lambda df, f=F.broadcast: held.append(df) or f(df))
+    found = scans.scan(rows, ["k"], ["id"], sums={"n": F.lit(1).cast("long")}, lags={"before": F.col("id")}, firsts={"first": F.col("id")})
+    w = Window.partitionBy("k").orderBy("id")
+    plain = rows.withColumns({"n": F.row_number().over(w), "before": F.lag("id").over(w), "first": F.first("id").over(w)})
+    assert sorted(found.collect(), key=str) == sorted(plain.selectExpr("k", "id", "cast(n as long) as n", "before", "first").collect(), key=str)
+    assert held and all(df.count() < 50 for df in held)
