@@ -128,11 +128,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, pa.list_(pa.string())]
     held: list[tuple] = []
+    size = 0
     for row in rows:
         held.append(row)
-        if sum(len(r[4]) + len(r[8]) for r in held) + len(held) > 50_000:
+        size += len(row[4]) + len(row[8]) + 1
+        if size > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], _PIECE_NAMES)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], _PIECE_NAMES)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -246,3 +247,10 @@ def test_scan_carries_only_what_partitions_share(spark, monkeypatch):
     plain = rows.withColumns({"n": F.row_number().over(w), "before": F.lag("id").over(w), "first": F.first("id").over(w)})
     assert sorted(found.collect(), key=str) == sorted(plain.selectExpr("k", "id", "cast(n as long) as n", "before", "first").collect(), key=str)
     assert held and all(df.count() < 50 for df in held)
+
+
+def test_pieces_of_many_lists_are_written_in_linear_time():
+    rows = ((str(i), 0, 0, None, [0], [1], [-1], [None], [], [], []) for i in range(60_000))
+    began = time.process_time()
+    assert sum(b.num_rows for b in folds._batches(rows)) == 60_000
+    assert time.process_time() - began < 10
