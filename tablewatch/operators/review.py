@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .scans import apart
 from .values import walk
 
 
@@ -207,7 +208,7 @@ def apply_transaction(steps: DataFrame, tables: DataFrame, operation: str) -> Da
     """
     known = tables.select("table_path", "fingerprint", "composite").withColumn("_known", F.lit(True))
     times = F.count("*").over(Window.partitionBy(operation, "table_path"))
-    met = steps.withColumn("_times", times).join(known, "table_path", "left")
+    met = steps.withColumn("_times", times).join(apart(known), "table_path", "left")
     rank = F.when(F.col("_times") > 1, 1).when(F.col("_known").isNull(), 2).when(F.col("composite"), 3).when(~F.col("expected").eqNullSafe(F.col("fingerprint")), 4).when(F.col("failure").isNotNull(), 5)
     worst = met.groupBy(operation).agg(F.min(rank).alias("_rank"))
     names = ["duplicate_table", "table_not_found", "read_only_table", "fingerprint_mismatch", "command_failed"]

@@ -254,3 +254,11 @@ def test_pieces_of_many_lists_are_written_in_linear_time():
     began = time.process_time()
     assert sum(b.num_rows for b in folds._batches(rows)) == 60_000
     assert time.process_time() - began < 10
+
+
+def test_known_tables_are_not_broadcast(spark):
+    steps = spark.createDataFrame([(1, "a", "x", None), (2, "b", "y", None)], "operation long, table_path string, expected string, failure string")
+    known = spark.createDataFrame([("a", "x", False)], "table_path string, fingerprint string, composite boolean")
+    found = review.apply_transaction(steps, known, "operation")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "committed", None), (2, "rejected", "table_not_found")]
