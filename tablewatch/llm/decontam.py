@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .session import written
+from .session import released, written
 
 #: A slice of the benchmark holds at most so many bytes of text; longer benchmarks are scanned for slice by slice.
 SLICE_BYTES = 16 << 20
@@ -140,7 +140,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, slice_bytes: int
                         found = [pa.array(x, k) for x, k in zip((n, struct(runs), [sorted(x) for x in items], struct(spans)), _FOUND, strict=True)]
                         yield pa.RecordBatch.from_arrays([*columns, *found], [*batch.schema.names[:n_columns], *free])
 
-        found = rows.mapInArrow(scan, kinds if last else between)
+        found = rows.mapInArrow(released(scan), kinds if last else between)
         if not last:
             found = written(found, "scanned")
             shared.destroy()

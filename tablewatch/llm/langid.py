@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
+from .session import released
 
 
 #: Words of up to so many bytes are summed in doubles: with at least _FLOOR for each byte, no sum underflows. Longer ones in logarithms.
@@ -246,7 +247,7 @@ def train(docs: DataFrame, model_file: str, per_language: int = DOCUMENTS_PER_LA
                 frame = frame.groupby(["lang", "word"], sort=False).size().reset_index(name="n")
                 yield pa.RecordBatch.from_pandas(frame, pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]), preserve_index=False)
 
-    rows = chosen.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    rows = chosen.mapInArrow(released(count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     code, words = pd.factorize(np.array([bytes(r.word) for r in rows] + [None], object)[:-1])
     counts = np.zeros((len(words), len(languages)))
     np.add.at(counts, (code, [languages.index(r.lang) for r in rows]), [r.n for r in rows])
@@ -270,7 +271,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(score), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -289,4 +290,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 langs, scores = shared.value.score(part.column("text"), data, offsets)
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(choose, ", ".join(f"`{c}` {kinds[c]}" for c in order))
+    return docs.mapInArrow(released(choose), ", ".join(f"`{c}` {kinds[c]}" for c in order))

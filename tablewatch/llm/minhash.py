@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
 from .components import components
-from .session import written
+from .session import released, written
 
 #: Probability below 1e-5 of missing a pair that lies exactly on a similarity of 0.8.
 COORDINATES, THRESHOLD = 64, 36
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n_shingles", "key", "sig", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, key binary, sig array<int>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(sign), "doc_id long, n_shingles long, key binary, sig array<int>, sketch binary")
 
 
 def member_bits(slots: DataFrame) -> bytes:
@@ -109,7 +109,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([chosen.column("node").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["node", "key", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).where("node is not null and text is not null")
-    return rows.select("node", "text", slot).mapInArrow(make, "node long, key binary, packed binary")
+    return rows.select("node", "text", slot).mapInArrow(released(make), "node long, key binary, packed binary")
 
 
 # -- cells: the rows of a group (or of two blocks of one) that a task compares ------------------------
@@ -215,7 +215,7 @@ def _retained(rows: DataFrame, threshold: int) -> DataFrame:
                     alive[a:b] = colliding(sketches[a:b], group[a:b], side[a:b], threshold)
             yield from table.select(_ROW).filter(pa.array(alive)).to_batches()
 
-    return _dealt(rows.select(*_ROW, "sketch")).mapInArrow(count, _ROW_KINDS)
+    return _dealt(rows.select(*_ROW, "sketch")).mapInArrow(released(count), _ROW_KINDS)
 
 
 def _linked(rows: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -242,7 +242,7 @@ def _linked(rows: DataFrame, docs: DataFrame, width: int, percent: int, name: st
     rows = written(rows, f"retained-{name}")
     texts = packed_texts(docs, rows.select("node"), width)
     sides = rows.hint("merge").join(texts, ["node", "key"]).select(*_CELL, "head", "side", "cid", "node", "group", "packed")
-    return written(_dealt(sides).mapInArrow(check, "a long, b long, leader long"), f"links-{name}")
+    return written(_dealt(sides).mapInArrow(released(check), "a long, b long, leader long"), f"links-{name}")
 
 
 def _posted(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:

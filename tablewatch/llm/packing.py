@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .session import written
+from .session import released, written
 from .tokens import encoded
 
 
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(items: DataFrame, capacity: int) -> DataFrame:
@@ -135,7 +135,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             sequence, place = np.divmod(rank - at[:, 1], at[:, 3])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(at[:, 2] + sequence), pa.array(at[:, 4] + place * length)], [*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(settle, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(released(settle), ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +45,18 @@ def buckets_for(df: DataFrame) -> int:
     """So many hash buckets that each stays small: they follow the number of input splits."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(shuffle, 6 * input_partitions(df))
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, for mapInArrow; at a task's end what it has freed goes back to the system.
+
+    Workers outlive their tasks, and the allocators of C and Arrow keep what is freed, so a stage would have to share memory with those before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run

@@ -41,11 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .session import buckets_for, fresh_dir, written
+from .session import buckets_for, fresh_dir, released, written
 
 LENGTH, GRAM = 50, 22
 #: Bytes of text in a chunk, and in what a task looks for anchors in at once. A chunk sends a row to each bucket, so larger ones send fewer.
-STORED_BYTES, CHUNK_BYTES = 1 << 22, 1 << 20
+STORED_BYTES, CHUNK_BYTES = 1 << 22, 1 << 18
 _HELD = 1 << 18
 #: Contexts merged at once (more only where one anchor has more); anchors of more than _CHUNK documents are compared by windows.
 _MERGED, _CHUNK = 1 << 10, 1 << 12
@@ -129,7 +129,7 @@ def stored(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "path", "at", "size", "ids", "digests"])
 
     named = docs.withColumn("text", F.col("text").cast("string")).withColumn(_free(docs, "id"), F.col("doc_id").cast("long"))
-    chunks = written(named.mapInArrow(store, "chunk long, path string, at long, size long, ids array<long>, digests array<binary>"), "chunks")
+    chunks = written(named.mapInArrow(released(store), "chunk long, path string, at long, size long, ids array<long>, digests array<binary>"), "chunks")
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("row", "x")).select("chunk", "row", F.col("x.ids").alias("id"), F.col("x.digests").alias("digest")).where("id is not null and digest is not null")
     first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     copies = rows.hint("merge").join(first, "digest").where("id > first").groupBy("chunk").agg(F.sort_array(F.collect_list("row")).alias("skip"))  # no longer than a chunk
@@ -264,6 +264,14 @@ def _gathered(data: np.ndarray, lo: np.ndarray, size: np.ndarray, wide: np.ndarr
     return out
 
 
+def _row_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of each row of a matrix whose width is a multiple of eight bytes."""
+    out = np.zeros(len(text), np.uint64)
+    for column in text.view(np.uint64).T:
+        out = tx.mix(out * tx.WORD_CODE[0] + column)
+    return out
+
+
 def _covered_later(d: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by keys and doc, and which rows of it have equal keys in a smaller document."""
     order = np.lexsort((d, *keys))
@@ -380,7 +388,7 @@ def _marked(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFra
                 out.append((chunk, int(key[0]), np.packbits(docs[i:j] > 1).tobytes(), np.packbits(many).tobytes() if many.any() else None))
         return pd.DataFrame(out, columns=["chunk", "bucket", "some", "many"])
 
-    asked = work.repartition(tasks).mapInArrow(ask, "bucket int, chunk long, data binary")
+    asked = work.repartition(tasks).mapInArrow(released(ask), "bucket int, chunk long, data binary")
     marks = asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, some binary, many binary")
     marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "some", "many")).alias("marks"))  # a bit for each anchor of a chunk
     return written(work.join(marks, "chunk"), "marked")
@@ -409,13 +417,13 @@ def _found(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFram
             key, row, lo, size, pos = c.key[keep], c.row[keep], c.lo[keep], (c.hi - c.lo)[keep], (c.pos - c.lo)[keep]
             doc = c.ids[row]
             # equal contexts of the chunk: found by a hash, settled by their bytes
-            prefix = tx.prefix_hash(c.data)
-            order = np.lexsort((doc, pos, size, tx.span_hash(prefix, lo, lo + size), key))
-            key, row, lo, size, pos, doc, many = (x[order] for x in (key, row, lo, size, pos, doc, many))
-            wide = np.arange(2 * length - k)
+            wide = np.arange(-(-(2 * length - k) // 8) * 8)
             text = _gathered(c.data, lo, size, wide)
+            order = np.lexsort((doc, pos, size, _row_hashes(text), key))
+            key, row, lo, size, pos, doc, many, text = (x[order] for x in (key, row, lo, size, pos, doc, many, text))
+            eight = text.view(np.uint64)
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (text[1:] != text[:-1]).any(axis=1)
+            new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (eight[1:] != eight[:-1]).any(axis=1)
             done = doc > doc[new][np.cumsum(new) - 1] if len(key) else new
             begin = lo - c.begin[row]
             yield packed([(1, chunk % n, *x) for x in _ranges(np.full(done.sum(), chunk), row[done], begin[done], (begin + size)[done])])
@@ -491,7 +499,7 @@ def _found(work: DataFrame, length: int, k: int, n: int, tasks: int) -> DataFram
             found.append((met["chunk"].to_numpy(np.int64), met["row"].to_numpy(np.int64), start, start + length))
         return _ranges(*(np.concatenate(v) for v in zip(*found, strict=True)))
 
-    extracted = _marked(work, length, k, n, tasks).repartition(tasks).mapInArrow(extract, "kind int, bucket int, chunk long, data binary")
+    extracted = _marked(work, length, k, n, tasks).repartition(tasks).mapInArrow(released(extract), "kind int, bucket int, chunk long, data binary")
     return extracted.groupBy("bucket").applyInPandas(merge, "chunk long, data binary")
 
 
@@ -551,7 +559,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
             yield pa.RecordBatch.from_arrays([piece.column(piece.num_columns - 1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return _cut(docs.select("doc_id", "text"), length).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
+    return _cut(docs.select("doc_id", "text"), length).mapInArrow(released(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -572,4 +580,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [texts if i == place else c for i, c in enumerate(piece.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, piece.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return _cut(docs, length).mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in order))
+    return _cut(docs, length).mapInArrow(released(cut), ", ".join(f"`{c}` {kinds[c]}" for c in order))

@@ -29,17 +29,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
+    """The first ``n`` powers of the base and of its inverse, modulo 2**64. Those of a slice are kept for life, those of longer texts are not."""
     global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, SLICE + 64)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers = np.full(size, _BASE, np.uint64)
-        _inverse = np.full(size, inverse, np.uint64)
-        _powers[0] = _inverse[0] = 1
-        np.multiply.accumulate(_powers, out=_powers)
-        np.multiply.accumulate(_inverse, out=_inverse)
-    return _powers[:n], _inverse[:n]
+    if n <= len(_powers):
+        return _powers[:n], _inverse[:n]
+    up, down = (_powers_of(x, max(n, SLICE + 64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    if n <= SLICE + 64:
+        _powers, _inverse = up, down
+    return up[:n], down[:n]
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -130,6 +130,35 @@ def test_long_texts_are_looked_through_in_parts(monkeypatch):
     assert windows() == whole and len(whole) == sum(max(0, 40 + i - 49) for i in ids)
 
 
+def test_what_a_worker_keeps_does_not_follow_the_longest_text():
+    from tablewatch.llm import text as tx
+
+    tx.powers(100)
+    up, down = tx.powers(3 * tx.SLICE)
+    assert len(up) == len(down) == 3 * tx.SLICE and bool((up[-1000:] * down[-1000:] == 1).all())
+    assert len(tx._powers) == len(tx._inverse) == tx.SLICE + 64 and bool((tx._powers == up[: len(tx._powers)]).all())
+
+
+def test_a_task_gives_back_what_it_has_freed():
+    from tablewatch.llm.session import released
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) >> 10
+
+    pins = []
+
+    def work(batches):
+        for batch in batches:
+            blocks = [b"x" * 50_000 for _ in range(4000)]  # too small for mappings of their own
+            pins.append(b"y" * 50_000)
+            yield batch, len(blocks)
+
+    before = held()
+    assert list(released(work)([1, 2])) == [(1, 4000), (2, 4000)]
+    assert held() - before < 100
+
+
 def test_a_chunk_asks_for_an_anchor_once_however_many_documents_hold_it(monkeypatch):
     import pyarrow as pa
 
