@@ -16,26 +16,23 @@ def walk(rows: DataFrame, value: str, depth: int = 64, objects_only: bool = Fals
     """
     rest = [c for c in rows.columns if c != value]
     holds = "kind = 'object'" if objects_only else "kind <> 'leaf'"
-    name = F.col("_e.key")
+    name = F.col("_key")
     quoted = F.concat(F.lit('["'), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"]'))
-    step = F.when(name.isNull(), F.concat(F.lit("["), F.col("_e.at").cast("string"), F.lit("]"))).when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), name)).otherwise(quoted)
+    step = F.when(name.isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), name)).otherwise(quoted)
     no_key = F.lit(None).cast("string")
-    inner = F.transform(F.map_entries("_object"), lambda e: F.struct(F.lit(None).cast("int").alias("at"), e["key"].alias("key"), e["value"].alias("v")))
-    if not objects_only:
-        inner = F.coalesce(inner, F.transform("_array", lambda x, i: F.struct(i.alias("at"), no_key.alias("key"), x.alias("v"))))
+    # whether there is an object or an array at all: what it holds is not read
+    kind = F.when(F.try_variant_get("v", "$", "struct<>").isNotNull(), "object").when(F.try_variant_get("v", "$", "array<struct<>>").isNotNull(), "array").otherwise("leaf")
     level, found = rows.where(F.col(value).isNotNull()).select(*rest, F.lit("$").alias("value_path"), no_key.alias("key"), F.col(value).alias("v")), None
     for _ in range(depth + 1):
-        # one step deep only: the type of a whole value would be found anew at each level
-        opened = level.withColumns({"_object": F.try_variant_get("v", "$", "map<string,variant>"), "_array": F.try_variant_get("v", "$", "array<variant>")})
-        kind = F.when(F.col("_object").isNotNull(), "object").when(F.col("_array").isNotNull(), "array").otherwise("leaf")
         seen = Observation()
-        told = opened.select(*rest, "value_path", "key", kind.alias("kind"), "v").where("true" if leaves else "kind <> 'leaf'")
+        told = level.select(*rest, "value_path", "key", kind.alias("kind"), "v").where("true" if leaves else "kind <> 'leaf'")
         told = staged(told.observe(seen, F.count_if(F.expr(holds)).alias("inner")), "level")
         found = told if found is None else found.unionByName(told)
         if not seen.get.get("inner"):
             return found
-        opened = told.where(holds).withColumns({"_object": F.try_variant_get("v", "$", "map<string,variant>"), "_array": F.try_variant_get("v", "$", "array<variant>")})
-        level = opened.select(*rest, "value_path", F.explode(inner).alias("_e")).select(*rest, F.concat("value_path", step).alias("value_path"), F.col("_e.key").alias("key"), F.col("_e.v").alias("v"))
+        outer = told.where(holds).select(*rest, "value_path", F.col("v").alias("_outer"))
+        opened = outer.lateralJoin(outer.sparkSession.tvf.variant_explode(F.col("_outer").outer()).withColumnsRenamed({"pos": "_pos", "key": "_key", "value": "_inner"}))
+        level = opened.select(*rest, F.concat("value_path", step).alias("value_path"), name.alias("key"), F.col("_inner").alias("v"))
     raise ValueError(f"there are values below {depth} levels")
 
 

@@ -55,9 +55,9 @@ UNION ALL SELECT CAST(2 AS INTEGER), CAST(o_orderkey AS VARCHAR), NULL, 'source_
 
 
 def _nested(s: SparkSession, d: str) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct(F.struct(F.lit("part").alias("table"), F.col("l_partkey").cast("string").alias("row")).alias("ref"))))
-    docs = table(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("source_row")).agg(F.to_json(F.struct(lines.alias("lines"))).alias("document"))
-    return r.nested_references(docs)
+    lines = F.sort_array(F.collect_list(F.struct(F.struct(F.lit("part").alias("table"), F.col("l_partkey").cast("string").alias("row")).alias("ref"))))
+    docs = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(lines.alias("lines"))).alias("document"))
+    return r.nested_references(docs.select(F.col("l_orderkey").cast("string").alias("source_row"), "document"))
 
 
 def _reference_fields(s: SparkSession, d: str) -> DataFrame:

@@ -204,3 +204,13 @@ def test_nested_references_have_no_row_limit(spark):
             references.nested_references(docs, depth=2)
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_levels_are_opened_without_copies_of_what_they_hold(spark, monkeypatch):
+    plans, staged = [], values.staged
+    monkeypatch.setattr(values, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, name))
+    rows = spark.createDataFrame([("a", 7, '{"x": [[], {"y z": {}}, 3]}')], "entry string, pos int, json string")
+    found = values.walk(rows.selectExpr("entry", "pos", "try_parse_json(json) AS v0"), "v0", leaves=False).collect()
+    assert sorted((r.pos, r.value_path, r.kind) for r in found) == [(7, "$", "object"), (7, "$.x", "array"), (7, "$.x[0]", "array"), (7, "$.x[1]", "object"), (7, '$.x[1]["y z"]', "object")]
+    assert len(plans) == 5 and all("variant_explode" in x for x in plans[1:])
+    assert not any(x in p for p in plans for x in ("MapType(StringType,VariantType", "map<string,variant>", "ArrayType(VariantType", "array<variant>", "Join"))
