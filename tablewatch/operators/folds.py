@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import accumulate, groupby
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import staged
 from .review import apply_transaction
-from .scans import apart, met, scan
+from .scans import apart, few, met, scan
 
 #: Commands of a run, runs that are composed at once, and rows of a range that meet their pieces.
 RUN, COMPOSED, RANGE = 512, 8, 256
@@ -176,72 +177,115 @@ def _composed(shifts: DataFrame, sizes: DataFrame) -> DataFrame:
     return level.drop("node")
 
 
-def _placed(lists: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(table_path, epoch, row_index, row_id) after ``pieces`` of ``lists`` (the same columns); lists without pieces are as they were."""
+def _placed(lists: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``lists`` with _left, the place that a row has after ``pieces``, and _claim, a removal that expected another row there; (table_path, epoch,
+    row_index, row_id) of rows born). Lists without pieces are as they were; claims on places without a row have no row_id."""
     each = pieces.select(*_LIST, F.posexplode(F.arrays_zip("starts", "sizes", "births", "names")).alias("k", "p"))
     each = scan(each.select(*_LIST, "k", "p.*"), _LIST, ["k"], sums={"end": F.col("sizes")}).withColumn("begin", F.col("end") - F.col("sizes"))
     born = each.where("births >= 0").select(*_LIST, F.col("begin").alias("row_index"), F.col("names").alias("row_id"))
-    # pieces and rows meet by ranges of places, so that a long list is spread
-    old = each.where("births < 0").withColumn("range", F.explode(F.sequence(F.floor(F.col("starts") / RANGE), F.floor((F.col("starts") + F.col("sizes") - 1) / RANGE))))
+    # pieces and rows meet by ranges of places, so that a long list is spread; a place that was claimed is in no piece that is left
+    none = F.lit(None)
+    old = each.where("births < 0").select(*_LIST, F.explode(F.sequence(F.floor(F.col("starts") / RANGE), F.floor((F.col("starts") + F.col("sizes") - 1) / RANGE))).alias("range"), "starts", "sizes", "begin", none.cast("long").alias("seq"), none.cast("string").alias("claimed"))
+    claims = pieces.select(*_LIST, F.explode(F.arrays_zip("claim_seqs", "claim_places", "claim_rows")).alias("c"))
+    claims = claims.select(*_LIST, F.floor(F.col("c.claim_places") / RANGE).alias("range"), F.col("c.claim_places").alias("starts"), F.lit(1).cast("long").alias("sizes"), none.cast("long").alias("begin"), F.col("c.claim_seqs").alias("seq"), F.col("c.claim_rows").alias("claimed"))
+    sides = old.unionByName(claims).withColumnsRenamed({"table_path": "_t", "epoch": "_e", "range": "_r"})
+    still = None
+    if few(pieces):  # lists without pieces stay where they are
+        having = F.broadcast(pieces.select(*_LIST))
+        lists, still = lists.join(having, _LIST, "left_semi"), lists.join(having, _LIST, "left_anti")
     rows = lists.withColumn("range", F.floor(F.col("row_index") / RANGE))
-    inside = (F.col("row_index") >= F.col("starts")) & (F.col("row_index") < F.col("starts") + F.col("sizes"))
-    kept = rows.join(apart(old.select(*_LIST, "range", "starts", "sizes", "begin")), [*_LIST, "range"]).where(inside).select(*_LIST, (F.col("begin") + F.col("row_index") - F.col("starts")).alias("row_index"), "row_id")
-    still = met(lists, pieces.select(*_LIST), _LIST, "row_id", "left_anti").select(*_LIST, "row_index", "row_id")
-    return kept.unionByName(born).unionByName(still)
-
-
-def _order_problems(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((table_path, seq) of commands at wrong places, (table_path, row_index, row_id) of the lists that are left)."""
+    inside = (F.col("table_path") == F.col("_t")) & (F.col("epoch") == F.col("_e")) & (F.col("range") == F.col("_r")) & (F.col("row_index") >= F.col("starts")) & (F.col("row_index") < F.col("starts") + F.col("sizes"))
+    left = F.when(F.col("starts").isNull(), F.col("row_index")).otherwise(F.col("begin") + F.col("row_index") - F.col("starts"))
+    claim = F.when(~F.col("row_id").eqNullSafe(F.col("claimed")), F.col("seq"))
+    rest = [c for c in lists.columns if c not in _LIST]
+    told = rows.join(apart(sides), inside, "full").where("row_index is not null or seq is not null")
+    told = told.select(F.coalesce("table_path", "_t").alias("table_path"), F.coalesce("epoch", "_e").alias("epoch"), *rest, left.alias("_left"), claim.alias("_claim"))
+    return told if still is None else told.unionByName(still.withColumns({"_left": F.col("row_index"), "_claim": F.lit(None).cast("long")})), born
+
+
+def _order_problems(rows: DataFrame, log: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame | None, DataFrame | None]:
+    """((table_path, seq) of commands at wrong places, ``rows`` with _left, their place if they kept one, (table_path, _left, row_id) of rows born
+    since, and of the rows of lists that a reorder began). What no command can have made is None."""
     moves = log.where("kind in ('add', 'remove', 'reorder')")
+    if moves.isEmpty():
+        return None, rows.withColumn("_left", F.col("row_index")), None, None
     turn = F.when(F.col("kind") == "reorder", 1).otherwise(0).cast("long")
     moves = staged(scan(moves.select("table_path", "seq", "kind", "row_id", "at_index", "old_order", "new_order"), _TABLE, ["seq"], sums={"epoch": turn}), "moves")
     turns = moves.where("kind = 'reorder'")
     listed = lambda c: turns.select("table_path", "epoch", "seq", F.posexplode(c).alias("row_index", "row_id")).withColumn("row_index", F.col("row_index").cast("long"))
-    base = rows.select("table_path", F.lit(0).cast("long").alias("epoch"), "row_index", "row_id")
-    lists = base.unionByName(listed("new_order").drop("seq"))
+    turned = not turns.isEmpty()
+    lists = rows.withColumn("epoch", F.lit(0).cast("long"))
+    if turned:
+        lists = lists.unionByName(listed("new_order").drop("seq"), allowMissingColumns=True)
     shifts = moves.where("kind <> 'reorder'").drop("old_order", "new_order")
-    counted = lists.groupBy(*_LIST).agg(F.count("*").alias("size"))
-    sizes = shifts.select(*_LIST).distinct().join(apart(counted), _LIST, "left").na.fill(0, ["size"])
+    lengths = lists.groupBy(*_LIST).agg(F.count("*").alias("size"))
+    sizes = shifts.select(*_LIST).distinct().join(apart(lengths), _LIST, "left").na.fill(0, ["size"])
     pieces = staged(_composed(shifts, sizes), "pieces")
-    bad = [pieces.where("failed is not null").select("table_path", F.col("failed").alias("seq"))]
+    bad = pieces.where("failed is not null").select("table_path", F.col("failed").alias("seq"))
 
-    claims = pieces.select(*_LIST, F.explode(F.arrays_zip("claim_seqs", "claim_places", "claim_rows")).alias("c")).select(*_LIST, F.col("c.claim_seqs").alias("seq"), F.col("c.claim_places").alias("row_index"), F.col("c.claim_rows").alias("claimed"))
-    bad.append(claims.join(apart(lists), [*_LIST, "row_index"], "left").where(~F.col("row_id").eqNullSafe(F.col("claimed"))).select("table_path", "seq"))
+    told, born = _placed(lists, pieces)
+    result = staged(told, "lists")
+    bad = bad.union(result.where("_claim is not null").select("table_path", F.col("_claim").alias("seq")))
+    result = result.where("row_index is not null").drop("_claim")
+    base = result.where("epoch = 0").select(*rows.columns, "_left")
+    born = born.withColumnRenamed("row_index", "_left")
+    if not turned:
+        return bad, base, born.drop("epoch"), None
 
-    result = staged(_placed(lists, pieces), "lists")
     # what a reorder recorded must be the list that it meets, and hold the ids that it leaves
-    left = met(result.withColumn("epoch", F.col("epoch") + 1), turns.select(*_LIST), _LIST, "row_id", "left_semi").withColumn("found", F.lit(1))
+    born = staged(born, "born")
+    ended = result.where("_left is not null").select(*_LIST, "_left", "row_id").unionByName(born)
+    found = ended.select("table_path", (F.col("epoch") + 1).alias("epoch"), F.col("_left").alias("row_index"), "row_id", F.lit(1).alias("found"))
+    if few(turns):
+        found = found.join(F.broadcast(turns.select(*_LIST)), _LIST, "left_semi")
     said = listed("old_order").drop("seq").withColumn("said", F.lit(1))
-    moved = left.join(apart(said), [*_LIST, "row_index", "row_id"], "full").where("found is null or said is null").select(*_LIST)
+    moved = found.join(apart(said), [*_LIST, "row_index", "row_id"], "full").where("found is null or said is null").select(*_LIST)
     count = lambda c, n: listed(c).select(*_LIST, "row_id", F.lit(n).alias("n"))
     other = count("old_order", 1).union(count("new_order", -1)).groupBy(*_LIST, "row_id").agg(F.sum("n").alias("n")).where("n <> 0").select(*_LIST)
     unsaid = turns.where("old_order is null or new_order is null").select(*_LIST)
-    bad.append(turns.join(apart(moved.union(other).union(unsaid).distinct()), _LIST).select("table_path", "seq"))
+    bad = bad.union(turns.join(apart(moved.union(other).union(unsaid).distinct()), _LIST).select("table_path", "seq"))
     # the list after the last reorder
-    final = turns.groupBy("table_path").agg(F.max("epoch").alias("_last"))
-    ends = met(result, final, _TABLE, "row_id", "left").where(F.col("epoch") == F.coalesce("_last", F.lit(0))).select("table_path", "row_index", "row_id")
-    return bad[0].union(bad[1]).union(bad[2]), ends
+    final = staged(turns.groupBy("table_path").agg(F.max("epoch").alias("_last")), "last-turns")
+    base = met(base, final, _TABLE, "row_id", "left").withColumn("_left", F.when(F.col("_last").isNull(), F.col("_left"))).drop("_last")
+    early = met(born.where("epoch = 0"), final, _TABLE, "row_id", "left_anti").drop("epoch")
+    begun = met(ended, final, _TABLE, "row_id").where("epoch = _last").select("table_path", "_left", "row_id")
+    return bad, base, early, begun
 
 
 def _row_problems(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((table_path, seq) of commands on rows that are not there, or are, or go by another name; names as they come and go)."""
-    base = rows.select("table_path", F.lit(None).cast("long").alias("seq"), F.lit("base").alias("kind"), "row_id", "row_name", F.lit(None).cast("string").alias("old_name"))
-    on_rows = log.where("kind <> 'reorder'").select("table_path", "seq", "kind", "row_id", "row_name", "old_name")
-    touched = base.join(apart(on_rows.select("table_path", "row_id").distinct()), ["table_path", "row_id"], "left_semi")
-    w = Window.partitionBy("table_path", "row_id").orderBy(F.asc_nulls_first("seq"))
-    kind = F.col("kind")
-    named = F.last(F.when(kind.isin("base", "add", "rename"), F.struct("row_name")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    told = touched.unionByName(on_rows).withColumns({"there": F.coalesce(F.lag(kind != "remove").over(w), F.lit(False)), "was": named["row_name"]}).where("seq is not null")
-    wrong = F.when(kind == "add", F.col("there")).when(kind == "rename", ~F.col("there") | ~F.col("was").eqNullSafe(F.col("old_name"))).when(kind.isin("remove", "set_cell"), ~F.col("there")).otherwise(True)
-    told = staged(told.withColumn("wrong", wrong), "on-rows")
+    """((table_path, seq) of commands on rows that are not there, or are, or go by another name, and on cells that are not there, or have another
+    value than the recorded one; names as they come and go). ``rows``: those that a command names."""
+    row, kind, seq = ["table_path", "row_id"], F.col("kind"), F.col("seq")
+    base = rows.select(*row, F.lit(None).cast("long").alias("seq"), F.lit("base").alias("kind"), "row_name", "fields")
+    on_rows = log.where("kind <> 'reorder'").select(*row, "seq", "kind", "row_name", "fields", "old_name", "field", "old_value", "new_value")
+    told = base.unionByName(on_rows, allowMissingColumns=True).repartition(*row)
+    # all windows are over parts of a row's commands, so that these are dealt once
+    sets = kind == "set_cell"
+    of_cell = Window.partitionBy(*row, F.when(sets, F.col("field"))).orderBy(F.asc_nulls_first("seq"))
+    told = told.withColumn("set", F.lag(F.when(sets, F.struct("seq", "new_value"))).over(of_cell))
+    w = Window.partitionBy(*row).orderBy(F.asc_nulls_first("seq"))
+    last = lambda kinds, value: F.last(F.when(kind.isin(*kinds), value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    named = last(["base", "add", "rename"], F.struct("row_name"))
+    state = last(["base", "add", "remove"], F.struct("seq", F.when(kind != "remove", F.col("fields")).alias("fields")))
+    told = told.withColumns({"there": F.coalesce(F.lag(kind != "remove").over(w), F.lit(False)), "was": named["row_name"], "state": state}).where("seq is not null")
+    since = F.col("set").isNotNull() & (F.col("state.seq").isNull() | (F.col("set.seq") > F.col("state.seq")))
+    held = since | F.coalesce(F.map_contains_key("state.fields", F.col("field")), F.lit(False))
+    value = F.when(since, F.col("set.new_value")).otherwise(F.try_element_at("state.fields", F.col("field")))
+    wrong = F.when(kind == "add", F.col("there")).when(kind == "rename", ~F.col("there") | ~F.col("was").eqNullSafe(F.col("old_name"))).when(kind == "remove", ~F.col("there"))
+    wrong = wrong.when(sets, ~F.col("there") | ~held | ~value.eqNullSafe(F.col("old_value"))).otherwise(True)
+    told = told.select("table_path", "seq", "kind", "row_name", "was", wrong.alias("wrong")).where("wrong or kind in ('add', 'remove', 'rename')")
+    told = staged(told, "on-rows")
     gives = told.where("kind in ('add', 'rename')").select("table_path", F.col("row_name").alias("name"), "seq", F.lit(1).alias("change"))
     frees = told.where("kind in ('remove', 'rename')").select("table_path", F.col("was").alias("name"), "seq", F.lit(-1).alias("change"))
     return told.where("wrong").select("table_path", "seq"), gives.union(frees)
 
 
-def _name_problems(rows: DataFrame, changes: DataFrame) -> DataFrame:
+def _name_problems(rows: DataFrame, changes: DataFrame) -> DataFrame | None:
     """(table_path, seq) of commands that give a name which a row has."""
-    asked = changes.where("change > 0").select(F.col("table_path").alias("_t"), F.col("name").alias("_n")).distinct()
+    gives = changes.where("change > 0")
+    if gives.isEmpty():
+        return None
+    asked = gives.select(F.col("table_path").alias("_t"), F.col("name").alias("_n")).distinct()
     same = F.col("table_path").eqNullSafe(F.col("_t")) & F.col("name").eqNullSafe(F.col("_n"))
     base = rows.groupBy("table_path", F.col("row_name").alias("name")).agg(F.count("*").cast("int").alias("change")).withColumn("seq", F.lit(None).cast("long"))
     events = base.select("table_path", "name", "seq", "change").unionByName(changes).join(apart(asked), same, "left_semi")
@@ -250,24 +294,72 @@ def _name_problems(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return events.withColumn("held", F.coalesce(F.sum("change").over(w), F.lit(0))).where("seq is not null and change > 0 and held > 0").select("table_path", "seq")
 
 
-def _cell_problems(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """(table_path, seq) of cells that are not there, or have another value than the recorded one."""
-    cell, row = ["table_path", "row_id", "field"], ["table_path", "row_id"]
-    sets = log.where("kind = 'set_cell'").select(*cell, "seq", F.lit(True).alias("held"), F.col("new_value").alias("value"), "old_value")
-    touched = sets.select(*cell).distinct()
-    base = rows.select(*row, F.lit(None).cast("long").alias("seq"), "fields")
-    states = base.unionByName(log.where("kind in ('add', 'remove')").select(*row, "seq", F.when(F.col("kind") == "add", F.col("fields")).alias("fields")))
-    held = F.coalesce(F.map_contains_key("fields", F.col("field")), F.lit(False))
-    begun = touched.join(apart(states), row).select(*cell, "seq", held.alias("held"), F.try_element_at("fields", F.col("field")).alias("value"), F.lit(None).cast("string").alias("old_value"), F.lit(False).alias("sets"))
-    w = Window.partitionBy(*cell).orderBy(F.asc_nulls_first("seq"))
-    told = begun.unionByName(sets.withColumn("sets", F.lit(True))).withColumns({"was": F.lag("value").over(w), "had": F.coalesce(F.lag("held").over(w), F.lit(False))})
-    return told.where(F.col("sets") & (~F.col("had") | ~F.col("was").eqNullSafe(F.col("old_value")))).select("table_path", "seq")
-
-
 def _column(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
 
 
+def _commands(commands: DataFrame, own: list[str]) -> DataFrame:
+    return commands.select("table_path", *[_column(commands, c, k) for c, k in COMMANDS.items()], *own)
+
+
+def _said(log: DataFrame, own: list[str]) -> DataFrame:
+    """What the log says of a row: the fields it was last added with, its last name, and the cells set since."""
+    row, kind = ["table_path", "row_id"], F.col("kind")
+    adds = F.when(kind == "add", F.col("seq"))
+    named = log.where("kind not in ('set_cell', 'reorder')").groupBy(*row).agg(F.max(adds).alias("_since"), F.max_by("fields", adds).alias("_added"), F.max_by(F.struct("row_name"), F.when(kind.isin("add", "rename"), F.col("seq"))).alias("_named"), *[F.first(c).alias(f"_own_{c}") for c in own])
+    # a row's cells are brought together once, as many as it has fields
+    sets = log.where("kind = 'set_cell'").select(*row, "field", "seq", "new_value").repartition(*row)
+    cells = sets.groupBy(*row, "field").agg(F.max("seq").alias("at"), F.max_by(F.struct("new_value"), "seq")["new_value"].alias("value")).groupBy(*row).agg(F.collect_list(F.struct("field", "value", "at")).alias("_cells"))
+    since = F.filter("_cells", lambda c: F.col("_since").isNull() | (c["at"] > F.col("_since")))
+    values = F.map_from_entries(F.transform(since, lambda c: F.struct(c["field"], c["value"])))
+    return named.join(apart(cells), row, "full").withColumn("_set", F.when(F.size("_cells") > 0, values)).drop("_cells").withColumn("_told", F.lit(True))
+
+
+def _now() -> Column:
+    """Name and fields of a row after what is said of it."""
+    fields = F.when(F.col("_since").isNotNull(), F.col("_added")).otherwise(F.col("fields"))
+    whole = F.when(F.col("_set").isNull(), fields).otherwise(F.map_concat(F.map_filter(fields, lambda k, _: ~F.map_contains_key("_set", k)), "_set"))
+    return F.struct(F.coalesce("_named", F.struct("row_name"))["row_name"].alias("row_name"), whole.alias("fields"))
+
+
+def _folded(rows: DataFrame, log: DataFrame, own: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((table_path, row_id, row_index, row_name, fields, _left, _now, *own), (table_path, seq, kind, *own) of the commands that end their tables' folds).
+
+    ``rows`` as in ``fold_table``, ``log`` a staged table of ``COMMANDS``; both hold ``own``, columns that a table_path decides. row_index, row_name and fields are those of
+    the base, null if the row was born since; _left is the place after all commands, null if the row went; _now are name and fields after all commands,
+    null if none is on the row.
+    """
+    row = ["table_path", "row_id"]
+    said = _said(log, own)
+    told = rows.join(apart(said), row, "left").withColumn("_now", F.when(F.col("_told"), _now()))
+    told = staged(told.select("table_path", "row_id", "row_index", "row_name", "fields", *own, "_now"), "rows")
+
+    on_rows, names = _row_problems(told.where("_now is not null"), log)
+    places, state, born, begun = _order_problems(told, log)
+    bad = reduce(DataFrame.union, [x for x in (on_rows, places, _name_problems(told, names)) if x is not None])
+    first = staged(bad.groupBy("table_path").agg(F.min("seq").alias("seq")), "first")
+    ends = met(log.select("table_path", "seq", "kind", *own), first, ["table_path", "seq"], None)
+    errors = staged(ends.groupBy("table_path").agg(F.first("seq").alias("seq"), F.min("kind").alias("kind"), *[F.first(c).alias(c) for c in own]), "errors")
+
+    kinds = dict(told.dtypes)
+    null = lambda c: F.lit(None).cast(kinds[c])
+    if born is not None:
+        begins = said.where("_since is not null").withColumns({"row_name": null("row_name"), "fields": null("fields")}).select(*row, _now().alias("_now"), *[F.col(f"_own_{c}").alias(c) for c in own])
+        state = state.unionByName(born.join(apart(begins), row), allowMissingColumns=True)
+    if begun is not None:  # rows of a list that a reorder began are those of the base, or born
+        is_ = F.coalesce("_now", F.when(F.col("_told"), _now()), F.struct("row_name", "fields"))
+        of = begun.join(apart(told.drop("row_index")), row, "left").join(apart(said), row, "left")
+        state = state.unionByName(of.select(*row, "_left", is_.alias("_now"), *[F.coalesce(c, f"_own_{c}").alias(c) for c in own]), allowMissingColumns=True)
+    return state, errors
+
+
+def _at_last(state: DataFrame, back: Column) -> DataFrame:
+    """``state`` with row_index, row_name and fields as of the base where ``back``, else as of the end."""
+    now = lambda c: F.when(~back & F.col("_now").isNotNull(), F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c)
+    rest = [c for c in state.columns if c not in ("row_index", "row_name", "fields", "_left", "_now")]
+    return state.select(*rest, F.when(back, F.col("row_index")).otherwise(F.col("_left")).alias("row_index"), now("row_name"), now("fields")).where("row_index is not null")
+
+
 def fold_table(rows: DataFrame, commands: DataFrame) -> DataFrame:
     """Tables after their commands: (table_path, row_index, row_id, row_name, fields, error).
 
@@ -280,32 +372,15 @@ def fold_table(rows: DataFrame, commands: DataFrame) -> DataFrame:
     commands stays as it is.
     """
     rows = rows.select("table_path", F.col("row_index").cast("long"), "row_id", "row_name", _column(rows, "fields", "map<string,string>"))
-    log = staged(commands.select("table_path", *[_column(commands, c, k) for c, k in COMMANDS.items()]), "commands")
-    edited = staged(log.select("table_path").distinct(), "edited-tables")
-    told = staged(met(rows, edited.withColumn("_edited", F.lit(True)), _TABLE, "row_id", "left"), "rows")
-    mine = told.where("_edited").select(*rows.columns)
-
-    on_rows, names = _row_problems(mine, log)
-    places, left = _order_problems(mine, log)
-    bad = on_rows.union(places).union(_name_problems(mine, names)).union(_cell_problems(mine, log))
-    first = bad.groupBy("table_path").agg(F.min("seq").alias("seq"))
-    errors = first.join(apart(log.select("table_path", "seq", "kind")), ["table_path", "seq"]).groupBy("table_path").agg(F.concat(F.min("kind"), F.lit("_rejected:"), F.first("seq").cast("string")).alias("error"))
-    errors = staged(errors, "errors")
-
-    # what the log says of a row: its last name, the fields it was last added with, and the cells set since
-    row = ["table_path", "row_id"]
-    added = log.where("kind = 'add'").groupBy(*row).agg(F.max("seq").alias("_since"), F.max_by("fields", "seq").alias("_added"))
-    renamed = log.where("kind in ('add', 'rename')").groupBy(*row).agg(F.max_by(F.struct("row_name"), "seq").alias("_named"))
-    cells = log.where("kind = 'set_cell'").join(apart(added.select(*row, "_since")), row, "left").where("_since is null or seq > _since")
-    cells = cells.groupBy(*row, "field").agg(F.max_by(F.struct("new_value"), "seq").alias("v")).groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("v.new_value").alias("value")))).alias("_set"))  # as many as a row has fields
-    said = added.join(apart(renamed), row, "full").join(apart(cells), row, "full")
-    done = met(left, errors, _TABLE, "row_id", "left_anti").join(apart(mine.select(*row, "row_name", "fields")), row, "left").join(apart(said), row, "left")
-    fields = F.when(F.col("_since").isNotNull(), F.col("_added")).otherwise(F.col("fields"))
-    whole = F.when(F.col("_set").isNull(), fields).otherwise(F.map_concat(F.map_filter(fields, lambda k, _: ~F.map_contains_key("_set", k)), "_set"))
-    done = done.select("table_path", "row_index", "row_id", F.coalesce("_named", F.struct("row_name"))["row_name"].alias("row_name"), whole.alias("fields"), F.lit(None).cast("string").alias("error"))
-    kept = met(mine, errors, _TABLE, "row_id").select(*done.columns)
-    rest = told.where("_edited is null").select(*rows.columns).withColumn("error", F.lit(None).cast("string"))
-    return done.unionByName(kept).unionByName(rest)
+    log = staged(_commands(commands, []), "commands")
+    edited, rest, kept = log.select("table_path").distinct(), None, ["table_path", "row_index", "row_id", "row_name", "fields", "error"]
+    if few(edited):  # tables without commands stay where they are
+        told = staged(rows.join(F.broadcast(edited.withColumn("_edited", F.lit(True))), _TABLE, "left"), "tables")
+        rows, rest = told.where("_edited").drop("_edited"), told.where("_edited is null").withColumn("error", F.lit(None).cast("string"))
+    state, errors = _folded(rows, log, [])
+    errors = errors.select("table_path", F.concat("kind", F.lit("_rejected:"), F.col("seq").cast("string")).alias("error"))
+    done = _at_last(met(state, errors, _TABLE, "row_id", "left"), F.col("error").isNotNull()).select(*kept)
+    return done if rest is None else done.unionByName(rest.select(*kept))
 
 
 def fold_rows(rows: DataFrame, commands: DataFrame) -> DataFrame:
@@ -324,22 +399,20 @@ def run_transactions(steps: DataFrame, tables: DataFrame, rows: DataFrame, comma
     """
     checked = staged(apply_transaction(steps.withColumn("failure", F.lit(None).cast("string")), tables, operation), "checked")
     passed = checked.where("outcome = 'committed'").select(operation)
-    plan = steps.select(operation, "table_path").distinct().join(apart(passed), operation)
     key = F.concat_ws("\x01", F.col(operation).cast("string"), "table_path")
-    run = commands.join(apart(passed), operation)
-    mine = staged(rows.join(apart(plan), "table_path").withColumns({"_of": key, "_table": F.col("table_path")}), "operations")
-    log = run.join(apart(plan), [operation, "table_path"], "left_semi").withColumn("_key", key)
-    folded = staged(fold_table(mine.drop("table_path").withColumnRenamed("_of", "table_path"), log.drop("table_path").withColumnRenamed("_key", "table_path")), "folded")
-    seq = F.regexp_extract("error", ":([0-9]+)$", 1).cast("long")
-    # a table of the plan without rows has none that could tell of an error
-    empty = log.join(apart(mine.select(F.col("_of").alias("_key")).distinct()), "_key", "left_anti").where("kind <> 'add'").select(operation, F.col("seq").alias("command"))
-    names = plan.withColumn("_key", key)
-    failed = folded.where("error is not null").select(F.col("table_path").alias("_key"), seq.alias("command")).distinct().join(apart(names), "_key").select(operation, "command")
-    outside = run.join(apart(plan), [operation, "table_path"], "left_anti").select(operation, F.col("seq").alias("command"))
-    first = staged(failed.unionByName(outside).unionByName(empty).groupBy(operation).agg(F.min("command").alias("command")), "failed")
-    told = checked.join(apart(first), operation, "left")
+    # no table comes twice in an operation that passed
+    plan = staged(steps.select(operation, "table_path").join(apart(passed), operation), "operations")
+    run = _commands(commands, [operation]).join(apart(plan.withColumn("_run", F.lit(True))), [operation, "table_path"], "left")
+    ours = lambda c: F.when(F.col("_run"), c)
+    run = staged(run.select(ours(key).alias("table_path"), operation, "seq", *[ours(F.col(c)).alias(c) for c in COMMANDS if c != "seq"]), "commands")
+    mine = rows.join(apart(plan), "table_path").select(key.alias("table_path"), F.col("row_index").cast("long").alias("row_index"), "row_id", "row_name", _column(rows, "fields", "map<string,string>"), operation)
+    state, errors = _folded(mine, run.where("table_path is not null"), [operation])
+    outside = run.where("table_path is null").groupBy(operation).agg(F.min("seq").alias("command")).join(apart(passed), operation)
+    failed = errors.select(operation, F.col("seq").alias("command"))
+    first = staged(failed.unionByName(outside).groupBy(operation).agg(F.min("command").alias("command")), "failed")
+    told = met(checked, first, [operation], None, "left")
     back = F.col("command").isNotNull()
     outcomes = told.select(operation, F.when(back, "rolled_back").otherwise(F.col("outcome")).alias("outcome"), F.when(back, "command_failed").otherwise(F.col("code")).alias("code"), "command")
-    before = mine.join(apart(first.select(operation)), operation, "left_semi").select(operation, F.col("_table").alias("table_path"), "row_index", "row_id", "row_name", _column(rows, "fields", "map<string,string>"))
-    after = folded.withColumnRenamed("table_path", "_key").join(apart(names.join(apart(first.select(operation)), operation, "left_anti")), "_key").select(before.columns)
-    return outcomes, after.unionByName(before)
+    after = _at_last(met(state, first, [operation], "row_id", "left"), F.col("command").isNotNull())
+    path = F.substr("table_path", F.length(F.col(operation).cast("string")) + 2)
+    return outcomes, after.select(operation, path.alias("table_path"), "row_index", "row_id", "row_name", "fields")

@@ -207,10 +207,11 @@ def apply_transaction(steps: DataFrame, tables: DataFrame, operation: str) -> Da
     that any step has, or command_failed.
     """
     known = tables.select("table_path", "fingerprint", "composite").withColumn("_known", F.lit(True))
-    times = F.count("*").over(Window.partitionBy(operation, "table_path"))
-    met = steps.withColumn("_times", times).join(apart(known), "table_path", "left")
-    rank = F.when(F.col("_times") > 1, 1).when(F.col("_known").isNull(), 2).when(F.col("composite"), 3).when(~F.col("expected").eqNullSafe(F.col("fingerprint")), 4).when(F.col("failure").isNotNull(), 5)
-    worst = met.groupBy(operation).agg(F.min(rank).alias("_rank"))
+    rank = F.when(F.col("_known").isNull(), 2).when(F.col("composite"), 3).when(~F.col("expected").eqNullSafe(F.col("fingerprint")), 4).when(F.col("failure").isNotNull(), 5)
+    # names are met before steps are counted, so that these are dealt again without them
+    met = steps.join(apart(known), "table_path", "left").select(operation, "table_path", rank.alias("_rank"))
+    each = met.groupBy(operation, "table_path").agg(F.count("*").alias("_times"), F.min("_rank").alias("_rank"))
+    worst = each.groupBy(operation).agg(F.min(F.when(F.col("_times") > 1, 1).otherwise(F.col("_rank"))).alias("_rank"))
     names = ["duplicate_table", "table_not_found", "read_only_table", "fingerprint_mismatch", "command_failed"]
     code = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_rank"))
     outcome = F.when(F.col("_rank").isNull(), "committed").when(F.col("_rank") == 5, "rolled_back").otherwise("rejected")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import counted, staged
 
 
 def scan(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None) -> DataFrame:
@@ -20,8 +20,9 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Col
     """
     sums, lags, firsts = sums or {}, lags or {}, firsts or {}
     named = {f"_in_{n}": F.coalesce(e, F.lit(0)) if n in sums else e for n, e in (sums | lags | firsts).items()}
-    cut = rows.withColumns({"_key": F.struct(*keys) if keys else F.lit(0), "_order": F.struct(*order), **named}).repartitionByRange("_key", *order)
-    cut = staged(cut.withColumn("_part", F.spark_partition_id()), "scan")
+    whole = {"_key": F.struct(*keys) if keys else F.lit(0), "_order": F.struct(*order)}  # told again from what is staged
+    cut = rows.withColumns(named).repartitionByRange(whole["_key"], *order)
+    cut = staged(cut.withColumn("_part", F.spark_partition_id()), "scan").withColumns(whole)
 
     own = Window.partitionBy("_key", "_part").orderBy("_order")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
@@ -45,19 +46,30 @@ def apart(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-#: A side of so many rows is broadcast, beyond that each of its rows goes to so many places.
-BROADCAST, PLACES = 200_000, 32
+#: A side of so many rows is broadcast; beyond that, the rows of a key that has more than CROWDED go to so many places.
+BROADCAST, CROWDED, PLACES = 200_000, 1_000_000, 32
 
 
-def met(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner, left, left_semi or left_anti) with ``side``, a table that has a row for each key, without bringing a key's rows together.
+def few(side: DataFrame) -> bool:
+    return counted(side) <= BROADCAST
 
-    A counted, small side is broadcast. A larger one is copied to ``PLACES`` places, among which ``spread`` deals the rows of a key.
+
+def met(rows: DataFrame, side: DataFrame, keys: list[str], spread: str | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left, left_semi or left_anti) with ``side``, a table that has a row for each key, without bringing a crowded key's rows together.
+
+    A counted, small side is broadcast. A larger one is merged; only the rows of crowded keys, which are few, are dealt by ``spread`` among ``PLACES``
+    places, each with a copy of the key's row. Without ``spread`` no key of ``rows`` is crowded.
     """
-    if side.count() <= BROADCAST:
+    if few(side):
         return rows.join(F.broadcast(side), keys, how)
-    dealt = rows.withColumn("_place", F.pmod(F.xxhash64(spread), F.lit(PLACES)))
-    copied = side.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLACES - 1).cast("long"))))
+    if not spread:
+        return rows.join(apart(side), keys, how)
+    crowded = staged(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED).select(*keys, F.lit(True).alias("_crowded")), "crowded")
+    if crowded.isEmpty():
+        return rows.join(apart(side), keys, how)
+    place = lambda df, many, one: df.join(F.broadcast(crowded), keys, "left").withColumn("_place", F.when(F.col("_crowded"), many).otherwise(one)).drop("_crowded")
+    dealt = place(rows, F.pmod(F.xxhash64(spread), F.lit(PLACES)).cast("int"), F.lit(0))
+    copied = place(side, F.sequence(F.lit(0), F.lit(PLACES - 1)), F.array(F.lit(0))).withColumn("_place", F.explode("_place"))
     return dealt.join(apart(copied), [*keys, "_place"], how).drop("_place")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import audit as a, changes as c, corpus as co, folds as fo, review as v, values as vals
 from ..operators.scans import apart
+from ..sources.staging import staged
 from .changes import _COMMANDS, _commands
 from .common import table
 
@@ -150,7 +151,7 @@ def _transaction(s: SparkSession, d: str) -> DataFrame:
     rows = part.select(F.col("p_partkey").cast("string").alias("table_path"), F.lit(0).alias("row_index"), F.lit("row").alias("row_id"), F.col("p_name").alias("row_name"), F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("fields"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     lines = table(s, d, "lineitem").withColumn("seq", F.row_number().over(order)).join(apart(part.select("p_partkey", "p_name", "p_size")), F.col("l_partkey") == F.col("p_partkey"), "left")
-    lines = lines.withColumn("table_path", F.col("l_partkey").cast("string"))
+    lines = staged(lines.select("l_orderkey", "l_partkey", "seq", "l_quantity", "p_name", "p_size"), "lines").withColumn("table_path", F.col("l_partkey").cast("string"))
     steps = lines.select("l_orderkey", "table_path", F.col("p_name").alias("expected"))
     size = F.when(F.col("l_quantity") == 13, "another").otherwise(F.col("p_size").cast("string"))
     commands = lines.select("l_orderkey", "table_path", "seq", F.lit("set_cell").alias("kind"), F.lit("row").alias("row_id"), F.lit("size").alias("field"), size.alias("old_value"), F.col("l_quantity").cast("int").cast("string").alias("new_value"))

@@ -1,5 +1,6 @@
 """The parallel fold against a plain one, and scans against windows."""
 
+import glob
 import hashlib
 import random
 import time
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tablewatch.operators import audit, changes, folds, review, scans, values
+from tablewatch.sources import staging
 
 COLUMNS = "table_path string, seq long, kind string, row_id string, row_name string, old_name string, at_index long, field string, old_value string, new_value string, fields map<string,string>, old_order array<string>, new_order array<string>"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -262,3 +264,72 @@ def test_known_tables_are_not_broadcast(spark):
     found = review.apply_transaction(steps, known, "operation")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == [(1, "committed", None), (2, "rejected", "table_not_found")]
+
+
+def test_a_staged_table_frees_its_shuffle_files(spark):
+    folder = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+    before = files()
+    told = staging.staged(spark.range(200_000).groupBy((F.col("id") % 100_000).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert told.count() == 100_000 and spark.conf.get(staging.FREED, None) is None
+
+
+def test_only_crowded_keys_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BROADCAST", 0)
+    rows = spark.createDataFrame([("hot", str(i)) for i in range(50)] + [("a", "x"), ("b", "y")], "k string, r string")
+    side = spark.createDataFrame([("hot", 1), ("b", 2)], "k string, v int")
+    met = lambda how: scans.met(rows, side, ["k"], "r", how)
+    kinds = ("inner", "left", "left_semi", "left_anti")
+    assert all("Generate" not in met(how)._jdf.queryExecution().executedPlan().toString() for how in kinds)
+    monkeypatch.setattr(scans, "CROWDED", 10)
+    assert "Generate" in met("inner")._jdf.queryExecution().executedPlan().toString()
+    assert [met(how).count() for how in kinds] == [51, 52, 51, 1]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_transactions_equal_plain_ones_on_random_logs(spark, monkeypatch, most):
+    monkeypatch.setattr(scans, "BROADCAST", most)
+    rng = random.Random(11 + most)
+    base = {f"t{t}": [{"row_id": i, "row_name": rng.choice([f"of {i}", "dup"]), "fields": {"x": "0", "y": None}} for i in rng.sample("abcdefghij", rng.choice([0, 0, 1, 4, 9]))] for t in range(8)}
+    known = {t: ("print" + t, i == 7) for i, t in enumerate(base) if i != 6}
+    steps, logs, outcomes, left = [], [], [], []
+    for op in range(70):
+        named = rng.sample(sorted(base)[: 8 if rng.random() < 0.2 else 6], rng.choice([1, 2, 3]))
+        expected = [(t, "other" if rng.random() < 0.05 else "print" + t) for t in named] + ([(named[0], "print" + named[0])] if rng.random() < 0.05 else [])
+        steps += [(op, t, e) for t, e in expected]
+        each = {t: random_log(rng, base[t], rng.choice([0, 1, 4, 12]), rng.choice([0, 0, 0.05])) for t in named}
+        if rng.random() < 0.1:
+            each["t5" if "t5" not in named else "t4"] = random_log(rng, [], 1, 0)
+        order = [t for t, log in each.items() for _ in log]
+        rng.shuffle(order)
+        turns, log = {t: iter(x) for t, x in each.items()}, []
+        for seq, t in enumerate(order):
+            log.append((t, next(turns[t]) | {"seq": seq}))
+        logs += [(op, *[t if n == "table_path" else c[n] for n in NAMES]) for t, c in log]
+        ranks = [1 for t, _ in expected if [x for x, _ in expected].count(t) > 1] + [2 for t, _ in expected if t not in known] + [3 for t, _ in expected if t in known and known[t][1]] + [4 for t, e in expected if t in known and e != known[t][0]]
+        if ranks:
+            outcomes.append((op, "rejected", ["duplicate_table", "table_not_found", "read_only_table", "fingerprint_mismatch"][min(ranks) - 1], None))
+            continue
+        tables, failed = {t: base[t] for t in named}, None
+        for t, c in log:
+            error = "outside"
+            if t in tables:
+                tables[t], error = plain_fold(tables[t], [c])
+            if error:
+                tables, failed = {t: base[t] for t in named}, c["seq"]
+                break
+        outcomes.append((op, "committed", None, None) if failed is None else (op, "rolled_back", "command_failed", failed))
+        left += [(op, t, i, r["row_id"], r["row_name"], sorted(r["fields"].items())) for t, rows in tables.items() for i, r in enumerate(rows)]
+    rows = spark.createDataFrame([(t, i, r["row_id"], r["row_name"], r["fields"]) for t, rows in base.items() for i, r in enumerate(rows)], "table_path string, row_index long, row_id string, row_name string, fields map<string,string>")
+    found, after = folds.run_transactions(
+        spark.createDataFrame(steps, "operation long, table_path string, expected string"),
+        spark.createDataFrame([(t, *v) for t, v in known.items()], "table_path string, fingerprint string, composite boolean"),
+        rows, spark.createDataFrame(rng.sample(logs, len(logs)), "operation long, " + COLUMNS), "operation",
+    )
+    assert sorted(tuple(r) for r in found.select("operation", "outcome", "code", "command").collect()) == outcomes
+    assert sorted(map(repr, left)) == sorted(repr((r.operation, r.table_path, r.row_index, r.row_id, r.row_name, sorted(r.fields.items()))) for r in after.collect())
+    assert {o[1] for o in outcomes} == {"rejected", "committed", "rolled_back"} and len({o[2] for o in outcomes}) == 6
