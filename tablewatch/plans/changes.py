@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import streaming as st
 from ..operators import changes as c, folds as fo, references as r, scans as sc, spatial as sp
+from ..sources.staging import staged
 from .common import table
 
 
@@ -154,7 +155,7 @@ SELECT table_path, row_id, CASE WHEN valid AND v IS NOT NULL THEN v ELSE size EN
 def _fold_rows(s: SparkSession, d: str) -> DataFrame:
     """Orders as tables of their customers: the first row is renamed, one is put before it, it is removed; every third table is turned round."""
     key = F.col("o_orderkey").cast("string")
-    rows = _indexed(table(s, d, "orders").select("o_custkey", "o_orderkey")).select(F.col("o_custkey").cast("string").alias("table_path"), F.col("row_index").cast("long").alias("row_index"), key.alias("row_id"), F.concat(F.lit("Order "), key).alias("row_name"))
+    rows = staged(_indexed(table(s, d, "orders").select("o_custkey", "o_orderkey")), "orders").select(F.col("o_custkey").cast("string").alias("table_path"), F.col("row_index").cast("long").alias("row_index"), key.alias("row_id"), F.concat(F.lit("Order "), key).alias("row_name"))
     first = rows.where("row_index = 0")
     none = F.lit(None).cast("string")
     order = F.lit(None).cast("array<string>")
@@ -180,9 +181,10 @@ def _fold_table(s: SparkSession, d: str) -> DataFrame:
     isn't there, every eleventh gives a name that two rows have and only one has given up."""
     line = F.concat_ws("-", "l_orderkey", "l_linenumber", "again")
     rows = table(s, d, "lineitem").withColumn("again", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
-    rows = rows.select(F.col("l_partkey").alias("p"), F.col("l_partkey").cast("string").alias("table_path"), "l_orderkey", "l_linenumber", "again", line.alias("row_id"), F.concat(F.lit("of "), F.col("l_returnflag")).alias("row_name"), F.create_map(F.lit("quantity"), F.col("l_quantity").cast("int").cast("string"), F.lit("status"), F.col("l_linestatus")).alias("fields"))
+    rows = rows.select(F.col("l_partkey").alias("p"), "l_orderkey", "l_linenumber", "again", "l_returnflag", F.col("l_quantity").cast("int").alias("quantity"), "l_linestatus")
     placed = Window.partitionBy("p").orderBy("l_orderkey", "l_linenumber", "again")
-    rows = rows.withColumn("row_index", F.row_number().over(placed) - 1).withColumn("n", F.count("*").over(Window.partitionBy("p")))
+    rows = staged(rows.withColumn("row_index", F.row_number().over(placed) - 1).withColumn("n", F.count("*").over(Window.partitionBy("p"))), "lines")
+    rows = rows.select("p", "row_index", "n", F.col("p").cast("string").alias("table_path"), line.alias("row_id"), F.concat(F.lit("of "), F.col("l_returnflag")).alias("row_name"), F.create_map(F.lit("quantity"), F.col("quantity").cast("string"), F.lit("status"), F.col("l_linestatus")).alias("fields"))
     first, last = rows.where("row_index = 0"), rows.where("row_index = n - 1")
     none, new = F.lit(None).cast("string"), F.concat(F.lit("new/"), "table_path")
     command = lambda df, seq, kind, row, name=none, old=none, at=None, field=none, before=none, after=none, fields=None: df.select("table_path", F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), row.alias("row_id"), name.alias("row_name"), old.alias("old_name"), (F.lit(None) if at is None else at).cast("long").alias("at_index"), field.alias("field"), before.alias("old_value"), after.alias("new_value"), (F.lit(None) if fields is None else fields).cast("map<string,string>").alias("fields"))

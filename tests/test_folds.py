@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tablewatch.operators import audit, changes, folds, review, scans, values
+from tablewatch.plans import changes as plans
 from tablewatch.sources import staging
 
 COLUMNS = "table_path string, seq long, kind string, row_id string, row_name string, old_name string, at_index long, field string, old_value string, new_value string, fields map<string,string>, old_order array<string>, new_order array<string>"
@@ -333,3 +334,15 @@ def test_transactions_equal_plain_ones_on_random_logs(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in found.select("operation", "outcome", "code", "command").collect()) == outcomes
     assert sorted(map(repr, left)) == sorted(repr((r.operation, r.table_path, r.row_index, r.row_id, r.row_name, sorted(r.fields.items()))) for r in after.collect())
     assert {o[1] for o in outcomes} == {"rejected", "committed", "rolled_back"} and len({o[2] for o in outcomes}) == 6
+
+
+@pytest.mark.parametrize("query", [plans._fold_table, plans._fold_rows])
+def test_tables_of_a_fold_are_read_once(spark, monkeypatch, query):
+    """Each command of the log is told from rows that are staged, so that only a reorder's lists are dealt out again."""
+    held = []
+    for name in ("fold_table", "fold_rows"):
+        monkeypatch.setattr(plans.fo, name, lambda rows, log: held.append((rows, log)) or rows.withColumn("error", F.lit(None)))
+    query(spark, "/root/testdata/sf0.001")
+    rows, log = held[0]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(rows) and "Exchange" not in plan(log.where("kind <> 'reorder'"))
